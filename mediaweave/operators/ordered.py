@@ -91,5 +91,5 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
 
 
 def hash_bucket(c) -> Column:
-    """First byte of a key's hash: follows the order of ``md5`` itself."""
-    return F.substring(F.md5(F.col(c).cast("binary")), 1, 2)
+    """First digits of a key's hash (4,096 values): follows the order of ``md5`` itself."""
+    return F.substring(F.md5(F.col(c).cast("binary")), 1, 3)
