@@ -74,19 +74,9 @@ def pages_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two edges from every page to other pages: an equi join on computed page ids."""
     p = pages(spark, sf_dir).select("page_id", "url")
-    total = p.agg(F.count("*").alias("n"))
-    targets = (
-        p.join(F.broadcast(total))
-        .select(
-            "page_id",
-            F.col("url").alias("src_url"),
-            F.explode(
-                F.array_distinct(
-                    F.array((F.col("page_id") * 7 + 1) % F.col("n"), (F.col("page_id") * 7 + 2) % F.col("n"))
-                )
-            ).alias("dst_id"),
-        )
-    )
+    n = p.agg(F.count("*")).scalar()
+    ids = F.array((F.col("page_id") * 7 + 1) % n, (F.col("page_id") * 7 + 2) % n)
+    targets = p.select("page_id", F.col("url").alias("src_url"), F.explode(F.array_distinct(ids)).alias("dst_id"))
     dst = p.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst_url"))
     return targets.join(dst, "dst_id").select("page_id", "src_url", "dst_url")
 
@@ -139,3 +129,151 @@ def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(p.select("page_id", F.col("url").alias("base"), "url"))
         .distinct()
     )
+
+
+# --- further tables derived from the given ones --------------------------------
+
+_N = "CAST(page_id AS STRING)"
+
+TASKS = {
+    "id": f"'task-' || {_N}",
+    "task_id": "page_id",
+    "url": "url",
+    "one_shot": "page_id % 5 = 0",
+    "status": """CASE page_id % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'paused'
+        WHEN 3 THEN 'completed' WHEN 4 THEN 'stopped' ELSE 'failed' END""",
+    "download_path": f"'/downloads/t' || {_N}",
+    "images": "page_id % 11",
+    "videos": "page_id % 3",
+    "downloaded": "page_id % 9",
+}
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task per page, with status, counters and times that follow from the page."""
+    base = project(pages(spark, sf_dir), {**TASKS, "page_id": "page_id"})
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+    def after(seconds):
+        return start + F.make_dt_interval(secs=seconds)
+
+    seconds = F.col("page_id") * 61
+    live = F.col("status") == "queued"
+    ended = F.col("status").isin("completed", "stopped", "failed")
+    return base.select(
+        "id",
+        "task_id",
+        "url",
+        "one_shot",
+        "status",
+        "download_path",
+        F.create_map(
+            F.lit("images_found"), F.col("images").cast("bigint"),
+            F.lit("videos_found"), F.col("videos").cast("bigint"),
+            F.lit("files_downloaded"), F.col("downloaded").cast("bigint"),
+        ).alias("stats"),
+        F.col("downloaded").cast("bigint").alias("files_downloaded"),
+        after(seconds).alias("created_at"),
+        F.when(~live, after(seconds + 30)).alias("started_at"),
+        F.when(ended, after(seconds + 90)).alias("completed_at"),
+    )
+
+
+TASK_EVENTS = {
+    "event_id": "event_id",
+    "ts": "ts",
+    "task_id": "user_id",
+    "action": """CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'pause' WHEN 'signup' THEN 'complete'
+        WHEN 'purchase' THEN 'stop' ELSE 'fail' END""",
+}
+
+
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(table(spark, sf_dir, "events"), TASK_EVENTS)
+
+
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+IMAGE_FORMS = [
+    f"{_ORIGIN} || '/images/thumb/img' || {_N} || '_thumb.jpg'",
+    f"{_ORIGIN} || '/t/' || {_N} || '.jpg'",
+    f"'https://m.example.net/i/' || {_N} || '.jpg'",
+    f"{_ORIGIN} || '/pics/' || {_N} || '-300x200.jpg'",
+    f"{_ORIGIN} || '/a/' || {_N} || '-1024x768.png?x=1'",
+    f"'https://cdn.artstation.com/p/' || {_N} || '_small.jpg'",
+    f"'https://www.example.net/w/' || {_N} || '.jpg'",
+]
+
+
+def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thumbnail-like image URLs seen on each page."""
+    forms = ", ".join(IMAGE_FORMS)
+    return pages(spark, sf_dir).selectExpr("page_id", "url AS page_url", f"explode(array({forms})) AS url")
+
+
+SRCSET = (
+    f"'/s/' || {_N} || '-a.jpg ' || CAST(page_id % 700 + 1 AS STRING) || 'w,  /s/' || {_N} || '-b.jpg '"
+    f" || CAST(page_id % 3 AS STRING) || '.5x, /s/' || {_N} || '-c.jpg,, /s/' || {_N} || '-d.jpg 350w'"
+)
+
+
+def srcsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(pages(spark, sf_dir), {"page_id": "page_id", "srcset": SRCSET})
+
+
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that redirect to the page with the next id, unless the next id is a multiple of 8."""
+    p = pages(spark, sf_dir).select("page_id", "url")
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    on = (F.col("page_id") + 1) % 8 != 0
+    body = F.when(on & F.col("next_url").isNotNull(), F.concat(F.lit('<script>location="x";window.location = "'), "next_url", F.lit('";</script>')))
+    return p.join(nxt, "page_id", "left").select("page_id", "url", F.coalesce(body, F.lit("<p>end</p>")).alias("html"))
+
+
+_HOST_OF_URL = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct hosts of the pages."""
+    return pages(spark, sf_dir).selectExpr(f"{_HOST_OF_URL} AS host").distinct()
+
+
+# configuration used by the rewriting queries: (link, img, to, res)
+RULES = [
+    (1, "thumb dir", "", r"^(.*)/thumb/(.+)_thumb[.](jpg)$", "$1/$2.$3", []),
+    (2, "t to full", "", r"^(.*)/t/([0-9]+)[.]jpg$", "$1/full/$2.#jpg png#", []),
+    (3, "cdn host", "", r"^m\.example\.net/i/(.+)$", "m.example.net/orig/$1", []),
+    (4, "page capture", r"example[.]com/", "", "", [r'og:image" content="([^"]+)"']),
+    (5, "any capture", r"example[.](?:org|net)/", "", "", [r'data-full="([^"]+)"', r'poster="([^"]+)"']),
+    (6, "www host", r"^www\.example\.net/", r"^(https?://www[.]example[.]net)/w/(.+)$", "$1/big/$2", []),
+    (7, "broken", "", r"^(unclosed", "$1", []),
+    (8, "missing group", "", r"^x(.)y$", "$2", []),
+    (9, "code", "", r"^(.+)[.]thumb$", ":return $[1]", []),
+]
+PATTERNS = [
+    ("ex", ["example.org"], [], [("/pics/", "/pics-full/")]),
+    ("art", [], [r"artstation\.com/p/"], [("_small", "")]),
+    ("page", ["example.com"], [], [("-1024x768", "")]),
+]
+BLOCKLIST = ["spam-farm.example.org", "www.cheap-pills.example.com"]
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    from mediaweave.operators.rules import index_rules
+
+    rows = [(i, i, n, link or None, img or None, to or None, res) for i, n, link, img, to, res in RULES]
+    schema = "rule_id int, ord int, name string, link string, img string, to string, res array<string>"
+    return index_rules(spark.createDataFrame(rows, schema))
+
+
+def patterns_table(spark: SparkSession) -> DataFrame:
+    rows = [(s, True, d, u, r) for s, d, u, r in PATTERNS]
+    schema = (
+        "site string, enabled boolean, domains array<string>, url_patterns array<string>, "
+        "replacements array<struct<source:string,target:string>>"
+    )
+    return spark.createDataFrame(rows, schema)
+
+
+def blocklist(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in BLOCKLIST], "host string")

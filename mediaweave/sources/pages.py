@@ -73,10 +73,15 @@ def decode_bytes(content: Column) -> Column:
     return out
 
 
-def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
-    """Hosts, one per line; blank lines and ``#`` comments are dropped."""
+def parse_blocklist(lines: DataFrame) -> DataFrame:
+    """Hosts of a ``value`` column, one per line; blank lines and ``#`` comments are dropped."""
     line = F.trim("value")
-    return spark.read.text(path).select(line.alias("host")).filter((F.col("host") != "") & ~F.col("host").startswith("#")).distinct()
+    hosts = lines.select(line.alias("host"))
+    return hosts.filter((F.col("host") != "") & ~F.col("host").startswith("#")).distinct()
+
+
+def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
+    return parse_blocklist(spark.read.text(path))
 
 
 _PATTERN = (
@@ -87,27 +92,26 @@ _PATTERN = (
 )
 
 
-def read_site_patterns(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Site patterns of one or more files; a later file replaces a site of an earlier one.
+def parse_site_patterns(files: DataFrame) -> DataFrame:
+    """Site patterns of pattern files (``file`` number, ``value`` text).
 
-    A file holds either ``patterns`` as a list, or one keyed object per site.
+    A file holds either ``patterns`` as a list, or one keyed object per site; a
+    later file replaces a site of an earlier one.
     """
-    text = "map<string,string>"
     pair = "array<struct<source:string,target:string>>"
-    out = None
-    for n, path in enumerate(paths):
-        files = spark.read.text(path, wholetext=True).select(F.from_json("value", text).alias("f"))
-        listed = files.filter(F.col("f")["patterns"].isNotNull()).select(
-            F.posexplode(F.from_json(F.col("f")["patterns"], "array<string>")).alias("pos", "raw"),
-            F.lit(None).cast("string").alias("key"),
-        )
-        keyed = files.filter(F.col("f")["patterns"].isNull()).select(
-            F.posexplode(F.map_entries("f")).alias("pos", "e")
-        ).select("pos", F.col("e.value").alias("raw"), F.col("e.key").alias("key"))
-        keyed = keyed.filter((F.col("key") != "global_settings") & ~F.col("key").startswith("["))
-        rows = listed.unionByName(keyed).withColumn("file", F.lit(n))
-        out = rows if out is None else out.unionByName(rows)
-    parsed = out.filter(F.trim("raw").startswith("{")).withColumn("p", F.from_json("raw", _PATTERN))
+    texts = files.select("file", F.from_json("value", "map<string,string>").alias("f"))
+    listed = texts.filter(F.col("f")["patterns"].isNotNull()).select(
+        "file",
+        F.posexplode(F.from_json(F.col("f")["patterns"], "array<string>")).alias("pos", "raw"),
+        F.lit(None).cast("string").alias("key"),
+    )
+    keyed = texts.filter(F.col("f")["patterns"].isNull()).select(
+        "file", F.posexplode(F.map_entries("f")).alias("pos", "e")
+    )
+    keyed = keyed.select("file", "pos", F.col("e.value").alias("raw"), F.col("e.key").alias("key"))
+    keyed = keyed.filter((F.col("key") != "global_settings") & ~F.col("key").startswith("["))
+    rows = listed.unionByName(keyed)
+    parsed = rows.filter(F.trim("raw").startswith("{")).withColumn("p", F.from_json("raw", _PATTERN))
     named = parsed.withColumn("site", F.coalesce("p.site", "key"))
     usable = named.filter(
         F.when(F.col("key").isNull(), F.col("p.site").isNotNull() & F.coalesce("p.enabled", F.lit(True))).otherwise(
@@ -129,6 +133,15 @@ def read_site_patterns(spark: SparkSession, paths: list[str]) -> DataFrame:
     return last.select("site", F.lit(True).alias("enabled"), "p.domains", "p.url_patterns", kept.alias("replacements"))
 
 
+def read_site_patterns(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Site patterns of files in order of precedence."""
+    files = None
+    for n, path in enumerate(paths):
+        one = spark.read.text(path, wholetext=True).withColumn("file", F.lit(n))
+        files = one if files is None else files.unionByName(one)
+    return parse_site_patterns(files)
+
+
 def read_thumbnail_patterns(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """Thumbnail replacements of a pattern file's global settings, in order."""
     kind = (
@@ -141,10 +154,10 @@ def read_thumbnail_patterns(spark: SparkSession, path: str) -> list[tuple[str, s
     return [(p["source"], p["target"]) for p in (row["t"] or []) if p["source"] and p["target"]] if row else []
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rewrite rules of a rule file, in file order; entries that are not objects are skipped."""
-    files = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("f"))
-    rows = files.select(F.posexplode(F.map_entries("f")).alias("ord", "e"))
+def parse_rules(files: DataFrame) -> DataFrame:
+    """Rewrite rules of a rule file's text, in file order; entries that are not objects are skipped."""
+    texts = files.select(F.from_json("value", "map<string,string>").alias("f"))
+    rows = texts.select(F.posexplode(F.map_entries("f")).alias("ord", "e"))
     rows = rows.filter(F.trim("e.value").startswith("{")).withColumn(
         "r", F.from_json("e.value", "link string, img string, to string, res string")
     )
@@ -163,3 +176,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
             as_list.alias("res"),
         )
     )
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    return parse_rules(spark.read.text(path, wholetext=True))
