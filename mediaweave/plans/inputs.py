@@ -255,6 +255,7 @@ PATTERNS = [
     ("art", [], [r"artstation\.com/p/"], [("_small", "")]),
     ("page", ["example.com"], [], [("-1024x768", "")]),
 ]
+THUMBNAILS = [("/w/", "/whole/")]
 BLOCKLIST = ["spam-farm.example.org", "www.cheap-pills.example.com"]
 
 
@@ -277,3 +278,36 @@ def patterns_table(spark: SparkSession) -> DataFrame:
 
 def blocklist(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(h,) for h in BLOCKLIST], "host string")
+
+
+REFS = [
+    "", "x.jpg", "../a/./b", "?q=1", "#f", "//cdn.example.com/p", "/r", "/r/../s/", "./..", "../../../../g",
+    "https://z.example.com/y", "mailto:x", "a/b.jpg?c=d#e", "g/../../h",
+]
+
+POSTS = {
+    "post_id": "page_id",
+    "body": f"""'{{"urls":[{{"url":" ' || url || '","source":"' || url || '","type":"video"}},{{"url":"//cdn.example.com/p/'
+        || {_N} || '.jpg?x=1"}},{{"url":"ftp://x/y"}},{{"url":"https://h.example.com/d/' || {_N} || '/"}}],"one_shot":'
+        || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END || '}}'""",
+}
+
+SETTING_KEYS = ["search_depth", "timeout", "page_limit", "user_agent", "note"]
+_VALUE = "CAST(event_id % 1000 - 20 AS STRING)"
+SETTINGS = {
+    "event_id": "event_id",
+    "search_depth": _VALUE,
+    "timeout": f"CASE WHEN event_id % 3 = 0 THEN event_type ELSE {_VALUE} END",
+    "page_limit": f"CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '1.5' ELSE {_VALUE} END",
+    "user_agent": "event_type || chr(13) || chr(10) || 'x'",
+    "note": "event_type || chr(10)",
+}
+
+IMAGE_ATTRS = {
+    "width": "CASE page_id % 9 WHEN 0 THEN '1' WHEN 1 THEN '728' WHEN 2 THEN '120' WHEN 3 THEN '' WHEN 4 THEN '50%'"
+    " WHEN 5 THEN '99' WHEN 6 THEN NULL ELSE '640' END",
+    "height": "CASE page_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '90' WHEN 2 THEN '600' WHEN 3 THEN NULL ELSE '480' END",
+    "css": "CASE page_id % 11 WHEN 0 THEN 'Top Banner' WHEN 1 THEN 'hero' END",
+    "dom_id": "CASE page_id % 13 WHEN 0 THEN 'promo-1' WHEN 1 THEN 'main' END",
+    "alt": "CASE page_id % 5 WHEN 0 THEN 'Sponsored' WHEN 1 THEN '' WHEN 2 THEN 'view' END",
+}
