@@ -141,11 +141,15 @@ def _captures(url: Column, html: Column, rules: RuleBook) -> Column:
 def fullsize_of_pages(pages: DataFrame, rules: RuleBook) -> DataFrame:
     """What each linked page would yield; computed once per page, before the join to links."""
     html, url = F.col("html"), F.col("url")
-    return pages.select(
+    found = pages.select(
+        "page_id",
         U.normalize_url("url").alias("norm"),
         _captures(url, html, rules).alias("captured"),
         F.filter(img_sources(html), lambda u: u != url).alias("images"),
     )
+    # pages whose URLs normalise alike are one page: the first of them answers
+    first = found.groupBy("norm").agg(F.min_by(F.struct("captured", "images"), "page_id").alias("p"))
+    return first.select("norm", "p.captured", "p.images")
 
 
 def discover_fullsize(links: DataFrame, pages: DataFrame, rules: RuleBook) -> DataFrame:
@@ -181,9 +185,12 @@ def discover_fullsize(links: DataFrame, pages: DataFrame, rules: RuleBook) -> Da
 
 def resolve_url(items: DataFrame, pages: DataFrame, rules: RuleBook) -> DataFrame:
     """Replace a page URL by what the first rule captures on that page."""
-    target = pages.select(
-        U.normalize_url("url").alias("norm"), F.get(_captures(F.col("url"), F.col("html"), rules), 0).alias("resolved")
-    ).filter(F.col("resolved").isNotNull())
+    found = pages.select(
+        "page_id",
+        U.normalize_url("url").alias("norm"),
+        F.get(_captures(F.col("url"), F.col("html"), rules), 0).alias("resolved"),
+    )
+    target = found.groupBy("norm").agg(F.min_by("resolved", "page_id").alias("resolved"))
     return (
         items.withColumn("norm", U.normalize_url("url"))
         .join(target, "norm", "left")

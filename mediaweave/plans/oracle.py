@@ -488,3 +488,386 @@ WITH {TASKS} SELECT id, replace(string_split(url, '/')[3], '.', '_') || strftime
 ORACLE["u32_referer_for"] = f"""
 WITH p AS (SELECT page_id, ['auto', 'origin', 'none'][page_id % 3 + 1] AS policy, url FROM pages)
 SELECT page_id, policy, CASE policy WHEN 'auto' THEN url WHEN 'origin' THEN {origin('url')} END AS referer FROM p"""
+
+
+# --- page markup ---------------------------------------------------------------------
+
+
+def nodes_of(pages: str, name: str = "n") -> str:
+    """CTEs with one row per start tag, in document order, and the markup before it."""
+    tags = f"regexp_extract_all(html, '<[a-zA-Z][^>]*>|</[a-zA-Z][^>]*>')"
+    return f"""{name}_tok AS (SELECT page_id, url, unnest({tags}) AS t, generate_subscripts({tags}, 1) AS i FROM {pages}),
+{name}_all AS (SELECT *, lag(t) OVER (PARTITION BY page_id ORDER BY i) AS before FROM {name}_tok),
+{name} AS (SELECT page_id, url, t, before, regexp_extract(t, '^<([a-zA-Z0-9]+)', 1) AS tag,
+  (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS node_id FROM {name}_all WHERE t NOT LIKE '</%')"""
+
+
+def attr(name, t="t"):
+    has_it = f"regexp_matches({t}, ' {name}=\"')"
+    return f"(CASE WHEN {has_it} THEN replace(regexp_extract({t}, ' {name}=\"([^\"]*)\"', 1), '&quot;', '\"') END)"
+
+
+NODES = f"{PM}, {nodes_of('pm')}"
+ORACLE["h01_nodes"] = f"""
+WITH {NODES} SELECT page_id, node_id, tag, {attr('href')} AS href, {attr('src')} AS src, {attr('class')} AS css,
+  len(regexp_extract_all(t, ' [a-z-]+="'))::INTEGER AS n_attrs FROM n"""
+ORACLE["h01_node_counts"] = f"""
+WITH {NODES} SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM n GROUP BY tag"""
+
+SRCSETS = f"s AS ({I.as_sql({'page_id': 'page_id', 'srcset': I.SRCSET}, 'pages')})"
+_SRC_ITEMS = f"""{SRCSETS},
+i0 AS (SELECT page_id, unnest(list_filter(list_transform(string_split(srcset, ','), lambda x: trim(x)), lambda x: x <> '')) AS item,
+  generate_subscripts(list_filter(list_transform(string_split(srcset, ','), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS pos FROM s),
+items AS (SELECT page_id, pos, regexp_extract(item, '^[^ ]+') AS u, regexp_extract(item, ' +([^ ]+)$', 1) AS d FROM i0),
+c AS (SELECT *, CASE WHEN d LIKE '%w' THEN left(d, -1)::BIGINT WHEN d LIKE '%x' THEN trunc(left(d, -1)::DOUBLE * 1000)::BIGINT ELSE 0 END AS width,
+  CASE WHEN d LIKE '%w' THEN left(d, -1)::DOUBLE WHEN d LIKE '%x' THEN coalesce(nullif(left(d, -1)::DOUBLE, 0), 1) * 10000 ELSE 1 END AS score FROM items)"""
+ORACLE["h02_parse_srcset"] = f"WITH {_SRC_ITEMS} SELECT page_id, pos::INTEGER AS pos, u AS url, width FROM c"
+ORACLE["h03_largest_srcset"] = f"""
+WITH {_SRC_ITEMS} SELECT page_id, first(u ORDER BY width DESC, pos) FILTER (d LIKE '%w') AS by_width,
+  first(u ORDER BY score DESC, pos) AS by_browser FROM c GROUP BY page_id"""
+
+_HIDES = "(regexp_matches(coalesce({t}, ''), 'class=\"[^\"]*d-none') OR coalesce({t}, '') LIKE '%display:none%')"
+ORACLE["h04_visible"] = f"""
+WITH {NODES} SELECT page_id, node_id, tag, NOT {_HIDES.format(t='t')} AND NOT (before NOT LIKE '</%' AND {_HIDES.format(t='before')}) AS visible
+FROM n WHERE tag IN ('a', 'img', 'div', 'p')"""
+
+_IMG = f"{NODES}, img AS (SELECT page_id, url AS page_url, node_id, t, {attr('src')} AS src, {attr('data-full')} AS df, {attr('srcset')} AS ss FROM n WHERE tag = 'img')"
+_BEST = f"""{_IMG}, o AS (
+  SELECT page_id, node_id, 0 AS grp, 0 AS pos, src AS u, 0 AS rank, 'src' AS source FROM img
+  UNION ALL SELECT page_id, node_id, 0, 1, df, 100, 'data-full' FROM img WHERE df IS NOT NULL
+  UNION ALL SELECT page_id, node_id, 1, x.k, regexp_extract(trim(x.item), '^[^ ]+'),
+    CASE WHEN x.item LIKE '%w' THEN regexp_extract(x.item, '([0-9]+)w$', 1)::INTEGER ELSE regexp_extract(x.item, '([0-9]+)x$', 1)::INTEGER * 1000 END, 'srcset'
+    FROM (SELECT page_id, node_id, unnest(string_split(ss, ',')) AS item, generate_subscripts(string_split(ss, ','), 1) AS k FROM img WHERE ss IS NOT NULL) x
+  UNION ALL SELECT page_id, node_id, 2, 0, src, 0, 'src' FROM img
+  UNION ALL SELECT page_id, node_id, 2, 1, df, 999999, 'data-full' FROM img WHERE df IS NOT NULL)"""
+ORACLE["h05_best_image"] = f"""
+WITH {_BEST}, b AS (SELECT page_id, node_id, first(struct_pack(u := u, rank := rank, source := source) ORDER BY rank DESC, grp, pos) AS b FROM o GROUP BY ALL)
+SELECT page_id, node_id, b.u AS url, b.rank::BIGINT AS rank, b.source AS source,
+  {attr('width')}::BIGINT AS width, {attr('height')}::BIGINT AS height FROM b JOIN n USING (page_id, node_id)"""
+
+# What each kind of inserted markup must yield: operator, media type, reference, source, test.
+_I = "page_id::VARCHAR"
+EXPECTED_ROWS = [
+    (0, "h07", "image", f"'/pics/' || {_I} || '.jpg'", "src", "sig"),
+    (1, "h07", "image", f"'/s/' || {_I} || '-d.jpg'", "srcset", "sig"),
+    (2, "h07", "image", f"'/full/' || {_I} || '.jpg'", "data-full", "sig"),
+    (2, "h16", "image", f"'/full/' || {_I} || '.jpg'", "data-direct-data-full", "sig"),
+    (3, "h07", "image", f"'/t/' || {_I} || '.jpg'", "src", "sig"),
+    (3, "h07", "image", f"'/large/' || {_I} || '.jpg'", "parent-link", "sig"),
+    (4, "h07", "image", f"'/t/' || {_I} || '.jpg'", "src", "sig"),
+    (4, "h07", "image", f"'/gallery/' || {_I}", "fullsize-link", "sig"),
+    (6, "h06", "image", f"'/p/' || {_I} || '.webp'", "srcset", "sig"),
+    (6, "h07", "image", f"'/p/' || {_I} || '.jpg'", "src", "sig"),
+    (7, "h11", "video", f"'/v/' || {_I} || '.mp4'", None, "none"),
+    (7, "h11", "video", f"'/v/' || {_I} || '.webm'", None, "none"),
+    (8, "h12", "video", f"'https://player.vimeo.com/video/' || {_I}", "iframe", "none"),
+    (9, "h14", "video", f"'https://m.example.net/v/' || {_I} || '.mp4'", "json-ld", "none"),
+    (9, "h14", "image", f"'https://m.example.net/i/' || {_I} || '.jpg'", "json-ld", "none"),
+    (9, "h15", "image", f"'https://m.example.net/i/' || {_I} || '.jpg'", "js-static-image_sources", "sig"),
+    (9, "h15", "video", f"'https://m.example.net/v/' || {_I} || '.mp4'", "js-static-video_sources", "sig"),
+    (10, "h08", "image", f"'/bg/' || {_I} || '.png'", "css", "sig"),
+    (11, "h09", "image", f"'/fav/' || {_I} || '.png'", None, "none"),
+    (11, "h10", "image", f"'/og/' || {_I} || '.jpg'", "meta", "sig"),
+    (12, "h15", "image", f"'https://cdn.example.com/j/' || {_I} || '.png'", "js-static-image_sources", "sig"),
+    (12, "h15", "video", f"'https://cdn.example.com/j/' || {_I} || '.mp4'", "js-static-video_sources", "sig"),
+    (12, "h15", "video", f"'https://cdn.example.com/j/' || {_I} || '.mp4'", "js-static-video_sources", "sig"),
+    (13, "h16", "video", f"'https://m.example.net/d/' || {_I} || '.mp4'", "data-json-data-item-u", "sig"),
+    (13, "h16", "image", f"'/lazy/' || {_I} || '.jpg'", "data-direct-data-src", "sig"),
+    (13, "h17", "image", f"'/lazy/' || {_I} || '.jpg'", "lazy-data-data-src", "sig"),
+]
+_STAGE = {"h06": 0, "h07": 1, "h08": 2, "h09": 3, "h10": 4, "h11": 5, "h12": 6, "h14": 8, "h15": 9, "h16": 10, "h17": 11}
+
+
+def _expected() -> str:
+    parts = []
+    for n, (variant, op, kind, ref, source, test) in enumerate(EXPECTED_ROWS):
+        src = "NULL" if source is None else q(source)
+        parts.append(
+            f"SELECT page_id, url AS page_url, {q(op)} AS op, {_STAGE[op]} AS stage, {n} AS k, {q(kind)} AS media_type, {ref} AS ref,"
+            f" {src}::VARCHAR AS source, {q(test)} AS test FROM pages WHERE page_id % 16 = {variant}"
+        )
+    return f"""e0 AS ({' UNION ALL '.join(parts)}),
+e1 AS (SELECT *, {simple_join('page_url', 'ref')} AS url FROM e0),
+media AS (SELECT * FROM e1 WHERE test = 'none' OR {significant('url')})"""
+
+
+MEDIA = _expected()
+
+
+def media_oracle(name: str, op: str):
+    ORACLE[name] = f"WITH {MEDIA} SELECT page_id, media_type, url, source FROM media WHERE op = {q(op)}"
+
+
+ORACLE["h06_picture_images"] = f"""
+WITH {MEDIA} SELECT page_id, url, source, '900' AS width, '(min-width:800px)' AS media FROM media WHERE op = 'h06'"""
+ORACLE["h07_img_images"] = f"""
+WITH {MEDIA} SELECT page_id, url, source, page_id % 16 = 4 AND source = 'src' AS transformed,
+  CASE WHEN page_id % 16 = 4 AND source = 'src' THEN '/t/' || page_id || '-300x200.jpg' END AS original_url FROM media WHERE op = 'h07'"""
+_V4 = f"""SELECT page_id, {origin('url')} || '/gallery/' || page_id AS url, {origin('url')} || '/t/' || page_id || '.jpg' AS thumbnail_url, 15.0::DOUBLE AS priority
+  FROM pages WHERE page_id % 16 = 4 AND {significant(f"({origin('url')} || '/t/' || page_id || '.jpg')")}
+  UNION ALL SELECT page_id, {origin('url')} || '/post/' || page_id, {origin('url')} || '/t2/' || page_id || '.jpg', 15.0
+  FROM pages WHERE page_id % 16 = 4"""
+ORACLE["h07_img_links"] = _V4 + f"""
+  UNION ALL SELECT page_id, {origin('url')} || '/gallery/' || page_id, NULL, NULL FROM pages WHERE false"""
+for _name, _op in [
+    ("h08_css_images", "h08"), ("h09_icon_images", "h09"), ("h10_meta_images", "h10"), ("h14_jsonld_media", "h14"),
+    ("h15_js_media", "h15"), ("h16_data_attr_media", "h16"), ("h17_lazy_media", "h17"),
+]:
+    media_oracle(_name, _op)
+ORACLE["h11_video_tags"] = f"""
+WITH {MEDIA} SELECT page_id, url, {is_cdn('url', 'video')} AS is_cdn, '/v/' || page_id || '.jpg' AS poster,
+  CASE WHEN url LIKE '%.webm' THEN 'video/webm' ELSE '' END AS kind FROM media WHERE op = 'h11'"""
+ORACLE["h12_video_embeds"] = f"WITH {MEDIA} SELECT page_id, url, 'vimeo' AS platform FROM media WHERE op = 'h12'"
+ORACLE["h13_meta_videos"] = f"""
+WITH v AS (SELECT page_id, {origin('url')} || '/og/' || page_id || '.jpg' AS url FROM pages WHERE page_id % 16 = 11)
+SELECT page_id, 'video' AS media_type, url, 'meta' AS source, {platform('url')} AS platform FROM v"""
+ORACLE["h18_framework_media"] = f"""
+WITH {NODES}, v AS (SELECT page_id, {origin('url')} || {attr('src')} AS u FROM n WHERE tag = 'img' AND regexp_matches(t, '^<img src="/'))
+SELECT page_id, 'image' AS media_type, u AS url, 'framework-vue' AS source FROM v WHERE {is_media('u')} AND {significant('u')}"""
+
+_ANCHOR_RX = q(r'<a (?:class="[^"]*" )?href="([^"]*)"[^>]*>(.*?)</a>')
+ANCHORS = f"""{PM},
+a0 AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, {_ANCHOR_RX}, 1)) AS href,
+  unnest(regexp_extract_all(html, {_ANCHOR_RX}, 2)) AS inner_html, generate_subscripts(regexp_extract_all(html, {_ANCHOR_RX}, 1), 1) AS i FROM pm),
+anchors AS (SELECT page_id, page_url, i, {simple_join('page_url', 'href')} AS url,
+  left(trim(regexp_replace(replace(inner_html, '&amp;', '&'), '<[^>]*>', '', 'g')), 100) AS text FROM a0 WHERE href <> ''),
+canon AS (SELECT page_id, {origin('url')} || '/c/' || page_id AS url FROM pages WHERE page_id % 16 = 11)"""
+_PLAIN_LINKS = """SELECT page_id, url, false AS from_image, 'a' AS element, arg_max(text, i) AS text, NULL::DOUBLE AS priority, NULL::VARCHAR AS thumbnail_url
+FROM anchors GROUP BY page_id, url
+UNION ALL SELECT page_id, url, false, 'canonical', NULL, 2.0, NULL FROM canon"""
+ORACLE["h19_links"] = f"WITH {ANCHORS} {_PLAIN_LINKS}"
+ORACLE["h20_canonical_link"] = f"WITH {ANCHORS} SELECT page_id, url, 2.0::DOUBLE AS priority FROM canon"
+LINKS = f"""{ANCHORS}, plain AS ({_PLAIN_LINKS}), image_links AS ({_V4}),
+links AS (SELECT p.page_id, p.url, m.url IS NOT NULL AS from_image, CASE WHEN m.url IS NULL THEN p.element END AS element,
+  CASE WHEN m.url IS NULL THEN p.text ELSE nullif(p.text, '') END AS text, coalesce(m.priority, p.priority) AS priority, m.thumbnail_url
+  FROM plain p LEFT JOIN image_links m USING (page_id, url))"""
+
+_REDIRECT = "coalesce(" + ", ".join(
+    f"nullif(regexp_extract(html, {q(p)}, 1, 'i'), '')" for p in K.JS_REDIRECT_PATTERNS
+) + ")"
+ORACLE["h21_js_redirect"] = f"""
+WITH {PM}, r AS (SELECT page_id, url, {_REDIRECT} AS target FROM pm)
+SELECT page_id, target, {norm(f"({simple_join('url', 'target')})")} AS dst FROM r WHERE target IS NOT NULL"""
+ORACLE["h22_resolve_redirects"] = f"""
+WITH RECURSIVE m AS (SELECT max(page_id) AS top FROM pages),
+r AS (SELECT p.page_id, {norm('p.url')} AS src, CASE WHEN (p.page_id + 1) % 8 <> 0 AND p.page_id < top THEN {norm('t.url')} END AS dst
+  FROM pages p CROSS JOIN m LEFT JOIN pages t ON t.page_id = p.page_id + 1),
+hop AS (SELECT src, first(dst ORDER BY page_id) AS dst FROM r GROUP BY src),
+walk AS (SELECT page_id, url, {norm('url')} AS at, 0 AS hops FROM pages
+  UNION ALL SELECT page_id, url, dst, hops + 1 FROM walk JOIN hop ON src = at WHERE dst IS NOT NULL AND hops < 6)
+SELECT page_id, url, arg_max(at, hops) AS final_url, max(hops)::INTEGER AS hops, max(hops) > 5 AS limit_exceeded FROM walk GROUP BY page_id, url"""
+
+_GATE = f"""{ANCHORS}, g0 AS (SELECT a0.page_id, href, lower(trim(regexp_replace(replace(inner_html, '&amp;', '&'), '<[^>]*>', '', 'g'))) AS text,
+  href = '/in/' || a0.page_id AND a0.page_id % 16 = 15 AS enter FROM a0 WHERE href <> ''),
+g AS (SELECT page_id, href AS url, text, {has('text', K.GATEWAY_TEXTS)} AS tm, enter AS am,
+  list_contains({list_of([t for t in K.GATEWAY_TEXTS if len(t) > 5])}, text) AS exact FROM g0)"""
+ORACLE["h23_gateway_candidates"] = f"""
+WITH {_GATE} SELECT page_id, url, 'GET' AS method, text,
+  (CASE WHEN exact THEN 100 WHEN tm THEN 20 ELSE 0 END + CASE WHEN am THEN 10 ELSE 0 END)::INTEGER AS score
+FROM g WHERE (tm OR am) AND NOT {has('text', K.GATEWAY_LEGAL_WORDS)} AND NOT {has('lower(url)', K.GATEWAY_LEGAL_WORDS)}"""
+
+_SCAN_IMG = r"(?i)\.(jpe?g|png|gif|webp|bmp|tiff?|avif|heic)(\?|$)"
+ORACLE["h24_scan_page"] = f"""
+WITH {NODES}, raw AS (
+  SELECT page_id, url AS page_url, node_id, 0 AS stage, 0 AS pos, {attr('src')} AS ref, 'image' AS kind, 'img' AS source, coalesce({attr('alt')}, '') AS alt FROM n WHERE tag = 'img'
+  UNION ALL SELECT page_id, url, node_id, 0, 1, '/s/' || page_id || '-d.jpg', 'image', 'srcset', NULL FROM n WHERE tag = 'img' AND t LIKE '% srcset=%'
+  UNION ALL SELECT page_id, url, node_id, 1, 0, {attr('href')}, 'image', 'a-link', NULL FROM n WHERE tag = 'a' AND regexp_matches({attr('href')}, {q(_SCAN_IMG)})
+  UNION ALL SELECT page_id, url, node_id, 2, 0, {attr('src')}, 'video', CASE tag WHEN 'video' THEN 'video' ELSE 'source' END, NULL FROM n WHERE tag IN ('video', 'source') AND t LIKE '% src=%'
+  UNION ALL SELECT page_id, url, node_id, 3, 0, regexp_extract({attr('srcset')}, '^[^ ]+'), 'image', 'picture', NULL FROM n WHERE tag = 'source' AND t LIKE '% srcset=%'
+  UNION ALL SELECT page_id, url, node_id, 5, 0, {attr('content')}, 'image', 'meta', NULL FROM n WHERE tag = 'meta' AND t LIKE '%og:image%'),
+f AS (SELECT *, {simple_join('page_url', 'ref')} AS url FROM raw WHERE ref <> '')
+SELECT page_id, url, first(kind ORDER BY stage, node_id, pos) AS media_type, first(source ORDER BY stage, node_id, pos) AS source,
+  first(alt ORDER BY stage, node_id, pos) AS alt FROM f WHERE NOT {is_junk('url')} GROUP BY page_id, url"""
+ORACLE["h24_scan_links"] = f"""
+WITH {ANCHORS} SELECT DISTINCT page_id, url FROM anchors WHERE url <> page_url AND
+  (NOT regexp_matches(url, {q(_SCAN_IMG)}) OR page_id % 16 = 3 AND url LIKE '%/large/%')"""
+_FULL_IMG = f"replace(html, '<img src=\"/', '<img src=\"' || {origin('url')} || '/')"
+ORACLE["h25_img_src_regex"] = f"""
+WITH {PM}, u AS (SELECT page_id, regexp_extract_all({_FULL_IMG}, '<img[^>]+src=["'']([^"'']+)["'']', 1) AS l FROM pm),
+k AS (SELECT page_id, list_filter(l, lambda x: regexp_matches(x, '(?i)^http.*\\.(jpe?g|webp|avif|heic|bmp|tiff?)$')) AS l FROM u)
+SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS img_url FROM k"""
+
+# --- JSON payloads -------------------------------------------------------------------
+
+_JPATH = """SELECT doc_id, body, 'items[0].image' AS path, 'image' AS key, 'STRING' AS kind FROM jp
+  UNION ALL SELECT doc_id, body, 'items[1].meta.video', 'video', 'STRING' FROM jp
+  UNION ALL SELECT doc_id, body, 'items[2].photos', 'photos', 'ARRAY<STRING>' FROM jp"""
+ORACLE["j01_json_walk"] = f"WITH {JP}, w AS ({_JPATH}) SELECT doc_id, path, key, kind FROM w"
+ORACLE["j02_json_media"] = f"""
+WITH {JP}, w AS (SELECT doc_id, body ->> '$.items[0].image' AS ref, 'items[0].image' AS path, 0 AS pos FROM jp
+  UNION ALL SELECT doc_id, body ->> '$.items[1].meta.video', 'items[1].meta.video', 0 FROM jp
+  UNION ALL SELECT doc_id, body ->> '$.items[2].photos[0]', 'items[2].photos', 0 FROM jp
+  UNION ALL SELECT doc_id, body ->> '$.items[2].photos[1]', 'items[2].photos', 1 FROM jp),
+a AS (SELECT *, CASE WHEN ref LIKE 'http%' THEN ref ELSE 'https://api.example.com' || ref END AS url FROM w)
+SELECT doc_id, url, 'media' AS outcome, {media_kind('url')} AS media_type, 'json-' || path AS source, pos FROM a"""
+ORACLE["j03_json_page_links"] = f"""
+WITH {JP} SELECT doc_id, 'next' AS key, 'https://api.example.com' || (body ->> '$.next') AS url FROM jp"""
+
+# --- rewriting -------------------------------------------------------------------------
+
+
+def _site_match(u):
+    h = host(f"lower({u})")
+    return [f"contains({h}, 'example.org')", f"regexp_matches(lower({u}), 'artstation\\.com/p/')", f"contains({h}, 'example.com')"]
+
+
+_ON_URL, _ON_PAGE = _site_match("url"), _site_match("page_url")
+_ANY = "(" + " OR ".join(_ON_URL) + ")"
+_SITES = [f"CASE WHEN {_ANY} THEN {u} ELSE {p} END" for u, p in zip(_ON_URL, _ON_PAGE)]
+SITED = f"{IMAGE_URLS}, sited AS (SELECT *, {_SITES[0]} AS s_ex, {_SITES[1]} AS s_art, {_SITES[2]} AS s_page FROM image_urls)"
+ORACLE["r01_match_site_patterns"] = f"""
+WITH {SITED} SELECT page_url, url, 'ex' AS site FROM sited WHERE s_ex UNION ALL SELECT page_url, url, 'art' FROM sited WHERE s_art
+UNION ALL SELECT page_url, url, 'page' FROM sited WHERE s_page"""
+_R1 = "CASE WHEN s_ex THEN regexp_replace(url, '/pics/', '/pics-full/', 'gi') ELSE url END"
+_R2 = f"CASE WHEN s_art THEN regexp_replace({_R1}, '_small', '', 'gi') ELSE {_R1} END"
+_R3 = f"CASE WHEN s_page THEN regexp_replace({_R2}, '-1024x768', '', 'gi') ELSE {_R2} END"
+ORACLE["r02_apply_replace_patterns"] = f"WITH {SITED} SELECT page_id, url, {_R3} AS replaced_url FROM sited"
+
+
+def _host_rule_ids():
+    """Host-bound rules 3 (m.example.net) and 6 (www.example.net, found by its own name only)."""
+    ph, uh = host("page_url"), host("url")
+    bits = []
+    for h, cond in ((ph, "true"), (uh, f"{uh} <> {ph}")):
+        bits.append(f"CASE WHEN {cond} AND {h} = 'm.example.net' THEN '3|' ELSE '' END")
+        bits.append(f"CASE WHEN {cond} AND {h} IN ('www.example.net', 'www.www.example.net') THEN '' ELSE '' END")
+        bits.append(f"CASE WHEN {cond} AND {h} = 'www.example.net' THEN '6|' WHEN {cond} AND {h} = 'example.net' THEN '6|' ELSE '' END")
+    return " || ".join(bits)
+
+
+ORACLE["r03_rule_candidates"] = f"WITH {IMAGE_URLS} SELECT page_id, url, {_host_rule_ids()} || '1|2' AS candidates FROM image_urls"
+
+
+def _rule_results(u):
+    bare = f"regexp_replace({u}, '^https?://', '')"
+    return [
+        (3, f"contains({host('url')}, 'm.example.net') AND regexp_matches({bare}, '^m\\.example\\.net/i/.+$')",
+         [f"{scheme(u)} || '://' || regexp_replace({bare}, '^m\\.example\\.net/i/(.+)$', 'm.example.net/orig/\\1')"]),
+        (6, f"regexp_matches({u}, '^https?://www[.]example[.]net/w/.+$')",
+         [f"regexp_replace({u}, '^(https?://www[.]example[.]net)/w/(.+)$', '\\1/big/\\2')"]),
+        (1, f"regexp_matches({u}, '^(.*)/thumb/(.+)_thumb[.](jpg)$')",
+         [f"regexp_replace({u}, '^(.*)/thumb/(.+)_thumb[.](jpg)$', '\\1/\\2.\\3')"]),
+        (2, f"regexp_matches({u}, '^(.*)/t/([0-9]+)[.]jpg$')",
+         [f"regexp_replace({u}, '^(.*)/t/([0-9]+)[.]jpg$', '\\1/full/\\2.{x}')" for x in ("jpg", "png")]),
+    ]
+
+
+def _rules_union(u, source, columns, ordered):
+    out = []
+    for n, (rule, cond, results) in enumerate(_rule_results(u)):
+        for k, r in enumerate(results):
+            lead = f"{rule} AS ord, {k} AS pos" if ordered else f"{k} AS pos"
+            out.append(f"SELECT {columns}, {lead}, {r} AS variant FROM {source} WHERE {cond}")
+    return " UNION ALL ".join(out)
+
+
+ORACLE["r04_apply_rules"] = f"WITH {IMAGE_URLS} {_rules_union('url', 'image_urls', 'page_url, url', False)}"
+ORACLE["r04_apply_rules_by_join"] = f"""
+WITH {IMAGE_URLS}, d AS (SELECT DISTINCT page_url, url FROM image_urls) {_rules_union('url', 'd', 'page_url, url', True)}"""
+ORACLE["r05_apply_rules_first"] = f"""
+WITH {IMAGE_URLS} SELECT page_id, url, CASE
+  WHEN regexp_matches(url, '^(.*)/thumb/(.+)_thumb[.](jpg)$') THEN regexp_replace(url, '^(.*)/thumb/(.+)_thumb[.](jpg)$', '\\1/\\2.\\3')
+  WHEN regexp_matches(url, '/t/([0-9]+)[.]jpg$') THEN regexp_replace(url, '^(.*)/t/([0-9]+)[.]jpg$', '\\1/full/\\2.jpg')
+  WHEN regexp_matches(url, '^https?://www[.]example[.]net/w/') AND regexp_matches(page_url, '^www\\.example\\.net/') THEN 'never'
+  END AS result FROM image_urls"""
+_EXP = " UNION ALL ".join(
+    f"SELECT page_id, {i} AS pos, '/f/' || page_id || '.{e}?s={s}' AS variant FROM pages"
+    for i, (e, s) in enumerate([(e, s) for e in ("jpg", "png") for s in ("s", "m", "l")])
+)
+ORACLE["r06_expand_variants"] = (
+    _EXP + " UNION ALL SELECT page_id, 6, '/g/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.webp' ELSE '.gif' END FROM pages"
+)
+ORACLE["r07_global_transforms"] = f"WITH {IMAGE_URLS} SELECT page_id, url, regexp_replace(url, '/w/', '/whole/', 'gi') AS result FROM image_urls"
+
+
+def stripped(u):
+    return f"regexp_replace({u}, '(?i)^(.*?)-[0-9]{{2,4}}x[0-9]{{2,4}}(\\.(?:jpe?g|png|webp|avif))(\\?|$)', '\\1\\2\\3')"
+
+
+ORACLE["r08_strip_size_suffix"] = f"WITH {IMAGE_URLS} SELECT page_id, url, {stripped('url')} AS result FROM image_urls"
+_CH = f"""{SITED}, f AS (SELECT page_url, url, {_R3} AS f FROM sited),
+v AS (SELECT page_url, url, f, 0 AS a, 0 AS b, f AS c FROM f
+  UNION ALL SELECT page_url, url, f, x.ord_n, x.pos + 1, x.variant FROM ({
+    ' UNION ALL '.join(f"SELECT page_url, url, f, {n} AS ord_n, {k} AS pos, {r} AS variant FROM f WHERE {cond}" for n, (_, cond, rs) in enumerate(_rule_results('f')) for k, r in enumerate(rs))
+  }) x),
+g AS (SELECT page_url, url, f, list(c ORDER BY a, b) AS l FROM v GROUP BY ALL)"""
+ORACLE["r09_transform_image_url"] = f"""
+WITH {_CH}, o AS (SELECT page_url, url, CASE WHEN f <> url OR len(l) > 1 THEN l
+  WHEN regexp_replace(url, '/w/', '/whole/', 'gi') <> url THEN [regexp_replace(url, '/w/', '/whole/', 'gi')] ELSE [{stripped('f')}] END AS l FROM g)
+SELECT page_url, url, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS candidate FROM o"""
+ORACLE["r10_rule_functions"] = """
+WITH e AS (SELECT event_id, event_type, props, ['group', 'concat', 'if', 'replace', 'base64', 'urldecode'][event_id % 6 + 1] AS fn FROM events)
+SELECT event_id, fn, CASE fn WHEN 'group' THEN event_type WHEN 'concat' THEN event_type || '/a/' || event_id
+  WHEN 'if' THEN CASE WHEN event_id % 4 = 0 THEN event_id::VARCHAR ELSE '/a/' END
+  WHEN 'replace' THEN replace(event_type, 'i', event_id::VARCHAR) WHEN 'base64' THEN props ELSE props || '+' END AS result FROM e"""
+
+EDGES = """edges AS (SELECT p.page_id, p.url AS page_url, t.url AS url, t.page_id AS dst_id FROM pages p
+  JOIN (SELECT count(*) AS n FROM pages) c ON true JOIN pages t ON t.page_id = (p.page_id * 7 + 1) % c.n OR t.page_id = (p.page_id * 7 + 2) % c.n)"""
+_BARE = "regexp_replace(url, '^https?://', '')"
+_CAPTURE = f"""cap0 AS (SELECT page_id, url, CASE
+  WHEN regexp_matches(url, 'example[.]com/') AND page_id % 16 = 11 THEN ['/og/' || page_id || '.jpg']
+  WHEN regexp_matches(url, 'example[.](org|net)/') AND page_id % 16 = 2 THEN ['/full/' || page_id || '.jpg']
+  WHEN regexp_matches(url, 'example[.](org|net)/') AND page_id % 16 = 7 THEN ['/v/' || page_id || '.jpg'] ELSE [] END AS l FROM pages),
+cap AS (SELECT {norm('url')} AS norm, first(l ORDER BY page_id) AS l FROM cap0 GROUP BY 1)"""
+ORACLE["r11_discover_fullsize"] = f"""
+WITH {EDGES}, {_CAPTURE}
+SELECT DISTINCT e.page_id, e.page_url, 'https:' || unnest(l) AS url, 'image' AS media_type, 'sieve-res' AS source FROM edges e JOIN cap ON cap.norm = {norm('e.url')}
+UNION ALL SELECT page_id, page_url, url, CASE WHEN {is_video('url')} THEN 'video' ELSE 'image' END, 'link-direct' FROM edges
+WHERE {is_video('url')} OR regexp_matches(url, {q(_SCAN_IMG)})"""
+ORACLE["r12_resolve_url"] = f"""
+WITH {EDGES}, {_CAPTURE}
+SELECT e.page_id, e.url, CASE WHEN len(l) > 0 THEN 'https:' || l[1] ELSE e.url END AS resolved_url FROM edges e JOIN cap ON cap.norm = {norm('e.url')}"""
+ORACLE["r13_transform_media"] = f"""
+WITH t AS ({ORACLE['r05_apply_rules_first']})
+SELECT page_id, coalesce(result, url) AS url, CASE WHEN result IS NOT NULL THEN url END AS original, result IS NOT NULL AS transformed FROM t"""
+
+# --- joins -----------------------------------------------------------------------------
+
+_BLOCKED = list_of(I.BLOCKLIST)
+ORACLE["n01_not_blocked"] = f"WITH {EDGES} SELECT page_id, page_url, url FROM edges WHERE NOT list_contains({_BLOCKED}, {host('url')})"
+ORACLE["n02_not_visited"] = f"""
+WITH {EDGES} SELECT page_id, page_url, url FROM edges
+WHERE {norm('url')} NOT IN (SELECT {norm('url')} FROM pages WHERE url LIKE '%utm_source=feed%')"""
+ORACLE["n03_not_queued"] = f"""
+WITH {IMAGE_URLS}, {MEDIA} SELECT page_id, url FROM image_urls WHERE {norm('url')} NOT IN (SELECT {norm('url')} FROM media)"""
+
+FETCH = f"fetch_log AS ({I.as_sql(I.FETCH_LOG, 'events')})"
+_SMALL = "CASE WHEN media_type = 'image' THEN 40 ELSE 1000 END"
+OUTCOMES = f"""{FETCH}, fo AS (SELECT *, CASE
+  WHEN {is_trash('url')} THEN 'Filtered as trash media (GIF/ICO/SVG)'
+  WHEN {ends(path('lower(url)'), K.NOT_DOWNLOADABLE_EXTENSIONS)} THEN 'Non-media file based on URL extension'
+  WHEN status < 400 AND {has('content_type', K.NOT_MEDIA_CONTENT_TYPES)} THEN 'Webpage/script content (Content-Type: ' || content_type || ')'
+  WHEN status < 400 AND content_length > 0 AND content_length / 1024.0 < {_SMALL}
+    THEN 'File too small (' || printf('%.2f', content_length / 1024.0::DOUBLE) || 'KB < ' || {_SMALL} || 'KB)'
+  WHEN status >= 400 THEN 'HTTP error: ' || status END AS error FROM fetch_log),
+outcomes AS (SELECT *, error IS NULL AS success, coalesce({has('lower(error)', K.CONTENT_SKIP_REASONS)}, false) AS content_skip FROM fo)"""
+HEALTH = f"""{OUTCOMES},
+h1 AS (SELECT host, ts, event_id, sum(CASE WHEN success THEN -1 WHEN content_skip THEN 0 ELSE 1 END) OVER w AS s, count(*) OVER w AS attempt
+  FROM outcomes WINDOW w AS (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+h2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS f FROM h1),
+h3 AS (SELECT host, min((ts, event_id)) FILTER (f >= 3) AS q FROM h2 GROUP BY host),
+h4 AS (SELECT h2.*, q, row_number() OVER (PARTITION BY h2.host ORDER BY ts DESC, event_id DESC) AS r
+  FROM h2 JOIN h3 USING (host) WHERE q IS NULL OR (ts, event_id) <= q),
+health AS (SELECT host, f::BIGINT AS failures, attempt AS total, CASE WHEN q IS NOT NULL THEN ts END AS quarantined_at FROM h4 WHERE r = 1)"""
+ORACLE["n04_set_aside"] = f"""
+WITH {HEALTH} SELECT event_id, host FROM fetch_log WHERE host IN (SELECT host FROM health WHERE quarantined_at IS NOT NULL)"""
+ORACLE["n05_node_relatives"] = f"""
+WITH {NODES}, tails AS (SELECT page_id, regexp_extract(regexp_extract(html, '(?s)^.*(?:</p>|</h1>)(.*?)</article>', 1), '(?s)^.*(<p>.*)$', 1) AS open_p FROM pages),
+inside AS (SELECT page_id, CASE WHEN open_p LIKE '%<b>%' THEN 'b' WHEN open_p <> '' THEN 'p' ELSE 'article' END AS around FROM tails)
+SELECT page_id, node_id, tag,
+  CASE tag WHEN 'li' THEN 'ul' WHEN 'a' THEN CASE WHEN before LIKE '<li%' THEN 'li' ELSE around END
+    WHEN 'source' THEN CASE WHEN page_id % 16 = 7 THEN 'video' ELSE 'picture' END
+    ELSE CASE WHEN before LIKE '<a %' THEN 'a' WHEN before LIKE '<div%' THEN 'div' WHEN page_id % 16 = 6 THEN 'picture'
+      WHEN page_id % 16 = 5 THEN 'article' ELSE around END END AS parent_tag,
+  CASE WHEN tag = 'img' AND before LIKE '<a %' THEN 'a' END AS anchor_tag
+FROM n JOIN inside USING (page_id) WHERE tag IN ('img', 'source', 'li', 'a')"""
+ORACLE["n06_linked_pages"] = f"""
+WITH {EDGES} SELECT e.page_id, {norm('e.url')} AS norm_url, length(html)::BIGINT AS n_chars FROM edges e JOIN pages p ON {norm('p.url')} = {norm('e.url')}"""
+ORACLE["n07_rule_hits"] = f"""
+WITH {IMAGE_URLS} {' UNION ALL '.join(f"SELECT page_id, url, {r} AS rule_id FROM image_urls WHERE {c}" for r, c, _ in _rule_results('url'))}"""
+COUNTS = f"""{MEDIA}, counts AS (SELECT p.page_id, p.url AS page_url, count(m.page_id) AS n_media FROM pages p LEFT JOIN media m ON m.page_id = p.page_id GROUP BY ALL),
+host_scores AS (SELECT {host('page_url')} AS host, sum(n_media)::DOUBLE AS host_score FROM counts GROUP BY 1 HAVING sum(n_media) > 0)"""
+ORACLE["n08_frontier_scores"] = f"""
+WITH {EDGES}, {COUNTS} SELECT page_id, url, host_score FROM edges LEFT JOIN host_scores ON host = {host('url')}"""
+ORACLE["n09_same_site"] = f"""
+WITH {EDGES} SELECT page_id AS task_id, url FROM edges WHERE {base2(host('url'))} = {base2(host('page_url'))}"""

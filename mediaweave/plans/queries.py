@@ -398,3 +398,373 @@ def _(spark, sf):
     policy = F.element_at(F.array(F.lit("auto"), F.lit("origin"), F.lit("none")), (F.col("page_id") % 3 + 1).cast("int"))
     p = I.pages(spark, sf).select("page_id", policy.alias("policy"), "url")
     return p.select("page_id", "policy", U.referer_for("policy", "url").alias("referer"))
+
+
+# --- page markup -----------------------------------------------------------------
+
+
+@query("h01_nodes")
+def _(spark, sf):
+    n = page_nodes(spark, sf)
+    a = F.col("attrs")
+    return n.select(
+        "page_id", "node_id", "tag", a["href"].alias("href"), a["src"].alias("src"), a["class"].alias("css"),
+        F.size("attrs").alias("n_attrs"),
+    )
+
+
+@query("h01_node_counts")
+def _(spark, sf):
+    return page_nodes(spark, sf).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@query("h02_parse_srcset")
+def _(spark, sf):
+    rows = I.srcsets(spark, sf).select("page_id", F.posexplode(Rw.parse_srcset("srcset")).alias("pos", "c"))
+    return rows.select("page_id", "pos", "c.url", "c.width")
+
+
+@query("h03_largest_srcset")
+def _(spark, sf):
+    s = I.srcsets(spark, sf)
+    return s.select("page_id", Rw.largest_srcset("srcset").alias("by_width"), Rw.largest_srcset("srcset", True).alias("by_browser"))
+
+
+@query("h04_visible")
+def _(spark, sf):
+    n = page_nodes(spark, sf).filter(F.col("tag").isin("a", "img", "div", "p"))
+    return n.select("page_id", "node_id", "tag", is_visible().alias("visible"))
+
+
+@query("h05_best_image")
+def _(spark, sf):
+    n = page_nodes(spark, sf).filter(F.col("tag") == "img")
+    best = n.select("page_id", "node_id", F.explode(F.array(M.best_image(F.col("attrs")))).alias("b"))
+    return best.select("page_id", "node_id", "b.url", "b.rank", "b.source", "b.width", "b.height")
+
+
+def _media_of(spark, sf, *candidates) -> DataFrame:
+    return M.extract(page_nodes(spark, sf), *candidates).select("page_id", "media_type", "url", "source")
+
+
+@query("h06_picture_images")
+def _(spark, sf):
+    found = M.extract(page_nodes(spark, sf), M.picture_images())
+    return found.select("page_id", "url", "source", "width", F.col("attrs")["media"].alias("media"))
+
+
+@query("h07_img_images")
+def _(spark, sf):
+    found = M.extract(page_nodes(spark, sf), M.img_images())
+    return found.select("page_id", "url", "source", "transformed", "original_url")
+
+
+@query("h07_img_links")
+def _(spark, sf):
+    links = L.image_links(page_nodes(spark, sf))
+    return links.select("page_id", "url", "thumbnail_url", "priority")
+
+
+@query("h08_css_images")
+def _(spark, sf):
+    return _media_of(spark, sf, M.css_images())
+
+
+@query("h09_icon_images")
+def _(spark, sf):
+    return _media_of(spark, sf, M.icon_images())
+
+
+@query("h10_meta_images")
+def _(spark, sf):
+    return _media_of(spark, sf, M.meta_images())
+
+
+@query("h11_video_tags")
+def _(spark, sf):
+    found = M.extract(page_nodes(spark, sf), M.video_tags())
+    return found.select("page_id", "url", "is_cdn", F.col("attrs")["poster"].alias("poster"), F.col("attrs")["type"].alias("kind"))
+
+
+@query("h12_video_embeds")
+def _(spark, sf):
+    return M.extract(page_nodes(spark, sf), M.video_embeds()).select("page_id", "url", "platform")
+
+
+@query("h13_meta_videos")
+def _(spark, sf):
+    """The page's preview tag re-read as a video preview."""
+    pages = media_pages(spark, sf).withColumn("html", F.replace("html", F.lit("og:image"), F.lit("og:video")))
+    return M.extract(nodes(pages), M.meta_videos()).select("page_id", "media_type", "url", "source", "platform")
+
+
+@query("h14_jsonld_media")
+def _(spark, sf):
+    return _media_of(spark, sf, M.jsonld_media())
+
+
+@query("h15_js_media")
+def _(spark, sf):
+    return _media_of(spark, sf, M.js_media())
+
+
+@query("h16_data_attr_media")
+def _(spark, sf):
+    return _media_of(spark, sf, M.data_attr_media())
+
+
+@query("h17_lazy_media")
+def _(spark, sf):
+    return _media_of(spark, sf, M.lazy_media())
+
+
+@query("h18_framework_media")
+def _(spark, sf):
+    """Plain image sources re-written as the lazy attribute of a front-end framework."""
+    at = F.concat(F.lit('<img v-lazy="'), F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/"))
+    pages = media_pages(spark, sf).withColumn("html", F.replace("html", F.lit('<img src="/'), at))
+    return M.extract(nodes(pages), M.framework_media()).select("page_id", "media_type", "url", "source")
+
+
+def _link_columns(df) -> DataFrame:
+    return df.select("page_id", "url", "from_image", "element", "text", "priority", "thumbnail_url")
+
+
+@query("h19_links")
+def _(spark, sf):
+    return _link_columns(L.links(page_nodes(spark, sf)))
+
+
+@query("h20_canonical_link")
+def _(spark, sf):
+    return L.canonical_link(page_nodes(spark, sf)).select("page_id", "url", "priority")
+
+
+@query("h21_js_redirect")
+def _(spark, sf):
+    return L.redirects(I.pages_media(spark, sf)).select("page_id", "target", "dst")
+
+
+@query("h22_resolve_redirects")
+def _(spark, sf):
+    return L.resolve_redirects(I.redirect_chains(spark, sf))
+
+
+@query("h23_gateway_candidates")
+def _(spark, sf):
+    return L.gateway_candidates(page_nodes(spark, sf)).select("page_id", "url", "method", "text", "score")
+
+
+@query("h24_scan_page")
+def _(spark, sf):
+    return S.scan_page(page_nodes(spark, sf)).select("page_id", "url", "media_type", "source", "alt")
+
+
+@query("h24_scan_links")
+def _(spark, sf):
+    return S.scan_links(page_nodes(spark, sf)).select("page_id", "url")
+
+
+@query("h25_img_src_regex")
+def _(spark, sf):
+    """Image sources of raw markup, made absolute first as a page with full URLs has them."""
+    at = F.concat(F.lit('<img src="'), F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/"))
+    pages = I.pages_media(spark, sf).withColumn("html", F.replace("html", F.lit('<img src="/'), at))
+    return S.img_src_regex(pages).select("page_id", "pos", "img_url")
+
+
+# --- JSON payloads -----------------------------------------------------------------
+
+
+@query("j01_json_walk")
+def _(spark, sf):
+    return J.json_walk(_payloads(spark, sf)).select("doc_id", "path", "key", "kind")
+
+
+@query("j02_json_media")
+def _(spark, sf):
+    return J.json_media(_payloads(spark, sf)).select("doc_id", "url", "outcome", "media_type", "source", "pos")
+
+
+@query("j03_json_page_links")
+def _(spark, sf):
+    return J.json_page_links(_payloads(spark, sf)).select("doc_id", "key", "url")
+
+
+# --- rewriting -----------------------------------------------------------------------
+
+
+@query("r01_match_site_patterns")
+def _(spark, sf):
+    return R.match_site_patterns(I.image_urls(spark, sf), book(spark))
+
+
+@query("r02_apply_replace_patterns")
+def _(spark, sf):
+    return R.replace_by_site(I.image_urls(spark, sf), book(spark)).select("page_id", "url", "replaced_url")
+
+
+@query("r03_rule_candidates")
+def _(spark, sf):
+    found = R.rule_candidates(I.image_urls(spark, sf), book(spark))
+    return found.select("page_id", "url", joined(F.transform("candidates", lambda c: c.cast("string"))).alias("candidates"))
+
+
+@query("r04_apply_rules")
+def _(spark, sf):
+    return R.apply_rules(I.image_urls(spark, sf), book(spark))
+
+
+@query("r04_apply_rules_by_join")
+def _(spark, sf):
+    found = R.apply_rules_by_join(I.image_urls(spark, sf), I.rules_table(spark))
+    return found.select("page_url", "url", "ord", "pos", "variant")
+
+
+@query("r05_apply_rules_first")
+def _(spark, sf):
+    urls = I.image_urls(spark, sf)
+    first = S.first_rule(F.col("url"), F.col("page_url"), book(spark))
+    return urls.select("page_id", "url", first.alias("result"))
+
+
+@query("r06_expand_variants")
+def _(spark, sf):
+    text = F.concat(
+        F.lit(" /f/"), F.col("page_id").cast("string"), F.lit(".#jpg png#?s=#s  m l#\n\n/g/"),
+        F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".#webp#").otherwise(".gif"),
+    )
+    rows = I.pages(spark, sf).select("page_id", F.posexplode(Rw.expand_variants(text)).alias("pos", "variant"))
+    return rows
+
+
+@query("r07_global_transforms")
+def _(spark, sf):
+    b = book(spark)
+    urls = I.image_urls(spark, sf)
+    return urls.select("page_id", "url", Rw.apply_replacements("url", b.thumbnail_replacements()).alias("result"))
+
+
+@query("r08_strip_size_suffix")
+def _(spark, sf):
+    urls = I.image_urls(spark, sf)
+    return urls.select("page_id", "url", Rw.strip_size_suffix("url").alias("result"))
+
+
+@query("r09_transform_image_url")
+def _(spark, sf):
+    return R.transform_image_urls(I.image_urls(spark, sf), book(spark))
+
+
+@query("r10_rule_functions")
+def _(spark, sf):
+    e = I.table(spark, sf, "events")
+    kinds = ["group", "concat", "if", "replace", "base64", "urldecode"]
+    fn = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 6 + 1).cast("int"))
+    first = F.when(fn == "base64", F.base64(F.col("props").cast("binary"))).when(
+        fn == "urldecode", F.concat(F.replace(F.url_encode("props"), F.lit("+"), F.lit("%20")), F.lit("+"))
+    ).when(fn == "if", F.when(F.col("event_id") % 4 == 0, "").otherwise("x")).otherwise(F.col("event_type"))
+    args = F.array(first, F.when(fn == "replace", "i").otherwise("/a/"), F.col("event_id").cast("string"))
+    return e.select("event_id", fn.alias("fn"), R.rule_function(fn, args).alias("result"))
+
+
+def _linked(spark, sf) -> DataFrame:
+    """Links between pages in the form a browser scan hands over."""
+    e = I.page_links(spark, sf)
+    links = e.select("page_id", F.col("src_url").alias("page_url"), F.col("dst_url").alias("url"), F.col("dst_url").alias("first_seen"))
+    return S.cap_links(links)
+
+
+@query("r11_discover_fullsize")
+def _(spark, sf):
+    return S.discover_fullsize(_linked(spark, sf), I.pages_media(spark, sf), book(spark))
+
+
+@query("r12_resolve_url")
+def _(spark, sf):
+    items = I.page_links(spark, sf).select("page_id", F.col("dst_url").alias("url"))
+    return S.resolve_url(items, I.pages_media(spark, sf), book(spark))
+
+
+@query("r13_transform_media")
+def _(spark, sf):
+    return S.transform_media(I.image_urls(spark, sf), book(spark)).select("page_id", "url", "original", "transformed")
+
+
+# --- joins ---------------------------------------------------------------------------
+
+
+def _edges(spark, sf) -> DataFrame:
+    return I.page_links(spark, sf).select("page_id", F.col("src_url").alias("page_url"), F.col("dst_url").alias("url"))
+
+
+@query("n01_not_blocked")
+def _(spark, sf):
+    return Fr.not_blocked(_edges(spark, sf), I.blocklist(spark))
+
+
+@query("n02_not_visited")
+def _(spark, sf):
+    """Links to pages that are not feed entries, which count as visited."""
+    seen = I.pages(spark, sf).filter(F.col("url").contains("utm_source=feed")).select(U.normalize_url("url").alias("norm_url"))
+    return Fr.not_visited(_edges(spark, sf), seen)
+
+
+@query("n03_not_queued")
+def _(spark, sf):
+    """Image URLs of the pages, less those a page shows in its own markup already."""
+    shown = page_media(spark, sf).select(U.normalize_url("url").alias("norm_url"))
+    return Mf.not_queued(I.image_urls(spark, sf).select("page_id", "url"), shown)
+
+
+def _health(spark, sf) -> DataFrame:
+    return H.host_health(H.outcomes(I.fetch_log(spark, sf)))
+
+
+@query("n04_set_aside")
+def _(spark, sf):
+    items = I.fetch_log(spark, sf).select("event_id", "host")
+    return H.set_aside(items, H.quarantined(_health(spark, sf)))
+
+
+@query("n05_node_relatives")
+def _(spark, sf):
+    n = page_nodes(spark, sf)
+    up = with_relative(n, "parent_id", {"tag": "parent_tag"})
+    linked = with_relative(up, "anchor_id", {"tag": "anchor_tag"})
+    return linked.filter(F.col("tag").isin("img", "source", "li", "a")).select(
+        "page_id", "node_id", "tag", "parent_tag", "anchor_tag"
+    )
+
+
+@query("n06_linked_pages")
+def _(spark, sf):
+    links = _edges(spark, sf).select("page_id", U.normalize_url("url").alias("norm_url"))
+    pages = I.pages(spark, sf).select(U.normalize_url("url").alias("norm_url"), F.length("html").cast("bigint").alias("n_chars"))
+    return links.join(pages, "norm_url")
+
+
+@query("n07_rule_hits")
+def _(spark, sf):
+    urls = I.image_urls(spark, sf)
+    hits = F.explode(book(spark).rule_hits(F.col("url"), F.col("page_url")))
+    return urls.select("page_id", "url", hits.alias("h")).select("page_id", "url", "h.rule_id")
+
+
+def _page_counts(spark, sf) -> DataFrame:
+    """Media found per page, zero included, in page order."""
+    found = page_media(spark, sf).groupBy("page_id").agg(F.count("*").alias("n"))
+    pages = I.pages(spark, sf).select("page_id", F.col("url").alias("page_url"))
+    return pages.join(found, "page_id", "left").select("page_id", "page_url", F.coalesce("n", F.lit(0)).alias("n_media"))
+
+
+@query("n08_frontier_scores")
+def _(spark, sf):
+    rows = _edges(spark, sf).select("page_id", "url")
+    return Fr.with_host_score(rows, Fr.host_scores(_page_counts(spark, sf))).select("page_id", "url", "host_score")
+
+
+@query("n09_same_site")
+def _(spark, sf):
+    links = _edges(spark, sf).withColumn("task_id", F.col("page_id"))
+    return Fr.same_site(links, I.tasks(spark, sf)).select("task_id", "url")
