@@ -653,9 +653,9 @@ WITH RECURSIVE m AS (SELECT max(page_id) AS top FROM pages),
 r AS (SELECT p.page_id, {norm('p.url')} AS src, CASE WHEN (p.page_id + 1) % 8 <> 0 AND p.page_id < top THEN {norm('t.url')} END AS dst
   FROM pages p CROSS JOIN m LEFT JOIN pages t ON t.page_id = p.page_id + 1),
 hop AS (SELECT src, first(dst ORDER BY page_id) AS dst FROM r GROUP BY src),
-walk AS (SELECT page_id, url, {norm('url')} AS at, 0 AS hops FROM pages
-  UNION ALL SELECT page_id, url, dst, hops + 1 FROM walk JOIN hop ON src = at WHERE dst IS NOT NULL AND hops < 6)
-SELECT page_id, url, arg_max(at, hops) AS final_url, max(hops)::INTEGER AS hops, max(hops) > 5 AS limit_exceeded FROM walk GROUP BY page_id, url"""
+walk AS (SELECT page_id, url, {norm('url')} AS here, 0 AS hops FROM pages
+  UNION ALL SELECT page_id, url, dst, hops + 1 FROM walk JOIN hop ON src = here WHERE dst IS NOT NULL AND hops < 6)
+SELECT page_id, url, arg_max(here, hops) AS final_url, max(hops)::INTEGER AS hops, max(hops) > 5 AS limit_exceeded FROM walk GROUP BY page_id, url"""
 
 _GATE = f"""{ANCHORS}, g0 AS (SELECT a0.page_id, href, lower(trim(regexp_replace(replace(inner_html, '&amp;', '&'), '<[^>]*>', '', 'g'))) AS text,
   href = '/in/' || a0.page_id AND a0.page_id % 16 = 15 AS enter FROM a0 WHERE href <> ''),
@@ -871,3 +871,227 @@ ORACLE["n08_frontier_scores"] = f"""
 WITH {EDGES}, {COUNTS} SELECT page_id, url, host_score FROM edges LEFT JOIN host_scores ON host = {host('url')}"""
 ORACLE["n09_same_site"] = f"""
 WITH {EDGES} SELECT page_id AS task_id, url FROM edges WHERE {base2(host('url'))} = {base2(host('page_url'))}"""
+
+
+# --- aggregates ----------------------------------------------------------------------------
+
+ORACLE["a01_counters"] = f"""
+WITH {OUTCOMES} SELECT count(*) FILTER (media_type = 'image') AS images_found, count(*) FILTER (media_type = 'video') AS videos_found,
+  count(*) FILTER (success) AS files_downloaded, count(*) FILTER (NOT success) AS files_skipped FROM outcomes"""
+ORACLE["a02_progress"] = f"""
+WITH {OUTCOMES} SELECT media_type, floor(100 * count(*) / (2 * count(*)))::BIGINT AS percent FROM outcomes GROUP BY 1"""
+ORACLE["a03_host_reputation"] = f"WITH {COUNTS} SELECT * FROM host_scores"
+_WORDS = list_of(K.PATTERN_WORDS)
+ORACLE["a04_pattern_scores"] = f"""
+WITH {MEDIA}, w AS (SELECT page_id, stage, k, url, CASE WHEN page_id % 3 = 0 THEN -1 ELSE 1 END AS step, unnest({_WORDS}) AS word FROM media),
+x AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY page_id, stage, k) AS r, sum(step) OVER (PARTITION BY word ORDER BY page_id, stage, k) AS s
+  FROM w WHERE contains(lower({path('url')}), word)),
+y AS (SELECT word, r, s - least(0, min(s) OVER (PARTITION BY word ORDER BY r)) AS f FROM x)
+SELECT word, arg_max(f, r)::BIGINT AS score FROM y GROUP BY word"""
+ORACLE["a05_media_per_host"] = f"WITH {MEDIA} SELECT {host('url')} AS host, count(*) AS n FROM media GROUP BY 1"
+ORACLE["a06_host_health"] = f"WITH {HEALTH} SELECT * FROM health"
+ORACLE["a06_user_health"] = """
+WITH h1 AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE -1 END) OVER w AS s, count(*) OVER w AS attempt
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+h2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS f FROM h1),
+h3 AS (SELECT user_id, min((ts, event_id)) FILTER (f >= 3) AS q FROM h2 GROUP BY 1),
+h4 AS (SELECT h2.*, q, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+  FROM h2 JOIN h3 USING (user_id) WHERE q IS NULL OR (ts, event_id) <= q)
+SELECT user_id, f::BIGINT AS failures, attempt AS total, CASE WHEN q IS NOT NULL THEN ts END AS quarantined_at FROM h4 WHERE r = 1"""
+ORACLE["a07_status_summary"] = f"""
+WITH {TASKS} SELECT count(*) FILTER (status = 'running') AS active, count(*) AS queue_length,
+  coalesce(sum(downloaded) FILTER (status = 'running'), 0)::BIGINT AS files_downloaded FROM tasks"""
+ORACLE["a08_import_counts"] = f"WITH {IMPORTED} SELECT outcome, count(*) AS n FROM imported GROUP BY 1"
+ORACLE["a09_media_counts"] = f"""
+WITH {MEDIA} SELECT page_id, media_type, source, count(*) AS n, grouping(page_id, media_type, source)::BIGINT AS level
+FROM media GROUP BY ROLLUP (page_id, media_type, source)"""
+ITEMS = f"""items AS (SELECT page_id, url, source FROM ({ORACLE['h24_scan_page']})
+  UNION ALL SELECT page_id, url, source FROM ({ORACLE['r11_discover_fullsize']}))"""
+ORACLE["a10_fullsize_or_all"] = f"""
+WITH {ITEMS}, f AS (SELECT *, max(source IN ('sieve-res', 'link-direct')) OVER (PARTITION BY page_id) AS has_full FROM items)
+SELECT page_id, url, source FROM f WHERE NOT has_full OR source IN ('sieve-res', 'link-direct')"""
+ORACLE["a11_rule_counts"] = f"""
+WITH {HOSTS} SELECT 'rule' AS kind, 'host' AS scope, count(*) AS n FROM hosts UNION ALL SELECT 'rule', 'global', count(*) FROM hosts
+UNION ALL SELECT 'pattern', 'site', count(*) FROM hosts WHERE length(host) > 20 OR length(host) % 4 <> 0"""
+
+# --- ranking ---------------------------------------------------------------------------------
+
+_WORD_SCORES = [("media", 3), ("pic", 1), ("gallery", 0), ("post", 2)]
+
+
+def priority(url, source, start, depth, hint, from_image, retry, host_score, context=None, stay=True):
+    """The product of factors as one SQL expression."""
+    low = f"lower({url})"
+    p, qs = path(low), query_of(low)
+    same = f"lower({host(url)}) = lower({host(source)})"
+    common = f"list_max(list_filter(range(0, least(len({segments(url)}), len({segments(source)})) + 1), lambda i: ({segments(url)})[1:i] = ({segments(source)})[1:i]))"
+    score = " + ".join(f"CASE WHEN contains({p}, '{w}') OR contains({qs}, '{w}') THEN {s} ELSE 0 END" for w, s in _WORD_SCORES)
+    ext = has(low, K.SCORED_MEDIA_EXTENSIONS)
+    media = is_media(url)
+    factors = [
+        f"CASE WHEN {media} THEN 25.0 ELSE 1 END",
+        f"CASE WHEN {media} THEN CASE WHEN {source} = {start} THEN 2.5 WHEN {source} = {context or source} THEN 2.0 ELSE 1 END ELSE 1 END",
+        f"coalesce({hint}, 1)",
+        f"CASE WHEN {retry} THEN 30.0 WHEN {from_image} THEN 20.0 ELSE 1 END",
+        f"CASE WHEN {same} THEN 2.0 ELSE 1 END",
+        f"CASE WHEN {same} AND {common} > 0 THEN 3.0 + 2.0 * {common} ELSE 1 END",
+        f"CASE WHEN {same} AND len({segments(source)}) >= 1 AND len({segments(url)}) >= 1 AND {common} = len({segments(source)}) - 1 THEN 3.0 ELSE 1 END",
+        f"1.0 + coalesce({host_score}, 0)",
+        f"CASE WHEN ({score}) > 0 THEN 1.0 + ({score}) / 3.0 ELSE 1 END",
+        f"CASE WHEN {homepage(url)} THEN 0.005 ELSE 1 END",
+        f"pow(0.2, {nav_words(url)})",
+        f"CASE WHEN {likely_content(url)} THEN 3.0 ELSE 1 END",
+        f"CASE WHEN {host(url)} = lower({host(source)}) THEN 1.0 / (0.1 + {depth} * 0.1) ELSE 1.0 / (0.5 + {depth} * 0.5) END",
+        f"CASE WHEN {ext} THEN 5.0 ELSE 1 END",
+        f"CASE WHEN {has(low, K.FULLSIZE_SCORE_WORDS)} THEN 4.0 ELSE 1 END",
+        f"CASE WHEN {ext} AND {rx(low, r'/([^/]+)/([^/]+)/(\w+)/')} THEN 3.0 ELSE 1 END",
+        f"CASE WHEN {p} NOT IN ('', '/') AND {rx(p, r'/[0-9]+|[0-9]+\.html')} THEN 3.0 ELSE 1 END",
+        f"CASE WHEN {p} NOT IN ('', '/') AND {rx(p, r'/20[0-9][0-9]/|/[0-9]{4}/[0-9]{2}/')} THEN 2.5 ELSE 1 END",
+    ]
+    product = " * ".join(f"({f})::DOUBLE" for f in factors)
+    test = f"NOT ({retry} OR {related(url, source)})" if stay else "false"
+    return f"CASE WHEN {test} THEN 0.0 ELSE {product} END"
+
+
+_FRONTIER = f"""{CORPUS}, {COUNTS}, fr AS (SELECT c.page_id, c.url, c.base, c.page_id % 4 AS depth,
+  CASE WHEN c.page_id % 2 = 0 THEN c.base END AS start_url, CASE WHEN c.page_id % 5 = 0 THEN 15.0 END AS hint,
+  c.page_id % 3 = 0 AS from_image, c.page_id % 7 = 0 AS retry, host_score FROM corpus c LEFT JOIN host_scores ON host = {host('c.url')}),
+scored AS (SELECT page_id, url, depth, round({priority('url', 'base', 'start_url', 'depth', 'hint', 'from_image', 'retry', 'host_score')}, 6) AS priority FROM fr)"""
+ORACLE["k01_url_priority"] = f"WITH {_FRONTIER} SELECT page_id, url, priority FROM scored"
+ORACLE["k02_admission"] = f"WITH {_FRONTIER} SELECT page_id, url, greatest(priority, 0.1) AS priority FROM scored WHERE priority > 0"
+ORACLE["k03_pop_order"] = f"""
+WITH {_FRONTIER}, a AS (SELECT page_id, url, depth::INTEGER AS depth, greatest(priority, 0.1) AS priority FROM scored WHERE priority > 0)
+SELECT *, row_number() OVER (ORDER BY priority DESC, depth, url, page_id) AS pop_order FROM a"""
+# first sight of a link: image links by their image, then anchors, then the canonical link
+_SEEN = f"""{LINKS}, seen AS (SELECT page_id, url, min(i) AS i FROM anchors GROUP BY ALL),
+lk AS (SELECT l.page_id, l.url, l.priority, CASE WHEN l.from_image THEN 0 WHEN l.element = 'a' THEN 1 ELSE 2 END AS stage, coalesce(i, 0) AS i
+  FROM links l LEFT JOIN seen USING (page_id, url))"""
+ORACLE["k04_cap_links"] = f"""
+WITH {_SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY coalesce(priority, 0) DESC, stage, i) AS r FROM lk)
+SELECT page_id, url, priority FROM r WHERE r <= 5"""
+
+
+def media_prio(start="NULL::VARCHAR"):
+    return f"""(CASE media_type WHEN 'image' THEN 2.0 WHEN 'video' THEN 3.0 ELSE 1.0 END
+  * CASE WHEN coalesce(source, '') LIKE '%fullsize%' OR coalesce(source, '') LIKE '%original%' THEN 3.0 WHEN coalesce(source, '') LIKE '%parent-link%' THEN 2.5 ELSE 1.0 END
+  * CASE WHEN {has('lower(url)', K.FULLSIZE_PATH_HINTS)} THEN 2.0 ELSE 1.0 END
+  * CASE WHEN page_url = {start} THEN 3.0 ELSE 1.0 END
+  * CASE WHEN page_id % 16 = 0 AND op = 'h07' THEN least(1.0 + 640 * 480 / 1000000.0, 3.0) ELSE 1.0 END)::DOUBLE"""
+
+
+ORACLE["k05_media_priority"] = f"""
+WITH {MEDIA} SELECT page_id, url, source, round({media_prio('CASE WHEN page_id % 2 = 0 THEN page_url END')}, 6) AS priority FROM media"""
+FIRST = f"""{MEDIA}, mp AS (SELECT *, {media_prio()} AS prio, {norm('url')} AS norm_url FROM media),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY page_id, prio DESC, stage, k) AS r FROM mp),
+firsts AS (SELECT * FROM ranked WHERE r = 1)"""
+ORACLE["k06_first_wins"] = f"WITH {FIRST} SELECT norm_url, page_id, media_type, source FROM firsts"
+ORACLE["k07_file_limit"] = f"""
+WITH {OUTCOMES}, c AS (SELECT event_id, success, count(*) FILTER (success) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - success::INTEGER AS before FROM outcomes)
+SELECT event_id, success FROM c WHERE before < 100"""
+ORACLE["k08_best_gateway"] = f"""
+WITH {_GATE}, s AS (SELECT page_id, url, 'GET' AS method, text, (CASE WHEN exact THEN 100 WHEN tm THEN 20 ELSE 0 END + CASE WHEN am THEN 10 ELSE 0 END)::INTEGER AS score
+FROM g WHERE (tm OR am) AND NOT {has('text', K.GATEWAY_LEGAL_WORDS)} AND NOT {has('lower(url)', K.GATEWAY_LEGAL_WORDS)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC) AS r FROM s) SELECT page_id, url, method, text, score FROM r WHERE r = 1"""
+_CROWD = f"""{IMAGE_URLS}, u AS (SELECT DISTINCT page_id, url FROM image_urls),
+m AS (SELECT url, {host('url')} AS dir, 'img' || CASE WHEN page_id % 6 = 0 THEN '_' || (page_id % 4 + 1) ELSE '' END || '.jpg' AS filename FROM u)"""
+_FREE = """nums AS (SELECT DISTINCT dir, 'img.jpg' AS filename, regexp_extract(filename, '_([0-9]+)[.]', 1)::BIGINT AS used FROM m WHERE filename LIKE 'img_%' AND filename <> 'img.jpg'),
+most AS (SELECT dir, filename, count(*) AS n FROM m GROUP BY ALL),
+free AS (SELECT dir, filename, x, row_number() OVER (PARTITION BY dir, filename ORDER BY x) AS k FROM (
+  SELECT dir, filename, unnest(range(1, n + 10)) AS x FROM most) y
+  WHERE NOT EXISTS (SELECT 1 FROM nums u WHERE u.dir = y.dir AND u.filename = y.filename AND u.used = y.x))"""
+ORACLE["k09_unique_names"] = f"""
+WITH {_CROWD}, {_FREE}, o AS (SELECT *, row_number() OVER (PARTITION BY dir, filename ORDER BY md5(url), url) - 1 AS k FROM m)
+SELECT o.url, o.dir, o.filename, CASE WHEN o.k = 0 THEN o.filename ELSE replace(o.filename, '.jpg', '_' || x || '.jpg') END AS unique_name
+FROM o LEFT JOIN free f ON f.dir = o.dir AND f.filename = o.filename AND f.k = o.k"""
+MANIFEST = f"""{FIRST}, manifest AS (SELECT norm_url AS url, {folder('page_url')} AS dir, {file_name('norm_url', 'media_type')} AS filename,
+  {host('norm_url')} AS host, round(prio, 6) AS priority FROM firsts WHERE NOT ({is_webpage('norm_url')}))"""
+_CLASS = " + ".join(f"(priority >= 1e{n})::INTEGER" for n in range(-1, 10))
+ORACLE["k10_politeness_waves"] = f"""
+WITH {MANIFEST} SELECT url, host, priority, ceil(row_number() OVER (PARTITION BY host ORDER BY {_CLASS} DESC, md5(url), url) / 2.0)::BIGINT AS wave FROM manifest"""
+ORACLE["k11_quarantine_batches"] = f"""
+WITH {HEALTH}, s AS (SELECT event_id, host, ceil(row_number() OVER (ORDER BY ts, event_id) / 10.0)::BIGINT AS batch FROM fetch_log
+  WHERE host IN (SELECT host FROM health WHERE quarantined_at IS NOT NULL))
+SELECT event_id, host, batch, CASE WHEN event_id % 2 = 1 THEN 'drop' ELSE 'retry' END AS action FROM s"""
+ORACLE["k12_cap_linked_pages"] = f"""
+WITH {ANCHORS}, k AS (SELECT page_id, url, min(CASE WHEN inner_html LIKE '%<img %' THEN 0 ELSE 1 END) AS stage, min(i) AS i FROM (
+  SELECT a.page_id, a.page_url, a.i, a.url, a0.inner_html FROM anchors a JOIN a0 USING (page_id, i)) WHERE url <> page_url AND
+  (inner_html LIKE '%<img %' OR NOT regexp_matches(url, {q(_SCAN_IMG)})) GROUP BY page_id, url),
+r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY stage, i)::INTEGER AS rank FROM k) SELECT * FROM r WHERE rank <= 3"""
+ORACLE["k13_queue_order"] = f"WITH {TASKS} SELECT id, status, row_number() OVER (ORDER BY finished, created_at, id) AS position FROM tasks"
+ORACLE["k13_next_task"] = f"WITH {TASKS} SELECT id, url, status FROM tasks WHERE status IN ('queued', 'paused') ORDER BY created_at, id LIMIT 1"
+ORACLE["k14_byte_ranges"] = f"""
+WITH {FETCH}, f AS (SELECT event_id, content_length * 40 AS size, event_id % 3 <> 0 AS ok FROM fetch_log),
+n AS (SELECT *, least(6, greatest(1, size // 262144), 8) AS n FROM f),
+p AS (SELECT *, (CASE WHEN n > 1 AND size > 1048576 * 6 AND ok THEN n ELSE 1 END)::INTEGER AS parts FROM n),
+r AS (SELECT *, unnest(range(0, parts))::INTEGER AS part FROM p)
+SELECT event_id, parts, part, part * (size // parts) AS first_byte, CASE WHEN part = parts - 1 THEN size - 1 ELSE (part + 1) * (size // parts) - 1 END AS last_byte FROM r"""
+
+# --- projections, filters, set operations ------------------------------------------------------
+
+ORACLE["f01_extract_media"] = f"""
+WITH {MEDIA} SELECT page_id, media_type, url, source, CASE WHEN op IN ('h06', 'h08', 'h10') OR op = 'h07' AND source NOT LIKE '%-link' THEN {is_cdn('url', 'img')}
+  WHEN op = 'h11' THEN {is_cdn('url', 'video')} END AS is_cdn FROM media"""
+ORACLE["f02_extract_links"] = f"WITH {LINKS} SELECT page_id, url, from_image, element, text, priority, thumbnail_url FROM links"
+ORACLE["f03_ordered_distinct"] = """
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1), 1) AS i FROM pages),
+d AS (SELECT page_id, href, min(i) AS i FROM a GROUP BY ALL) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos, href FROM d"""
+ORACLE["f04_filter_links"] = f"""
+WITH {LINKS}, {COUNTS.replace(MEDIA, MEDIA)}, l AS (SELECT links.*, p.url AS page_url FROM links JOIN pages p USING (page_id)),
+k AS (SELECT l.*, host_score FROM l LEFT JOIN host_scores ON host = {host('l.url')}
+  WHERE l.page_id % 4 < 3 AND NOT list_contains({_BLOCKED}, {host('l.url')}) AND {base2(host('l.url'))} = {base2(host('l.page_url'))}
+    AND NOT {should_skip('l.url', K.STOP_WORDS)}),
+s AS (SELECT page_id, url, (page_id % 4 + 1)::INTEGER AS depth,
+  {priority('url', 'page_url', 'page_url', '(page_id % 4 + 1)', 'priority', 'from_image', 'false', 'host_score')} AS p FROM k)
+SELECT page_id, url, depth, round(greatest(p, 0.1), 6) AS priority FROM s WHERE p > 0"""
+ORACLE["f05_route_media"] = f"""
+WITH {CORPUS}, {MEDIA}, u AS (SELECT {norm('url')} AS norm_url FROM media UNION SELECT {norm('url')} FROM corpus)
+SELECT norm_url, CASE WHEN {is_webpage('norm_url')} THEN 'frontier' ELSE 'manifest' END AS route FROM u"""
+ORACLE["f06_one_shot"] = f"WITH {EDGES} SELECT page_id AS task_id, url FROM edges WHERE page_id % 5 <> 0"
+ORACLE["f07_fetch_outcome"] = f"""
+WITH {OUTCOMES} SELECT event_id, CASE WHEN error IS NULL AND content_length > 0 AND event_id % 9 = 0
+  THEN 'Size mismatch: expected ' || content_length || ', got ' || (content_length + 1) ELSE error END AS error FROM outcomes"""
+ORACLE["f08_fetch_status"] = f"""
+WITH {FETCH} SELECT event_id, CASE WHEN status BETWEEN 400 AND 499 THEN 'HTTP_ERROR_4XX' WHEN status >= 500 THEN 'HTTP_ERROR_5XX' ELSE 'SUCCESS' END AS result,
+  status = 429 AS limited FROM fetch_log"""
+ORACLE["f09_content_skip"] = f"WITH {OUTCOMES} SELECT event_id, success, content_skip FROM outcomes"
+ORACLE["f10_interstitial_feedback"] = f"""
+WITH {OUTCOMES} SELECT url, 1 AS depth, 15.0::DOUBLE AS priority_hint, true AS interstitial_retry, media_type AS original_media_type
+FROM outcomes WHERE error LIKE 'Webpage/script content%' AND event_id % 4 <> 0"""
+ORACLE["f11_filter_items"] = f"""
+WITH {ITEMS} SELECT page_id, url, source, CASE WHEN source IN ('sieve-res', 'link-direct') THEN 'fullsize' ELSE 'thumbnail' END AS view FROM items
+UNION ALL SELECT page_id, url, source, 'host' FROM items WHERE {host('url')} = 'player.vimeo.com'"""
+ORACLE["f12_probation"] = f"""
+WITH {HEALTH} SELECT event_id, host, CASE WHEN failures > 0 THEN 5 ELSE 30 END AS timeout_s, CASE WHEN failures > 0 THEN 0 ELSE 3 END AS max_retries
+FROM fetch_log LEFT JOIN health USING (host)"""
+ORACLE["f13_task_status"] = f"""
+WITH e AS ({I.as_sql(I.TASK_EVENTS, 'events')}), starts AS (SELECT max((ts, event_id)) AS o FROM e WHERE action = 'start'),
+p AS (SELECT task_id, arg_max(action, (ts, event_id)) AS last_action, max((ts, event_id)) FILTER (action = 'start') AS s,
+  max(ts) FILTER (action = 'start') AS started_at, max(ts) FILTER (action IN ('complete', 'stop', 'fail')) AS ended,
+  max((ts, event_id)) FILTER (action IN ('complete', 'stop', 'fail')) AS en FROM e GROUP BY task_id)
+SELECT task_id, CASE last_action WHEN 'pause' THEN 'paused' WHEN 'complete' THEN 'completed' WHEN 'stop' THEN 'stopped' WHEN 'fail' THEN 'failed'
+  ELSE CASE WHEN s < o THEN 'paused' ELSE 'running' END END AS status, started_at, CASE WHEN s IS NULL OR en > s THEN ended END AS completed_at FROM p, starts"""
+ORACLE["s15_write_manifest"] = f"WITH {MANIFEST} SELECT url, dir, filename, host FROM manifest"
+
+# --- crawl -------------------------------------------------------------------------------------
+
+_CRAWL = f"""{EDGES}, pg AS (SELECT page_id, url, {norm('url')} AS norm_url FROM pages),
+hops AS (SELECT page_id, {norm('url')} AS norm_url FROM edges WHERE NOT list_contains({_BLOCKED}, {host('url')}) AND NOT {should_skip('url', K.STOP_WORDS)}),
+d0 AS (SELECT * FROM pg WHERE norm_url IN (SELECT norm_url FROM pg WHERE url LIKE '%utm_source=feed%')),
+d1 AS (SELECT * FROM pg WHERE norm_url IN (SELECT norm_url FROM hops WHERE page_id IN (SELECT page_id FROM d0)) AND norm_url NOT IN (SELECT norm_url FROM d0)),
+d2 AS (SELECT * FROM pg WHERE norm_url IN (SELECT norm_url FROM hops WHERE page_id IN (SELECT page_id FROM d1)) AND norm_url NOT IN (SELECT norm_url FROM d0 UNION ALL SELECT norm_url FROM d1))"""
+ORACLE["c01_crawl"] = f"""
+WITH {_CRAWL} SELECT page_id, norm_url, 0 AS depth FROM d0 UNION ALL SELECT page_id, norm_url, 1 FROM d1 UNION ALL SELECT page_id, norm_url, 2 FROM d2"""
+
+# --- streams: the batch result ---------------------------------------------------------------------
+
+ORACLE["t01_stream_media"] = f"WITH {MEDIA} SELECT page_id, media_type, url, source FROM media"
+ORACLE["t02_stream_distinct_media"] = f"""
+WITH {PM}, r AS (SELECT url AS page_url, unnest(regexp_extract_all(html, 'src="([^"]+)"', 1)) AS ref FROM pm),
+u AS (SELECT {simple_join('page_url', 'ref')} AS url FROM r) SELECT DISTINCT {norm('url')} AS norm_url FROM u"""
+ORACLE["t03_stream_health"] = f"""
+WITH {HEALTH} SELECT host, failures, total, strftime(quarantined_at, '%Y-%m-%d %H:%M:%S') AS quarantined_at FROM health"""
+ORACLE["t04_stream_reputation"] = f"WITH {COUNTS} SELECT * FROM host_scores"
+ORACLE["t05_stream_completion"] = f"WITH {PM} SELECT page_id, length(html)::BIGINT AS n_chars FROM pm"
+ORACLE["t06_stream_restart"] = f"SELECT page_id, {norm('url')} AS norm_url FROM pages"
+ORACLE["t07_stream_progress"] = f"""
+WITH {OUTCOMES} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (success) AS n_ok FROM outcomes GROUP BY 1"""

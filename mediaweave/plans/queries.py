@@ -768,3 +768,433 @@ def _(spark, sf):
 def _(spark, sf):
     links = _edges(spark, sf).withColumn("task_id", F.col("page_id"))
     return Fr.same_site(links, I.tasks(spark, sf)).select("task_id", "url")
+
+
+# --- aggregates ------------------------------------------------------------------------
+
+
+def _outcomes(spark, sf) -> DataFrame:
+    return H.outcomes(I.fetch_log(spark, sf))
+
+
+@query("a01_counters")
+def _(spark, sf):
+    return H.counters(_outcomes(spark, sf))
+
+
+@query("a02_progress")
+def _(spark, sf):
+    """Progress per media type; the stats of a run that has found twice as much as it tried."""
+    by_type = _outcomes(spark, sf).groupBy("media_type").agg(
+        (F.count_if(F.col("media_type") == "image") * 2).alias("images_found"),
+        (F.count_if(F.col("media_type") == "video") * 2).alias("videos_found"),
+        F.count_if(F.col("success")).alias("files_downloaded"),
+        F.count_if(~F.col("success")).alias("files_skipped"),
+    )
+    return H.progress(by_type).select("media_type", "percent")
+
+
+@query("a03_host_reputation")
+def _(spark, sf):
+    return Fr.host_scores(_page_counts(spark, sf))
+
+
+@query("a04_pattern_scores")
+def _(spark, sf):
+    """Word scores over link targets: pages in id order, with media on some of them."""
+    rows = page_media(spark, sf).select("page_id", F.col("url").alias("page_url"), "media_type", "stage", "owner", "pos")
+    steps = rows.select(
+        "page_id", "stage", "owner", "pos", "page_url", F.when(F.col("page_id") % 3 == 0, 0).otherwise(1).alias("n_media")
+    )
+    bucket = F.floor(F.col("page_id") / 64)
+    return Fr.pattern_scores(steps, ["page_id", "stage", "owner", "pos", "page_url"], bucket)
+
+
+@query("a05_media_per_host")
+def _(spark, sf):
+    return Mf.per_host(page_media(spark, sf))
+
+
+@query("a06_host_health")
+def _(spark, sf):
+    return _health(spark, sf)
+
+
+@query("a06_user_health")
+def _(spark, sf):
+    """Errors as failures and everything else as successes, per user."""
+    e = I.table(spark, sf, "events")
+    fetches = e.select(
+        "user_id", "ts", "event_id", (F.col("event_type") != "error").alias("success"), F.lit(False).alias("content_skip")
+    )
+    return H.host_health(fetches, "user_id")
+
+
+@query("a07_status_summary")
+def _(spark, sf):
+    return Tk.status_summary(I.tasks(spark, sf))
+
+
+@query("a08_import_counts")
+def _(spark, sf):
+    return Tk.outcome_counts(_imported(spark, sf))
+
+
+@query("a09_media_counts")
+def _(spark, sf):
+    return Mf.media_counts(page_media(spark, sf))
+
+
+def _items(spark, sf) -> DataFrame:
+    """Scanned media of each page with what its linked pages yield."""
+    seen = S.scan_page(page_nodes(spark, sf)).select("page_id", "page_url", "url", "media_type", "source")
+    return seen.unionByName(S.discover_fullsize(_linked(spark, sf), I.pages_media(spark, sf), book(spark)))
+
+
+@query("a10_fullsize_or_all")
+def _(spark, sf):
+    return S.fullsize_or_all(_items(spark, sf)).select("page_id", "url", "source")
+
+
+@query("a11_rule_counts")
+def _(spark, sf):
+    return R.rule_counts(P.parse_rules(_rule_files(spark, sf)), P.parse_site_patterns(_pattern_files(spark, sf)))
+
+
+# --- ranking -----------------------------------------------------------------------------
+
+
+def _frontier(spark, sf) -> DataFrame:
+    """Every corpus URL as a link of its page, at a depth that follows from the page."""
+    c = corpus(spark, sf)
+    return c.select(
+        "page_id",
+        "url",
+        (F.col("page_id") % 4).cast("int").alias("depth"),
+        F.col("base").alias("source_url"),
+        F.when(F.col("page_id") % 2 == 0, F.col("base")).alias("start_url"),
+        F.col("base").alias("context_url"),
+        F.when(F.col("page_id") % 5 == 0, 15.0).alias("priority_hint"),
+        (F.col("page_id") % 3 == 0).alias("from_image"),
+        (F.col("page_id") % 7 == 0).alias("interstitial_retry"),
+    )
+
+
+WORD_SCORES = {"media": 3, "pic": 1, "gallery": 0, "post": 2}
+
+
+def _scored(spark, sf) -> DataFrame:
+    rows = Fr.with_host_score(_frontier(spark, sf), Fr.host_scores(_page_counts(spark, sf)))
+    return Fr.scored(rows, WORD_SCORES)
+
+
+@query("k01_url_priority")
+def _(spark, sf):
+    return _scored(spark, sf).select("page_id", "url", F.round("priority", 6).alias("priority"))
+
+
+@query("k02_admission")
+def _(spark, sf):
+    return Fr.admit(_scored(spark, sf)).select("page_id", "url", F.round("priority", 6).alias("priority"))
+
+
+@query("k03_pop_order")
+def _(spark, sf):
+    rows = Fr.admit(_scored(spark, sf)).select(
+        "page_id", "url", "depth", F.round("priority", 6).alias("priority")
+    )
+    return global_rank(rows, [F.desc("priority"), "depth", "url", "page_id"], "pop_order")
+
+
+@query("k04_cap_links")
+def _(spark, sf):
+    """Best five links of each page by explicit priority."""
+    return Fr.cap_per_page(L.extract_links(page_nodes(spark, sf)), 5).select("page_id", "url", "priority")
+
+
+@query("k05_media_priority")
+def _(spark, sf):
+    m = page_media(spark, sf).withColumn("start_url", F.when(F.col("page_id") % 2 == 0, F.col("page_url")))
+    return m.select("page_id", "url", "source", F.round(Mf.media_priority("start_url"), 6).alias("priority"))
+
+
+@query("k06_first_wins")
+def _(spark, sf):
+    return Mf.first_wins(page_media(spark, sf)).select("norm_url", "page_id", "media_type", "source")
+
+
+@query("k07_file_limit")
+def _(spark, sf):
+    return H.file_limit(_outcomes(spark, sf), 100).select("event_id", "success")
+
+
+@query("k08_best_gateway")
+def _(spark, sf):
+    n = page_nodes(spark, sf)
+    return L.best_gateway(n, I.pages_media(spark, sf), M.extract_media(n))
+
+
+def _manifest(spark, sf) -> DataFrame:
+    return Mf.to_manifest(Mf.with_route(Mf.first_wins(page_media(spark, sf))))
+
+
+def _crowded(spark, sf) -> DataFrame:
+    """Manifest rows whose names clash: a few names per folder, some already numbered."""
+    rows = I.image_urls(spark, sf).select("page_id", F.col("url")).distinct()
+    name = F.concat(
+        F.lit("img"),
+        F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("_"), (F.col("page_id") % 4 + 1).cast("string"))).otherwise(""),
+        F.lit(".jpg"),
+    )
+    return rows.select("url", U.get_domain("url").alias("dir"), name.alias("filename"), F.lit("image").alias("media_type"))
+
+
+@query("k09_unique_names")
+def _(spark, sf):
+    return Mf.unique_names(_crowded(spark, sf)).select("url", "dir", "filename", "unique_name")
+
+
+@query("k10_politeness_waves")
+def _(spark, sf):
+    m = _manifest(spark, sf).select("url", "host", F.round("priority", 6).alias("priority"))
+    return Mf.waves(m)
+
+
+@query("k11_quarantine_batches")
+def _(spark, sf):
+    log = I.fetch_log(spark, sf)
+    items = H.set_aside(log.select("event_id", "ts", "host"), H.quarantined(_health(spark, sf)))
+    queue = items.withColumn("retries", (F.col("event_id") % 2).cast("int"))
+    return H.quarantine_batches(queue).select("event_id", "host", "batch", "action")
+
+
+@query("k12_cap_linked_pages")
+def _(spark, sf):
+    """First three links of each page's browser scan."""
+    return S.cap_links(S.scan_links(page_nodes(spark, sf)), 3).select("page_id", "url", "rank")
+
+
+@query("k13_queue_order")
+def _(spark, sf):
+    return Tk.queue_order(I.tasks(spark, sf)).select("id", "status", "position")
+
+
+@query("k13_next_task")
+def _(spark, sf):
+    return Tk.next_task(I.tasks(spark, sf)).select("id", "url", "status")
+
+
+@query("k14_byte_ranges")
+def _(spark, sf):
+    files = I.fetch_log(spark, sf).select(
+        "event_id", (F.col("content_length") * 40).alias("content_length"), (F.col("event_id") % 3 != 0).alias("accepts_ranges")
+    )
+    return Mf.byte_ranges(files, 6).select("event_id", "parts", "part", "first_byte", "last_byte")
+
+
+# --- projections, filters, set operations ----------------------------------------------------
+
+
+@query("f01_extract_media")
+def _(spark, sf):
+    return page_media(spark, sf).select("page_id", "media_type", "url", "source", "is_cdn")
+
+
+@query("f01_extract_media_with_rules")
+def _(spark, sf):
+    m = M.extract_media(page_nodes(spark, sf), book(spark))
+    return m.filter(F.col("transformed")).select("page_id", "url", "original_url")
+
+
+@query("f02_extract_links")
+def _(spark, sf):
+    return _link_columns(L.extract_links(page_nodes(spark, sf)))
+
+
+@query("f03_ordered_distinct")
+def _(spark, sf):
+    """Distinct targets of each page's anchors, in order of first sight."""
+    refs = F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]+)"'), 1))
+    rows = I.pages(spark, sf).select("page_id", F.posexplode(refs).alias("pos", "href"))
+    return rows
+
+
+@query("f04_filter_links")
+def _(spark, sf):
+    links = L.extract_links(page_nodes(spark, sf)).withColumn("start_url", F.col("page_url"))
+    hosts = Fr.host_scores(_page_counts(spark, sf))
+    out = Fr.filter_links(links, I.blocklist(spark), F.col("page_id") % 4, scores=WORD_SCORES, hosts=hosts)
+    return out.select("page_id", "url", "depth", F.round("priority", 6).alias("priority"))
+
+
+@query("f05_route_media")
+def _(spark, sf):
+    """Media of the pages and their plain links, routed; first sighting of each URL."""
+    m = page_media(spark, sf).select("page_id", "page_url", "url", "media_type")
+    extra = corpus(spark, sf).select("page_id", F.col("base").alias("page_url"), "url", F.lit("file").alias("media_type"))
+    rows = m.unionByName(extra).select(U.normalize_url("url").alias("norm_url")).distinct()
+    return Mf.with_route(rows)
+
+
+@query("f06_one_shot")
+def _(spark, sf):
+    return Tk.without_one_shot_links(_edges(spark, sf).withColumn("task_id", F.col("page_id")), I.tasks(spark, sf)).select(
+        "task_id", "url"
+    )
+
+
+@query("f07_fetch_outcome")
+def _(spark, sf):
+    """With the received length off by one on some fetches."""
+    got = F.col("content_length") + F.when(F.col("event_id") % 9 == 0, 1).otherwise(0)
+    return I.fetch_log(spark, sf).withColumn("got", got).select("event_id", H.fetch_error("got").alias("error"))
+
+
+@query("f08_fetch_status")
+def _(spark, sf):
+    return I.fetch_log(spark, sf).select("event_id", H.fetch_status("status").alias("result"), H.is_rate_limited("status").alias("limited"))
+
+
+@query("f09_content_skip")
+def _(spark, sf):
+    return _outcomes(spark, sf).select("event_id", "success", "content_skip")
+
+
+@query("f10_interstitial_feedback")
+def _(spark, sf):
+    rows = _outcomes(spark, sf).withColumn("interstitial_retry", F.col("event_id") % 4 == 0)
+    return H.interstitial_feedback(rows)
+
+
+@query("f11_filter_items")
+def _(spark, sf):
+    items = _items(spark, sf).select("page_id", "url", "source")
+    full = S.filter_items(items, view="fullsize").withColumn("view", F.lit("fullsize"))
+    thumbs = S.filter_items(items, view="thumbnail").withColumn("view", F.lit("thumbnail"))
+    one = S.filter_items(items, host="player.vimeo.com").withColumn("view", F.lit("host"))
+    return full.unionByName(thumbs).unionByName(one)
+
+
+@query("f12_probation")
+def _(spark, sf):
+    return H.probation(I.fetch_log(spark, sf).select("event_id", "host"), _health(spark, sf))
+
+
+@query("f13_task_status")
+def _(spark, sf):
+    return Tk.task_status(I.task_events(spark, sf))
+
+
+@query("s15_write_manifest")
+def _(spark, sf):
+    path = scratch(spark, "manifest")
+    Mf.write_manifest(_manifest(spark, sf), path)
+    return spark.read.parquet(path).select("url", "dir", "filename", "host")
+
+
+# --- crawl -------------------------------------------------------------------------------------
+
+
+@query("c01_crawl")
+def _(spark, sf):
+    """Crawl from the feed entries over the page links, three levels."""
+    pages = I.pages(spark, sf).select("page_id", "url")
+    links = _edges(spark, sf).withColumns(
+        {"first_seen": F.col("url"), "priority": F.lit(None).cast("double"), "from_image": F.lit(False)}
+    )
+    seeds = pages.filter(F.col("url").contains("utm_source=feed"))
+    seen = crawl(pages, links, seeds, I.blocklist(spark), max_depth=2, stay_in_domain=False, page_media=_page_counts(spark, sf).drop("page_url"))
+    return seen.select("page_id", "norm_url", "depth")
+
+
+@query("c02_visit_rank")
+def _(spark, sf):
+    pages = I.pages(spark, sf).select("page_id", "url")
+    links = _edges(spark, sf).withColumns(
+        {"first_seen": F.col("url"), "priority": F.lit(None).cast("double"), "from_image": F.lit(False)}
+    )
+    seeds = pages.filter(F.col("url").contains("utm_source=feed"))
+    seen = crawl(pages, links, seeds, I.blocklist(spark), max_depth=1, stay_in_domain=False)
+    return visit_rank(seen).select("norm_url", "round", "visit_rank")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _stream_pages(spark, sf) -> DataFrame:
+    """The page file as a stream, with the media markup and a fetch time."""
+    raw = St.read_stream(spark, sf, "page_id bigint, url string, html string", only="pages.parquet")
+    marked = I.project(raw, I.PAGES_MEDIA)
+    return marked.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")))
+
+
+def _stream_fetches(spark, sf) -> DataFrame:
+    schema = I.table(spark, sf, "events").schema
+    raw = St.read_stream(spark, sf, schema, only="events.parquet")
+    return H.outcomes(St.event_time(I.project(raw, I.FETCH_LOG)))
+
+
+def _run_to_table(spark, df, name, mode="append") -> DataFrame:
+    base = scratch(spark, name)
+    if mode == "append":
+        St.run_available(df, f"{base}/checkpoint", path=f"{base}/out")
+        return spark.read.parquet(f"{base}/out")
+
+    def write(batch, _):
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    St.run_available(df, f"{base}/checkpoint", mode, batch=write)
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("t01_stream_media")
+def _(spark, sf):
+    media = St.page_media(_stream_pages(spark, sf))
+    return _run_to_table(spark, media, "t01").select("page_id", "media_type", "url", "source")
+
+
+@query("t02_stream_distinct_media")
+def _(spark, sf):
+    pages = _stream_pages(spark, sf)
+    refs = F.regexp_extract_all("html", F.lit(r'src="([^"]+)"'), 1)
+    media = pages.select("fetched_at", F.col("url").alias("page_url"), F.explode(refs).alias("ref"))
+    urls = media.select("fetched_at", U.url_join("page_url", "ref").alias("url"))
+    return _run_to_table(spark, St.distinct_media(urls, "fetched_at", "365 days"), "t02").select("norm_url")
+
+
+@query("t03_stream_health")
+def _(spark, sf):
+    base = scratch(spark, "t03")
+    stream = St.HealthStream(spark, f"{base}/state", dt.timedelta(days=3650))
+    stream.run(_stream_fetches(spark, sf), f"{base}/checkpoint")
+    last = stream.state(0)
+    return last.select("host", "failures", "total", F.date_format("quarantined_at", "yyyy-MM-dd HH:mm:ss").alias("quarantined_at"))
+
+
+@query("t04_stream_reputation")
+def _(spark, sf):
+    return _run_to_table(spark, St.host_media(St.page_media(_stream_pages(spark, sf))), "t04", "complete")
+
+
+@query("t05_stream_completion")
+def _(spark, sf):
+    """A run that ends by itself when nothing is left to read."""
+    pages = _stream_pages(spark, sf).select("page_id", F.length("html").cast("bigint").alias("n_chars"))
+    return _run_to_table(spark, pages, "t05")
+
+
+@query("t06_stream_restart")
+def _(spark, sf):
+    """Two runs on one checkpoint: the second goes on and repeats nothing."""
+    base = scratch(spark, "t06")
+    pages = _stream_pages(spark, sf).select("page_id", U.normalize_url("url").alias("norm_url"))
+    for _ in range(2):
+        St.run_available(pages, f"{base}/checkpoint", path=f"{base}/out")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("t07_stream_progress")
+def _(spark, sf):
+    windows = St.progress_windows(_stream_fetches(spark, sf), "1 day", "1 hour")
+    out = _run_to_table(spark, windows, "t07", "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "n_ok")

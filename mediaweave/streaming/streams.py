@@ -17,9 +17,9 @@ from mediaweave.operators.nodes import nodes
 PAGE_SCHEMA = "page_id bigint, url string, html string, fetched_at timestamp"
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of Parquet files arriving in a folder."""
-    reader = spark.readStream.schema(schema)
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, only: str = "*") -> DataFrame:
+    """Stream of Parquet files arriving in a folder; ``only`` picks them by name."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", only)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
