@@ -161,8 +161,14 @@ def url_join(base, ref) -> Column:
         resolved = F.when(
             merged.rlike(_HAS_DOTS), _rooted(_collapse_dots(F.split(merged, "/", -1)))
         ).otherwise(merged)
+        # the two forms nearly all links have come first and need no dot handling
         return (
-            F.when(r == "", b)
+            F.when(r.rlike("^https?:"), r)
+            .when(
+                r.rlike(r"^/(?!/)(?![^?#]*/\.\.?(?:[/?#]|$))"),
+                F.concat(F.regexp_extract(b, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?", 0), r),
+            )
+            .when(r == "", b)
             .when(r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), r)
             .when(r.startswith("//"), F.concat(F.regexp_extract(b, r"^([^:/?#]+:)?", 1), r))
             .when(r.startswith("#"), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), r))

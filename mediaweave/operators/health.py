@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaweave import constants as K
 from mediaweave.functions import urls as U
-from mediaweave.operators.ordered import floored_sum, running_rank
+from mediaweave.operators.ordered import floored_sum, running_rank, time_bucket
 
 
 def fetch_status(status) -> Column:
@@ -82,7 +82,7 @@ def health_step() -> Column:
 def health_runs(fetches: DataFrame, key: str = "host") -> DataFrame:
     """Running failure score and attempt number of each fetch, in time order."""
     return floored_sum(
-        fetches, [key], F.date_trunc("hour", "ts"), ["ts", "event_id"], health_step(), "failures", "attempt"
+        fetches, [key], time_bucket(fetches), ["ts", "event_id"], health_step(), "failures", "attempt"
     )
 
 
@@ -125,9 +125,9 @@ def still_served(items: DataFrame, hosts: DataFrame, key: str = "host") -> DataF
 def quarantine_batches(items: DataFrame, size: int = K.QUARANTINE_BATCH, retries: int = K.QUARANTINE_RETRIES) -> DataFrame:
     """Batch number of each set-aside item, and whether it is retried or dropped.
 
-    Numbering runs over the whole queue in time order, by hour buckets.
+    Numbering runs over the whole queue in time order, by time slices.
     """
-    queue = running_rank(items, [], F.date_trunc("hour", "ts"), ["ts", "event_id"], "_n")
+    queue = running_rank(items, [], time_bucket(items), ["ts", "event_id"], "_n")
     return queue.withColumn("batch", F.ceil(F.col("_n") / size).cast("bigint")).withColumn(
         "action", F.when(F.coalesce("retries", F.lit(0)) >= retries, "drop").otherwise("retry")
     ).drop("_n")

@@ -8,6 +8,9 @@ is the order in which a page yields its media; later first-wins steps use it.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,6 @@ _CANDIDATE = (
 )
 _IMAGE_FILE = r"\.(?:jpg|jpeg|png|webp|gif|avif|tiff|bmp)"
 _CSS_IMAGE_FILE = r"\.(?:jpg|jpeg|png|webp|gif|avif)"
-_TAG, _ID, _PAGE = F.col, F.col, F.col
 
 STAGES = {
     "picture": 0, "img": 1, "css": 2, "icon": 3, "meta_image": 4, "video": 5, "embed": 6,
@@ -43,30 +45,31 @@ def _filled(c: Column) -> Column:
     return F.coalesce(c != "", F.lit(False))
 
 
+_FIELDS = (
+    "stage", "owner", "pos", "kind", "ref", "test", "source", "width", "height", "alt", "cdn", "transformed",
+    "original_url", "attrs",
+)
+
+
+@functools.cache
+def _constant(value, gateway: int) -> Column:
+    """Literal shared by all expressions of a session: building one is a round trip to the JVM."""
+    return F.lit(value)
+
+
+def _c(value) -> Column:
+    return value if isinstance(value, Column) else _constant(value, id(SparkContext._gateway))
+
+
 def _candidate(
     stage, kind, ref, test="significant", source=None, owner=None, pos=0, width=None, height=None,
     alt=None, cdn=None, transformed=False, original=None, attrs=None,
 ) -> Column:
-    def text(v):
-        return (F.lit(v) if v is None or isinstance(v, str) else v).cast("string")
-
-    number = F.lit(stage) if isinstance(stage, int) else stage
-    return F.struct(
-        number.cast("int").alias("stage"),
-        (F.col("node_id") if owner is None else owner).cast("int").alias("owner"),
-        (F.lit(pos) if isinstance(pos, int) else pos).cast("bigint").alias("pos"),
-        text(kind).alias("kind"),
-        text(ref).alias("ref"),
-        text(test).alias("test"),
-        text(source).alias("source"),
-        text(width).alias("width"),
-        text(height).alias("height"),
-        text(alt).alias("alt"),
-        text(cdn).alias("cdn"),
-        (F.lit(transformed) if isinstance(transformed, bool) else transformed).alias("transformed"),
-        text(original).alias("original_url"),
-        (F.create_map(*attrs) if attrs else F.lit(None)).cast("map<string,string>").alias("attrs"),
-    )
+    values = (
+        stage, F.col("node_id") if owner is None else owner, pos, kind, ref, test, source, width, height, alt, cdn,
+        transformed, original, F.create_map(*map(_c, attrs)) if attrs else None,
+    )
+    return F.named_struct(*[_c(x) for pair in zip(_FIELDS, values) for x in pair])
 
 
 def _on(condition: Column, candidates: Column) -> Column:
@@ -160,7 +163,7 @@ def picture_images(rules: RuleBook | None = None) -> Column:
             ),
         )
 
-    first_image = (F.col("tag") == "img") & F.col("picture_first")
+    first_image = (F.col("tag") == "img") & F.col("first_of_kind")
     return F.concat(
         _on((F.col("tag") == "source") & inside, from_sources),
         _on(first_image, U.let(best_image(F.col("attrs")), from_image)),
@@ -486,6 +489,7 @@ def data_attr_media() -> Column:
                 STAGES["data"], "auto", value, "media", F.concat(F.lit("data-direct-"), e["key"]), pos=base
             )
         )
+        direct, from_json = direct.cast(_CANDIDATE), from_json.cast(_CANDIDATE)
         return F.when(value == "", _none()).when(is_json, F.coalesce(from_json, _none())).otherwise(direct)
 
     return F.coalesce(F.flatten(F.transform(entries, read)), _none())
@@ -499,11 +503,22 @@ def lazy_media() -> Column:
         )
         for n, name in enumerate(K.LAZY_ATTRIBUTES)
     ]
-    return F.filter(F.array(*options), lambda c: c.isNotNull())
+    return F.filter(F.array(*options), lambda c: c.isNotNull()).cast(_CANDIDATE)
+
+
+@functools.cache
+def _standard_extractors(retry: bool, gateway: int) -> dict[str, Column]:
+    return _extractors(None, retry)
 
 
 def extractors(rules: RuleBook | None = None, retry: bool = False) -> dict[str, Column]:
     """All extractors by name, in the order a page is read."""
+    if rules is None:
+        return dict(_standard_extractors(retry, id(SparkContext._gateway)))
+    return _extractors(rules, retry)
+
+
+def _extractors(rules: RuleBook | None, retry: bool) -> dict[str, Column]:
     return {
         "picture": picture_images(rules),
         "img": img_images(rules, retry),
@@ -524,8 +539,18 @@ def extractors(rules: RuleBook | None = None, retry: bool = False) -> dict[str,
 # --- from candidates to records ----------------------------------------------
 
 
+_MEDIA_TAGS = ["img", "source", "video", "iframe", "meta", "link", "script"]
+
+
+def may_hold_media() -> Column:
+    """Cheap test that spares most nodes the extractors: a media tag, or a style, data or lazy attribute."""
+    named = F.map_keys("attrs")
+    return F.col("tag").isin(_MEDIA_TAGS) | F.exists(named, lambda k: k.startswith("data-") | k.isin("style", "v-lazy"))
+
+
 def extract(node_table: DataFrame, *candidates: Column) -> DataFrame:
     """Explode candidates once and keep those that pass their own test."""
+    node_table = node_table.filter(may_hold_media())
     found = F.concat(*candidates) if len(candidates) > 1 else candidates[0]
     resolved = F.transform(
         found,

@@ -38,7 +38,7 @@ NODE_SCHEMA = T.StructType(
         T.StructField("picture_id", T.IntegerType()),
         T.StructField("form_id", T.IntegerType()),
         T.StructField("video_id", T.IntegerType()),
-        T.StructField("picture_first", T.BooleanType()),
+        T.StructField("first_of_kind", T.BooleanType()),
         T.StructField("parent_attrs", _ATTRS),
         T.StructField("anchor_attrs", _ATTRS),
         T.StructField("anchor_parent_attrs", _ATTRS),
@@ -61,11 +61,15 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType]) for f in NODE_SCHEMA])
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """One row per element of every page; pages without a body yield none."""
+def nodes(pages: DataFrame, marked_only: bool = False) -> DataFrame:
+    """One row per element of every page; pages without a body yield none.
+
+    ``marked_only`` leaves out elements without attributes that are not scripts.
+    No media or link operator looks at those, and they are most of a page.
+    """
     schema = _arrow_schema()
     return pages.select("page_id", "url", "html").mapInArrow(
-        lambda batches: scanner.scan_batches(batches, schema), NODE_SCHEMA
+        lambda batches: scanner.scan_batches(batches, schema, marked_only), NODE_SCHEMA
     )
 
 

@@ -17,6 +17,25 @@ from mediaweave.session import cut_lineage
 _BUCKET = "_bucket"
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def time_bucket(df: DataFrame, column: str = "ts", rows: int = ROWS_PER_BUCKET) -> Column:
+    """Time slices holding about ``rows`` rows of the whole table each.
+
+    The width comes from the table's own size and span, as a scalar subquery, so
+    a key that owns most of the rows is cut finely enough whatever the volume.
+    """
+    if df.schema[column].dataType.typeName() == "timestamp":
+        second = F.unix_seconds(column)
+    else:  # fields of a local timestamp do not depend on the session zone
+        day = F.datediff(column, F.lit("1970-01-01").cast("date")).cast("bigint")
+        second = day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+    span = F.max(second) - F.min(second) + 1
+    width = df.agg(F.greatest(F.lit(1.0), F.ceil(span * rows / F.greatest(F.count("*"), F.lit(1)))).alias("w")).scalar()
+    return F.floor(second / width)
+
+
 def _summary_window(keys: list[str]):
     base = W.partitionBy(*keys) if keys else W.partitionBy()
     return base.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)

@@ -53,12 +53,11 @@ def _read_attrs(raw: str) -> dict[str, str]:
 class _Open:
     """An element whose end tag has not been seen yet."""
 
-    __slots__ = ("tag", "row", "attrs", "around", "texts", "has_image")
+    __slots__ = ("tag", "row", "attrs", "around", "texts")
 
     def __init__(self, tag, row, attrs, around):
         self.tag, self.row, self.attrs, self.around = tag, row, attrs, around
         self.texts = [] if tag in TEXT_TAGS else None
-        self.has_image = False
 
 
 def _context(attrs: dict[str, str]) -> dict[str, str] | None:
@@ -70,6 +69,7 @@ def scan_page(page_id, page_url, html: str) -> list[list]:
     """Rows of one page, in document order."""
     rows: list[list] = []
     stack: list[_Open] = []
+    seen: set = set()
     collecting = 0
     end = len(html)
     pos = 0
@@ -120,7 +120,7 @@ def scan_page(page_id, page_url, html: str) -> list[list]:
                 None, None,
                 anchor.row if anchor else None, picture.row if picture else None,
                 form.row if form else None, video.row if video else None,
-                _first_image(picture) if name == "img" else None,
+                _first_of_kind(name, attrs, picture, seen),
                 _context(parent.attrs) if parent else None,
                 anchor.attrs if anchor and name == "img" else None,
                 _parent_context(rows, stack, anchor) if anchor and name == "img" else None,
@@ -153,12 +153,16 @@ def scan_page(page_id, page_url, html: str) -> list[list]:
     return rows
 
 
-def _first_image(picture) -> bool | None:
-    """True for the first image of a picture, None outside of pictures."""
-    if picture is None:
+def _first_of_kind(name, attrs, picture, seen: set) -> bool | None:
+    """Whether an image is the first of its picture, or a canonical link the first of its page."""
+    if name == "img" and picture is not None:
+        kind = picture.row
+    elif name == "link" and "href" in attrs and "canonical" in attrs.get("rel", "").split():
+        kind = "canonical"
+    else:
         return None
-    first = not picture.has_image
-    picture.has_image = True
+    first = kind not in seen
+    seen.add(kind)
     return first
 
 
@@ -188,7 +192,7 @@ def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def scan_batches(batches, schema: pa.Schema, rows_per_batch=8192):
+def scan_batches(batches, schema: pa.Schema, marked_only: bool, rows_per_batch=8192):
     """Arrow batches of (page_id, url, html) to batches of node rows."""
     pending: list[list] = []
     for batch in batches:
@@ -197,7 +201,8 @@ def scan_batches(batches, schema: pa.Schema, rows_per_batch=8192):
             body = bodies[i].as_py()
             if body is None:
                 continue
-            pending.extend(scan_page(ids[i].as_py(), urls[i].as_py(), body))
+            rows = scan_page(ids[i].as_py(), urls[i].as_py(), body)
+            pending.extend([r for r in rows if r[5] or r[4] == "script"] if marked_only else rows)
             while len(pending) >= rows_per_batch:
                 yield _batch(pending[:rows_per_batch], schema)
                 del pending[:rows_per_batch]

@@ -57,6 +57,11 @@ def media_pages(spark, sf) -> DataFrame:
 
 
 def page_nodes(spark, sf) -> DataFrame:
+    """The nodes that media and link operators read."""
+    return nodes(media_pages(spark, sf), marked_only=True)
+
+
+def all_nodes(spark, sf) -> DataFrame:
     return nodes(media_pages(spark, sf))
 
 
@@ -405,7 +410,7 @@ def _(spark, sf):
 
 @query("h01_nodes")
 def _(spark, sf):
-    n = page_nodes(spark, sf)
+    n = all_nodes(spark, sf)
     a = F.col("attrs")
     return n.select(
         "page_id", "node_id", "tag", a["href"].alias("href"), a["src"].alias("src"), a["class"].alias("css"),
@@ -415,7 +420,7 @@ def _(spark, sf):
 
 @query("h01_node_counts")
 def _(spark, sf):
-    return page_nodes(spark, sf).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    return all_nodes(spark, sf).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
 
 
 @query("h02_parse_srcset")
@@ -432,7 +437,7 @@ def _(spark, sf):
 
 @query("h04_visible")
 def _(spark, sf):
-    n = page_nodes(spark, sf).filter(F.col("tag").isin("a", "img", "div", "p"))
+    n = all_nodes(spark, sf).filter(F.col("tag").isin("a", "img", "div", "p"))
     return n.select("page_id", "node_id", "tag", is_visible().alias("visible"))
 
 
@@ -729,7 +734,7 @@ def _(spark, sf):
 
 @query("n05_node_relatives")
 def _(spark, sf):
-    n = page_nodes(spark, sf)
+    n = all_nodes(spark, sf)
     up = with_relative(n, "parent_id", {"tag": "parent_tag"})
     linked = with_relative(up, "anchor_id", {"tag": "anchor_tag"})
     return linked.filter(F.col("tag").isin("img", "source", "li", "a")).select(

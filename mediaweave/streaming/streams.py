@@ -32,7 +32,7 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
 
 def page_media(pages: DataFrame, rules: RuleBook | None = None) -> DataFrame:
     """Media of arriving pages (stateless)."""
-    return M.extract_media(nodes(pages), rules)
+    return M.extract_media(nodes(pages, marked_only=True), rules)
 
 
 def distinct_media(media: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
@@ -120,7 +120,7 @@ class HealthStream:
         )
         steps = served.select("host", "ts", "event_id", H.health_step().cast("bigint").alias("step")).unionByName(carried)
         runs = H.floored_sum(
-            steps, ["host"], F.date_trunc("hour", "ts"), ["ts", "event_id"], F.col("step"), "failures"
+            steps, ["host"], F.date_trunc("minute", "ts"), ["ts", "event_id"], F.col("step"), "failures"
         )
         order = F.struct("ts", "event_id")
         at_limit = F.when(F.col("failures") >= self.limit, order)
