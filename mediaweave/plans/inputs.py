@@ -119,16 +119,12 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(table(spark, sf_dir, "events"), JSON_PAYLOADS)
 
 
-def url_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct ``(base, url)``: every page URL, and every reference on its page made absolute."""
-    p = pages_media(spark, sf_dir)
+def url_corpus(pages: DataFrame) -> DataFrame:
+    """Distinct ``(page_id, base, url)``: every page URL, and every reference on its page made absolute."""
     refs = F.regexp_extract_all("html", F.lit(r"""(?:href|src|content|poster|data-full|data-src)="([^"]+)\""""), 1)
-    found = p.select("page_id", F.col("url").alias("base"), F.explode(refs).alias("ref"))
-    return (
-        found.select("page_id", "base", U.url_join("base", "ref").alias("url"))
-        .unionByName(p.select("page_id", F.col("url").alias("base"), "url"))
-        .distinct()
-    )
+    found = F.concat(F.array_distinct(refs), F.array("url"))
+    rows = pages.select("page_id", F.col("url").alias("base"), F.explode(found).alias("ref"))
+    return rows.select("page_id", "base", F.explode(F.array(U.url_join("base", "ref"))).alias("url")).distinct()
 
 
 # --- further tables derived from the given ones --------------------------------

@@ -52,8 +52,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def media_pages(spark, sf) -> DataFrame:
-    pages = I.pages_media(spark, sf)
-    return P.spread(pages, spark.sparkContext.defaultParallelism)
+    return I.project(P.spread(I.pages(spark, sf)), I.PAGES_MEDIA)
 
 
 def page_nodes(spark, sf) -> DataFrame:
@@ -73,6 +72,10 @@ def page_media(spark, sf) -> DataFrame:
     return M.extract_media(page_nodes(spark, sf))
 
 
+def fetches(spark, sf) -> DataFrame:
+    return P.spread(I.fetch_log(spark, sf), key="event_id")
+
+
 def joined(c, sep="|"):
     return F.array_join(c, sep)
 
@@ -117,7 +120,7 @@ def _(spark, sf):
 
 
 def _payloads(spark, sf) -> DataFrame:
-    return J.read_payloads(I.json_payloads(spark, sf))
+    return J.read_payloads(P.spread(I.json_payloads(spark, sf), key="doc_id"))
 
 
 @query("s03_read_json_payloads")
@@ -279,7 +282,7 @@ def _(spark, sf):
 
 
 def corpus(spark, sf) -> DataFrame:
-    return I.url_corpus(spark, sf)
+    return I.url_corpus(media_pages(spark, sf))
 
 
 def url_query(name: str, pair: bool = False, **columns):
@@ -723,7 +726,7 @@ def _(spark, sf):
 
 
 def _health(spark, sf) -> DataFrame:
-    return H.host_health(H.outcomes(I.fetch_log(spark, sf)))
+    return H.host_health(H.outcomes(fetches(spark, sf)))
 
 
 @query("n04_set_aside")
@@ -779,7 +782,7 @@ def _(spark, sf):
 
 
 def _outcomes(spark, sf) -> DataFrame:
-    return H.outcomes(I.fetch_log(spark, sf))
+    return H.outcomes(fetches(spark, sf))
 
 
 @query("a01_counters")

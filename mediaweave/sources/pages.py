@@ -16,14 +16,14 @@ def read_pages(spark: SparkSession, path: str, partitions: int | None = None) ->
     rows are spread by page once.  At cluster size the splits outnumber the
     cores and the pages are read where they lie.
     """
-    pages = spark.read.parquet(path)
-    wanted = partitions or spark.sparkContext.defaultParallelism
-    return spread(pages, wanted)
+    return spread(spark.read.parquet(path), partitions)
 
 
-def spread(pages: DataFrame, wanted: int) -> DataFrame:
-    splits = pages._jdf.queryExecution().toRdd().getNumPartitions()
-    return pages if splits >= wanted else pages.repartition(wanted, "page_id")
+def spread(df: DataFrame, wanted: int | None = None, key: str = "page_id") -> DataFrame:
+    """Spread rows by key when the input has fewer splits than cores; else leave them where they lie."""
+    wanted = wanted or df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= wanted else df.repartition(wanted, key)
 
 
 def with_status(pages: DataFrame) -> DataFrame:
