@@ -9,6 +9,7 @@ a shuffle and adds no rows until its result array is exploded.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -134,12 +135,48 @@ def rule_hit(url, img: Column) -> Column:
     return F.rlike(col(url), pattern) | F.rlike(without_scheme(url), pattern)
 
 
-def _rule(row: dict) -> Column:
-    return F.struct(
-        F.lit(row["rule_id"]).cast("int").alias("rule_id"),
-        F.lit(row["img"]).alias("img"),
-        F.lit(row["to"]).alias("to"),
-    )
+def _constant(value, kind: str) -> Column:
+    """Rule data as one folded constant instead of an expression per rule."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _rule(row: dict) -> dict:
+    return {k: row[k] for k in ("rule_id", "img", "to")}
+
+
+def required_literal(pattern: str) -> str | None:
+    """Longest lower-cased text every match of the pattern must contain, if one is plain to see.
+
+    Only text outside of groups and alternatives counts, and no character that
+    a quantifier may drop.  Used to skip a pattern by a substring test.
+    """
+    best, run, depth, i = "", "", 0, 0
+    while i < len(pattern):
+        c, step, literal = pattern[i], 1, None
+        if c == "\\":
+            nxt = pattern[i + 1 : i + 2]
+            step, literal = 2, nxt if nxt and not nxt.isalnum() else None
+        elif c == "[":
+            end = pattern.find("]", i + 2)
+            if end < 0:
+                return None
+            step, literal = end + 1 - i, "." if pattern[i : end + 1] == "[.]" else None
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return None
+        elif c == "{":
+            step = max(pattern.find("}", i) + 1 - i, 1)
+        elif c not in "^$.*+?":
+            literal = c
+        after = pattern[i + step : i + step + 1]
+        if literal and depth == 0 and (not after or after not in "?*{+"):
+            run += literal
+        else:
+            run = ""
+        best = run if len(run) > len(best) else best
+        i += step
+    return best.lower() if len(best) > 2 else None
 
 
 @dataclass
@@ -170,9 +207,8 @@ class RuleBook:
                 by_host.setdefault(rule["domain"], []).append(rule)
         if not by_host:
             return none
-        index = F.create_map(
-            *[x for host, rows in by_host.items() for x in (F.lit(host), F.array(*map(_rule, rows)))]
-        )
+        packed = {host: [_rule(r) for r in rows] for host, rows in by_host.items()}
+        index = _constant(packed, f"map<string,{_RULES}>")
 
         def at(host):
             short = F.when(host.startswith("www."), F.substring(host, 5, 10000))
@@ -181,15 +217,30 @@ class RuleBook:
         page_host, image_host = get_domain(page_url), get_domain(url)
         return F.concat(*at(page_host), *at(F.when(image_host != page_host, image_host)))
 
-    def global_rules(self, keep=None) -> Column:
-        """Rules bound to no host; ``keep`` tests each one with its pattern as a literal."""
+    def global_rules(self, url=None) -> Column:
+        """Rules bound to no host: all of them, or those found in ``url``, in order.
+
+        A rule whose pattern has a fixed part is only tried on URLs that contain
+        that part; the few others are literals that compile once per task.
+        """
         rows = [r for r in self.rewriting if not r.get("domain")]
         if not rows:
             return F.array().cast(_RULES)
-        if keep is None:
-            return F.array(*map(_rule, rows))
-        tested = F.array(*[F.when(keep(F.lit(r["img"])), _rule(r)) for r in rows])
-        return F.filter(tested, lambda r: r.isNotNull())
+        if url is None:
+            return _constant([_rule(r) for r in rows], _RULES)
+        kind = "struct<pos:int,text:string,rule:struct<rule_id:int,img:string,to:string>>"
+        placed = [{"pos": n, "text": required_literal(r["img"]), "rule": _rule(r)} for n, r in enumerate(rows)]
+        screened = _constant([p for p in placed if p["text"]], f"array<{kind}>")
+        always = [p for p in placed if not p["text"]]
+
+        def found(low):
+            hits = F.filter(screened, lambda p: low.contains(p["text"]) & rule_hit(url, p["rule"]["img"]))
+            if not always:
+                return hits
+            tested = [F.when(rule_hit(url, F.lit(p["rule"]["img"])), _constant(p, kind)) for p in always]
+            return F.array_sort(F.concat(hits, F.array_compact(F.array(*tested))))
+
+        return F.transform(let(F.lower(col(url)), found), lambda p: p["rule"])
 
     def rules_for_hosts(self, page_url, url) -> Column:
         return F.concat(self.host_rules(page_url, url), self.global_rules())
@@ -199,7 +250,7 @@ class RuleBook:
         bound = self.host_rules(page_url, url if lookup_url is None else lookup_url)
         return F.concat(
             F.filter(bound, lambda r: rule_hit(url, r["img"])),
-            self.global_rules(lambda img: rule_hit(url, img)),
+            self.global_rules(url),
         )
 
     def site_replacements(self, url, page_url) -> Column:

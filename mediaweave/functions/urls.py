@@ -8,8 +8,10 @@ a space, ``|`` or a non-ASCII letter, which are common in crawled links.
 
 from __future__ import annotations
 
+import functools
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,27 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def reusable(fn):
+    """Build an expression over column names once per session.
+
+    Expressions are made call by call through the JVM gateway, which takes
+    longer than running them on a small table.  Calls that are handed Columns
+    are built every time.
+    """
+    built: dict = {}
+
+    @functools.wraps(fn)
+    def call(*args, **named):
+        if any(isinstance(a, Column) for a in (*args, *named.values())):
+            return fn(*args, **named)
+        key = (id(SparkContext._gateway), repr(args), repr(sorted(named.items())))
+        if key not in built:
+            built[key] = fn(*args, **named)
+        return built[key]
+
+    return call
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -97,6 +120,7 @@ def is_valid_url(c) -> Column:
     return F.coalesce(col(c).rlike(r"^(?i:https?)://[^/?#]"), F.lit(False))
 
 
+@reusable
 def normalize_url(c) -> Column:
     """Lower scheme and host, drop the fragment and one trailing slash, keep the query."""
     c = col(c)
@@ -120,6 +144,7 @@ def base_domain(c) -> Column:
     return base_of_host(get_domain(c))
 
 
+@reusable
 def is_same_domain(a, b) -> Column:
     da, db = get_domain(a), get_domain(b)
     return (da != "") & (db != "") & (base_of_host(da) == base_of_host(db))
@@ -143,6 +168,7 @@ def _rooted(p: Column) -> Column:
     return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
 
 
+@reusable
 def url_join(base, ref) -> Column:
     """Absolute form of ``ref`` seen on page ``base``."""
     base, ref = col(base), col(ref)
@@ -153,8 +179,8 @@ def url_join(base, ref) -> Column:
         b_path = F.regexp_extract(b, _SPLIT, 3)
         r_path = F.regexp_extract(r, r"^([^?#]*)", 1)
         r_tail = F.regexp_extract(r, r"^[^?#]*((?s:.*))$", 1)
-        folder = F.regexp_replace(F.regexp_extract(b_path, r"^(.*/)?", 1), r"(?<=.)/{2,}", "/")
-        inner = F.regexp_replace(r_path, r"/{2,}(?=.)", "/")
+        folder = F.regexp_replace(F.regexp_extract(b_path, r"^(.*/)?", 1), "/{2,}", "/")
+        inner = F.regexp_replace(r_path, "/{2,}", "/")
         merged = F.when(r_path.startswith("/"), r_path).otherwise(
             F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), inner)
         )
@@ -165,7 +191,7 @@ def url_join(base, ref) -> Column:
         return (
             F.when(r.rlike("^https?:"), r)
             .when(
-                r.rlike(r"^/(?!/)(?![^?#]*/\.\.?(?:[/?#]|$))"),
+                r.rlike(r"^(?![^?#]*/\.\.?(?:[/?#]|$))/(?!/)"),
                 F.concat(F.regexp_extract(b, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?", 0), r),
             )
             .when(r == "", b)
@@ -176,10 +202,11 @@ def url_join(base, ref) -> Column:
             .otherwise(F.concat(origin, resolved, r_tail))
         )
 
-    clean = F.regexp_replace(F.translate(ref, "\t\r\n", ""), r"^[\x00-\x20]+", "")
+    clean = F.regexp_replace(F.translate(ref, "\t\r\n", ""), r"^[\x00-\x20]+|^//(?=/)", "")
     return let(F.struct(base.alias("b"), clean.alias("r")), resolve)
 
 
+@reusable
 def path_segments(c) -> Column:
     return F.filter(F.split(F.lower(path(c)), "/"), lambda x: x != "")
 
@@ -197,11 +224,13 @@ _VIDEO_FILE = _SITE + r"(?:mp4|webm|ogg|mov|avi|wmv|flv|mkv|m4v|ts|m3u8)"
 _STREAM_FILE = r"^https?://\S+(?:\.(?:m3u8|mpd)|/playlist\.m3u8|/manifest\.mpd)"
 
 
+@reusable
 def is_image_url(c) -> Column:
     low = F.lower(col(c))
     return path_ends(low, K.IMAGE_EXTENSIONS) | low.rlike(_IMAGE_FILE)
 
 
+@reusable
 def is_trash_media(c) -> Column:
     return F.coalesce(path_ends(F.lower(col(c)), K.TRASH_EXTENSIONS), F.lit(False))
 
@@ -222,10 +251,12 @@ def _is_media(low: Column) -> Column:
     )
 
 
+@reusable
 def is_media_url(c) -> Column:
     return let(F.lower(col(c)), _is_media)
 
 
+@reusable
 def is_video_url(c) -> Column:
     def test(low):
         return (
@@ -240,6 +271,7 @@ def is_video_url(c) -> Column:
     return let(F.lower(col(c)), test)
 
 
+@reusable
 def is_webpage_url(c) -> Column:
     def test(low):
         return (
@@ -261,6 +293,7 @@ def skip_words(extra=None) -> list[str]:
     return K.SKIP_SEGMENTS + [w for w in words if len(w) >= 3]
 
 
+@reusable
 def should_skip_crawl_url(c, extra=None) -> Column:
     def test(low):
         segments = F.split(path(low), "/")
@@ -274,10 +307,12 @@ def should_skip_crawl_url(c, extra=None) -> Column:
     return F.coalesce(let(F.lower(col(c)), test), F.lit(True))
 
 
+@reusable
 def is_cdn_url(c, kind: str = "img") -> Column:
     return col(c).rlike("(?i)" + any_pattern(K.CDN_PATTERNS[kind]))
 
 
+@reusable
 def video_platform(c) -> Column:
     def test(low):
         host = get_domain(low)
@@ -289,6 +324,7 @@ def video_platform(c) -> Column:
     return let(F.lower(col(c)), test)
 
 
+@reusable
 def guess_media_type(c) -> Column:
     def test(low):
         return (
@@ -307,6 +343,7 @@ def is_json_endpoint(c) -> Column:
     return path(low).rlike(r"/api/|/json/|\.json$") | query(low).rlike("format=json|output=json|callback=")
 
 
+@reusable
 def looks_like_url(c) -> Column:
     return F.coalesce(
         col(c).rlike(r"^https?://|^/|\./|(?U)^[\w\-.]+\.[a-zA-Z]{2,}(?:/[\w\-./?&=#%]*)?$"), F.lit(False)
@@ -339,6 +376,7 @@ def is_banner_or_ad(url, width=None, height=None, css_class=None, dom_id=None, a
     return out
 
 
+@reusable
 def is_significant(url, width=None, height=None, css_class=None, dom_id=None, alt=None) -> Column:
     """Worth keeping: not trash, ad, noise, nor declared under 100 px."""
     none = F.lit(None).cast("string")
@@ -357,6 +395,7 @@ def is_not_noise(url) -> Column:
     return ~is_trash_media(url) & ~_has(F.lower(col(url)), K.NOISE_WORDS)
 
 
+@reusable
 def is_junk_url(c) -> Column:
     return col(c).rlike("(?i)" + any_pattern(K.BROWSER_JUNK_PATTERNS))
 
@@ -364,6 +403,7 @@ def is_junk_url(c) -> Column:
 # --- crawl relevance --------------------------------------------------------
 
 
+@reusable
 def is_likely_content(c) -> Column:
     def test(low):
         words = any_of(K.CONTENT_WORDS)
@@ -377,24 +417,29 @@ def is_likely_content(c) -> Column:
     return let(F.lower(col(c)), test)
 
 
+@reusable
 def is_homepage(c) -> Column:
-    c = col(c)
-    p, host, q = path(c), get_domain(c), query(c)
-    labels = F.split(host, "\\.")
-    bare = (F.size(labels) <= 3) & ((labels[0] == "www") | (F.size(labels) == 2))
-    return F.lower(p).isin(K.HOME_PATHS) | (p.isin("", "/") & (bare | (q != "")))
+    def test(v):
+        labels = F.split(v["h"], "\\.")
+        bare = (F.size(labels) <= 3) & ((labels[0] == "www") | (F.size(labels) == 2))
+        return F.lower(v["p"]).isin(K.HOME_PATHS) | (v["p"].isin("", "/") & (bare | (v["q"] != "")))
+
+    return let(F.struct(path(c).alias("p"), get_domain(c).alias("h"), query(c).alias("q")), test)
 
 
+@reusable
 def nav_count(c) -> Column:
     """How many of the navigation words occur in the path or query."""
     low = F.lower(col(c))
-    p, q = path(low), query(low)
-    total = F.lit(0)
-    for word in K.NAV_WORDS:
-        total = total + (p.contains(word) | q.contains(word)).cast("int")
-    return total
+    words = F.array(*[F.lit(w) for w in K.NAV_WORDS])
+
+    def count(v):
+        return F.size(F.filter(words, lambda w: F.contains(v["p"], w) | F.contains(v["q"], w)))
 
+    return let(F.struct(path(low).alias("p"), query(low).alias("q")), count)
 
+
+@reusable
 def common_prefix_len(a, b) -> Column:
     """Number of equal leading path segments of two URLs."""
     pairs = F.arrays_zip(path_segments(a).alias("x"), path_segments(b).alias("y"))
@@ -407,6 +452,7 @@ def common_prefix_len(a, b) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["n"])
 
 
+@reusable
 def is_related(url, start, stay_in_domain: bool = True, retry=None) -> Column:
     """Downward test: the URL belongs to the section the crawl started from."""
     url, start = col(url), col(start)
@@ -467,6 +513,7 @@ def sanitize_filename(c) -> Column:
     return let(F.struct(s.alias("s"), raw.alias("raw")), build)
 
 
+@reusable
 def filename_from_url(url, media_type) -> Column:
     url = col(url)
     name = F.substring_index(F.regexp_replace(path(url), "^/+|/+$", ""), "/", -1)
@@ -479,6 +526,7 @@ def filename_from_url(url, media_type) -> Column:
     )
 
 
+@reusable
 def target_dir(page_url) -> Column:
     """Folder of a page's media: host, then its first two path parts."""
     bad = r'[<>:"/\\|?*]'
@@ -500,14 +548,3 @@ def referer_for(policy, source) -> Column:
     return F.when(source.isNull() | (source == ""), F.lit(None)).when(policy == "origin", origin).when(
         policy == "auto", source
     )
-
-
-SQL_FUNCTIONS = {
-    "normalize_url": normalize_url,
-    "url_host": get_domain,
-    "base_domain": base_domain,
-    "is_image_url": is_image_url,
-    "is_media_url": is_media_url,
-    "is_webpage_url": is_webpage_url,
-    "is_trash_media": is_trash_media,
-}

@@ -506,19 +506,9 @@ def lazy_media() -> Column:
     return F.filter(F.array(*options), lambda c: c.isNotNull()).cast(_CANDIDATE)
 
 
-@functools.cache
-def _standard_extractors(retry: bool, gateway: int) -> dict[str, Column]:
-    return _extractors(None, retry)
-
-
+@U.reusable
 def extractors(rules: RuleBook | None = None, retry: bool = False) -> dict[str, Column]:
     """All extractors by name, in the order a page is read."""
-    if rules is None:
-        return dict(_standard_extractors(retry, id(SparkContext._gateway)))
-    return _extractors(rules, retry)
-
-
-def _extractors(rules: RuleBook | None, retry: bool) -> dict[str, Column]:
     return {
         "picture": picture_images(rules),
         "img": img_images(rules, retry),
@@ -542,63 +532,72 @@ def _extractors(rules: RuleBook | None, retry: bool) -> dict[str, Column]:
 _MEDIA_TAGS = ["img", "source", "video", "iframe", "meta", "link", "script"]
 
 
+@U.reusable
 def may_hold_media() -> Column:
     """Cheap test that spares most nodes the extractors: a media tag, or a style, data or lazy attribute."""
     named = F.map_keys("attrs")
     return F.col("tag").isin(_MEDIA_TAGS) | F.exists(named, lambda k: k.startswith("data-") | k.isin("style", "v-lazy"))
 
 
-def extract(node_table: DataFrame, *candidates: Column) -> DataFrame:
-    """Explode candidates once and keep those that pass their own test."""
-    node_table = node_table.filter(may_hold_media())
-    found = F.concat(*candidates) if len(candidates) > 1 else candidates[0]
-    resolved = F.transform(
-        found,
-        lambda c: F.struct(
-            c.alias("c"),
-            F.when(c["test"] == "none", F.lit(True))
-            .when(c["test"].isin("media", "media_only"), U.is_media_url(c["ref"]))
-            .otherwise(F.lit(True))
-            .alias("media_ok"),
-            F.when(c["test"] == "media_only", c["ref"]).otherwise(U.url_join(F.col("page_url"), c["ref"])).alias("url"),
-        ),
-    )
-    rows = node_table.select("page_id", "page_url", F.explode(resolved).alias("m"))
-    c, url = F.col("m.c"), F.col("m.url")
+@U.reusable
+def _resolved() -> Column:
+    """URL of candidate ``c``, and whether its raw reference counts as media where that is asked."""
+    test, ref = F.col("c.test"), F.col("c.ref")
+    media_ok = F.when(test.isin("media", "media_only"), U.is_media_url(ref)).otherwise(F.lit(True))
+    url = F.when(test == "media_only", ref).otherwise(U.url_join(F.col("page_url"), ref))
+    return F.explode(F.array(F.struct(url.alias("url"), media_ok.alias("media_ok")))).alias("m")
+
+
+@U.reusable
+def _kept() -> Column:
+    test, url = F.col("c.test"), F.col("m.url")
+    absolute = test.isin("media_only", "media") | url.rlike("^https?://")
     passes = (
-        F.when(c["test"].isin("none", "media_only"), True)
-        .when(c["test"] == "platform", U.video_platform(url).isNotNull())
-        .when(c["test"] == "sized", U.is_significant(url, c["width"]))
+        F.when(test.isin("none", "media_only"), True)
+        .when(test == "platform", U.video_platform(url).isNotNull())
+        .when(test == "sized", U.is_significant(url, F.col("c.width")))
         .otherwise(U.is_significant(url))
     )
-    kept = rows.filter(
-        F.col("m.media_ok") & ((c["test"] == "media_only") | url.rlike("^https?://") | (c["test"] == "media"))
-    ).filter(passes)
-    kind = (
-        F.when(c["kind"] != "auto", c["kind"]).when(url.rlike(r"\.mp4|\.webm"), "video").otherwise("image")
-    )
-    return kept.select(
-        "page_id",
-        "page_url",
-        c["stage"].alias("stage"),
-        c["owner"].alias("owner"),
-        c["pos"].alias("pos"),
+    return F.col("m.media_ok") & absolute & passes
+
+
+@U.reusable
+def _record() -> tuple:
+    url, stage, cdn = F.col("m.url"), F.col("c.stage"), F.col("c.cdn")
+    kind = F.when(F.col("c.kind") != "auto", F.col("c.kind")).when(url.rlike(r"\.mp4|\.webm"), "video").otherwise("image")
+    is_cdn = F.when(cdn == "img", U.is_cdn_url(url, "img")).when(cdn == "video", U.is_cdn_url(url, "video"))
+    embedded = stage.isin(STAGES["embed"], STAGES["meta_video"])
+    return (
+        F.col("page_id"),
+        F.col("page_url"),
+        stage,
+        F.col("c.owner"),
+        F.col("c.pos"),
         kind.alias("media_type"),
         url.alias("url"),
-        c["source"].alias("source"),
-        c["width"].alias("width"),
-        c["height"].alias("height"),
-        c["alt"].alias("alt"),
-        F.when(c["cdn"] == "img", U.is_cdn_url(url, "img"))
-        .when(c["cdn"] == "video", U.is_cdn_url(url, "video"))
-        .alias("is_cdn"),
-        F.when(c["stage"].isin(STAGES["embed"], STAGES["meta_video"]), U.video_platform(url)).alias("platform"),
-        c["transformed"].alias("transformed"),
-        c["original_url"].alias("original_url"),
-        c["attrs"].alias("attrs"),
+        F.col("c.source"),
+        F.col("c.width"),
+        F.col("c.height"),
+        F.col("c.alt"),
+        is_cdn.alias("is_cdn"),
+        F.when(embedded, U.video_platform(url)).alias("platform"),
+        F.col("c.transformed"),
+        F.col("c.original_url"),
+        F.col("c.attrs"),
     )
 
 
+def extract(node_table: DataFrame, *candidates: Column) -> DataFrame:
+    """Explode candidates once and keep those that pass their own test.
+
+    Resolved URLs come out of a generator of their own, so the tests that
+    follow read them instead of working them out again.
+    """
+    found = F.concat(*candidates) if len(candidates) > 1 else candidates[0]
+    rows = node_table.filter(may_hold_media()).select("page_id", "page_url", F.explode(found).alias("c"))
+    return rows.select("page_id", "page_url", "c", _resolved()).filter(_kept()).select(*_record())
+
+
 def extract_media(node_table: DataFrame, rules: RuleBook | None = None, retry: bool = False) -> DataFrame:
     """Every media record of every page, one pass over the nodes."""
     return extract(node_table, *extractors(rules, retry).values())
