@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,38 +40,53 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("path").alias("url"), "content", decode_bytes(F.col("content")).alias("html"))
 
 
-_CHARSETS = {
-    "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "windows-1252",
-    "windows-1251": "windows-1251", "utf-16": "UTF-16", "us-ascii": "US-ASCII",
-}
-
-
 def charset_of(content: Column) -> Column:
     """Byte order mark, else the charset the first 2,048 bytes declare, else UTF-8."""
     head = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
     declared = F.lower(F.regexp_extract(head, r"""(?i)charset\s*=\s*["']?([a-z0-9_\-]+)""", 1))
     start = F.hex(F.substring(content, 1, 3))
-    known = None
-    for name, java in _CHARSETS.items():
-        known = F.when(declared == name, java) if known is None else known.when(declared == name, java)
     return (
         F.when(start == "EFBBBF", "UTF-8-SIG")
         .when(start.startswith("FFFE") | start.startswith("FEFF"), "UTF-16")
-        .otherwise(F.coalesce(known, F.lit("UTF-8")))
+        .when(declared.isin("", "utf-8", "utf8"), "UTF-8")
+        .otherwise(declared)
     )
 
 
+def _decode_declared(content: Column, charset: Column) -> Column:
+    """Pages in other charsets; an unknown charset is read as UTF-8.
+
+    The built-in ``decode`` knows few charsets and fails the job on a bad byte.
+    """
+
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series, names: pd.Series) -> pd.Series:
+        def one(data, name):
+            if data is None:
+                return None
+            try:
+                return data.decode(name, errors="replace")
+            except LookupError:
+                return data.decode("utf-8", errors="replace")
+
+        return pd.Series([one(data, name) for data, name in zip(raw, names)], dtype=object)
+
+    return decode(content, charset)
+
+
 def decode_bytes(content: Column) -> Column:
-    """Page text; bytes that do not fit the charset become the replacement character."""
+    """Page text; bytes that do not fit the charset become the replacement character.
+
+    UTF-8, nearly all of a crawl, is decoded on the JVM; only pages in other
+    charsets send their bytes to Python.
+    """
     found = charset_of(content)
-    out = (
-        F.when(found == "UTF-8-SIG", F.make_valid_utf8(F.substring(content, 4, 2147483647).cast("string")))
-        .when(found == "UTF-16", F.decode(content, "UTF-16"))
-        .when(found == "UTF-8", F.make_valid_utf8(content.cast("string")))
+    other = ~found.isin("UTF-8", "UTF-8-SIG")
+    return (
+        F.when(found == "UTF-8", F.make_valid_utf8(content.cast("string")))
+        .when(found == "UTF-8-SIG", F.make_valid_utf8(F.substring(content, 4, 2147483647).cast("string")))
+        .otherwise(_decode_declared(F.when(other, content), found))
     )
-    for java in sorted(set(_CHARSETS.values()) - {"UTF-16"}):
-        out = out.when(found == java, F.decode(content, java))
-    return out
 
 
 def parse_blocklist(lines: DataFrame) -> DataFrame:

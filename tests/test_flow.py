@@ -119,6 +119,7 @@ def test_json_payload_shapes(spark):
     assert got == {
         (1, "http://a/b.jpg", "media", "image"), (1, "http://a/c.gif", "link", None), (1, "http://a/d.gif", "media", "image"),
         (1, "http://a/p.html", "link", None), (3, "http://cdn.x/y.png", "media", "image"), (3, "http://a/s.zip/", "link", None),
+        (3, "http://a/icon.svg", "link", None), (4, "http://a/n", "link", None),
     }
     paging = {(r["doc_id"], r["url"]) for r in J.json_page_links(p).collect()}
     assert paging == {(4, "http://a/n"), (4, "http://a/m")}
