@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from mediaweave import constants as K
 from mediaweave.functions.urls import any_of
 from mediaweave.operators import scanner
+from mediaweave.session import settled
 
 # Executors need no copy of this package: the scanner travels with the task.
 cloudpickle.register_pickle_by_value(scanner)
@@ -103,6 +104,7 @@ def with_relative(node_table: DataFrame, key: str, columns: dict[str, str]) -> D
     General form for attributes the node rows do not carry themselves.  Rows
     without the key skip the shuffle's hot NULL group by being unioned back.
     """
+    node_table = settled(node_table)
     linked = node_table.filter(F.col(key).isNotNull())
     alone = node_table.filter(F.col(key).isNull())
     other = node_table.select(

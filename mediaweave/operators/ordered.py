@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mediaweave.session import cut_lineage
+from mediaweave.session import cut_lineage, settled
 
 _BUCKET = "_bucket"
 
@@ -43,7 +43,7 @@ def _summary_window(keys: list[str]):
 
 def running_rank(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "rank") -> DataFrame:
     """``row_number`` over (keys; order): local number plus the rows of earlier buckets."""
-    cut = df.withColumn(_BUCKET, bucket)
+    cut = settled(df).withColumn(_BUCKET, bucket)
     by = [*keys, _BUCKET]
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
     counts = cut.groupBy(*by).agg(F.count("*").alias("_n"))
@@ -66,7 +66,7 @@ def floored_sum(
     """
     by = [*keys, _BUCKET]
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    cut = df.withColumn(_BUCKET, bucket).withColumn("_step", step.cast("bigint"))
+    cut = settled(df).withColumn(_BUCKET, bucket).withColumn("_step", step.cast("bigint"))
     inside = cut.withColumn("_s", F.sum("_step").over(w)).withColumn("_m", F.min("_s").over(w))
     inside = inside.withColumn("_i", F.count("*").over(w))
     totals = inside.groupBy(*by).agg(

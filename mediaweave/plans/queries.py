@@ -26,7 +26,7 @@ from mediaweave.operators.nodes import is_visible, nodes, with_relative
 from mediaweave.operators.ordered import global_rank
 from mediaweave.plans import inputs as I
 from mediaweave.plans.crawl import crawl, visit_rank
-from mediaweave.session import checkpoint_folder
+from mediaweave.session import checkpoint_folder, settled
 from mediaweave.sources import files as Fs
 from mediaweave.sources import pages as P
 from mediaweave.streaming import streams as St
@@ -60,6 +60,11 @@ def page_nodes(spark, sf) -> DataFrame:
     return nodes(media_pages(spark, sf), marked_only=True)
 
 
+def stored_nodes(spark, sf) -> DataFrame:
+    """The same nodes written out once, for plans that read them several times."""
+    return settled(page_nodes(spark, sf))
+
+
 def all_nodes(spark, sf) -> DataFrame:
     return nodes(media_pages(spark, sf))
 
@@ -759,9 +764,10 @@ def _(spark, sf):
     return urls.select("page_id", "url", hits.alias("h")).select("page_id", "url", "h.rule_id")
 
 
-def _page_counts(spark, sf) -> DataFrame:
-    """Media found per page, zero included, in page order."""
-    found = page_media(spark, sf).groupBy("page_id").agg(F.count("*").alias("n"))
+def _page_counts(spark, sf, media=None) -> DataFrame:
+    """Media found per page, zero included."""
+    media = page_media(spark, sf) if media is None else media
+    found = media.groupBy("page_id").agg(F.count("*").alias("n"))
     pages = I.pages(spark, sf).select("page_id", F.col("url").alias("page_url"))
     return pages.join(found, "page_id", "left").select("page_id", "page_url", F.coalesce("n", F.lit(0)).alias("n_media"))
 
@@ -861,7 +867,7 @@ def _items(spark, sf) -> DataFrame:
 
 @query("a10_fullsize_or_all")
 def _(spark, sf):
-    return S.fullsize_or_all(_items(spark, sf)).select("page_id", "url", "source")
+    return S.fullsize_or_all(settled(_items(spark, sf))).select("page_id", "url", "source")
 
 
 @query("a11_rule_counts")
@@ -938,7 +944,7 @@ def _(spark, sf):
 
 @query("k08_best_gateway")
 def _(spark, sf):
-    n = page_nodes(spark, sf)
+    n = stored_nodes(spark, sf)
     return L.best_gateway(n, I.pages_media(spark, sf), M.extract_media(n))
 
 
@@ -1029,8 +1035,9 @@ def _(spark, sf):
 
 @query("f04_filter_links")
 def _(spark, sf):
-    links = L.extract_links(page_nodes(spark, sf)).withColumn("start_url", F.col("page_url"))
-    hosts = Fr.host_scores(_page_counts(spark, sf))
+    n = stored_nodes(spark, sf)
+    links = L.extract_links(n).withColumn("start_url", F.col("page_url"))
+    hosts = Fr.host_scores(_page_counts(spark, sf, M.extract_media(n)))
     out = Fr.filter_links(links, I.blocklist(spark), F.col("page_id") % 4, scores=WORD_SCORES, hosts=hosts)
     return out.select("page_id", "url", "depth", F.round("priority", 6).alias("priority"))
 
@@ -1076,7 +1083,7 @@ def _(spark, sf):
 
 @query("f11_filter_items")
 def _(spark, sf):
-    items = _items(spark, sf).select("page_id", "url", "source")
+    items = settled(_items(spark, sf).select("page_id", "url", "source"))
     full = S.filter_items(items, view="fullsize").withColumn("view", F.lit("fullsize"))
     thumbs = S.filter_items(items, view="thumbnail").withColumn("view", F.lit("thumbnail"))
     one = S.filter_items(items, host="player.vimeo.com").withColumn("view", F.lit("host"))

@@ -48,3 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
+
+
+_WORK = ("MapInArrow", "Aggregate", "Join", "Window", "Generate", "Sort", "Distinct", "Repartition")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A table that several branches of a plan are about to read.
+
+    Each branch would work out its input again, with other columns and so
+    without sharing the exchange.  Anything more than a scan is therefore
+    written to the checkpoint folder once; a plain scan is returned as it is.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut_lineage(df) if any(word in plan for word in _WORK) else df
