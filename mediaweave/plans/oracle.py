@@ -1095,3 +1095,34 @@ ORACLE["t05_stream_completion"] = f"WITH {PM} SELECT page_id, length(html)::BIGI
 ORACLE["t06_stream_restart"] = f"SELECT page_id, {norm('url')} AS norm_url FROM pages"
 ORACLE["t07_stream_progress"] = f"""
 WITH {OUTCOMES} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (success) AS n_ok FROM outcomes GROUP BY 1"""
+
+# --- rules inside extraction, and visiting order -------------------------------------------------
+
+# With the rule book of the rewriting queries, page 3, 2 and 4 variants and site patterns change image URLs.
+_RAW = f"""{NODES}, img0 AS (SELECT page_id, url AS page_url, t, before, {attr('src')} AS src, {attr('data-full')} AS df FROM n
+  WHERE tag = 'img' AND NOT {_HIDES.format(t='t')} AND NOT (before NOT LIKE '</%' AND {_HIDES.format(t='before')})),
+img1 AS (SELECT page_id, page_url, t, CASE WHEN df IS NOT NULL THEN df WHEN t LIKE '% srcset=%' THEN '/s/' || page_id || '-d.jpg' ELSE src END AS url FROM img0),
+sited AS (SELECT *, {_SITES[0]} AS s_ex, {_SITES[1]} AS s_art, {_SITES[2]} AS s_page FROM img1),
+f AS (SELECT page_id, page_url, t, url, {_R3} AS f FROM sited)"""
+_RULED = " UNION ALL ".join(
+    f"SELECT page_id, page_url, t, url, f, {n} AS a, {k} AS b, {r} AS variant FROM f WHERE {cond}"
+    for n, (_, cond, rs) in enumerate(_rule_results("f"))
+    for k, r in enumerate(rs)
+    if n != 0
+)
+ORACLE["f01_extract_media_with_rules"] = f"""
+WITH {_RAW}, more AS ({_RULED}), hit AS (SELECT DISTINCT page_id, t FROM more),
+cand AS (SELECT page_id, page_url, t, url, f AS c FROM f WHERE f <> url OR (page_id, t) IN (SELECT (page_id, t) FROM hit)
+  UNION SELECT page_id, page_url, t, url, variant FROM more
+  UNION SELECT page_id, page_url, t, url, {stripped('f')} FROM f WHERE f = url AND (page_id, t) NOT IN (SELECT (page_id, t) FROM hit) AND {stripped('f')} <> url),
+a AS (SELECT page_id, {simple_join('page_url', 'c')} AS url, url AS original_url, coalesce({attr('alt')}, '') AS alt FROM cand)
+SELECT page_id, url, original_url FROM a WHERE {significant('url', texts=['alt'])}"""
+ORACLE["c02_visit_rank"] = f"""
+WITH {_CRAWL}, seeds AS (SELECT url FROM pages WHERE url LIKE '%utm_source=feed%'),
+lk AS (SELECT e.page_id, e.page_url, e.url, s.start_url FROM edges e
+  JOIN (SELECT d0.page_id, max(seeds.url) AS start_url FROM d0 JOIN seeds ON {norm('seeds.url')} = d0.norm_url GROUP BY 1) s ON s.page_id = e.page_id
+  WHERE NOT list_contains({_BLOCKED}, {host('e.url')}) AND NOT {should_skip('e.url', K.STOP_WORDS)}),
+sc AS (SELECT {norm('url')} AS norm_url, max(greatest(p, 0.1)) AS priority FROM (
+  SELECT url, {priority('url', 'start_url', 'start_url', '1', 'NULL', 'false', 'false', 'NULL', context='page_url', stay=False).replace(' + '.join(f"CASE WHEN contains({path('lower(url)')}, '{w}') OR contains({query_of('lower(url)')}, '{w}') THEN {s} ELSE 0 END" for w, s in _WORD_SCORES), '0')} AS p FROM lk) x GROUP BY 1),
+v AS (SELECT norm_url, 0 AS round, 1.0 AS priority FROM d0 UNION ALL SELECT d1.norm_url, 1, sc.priority FROM d1 JOIN sc USING (norm_url))
+SELECT norm_url, round, row_number() OVER (ORDER BY round, priority DESC, norm_url) AS visit_rank FROM v"""
