@@ -33,4 +33,23 @@ SELECT *, (n_words < {Ql.MIN_WORDS} OR n_repeat_words * 100 > n_words * {Ql.MAX_
        NOT (n_words < {Ql.MIN_WORDS} OR n_repeat_words * 100 > n_words * {Ql.MAX_REPEAT_PERCENT})
          AND NOT (n_words_lost * 100 > n_words * {Ql.MAX_LOST_PERCENT}) AS kept
 FROM m""",
+    "op3_decontamination": r"""
+WITH abc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents, abc),
+b AS (SELECT item_id::VARCHAR AS item,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark, abc),
+n AS (SELECT item, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram, least(10, len(w)) AS k
+      FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+      FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM n) WHERE len(w) >= k)),
+m AS (SELECT g.r, g.i, g.k, n.item FROM g JOIN n USING (k, gram)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m)
+      WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
 }

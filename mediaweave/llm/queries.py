@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediaweave.llm import decontaminate as Dc
 from mediaweave.llm import quality as Ql
 from mediaweave.llm.tables import documents
 
@@ -30,3 +31,18 @@ def _(spark, sf):
         F.col("row.doc_id").alias("doc_id"),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_lost", "base_failed", "kept",
     )
+
+
+@query("op3_decontamination")
+def _(spark, sf):
+    """Benchmark windows in every document."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = Dc.scan(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
