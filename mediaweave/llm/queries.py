@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.llm import decontaminate as Dc
+from mediaweave.llm import mixing as Mx
 from mediaweave.llm import quality as Ql
 from mediaweave.llm.tables import documents
 
@@ -46,3 +47,10 @@ def _(spark, sf):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op8_mixing")
+def _(spark, sf):
+    """Words that the mix takes of every document."""
+    out = Mx.mix(documents(spark, sf), keep=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
