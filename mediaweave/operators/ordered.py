@@ -92,21 +92,17 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Position of each row in a total order over the whole table.
 
     A range-partitioned sort is written out once; a row's position is its place
-    in its partition plus the sizes of the partitions before it.  Only one
-    number per partition reaches the driver.
+    in its partition plus the sizes of the partitions before it, which are
+    joined as a table of one row per partition.
     """
     placed = cut_lineage(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    offsets, total = [], 0
-    for row in sorted(sizes, key=lambda r: r["part"]):
-        offsets.append((row["part"], total))
-        total += row["n"]
-    start = F.create_map(*[F.lit(v).cast("bigint") for pair in offsets for v in pair]) if offsets else None
-    rank = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    if start is not None:
-        rank = rank + start[part]
-    return placed.withColumn(name, rank).drop("_at")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a row per partition of the sort: the one window without keys, whatever the table's size
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    rank = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("_before")
+    return placed.join(starts, "_part").withColumn(name, rank).drop("_at", "_part", "_before")
 
 
 def hash_bucket(c) -> Column:
