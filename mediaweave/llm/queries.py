@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediaweave.llm import decontaminate as Dc
 from mediaweave.llm import mixing as Mx
 from mediaweave.llm import quality as Ql
+from mediaweave.llm import tokens as Tk
 from mediaweave.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,9 @@ def _(spark, sf):
     """Words that the mix takes of every document."""
     out = Mx.mix(documents(spark, sf), keep=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op7_token_files")
+def _(spark, sf):
+    """Every document's place in the token files, read back from them."""
+    return Tk.token_table(documents(spark, sf))
