@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.llm import decontaminate as Dc
+from mediaweave.llm import language as Ln
 from mediaweave.llm import mixing as Mx
 from mediaweave.llm import quality as Ql
 from mediaweave.llm import tokens as Tk
@@ -61,3 +62,13 @@ def _(spark, sf):
 def _(spark, sf):
     """Every document's place in the token files, read back from them."""
     return Tk.token_table(documents(spark, sf))
+
+
+@query("op4_language_id")
+def _(spark, sf):
+    """Language of every document, learnt from two thirds of them."""
+    docs = documents(spark, sf)
+    model = Ln.train(docs.filter(~Ln.held_out()).select("text", "lang"))
+    found = Ln.identify(docs.select("doc_id", "text"), model)
+    out = found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+    return out.select("doc_id", Ln.held_out().alias("held_out"), "lang_pred", "score")
