@@ -12,6 +12,7 @@ from mediaweave.llm import language as Ln
 from mediaweave.llm import mixing as Mx
 from mediaweave.llm import quality as Ql
 from mediaweave.llm import tokens as Tk
+from mediaweave.llm import warc as Wa
 from mediaweave.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +73,9 @@ def _(spark, sf):
     found = Ln.identify(docs.select("doc_id", "text"), model)
     out = found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
     return out.select("doc_id", Ln.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_warc")
+def _(spark, sf):
+    """Every page's record, read back from WARC files converted from legacy archives."""
+    return Wa.page_archive(spark, spark.read.parquet(f"{sf}/pages.parquet"))
