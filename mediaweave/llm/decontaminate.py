@@ -17,14 +17,12 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.llm import matching
 from mediaweave.llm.tables import stored
 
-cloudpickle.register_pickle_by_value(matching)
 
 WINDOW = 10
 #: Words of test items in one automaton, about 0.5 GB of it at most.

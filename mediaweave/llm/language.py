@@ -17,13 +17,11 @@ one struct, so no name can clash.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.llm import phrases
 
-cloudpickle.register_pickle_by_value(phrases)
 
 LANGUAGE_BYTES = 40_000
 TOTAL_BYTES = 400_000

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediaweave.llm import decontaminate as Dc
 from mediaweave.llm import language as Ln
 from mediaweave.llm import mixing as Mx
+from mediaweave.llm import neardup as Nd
 from mediaweave.llm import quality as Ql
 from mediaweave.llm import tokens as Tk
 from mediaweave.llm import warc as Wa
@@ -79,3 +80,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Every page's record, read back from WARC files converted from legacy archives."""
     return Wa.page_archive(spark, spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("op2_near_duplicates")
+def _(spark, sf):
+    """Components of documents with like sets of two-word shingles."""
+    return Nd.near_duplicates(documents(spark, sf).select("doc_id", "text"), words=2)

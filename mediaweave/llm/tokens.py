@@ -17,7 +17,6 @@ import os
 import uuid
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,8 +24,6 @@ from pyspark.sql import Window as W
 from mediaweave.llm import bpe, frames
 from mediaweave.llm.tables import shared_folder, stored
 
-cloudpickle.register_pickle_by_value(bpe)
-cloudpickle.register_pickle_by_value(frames)
 
 END_ID = 0
 #: Documents that one reading task takes at a time.

@@ -19,14 +19,12 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.llm import archives
 from mediaweave.llm.tables import shared_folder, stored
 
-cloudpickle.register_pickle_by_value(archives)
 
 MIN_REVISIT_BYTES = 100
 #: Payload bytes after which a new archive is begun.
