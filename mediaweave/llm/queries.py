@@ -11,6 +11,7 @@ from mediaweave.llm import decontaminate as Dc
 from mediaweave.llm import language as Ln
 from mediaweave.llm import mixing as Mx
 from mediaweave.llm import neardup as Nd
+from mediaweave.llm import paragraphs as Pg
 from mediaweave.llm import quality as Ql
 from mediaweave.llm import tokens as Tk
 from mediaweave.llm import warc as Wa
@@ -86,3 +87,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Components of documents with like sets of two-word shingles."""
     return Nd.near_duplicates(documents(spark, sf).select("doc_id", "text"), words=2)
+
+
+@query("op6_paragraph_dedup")
+def _(spark, sf):
+    """Paragraphs that nearly repeat another one, by component."""
+    return Pg.duplicate_paragraphs(documents(spark, sf))
