@@ -13,6 +13,7 @@ from mediaweave.llm import mixing as Mx
 from mediaweave.llm import neardup as Nd
 from mediaweave.llm import paragraphs as Pg
 from mediaweave.llm import quality as Ql
+from mediaweave.llm import repeats as Rp
 from mediaweave.llm import tokens as Tk
 from mediaweave.llm import warc as Wa
 from mediaweave.llm.tables import documents
@@ -93,3 +94,11 @@ def _(spark, sf):
 def _(spark, sf):
     """Paragraphs that nearly repeat another one, by component."""
     return Pg.duplicate_paragraphs(documents(spark, sf))
+
+
+@query("op5_repeated_passages")
+def _(spark, sf):
+    """Passages of 50 words or more that occur more than once."""
+    found = Rp.repeated_passages(documents(spark, sf))
+    removed = F.aggregate("later", F.lit(0), lambda n, s: n + s.past_word - s.first_word).cast("bigint")
+    return found.select("doc_id", "first_word", "past_word", removed.alias("n_words_later"))
