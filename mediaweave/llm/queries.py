@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mediaweave.llm import decontaminate as Dc
 from mediaweave.llm import language as Ln
+from mediaweave.llm import licenses as Lc
 from mediaweave.llm import mixing as Mx
 from mediaweave.llm import neardup as Nd
 from mediaweave.llm import paragraphs as Pg
@@ -102,3 +103,9 @@ def _(spark, sf):
     found = Rp.repeated_passages(documents(spark, sf))
     removed = F.aggregate("later", F.lit(0), lambda n, s: n + s.past_word - s.first_word).cast("bigint")
     return found.select("doc_id", "first_word", "past_word", removed.alias("n_words_later"))
+
+
+@query("op9_license_scan")
+def _(spark, sf):
+    """License notices in every document."""
+    return Lc.license_matches(documents(spark, sf).select("doc_id", "text"))
