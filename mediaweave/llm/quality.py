@@ -100,7 +100,9 @@ def with_quality(docs: DataFrame, text: str = "text", max_lost_percent: int = MA
 
 def clean_documents(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """Documents that pass, without their failing lines; same columns as ``docs``."""
-    judged = with_quality(docs, max_lost_percent=max_lost_percent).filter("kept")
+    judged = with_quality(docs, max_lost_percent=max_lost_percent)
+    # a projection with a running number is not repeated inside the filter, where every measure would be worked out again
+    judged = judged.withColumn("at", F.monotonically_increasing_id()).filter("kept AND at >= 0")
     changed = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
