@@ -1,9 +1,10 @@
 """Row helper of the node scan: one page of HTML text to its elements.
 
 It knows nothing of Spark; ``nodes`` runs it inside tasks on Arrow batches.
-Malformed markup is read leniently: void elements never open, a missing end tag
-is implied for paragraphs, list items, table cells and options, and an end tag
-closes everything opened since its start tag.
+Malformed markup is read as HTML has it: void elements never open, no other element
+is closed by a slash of its own, a missing end tag is implied for paragraphs, list items, table
+cells, options, links and buttons, and an end tag closes everything opened since its
+start tag.  Nothing is read twice, so a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -32,84 +33,149 @@ CLOSES = {
 TEXT_TAGS = frozenset(["a", "button"])
 CONTEXT_KEYS = ("class", "style")
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTR_NAME = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {name: re.compile(r"</" + name + r"(?=[\s/>])", re.I) for name in RAW}
+
 
+def _read_tag(html: str, pos: int) -> tuple[dict[str, str], int]:
+    """Attributes from behind a tag's name, and the place behind its ``>``; -1 if the page ends first.
 
-def _read_attrs(raw: str) -> dict[str, str]:
+    A value is quoted only if a quote opens it; a quote elsewhere is an ordinary character.
+    """
     found: dict[str, str] = {}
-    for name, dq, sq, bare in _ATTR.findall(raw):
-        value = dq or sq or bare
-        found.setdefault(name.lower(), html_lib.unescape(value) if "&" in value else value)
-    return found
+    end = len(html)
+    while True:
+        pos = _GAP.match(html, pos).end()
+        if pos >= end:
+            return found, -1
+        if html[pos] == ">":
+            return found, pos + 1
+        m = _ATTR_NAME.match(html, pos)
+        name, pos, value = m.group().lower(), m.end(), ""
+        m = _EQUALS.match(html, pos)
+        if m:
+            pos = m.end()
+            quote = html[pos : pos + 1]
+            if quote in ('"', "'") and quote:
+                stop = html.find(quote, pos + 1)
+                if stop < 0:
+                    return found, -1
+                value, pos = html[pos + 1 : stop], stop + 1
+            else:
+                m = _BARE.match(html, pos)
+                value, pos = m.group(), m.end()
+        if name not in found:
+            found[name] = html_lib.unescape(value) if "&" in value else value
+
+
+def _next_markup(html: str, pos: int) -> tuple[int, str]:
+    """Place and kind of the next comment (``!``), end tag (``/``) or start tag (``<``); kind is empty at the end."""
+    while True:
+        pos = html.find("<", pos)
+        if pos < 0:
+            return len(html), ""
+        after = html[pos + 1 : pos + 2]
+        if after in ("!", "?") and after:
+            return pos, "!"
+        if after.isascii() and after.isalpha():
+            return pos, "<"
+        if after == "/" and _NAME.match(html, pos + 2):
+            return pos, "/"
+        pos += 1
 
 
 class _Open:
     """An element whose end tag has not been seen yet."""
 
-    __slots__ = ("tag", "row", "attrs", "around", "texts")
+    __slots__ = ("tag", "row", "attrs", "around", "texts", "parent")
 
-    def __init__(self, tag, row, attrs, around):
-        self.tag, self.row, self.attrs, self.around = tag, row, attrs, around
+    def __init__(self, tag, row, attrs, around, parent):
+        self.tag, self.row, self.attrs, self.around, self.parent = tag, row, attrs, around, parent
         self.texts = [] if tag in TEXT_TAGS else None
 
 
+class _Stack:
+    """Open elements, with the depths at which each tag is open and those that collect text."""
+
+    def __init__(self, rows: list[list]):
+        self.rows, self.open = rows, []
+        self.depths: dict[str, list[int]] = {}
+        self.holders: list[_Open] = []
+
+    def top(self) -> _Open | None:
+        return self.open[-1] if self.open else None
+
+    def push(self, el: _Open) -> None:
+        self.depths.setdefault(el.tag, []).append(len(self.open))
+        self.open.append(el)
+        if el.texts is not None:
+            self.holders.append(el)
+
+    def deepest(self, tags) -> int:
+        """Depth of the innermost open element with one of the tags, -1 if none is open."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=-1)
+
+    def close(self, depth: int) -> None:
+        """Close the elements from ``depth`` up."""
+        while len(self.open) > depth:
+            el = self.open.pop()
+            self.depths[el.tag].pop()
+            if el.texts is not None:
+                self.rows[el.row][7] = " ".join(el.texts)
+                self.holders.remove(el)
+
+
 def _context(attrs: dict[str, str]) -> dict[str, str] | None:
     kept = {k: attrs[k] for k in CONTEXT_KEYS if k in attrs}
     return kept or None
 
 
 def scan_page(page_id, page_url, html: str) -> list[list]:
-    """Rows of one page, in document order."""
+    """Rows of one page, in document order, in time linear in the page's length."""
     rows: list[list] = []
-    stack: list[_Open] = []
+    stack = _Stack(rows)
     seen: set = set()
-    collecting = 0
     end = len(html)
     pos = 0
     while pos < end:
-        m = _MARKUP.search(html, pos)
-        stop = m.start() if m else end
-        if collecting and stop > pos:
-            piece = html_lib.unescape(html[pos:stop]).strip()
+        at, kind = _next_markup(html, pos)
+        if stack.holders and at > pos:
+            piece = html_lib.unescape(html[pos:at]).strip()
             if piece:
-                for el in stack:
-                    if el.texts is not None:
-                        el.texts.append(piece)
-        if not m:
+                for el in stack.holders:
+                    el.texts.append(piece)
+        if not kind:
             break
-        pos = m.end()
-        name = m.group("close")
-        if name:
-            name = name.lower()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == name:
-                    collecting -= _close(stack, depth, rows)
-                    break
+        if kind == "!":
+            close = "-->" if html.startswith("<!--", at) else ">"
+            stop = html.find(close, at + 2)
+            pos = stop + len(close) if stop >= 0 else end
             continue
-        name = m.group("open")
-        if not name:
+        name_at = _NAME.match(html, at + (2 if kind == "/" else 1))
+        name = name_at.group().lower()
+        attrs, pos = _read_tag(html, name_at.end())
+        if pos < 0:
+            break  # a tag that never ends is no element
+        if kind == "/":
+            depth = stack.deepest((name,))
+            if depth >= 0:
+                stack.close(depth)
             continue
-        name = name.lower()
         if name in CLOSES_P or name in CLOSES:
             targets, limits = CLOSES.get(name, ("p", ("button", "td", "th", "table", "body", "a")))
             wanted = targets.split()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag in wanted:
-                    collecting -= _close(stack, depth, rows)
-                    if "tr" not in wanted and "td" not in wanted:
-                        break
-                elif stack[depth].tag in limits:
+            again = "tr" in wanted or "td" in wanted
+            while (depth := stack.deepest(wanted)) > stack.deepest(limits):
+                stack.close(depth)
+                if not again:
                     break
-        raw_attrs = m.group("attrs")
-        attrs = _read_attrs(raw_attrs) if raw_attrs else {}
-        parent = stack[-1] if stack else None
+        elif name in TEXT_TAGS and (depth := stack.deepest((name,))) > stack.deepest(("td", "th", "table")):
+            stack.close(depth)  # neither links nor buttons nest
+        parent = stack.top()
         around = parent.around if parent else (None, None, None, None)
         node_id = len(rows)
         anchor, picture, form, video = around
@@ -123,22 +189,22 @@ def scan_page(page_id, page_url, html: str) -> list[list]:
                 _first_of_kind(name, attrs, picture, seen),
                 _context(parent.attrs) if parent else None,
                 anchor.attrs if anchor and name == "img" else None,
-                _parent_context(rows, stack, anchor) if anchor and name == "img" else None,
+                _context(anchor.parent.attrs) if anchor and anchor.parent and name == "img" else None,
                 video.attrs if video and name == "source" else None,
                 form.attrs if form and name in ("a", "button", "input") else None,
             ]
         )
-        if name in VOID or raw_attrs.endswith("/"):
+        if name in VOID:
             continue
         if name in RAW:
-            close = re.compile(r"</" + name + r"(?=[\s/>])", re.I).search(html, pos)
+            close = _RAW_END[name].search(html, pos)
             stop = close.start() if close else end
             text = html[pos:stop]
             rows[-1][8] = text if name in ("script", "style") else html_lib.unescape(text)
             gt = html.find(">", stop) if close else -1
             pos = gt + 1 if gt >= 0 else end
             continue
-        el = _Open(name, node_id, attrs, around)
+        el = _Open(name, node_id, attrs, around, parent)
         if name == "a" and "href" in attrs:
             el.around = (el, picture, form, video)
         elif name == "picture":
@@ -147,9 +213,8 @@ def scan_page(page_id, page_url, html: str) -> list[list]:
             el.around = (anchor, picture, el, video)
         elif name == "video":
             el.around = (anchor, picture, form, el)
-        collecting += el.texts is not None
-        stack.append(el)
-    _close(stack, 0, rows)
+        stack.push(el)
+    stack.close(0)
     return rows
 
 
@@ -166,22 +231,6 @@ def _first_of_kind(name, attrs, picture, seen: set) -> bool | None:
     return first
 
 
-def _parent_context(rows, stack, anchor):
-    above = rows[anchor.row][3]
-    return next((_context(el.attrs) for el in stack if el.row == above), None)
-
-
-def _close(stack: list[_Open], depth: int, rows: list[list]) -> int:
-    """Close the open elements from ``depth`` up; returns how many held text."""
-    closed = 0
-    for el in stack[depth:]:
-        if el.texts is not None:
-            rows[el.row][7] = " ".join(el.texts)
-            closed += 1
-    del stack[depth:]
-    return closed
-
-
 def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     arrays = []

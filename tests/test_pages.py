@@ -1,5 +1,6 @@
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from mediaweave.functions.rewrite import RuleBook
@@ -204,3 +205,36 @@ def test_browser_scan_first_wins(one_page):
         BASE + "b.jpg": "img", BASE + "d.jpg": "srcset", BASE + "f.jpg": "img", "https://cdn.example/g.jpg": "data-src",
     }
     assert {r["url"] for r in S.scan_links(n).collect()} == {BASE + "a.jpg", BASE + "next.html"}
+
+
+@pytest.mark.parametrize(
+    ("markup", "wanted"),
+    [
+        ("<a href=/gallery/><img src=t.jpg></a>", [("a", "/gallery/", None), ("img", "t.jpg", 0)]),
+        ("<img src=a.jpg alt=it's><img src='/b/2.jpg'> don't", [("img", "a.jpg", None), ("img", "/b/2.jpg", None)]),
+        ('<img src=a.jpg alt="x><img src="b.jpg"><img src=c.jpg>', [("img", "a.jpg", None), ("img", "c.jpg", None)]),
+        ("<a href=1>x<a href=2><img src=i></a></a>", [("a", "1", None), ("a", "2", None), ("img", "i", 1)]),
+        ("<a href=1/>x<img src=i/></a>", [("a", "1/", None), ("img", "i/", 0)]),
+        ("1 < 2 <img src = 'x y' > </ a><img src=z", [("img", "x y", None)]),
+        ("<A HREF=1><IMG SRC=2 SRC=3></A ignored='>'><img src=4>", [("a", "1", None), ("img", "2", 0), ("img", "4", None)]),
+    ],
+)
+def test_malformed_markup(markup, wanted):
+    from mediaweave.operators.scanner import scan_page
+
+    rows = scan_page(1, "u", markup)
+    assert [(r[4], r[5].get("href", r[5].get("src")), r[9]) for r in rows] == wanted
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", "<div><a href=x>l</a>", "<p><button><div>", "<a href=1>", "<", '<a href="', "</x ", "<b></i>", "<td><table>", "<!--", "<li><ul>", "&"],
+)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    from mediaweave.operators.scanner import scan_page
+
+    start = time.process_time()
+    scan_page(1, "u", piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 30
