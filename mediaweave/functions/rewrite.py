@@ -10,6 +10,7 @@ a shuffle and adds no rows until its result array is exploded.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -144,41 +145,125 @@ def _rule(row: dict) -> dict:
     return {k: row[k] for k in ("rule_id", "img", "to")}
 
 
+_QUANTIFIERS = "?*{+"
+#: Escapes that stand for themselves; any other escape is not understood here.
+_PLAIN_ESCAPES = frozenset("/.-_:?&=%#!~+,;@'()[]{}|^$*\"\\")
+
+
 def required_literal(pattern: str) -> str | None:
     """Longest lower-cased text every match of the pattern must contain, if one is plain to see.
 
-    Only text outside of groups and alternatives counts, and no character that
-    a quantifier may drop.  Used to skip a pattern by a substring test.
+    Only ASCII text outside of groups and alternatives counts, and no character that a quantifier
+    may drop.  A pattern with anything else than plain characters, escaped punctuation, simple classes,
+    groups and quantifiers gives none.  Used to skip a pattern by a substring test.
     """
     best, run, depth, i = "", "", 0, 0
     while i < len(pattern):
         c, step, literal = pattern[i], 1, None
         if c == "\\":
             nxt = pattern[i + 1 : i + 2]
-            step, literal = 2, nxt if nxt and not nxt.isalnum() else None
+            if nxt in _PLAIN_ESCAPES and nxt:
+                literal = nxt
+            elif not nxt or nxt not in "dDwWsSbB":
+                return None
+            step = 2
         elif c == "[":
             end = pattern.find("]", i + 2)
-            if end < 0:
+            body = pattern[i + 1 : end]
+            if end < 0 or any(x in body for x in "[&") or re.search(r"\\[^dwsDWS./\-]", body) or body.endswith("\\"):
+                return None
+            step, literal = end + 1 - i, "." if body == "." else None
+        elif c == "(":
+            if pattern.startswith("(?", i) and not pattern.startswith(("(?:", "(?<"), i) or pattern.startswith(("(?<=", "(?<!"), i):
+                return None
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|":
+            if depth == 0:
                 return None
-            step, literal = end + 1 - i, "." if pattern[i : end + 1] == "[.]" else None
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            return None
         elif c == "{":
-            step = max(pattern.find("}", i) + 1 - i, 1)
+            end = pattern.find("}", i)
+            if end < 0:
+                return None
+            step = end + 1 - i
         elif c not in "^$.*+?":
+            if not c.isascii() or c in "\n\r":
+                return None
             literal = c
         after = pattern[i + step : i + step + 1]
-        if literal and depth == 0 and (not after or after not in "?*{+"):
+        if literal and depth == 0 and (not after or after not in _QUANTIFIERS):
             run += literal
         else:
             run = ""
         best = run if len(run) > len(best) else best
         i += step
+    # letters whose other cases lie outside ASCII would be missed by a lower-cased search
     return best.lower() if len(best) > 2 else None
 
 
+def java_pattern(pattern: str) -> str:
+    """A Python-style pattern in the engine's syntax: named groups, references to them, and the end of text."""
+    def name(n):
+        return n.replace("_", "U")
+
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m[1])}>", pattern)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\\\k<{name(m[1])}>", out)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
+
+
+_PYTHON_PART = re.compile(r"\\g<(\w+)>|\\(\d{1,2})|\\(.)|(\$)", re.S)
+_RULE_PART = re.compile(r"\$(\d{1,2})|\$<(\w+)>|(\$&)|(\$\$)|\\g<(\w+)>|\\(\d)|(\\.?|\$)", re.S)
+_CONTROL = {"n": "\n", "t": "\t", "r": "\r"}
+
+
+def _group(ref: str, after: str) -> tuple[str, bool]:
+    named = "${" + ref.replace("_", "U") + "}" if not ref.isdigit() else f"${int(ref)}"
+    # a digit behind a numbered group is text
+    return named, ref.isdigit() and after[:1].isdigit()
+
+
+def _translated(target: str, parts: re.Pattern, one) -> str:
+    out, at, escape = [], 0, False
+    for m in parts.finditer(target):
+        text = target[at : m.start()]
+        out.append("\\" + text if escape and text else text)
+        piece, escape = one(m, target[m.end() :])
+        out.append(piece)
+        at = m.end()
+    text = target[at:]
+    return "".join([*out, "\\" + text if escape and text else text])
+
+
+def python_target(target: str) -> str:
+    """A Python replacement (``\\1``, ``\\g<1>``, ``\\g<name>``) in the engine's syntax; ``$`` is text."""
+    def one(m, after):
+        if m[1] or m[2]:
+            return _group(m[1] or m[2], after)
+        if m[3]:
+            c = _CONTROL.get(m[3], m[3])
+            return "\\\\" if c == "\\" else c, False
+        return "\\$", False
+
+    return _translated(target, _PYTHON_PART, one)
+
+
+def rule_target(target: str) -> str:
+    """A rule's replacement (``$1``, ``$<name>``, ``$&``, ``$$``; ``\\1`` too) in the engine's syntax."""
+    def one(m, after):
+        if m[1]:
+            return f"${int(m[1])}", False
+        if m[2] or m[5] or m[6]:
+            return _group(m[2] or m[5] or m[6], after)
+        if m[3]:
+            return "$0", after[:1].isdigit()
+        if m[4]:
+            return "\\$", False
+        return "".join("\\" + c for c in m[7].replace("\\\\", "\\")), False
+
+    return _translated(target, _RULE_PART, one)
+
+
 @dataclass
 class RuleBook:
     """Checked rewrite rules, in file order.
@@ -191,6 +276,7 @@ class RuleBook:
     rules: list[dict] = field(default_factory=list)
     patterns: list[dict] = field(default_factory=list)
     thumbnails: list[tuple[str, str]] = field(default_factory=list)
+    rejects: list[dict] = field(default_factory=list)
 
     # -- pieces as columns --
 

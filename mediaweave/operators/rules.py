@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.functions import urls as U
-from mediaweave.functions.rewrite import RuleBook, apply_replacements, expand_variants, substitute
-
-FOLD_LIMIT = 5000
+from mediaweave.functions.rewrite import (
+    RuleBook,
+    _constant,
+    apply_replacements,
+    expand_variants,
+    java_pattern,
+    python_target,
+    rule_target,
+    substitute,
+)
+from mediaweave.session import settled
+
+#: Rules checked and applied at a time when they are not folded.
+CHUNK = 1000
 
 
 def rule_domain(regex) -> Column:
@@ -38,49 +52,92 @@ def _groups(spark: SparkSession, pattern: str) -> int:
         return -1
 
 
+def _fault(spark: SparkSession, pattern: str, target: str | None = None) -> str | None:
+    """Why a pattern, or a replacement by it, cannot be used; tried out on the JVM."""
+    groups = _groups(spark, pattern)
+    if groups < 0:
+        return "pattern"
+    if target is not None:
+        named = [int(n) for n in re.findall(r"(?<!\\)\$(\d)", target)]
+        if named and max(named) > groups:
+            return "group"
+        # the pattern or nothing: every replacement is carried out at least once, on an empty text
+        jvm = spark._jvm.java.util.regex.Pattern
+        try:
+            jvm.compile(f"(?:{pattern})|").matcher("").replaceAll(target)
+        except Exception:
+            return "target"
+    return None
+
+
 def check_rules(spark: SparkSession, rows: list[dict]) -> tuple[list[dict], list[dict]]:
-    """Split rules into usable ones and rejects with a reason.
+    """Split rules into usable ones, in the engine's syntax, and rejects with a reason.
 
-    Rejected: patterns that do not compile, targets naming a missing group, and
-    targets holding program code instead of a substitution.
+    Rejected: patterns that do not compile, targets naming a missing group or failing a trial, targets
+    holding program code instead of a substitution.
     """
-    import re
-
     good, bad = [], []
     for row in rows:
-        reason = None
-        to = row.get("to") or ""
+        new = {**row, "link": row.get("link") and java_pattern(row["link"]), "img": row.get("img") and java_pattern(row["img"])}
+        new["res"] = [java_pattern(p) for p in row["res"]] if row.get("res") else row.get("res")
+        reason, to = None, row.get("to") or ""
         if to.startswith(":"):
             reason = "code target"
+        elif to:
+            new["to"] = rule_target(to)
         for key in ("link", "img"):
-            if row.get(key) and _groups(spark, row[key]) < 0:
+            if new[key] and _fault(spark, new[key]):
                 reason = f"bad {key} pattern"
-        for pattern in row.get("res") or []:
+        for pattern in new["res"] or []:
             if _groups(spark, pattern) < 1:
                 reason = "bad res pattern"
-        if not reason and row.get("img") and to:
-            named = [int(n) for n in re.findall(r"\$(\d)", to)]
-            if named and max(named) > _groups(spark, row["img"]):
-                reason = "missing group"
-        (bad if reason else good).append({**row, "reason": reason} if reason else row)
+        if not reason and new["img"] and to:
+            reason = {"group": "missing group", "target": "bad target"}.get(_fault(spark, new["img"], new["to"]))
+        good.append(new) if not reason else bad.append({**row, "reason": reason})
     return good, bad
 
 
-def rule_book(rules: DataFrame, patterns: DataFrame | None = None, thumbnails=(), limit: int = FOLD_LIMIT) -> RuleBook:
-    """Fold checked rule rows into a book.  Larger tables go through ``apply_rules_by_join``."""
-    rows = [r.asDict(recursive=True) for r in rules.orderBy("ord").limit(limit + 1).collect()]
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules: use apply_rules_by_join")
-    good, _ = check_rules(rules.sparkSession, rows)
+def check_replacements(spark: SparkSession, pairs) -> tuple[list[tuple[str, str]], list[dict]]:
+    """Split Python-style (source, target) replacements into usable ones, in the engine's syntax, and rejects."""
+    good, bad = [], []
+    for source, target in pairs:
+        new = java_pattern(source), python_target(target)
+        fault = _fault(spark, *new)
+        if fault:
+            bad.append({"source": source, "target": target, "reason": {"group": "missing group"}.get(fault, f"bad {fault}")})
+        else:
+            good.append(new)
+    return good, bad
+
+
+def rule_book(rules: DataFrame, patterns: DataFrame | None = None, thumbnails=()) -> RuleBook:
+    """Fold checked rule rows into a book; ``rejects`` of the book lists what cannot be used, and why.
+
+    Rules and patterns are configuration: files that a person keeps.  Tables of another order of size go through
+    ``apply_rules_by_join``.
+    """
+    spark = rules.sparkSession
+    good, bad = check_rules(spark, [r.asDict(recursive=True) for r in rules.orderBy("ord", "rule_id").collect()])
+    rejects = [{"kind": "rule", "name": str(r["rule_id"]), "reason": r["reason"]} for r in bad]
     sites = []
-    if patterns is not None:
-        found = patterns.limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} site patterns")
-        for p in found:
-            pairs = [(x["source"], x["target"]) for x in p["replacements"] or []]
-            sites.append({**p.asDict(), "replacements": pairs})
-    return RuleBook(rules=good, patterns=sites, thumbnails=list(thumbnails))
+    for p in patterns.collect() if patterns is not None else []:
+        pairs, faulty = check_replacements(spark, [(x["source"], x["target"]) for x in p["replacements"] or []])
+        rejects += [{"kind": "replacement", "name": p["site"], "reason": r["reason"]} for r in faulty]
+        urls = []
+        for rx in map(java_pattern, p["url_patterns"] or []):
+            if _fault(spark, rx):
+                rejects.append({"kind": "site pattern", "name": p["site"], "reason": "bad pattern"})
+            else:
+                urls.append(rx)
+        sites.append({**p.asDict(), "url_patterns": urls, "replacements": pairs})
+    pairs, faulty = check_replacements(spark, thumbnails)
+    rejects += [{"kind": "thumbnail", "name": r["source"], "reason": r["reason"]} for r in faulty]
+    return RuleBook(rules=good, patterns=sites, thumbnails=pairs, rejects=rejects)
+
+
+def rejected(spark: SparkSession, book: RuleBook) -> DataFrame:
+    """Rules, replacements and patterns that were left out, with the reason."""
+    return spark.createDataFrame([(r["kind"], r["name"], r["reason"]) for r in book.rejects], "kind string, name string, reason string")
 
 
 def match_site_patterns(urls: DataFrame, book: RuleBook) -> DataFrame:
@@ -142,34 +199,44 @@ def _host_keys() -> Column:
     return F.filter(F.array(*keys(page, 0), *keys(other, 2)), lambda k: k["domain"].isNotNull() & (k["domain"] != ""))
 
 
-def apply_rules_by_join(urls: DataFrame, rules: DataFrame, chunk: int = FOLD_LIMIT) -> DataFrame:
+def apply_rules_by_join(urls: DataFrame, rules: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Same result as ``apply_rules`` for rule tables too large to fold into a plan.
 
-    Host-bound rules meet their URLs by an equi join on the host; global rules
-    are applied as literals, a bounded chunk at a time.
+    Rules are checked a chunk at a time and written out; host-bound rules meet their URLs by an equi
+    join on the host, global rules of a chunk are one constant in one pass over the URLs.
     """
+    spark = rules.sparkSession
     usable = rules.filter((F.coalesce("img", F.lit("")) != "") & (F.coalesce("to", F.lit("")) != ""))
-    bound = usable.filter(F.col("domain").isNotNull()).select("domain", "ord", "rule_id", "img", "to")
-    pairs = urls.select("page_url", "url").distinct()
-    keyed = pairs.select("page_url", "url", F.inline(_host_keys()))
-    hits = keyed.join(bound, "domain").select(
-        "page_url", "url", "tier", "ord",
-        F.posexplode(expand_variants(substitute("url", F.col("img"), F.col("to")))).alias("pos", "variant"),
-    )
-    everywhere = usable.filter(F.col("domain").isNull())
-    last = -1
+    pairs = settled(urls.select("page_url", "url").distinct())
+    keyed = settled(pairs.select("page_url", "url", F.inline(_host_keys())))
+    parts, last = [], None
     while True:
-        rows = [r.asDict() for r in everywhere.filter(F.col("ord") > last).orderBy("ord").limit(chunk).collect()]
+        place = F.struct("ord", "rule_id")
+        later = usable if last is None else usable.filter(place > F.struct(F.lit(last[0]), F.lit(last[1])))
+        rows = [r.asDict(recursive=True) for r in later.orderBy("ord", "rule_id").limit(chunk).collect()]
         if not rows:
-            return hits
-        good, _ = check_rules(rules.sparkSession, rows)
-        for row in good:
-            found = pairs.select(
-                "page_url", "url", F.lit(4).alias("tier"), F.lit(row["ord"]).cast("int").alias("ord"),
-                F.posexplode(expand_variants(substitute("url", F.lit(row["img"]), F.lit(row["to"])))).alias("pos", "variant"),
+            break
+        last = rows[-1]["ord"], rows[-1]["rule_id"]
+        good, _ = check_rules(spark, rows)
+        bound = [(r["domain"], r["ord"], r["rule_id"], r["img"], r["to"]) for r in good if r["domain"]]
+        if bound:
+            table = spark.createDataFrame(bound, "domain string, ord int, rule_id int, img string, to string")
+            variants = expand_variants(substitute("url", F.col("img"), F.col("to")))
+            found = keyed.join(table, "domain")
+            parts.append(found.select("page_url", "url", "tier", "ord", "rule_id", F.posexplode(variants).alias("pos", "variant")))
+        everywhere = RuleBook(rules=[r for r in good if not r["domain"]])
+        if everywhere.rules:
+            hits = pairs.select("page_url", "url", F.explode(everywhere.global_rules("url")).alias("r"))
+            places = _constant({str(r["rule_id"]): r["ord"] for r in everywhere.rules}, "map<string,int>")
+            hits = hits.select(
+                "page_url", "url", F.lit(4).alias("tier"), places[F.col("r.rule_id").cast("string")].alias("ord"),
+                F.col("r.rule_id").alias("rule_id"),
+                F.posexplode(expand_variants(substitute("url", F.col("r.img"), F.col("r.to")))).alias("pos", "variant"),
             )
-            hits = hits.unionByName(found)
-        last = rows[-1]["ord"]
+            parts.append(settled(hits))
+    if not parts:
+        return pairs.select("page_url", "url", *[F.lit(0).alias(c) for c in ("tier", "ord", "rule_id", "pos")], F.lit("").alias("variant")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def transform_image_urls(urls: DataFrame, book: RuleBook) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from mediaweave import constants as K
 from mediaweave.functions import urls as U
-from mediaweave.functions.rewrite import RuleBook, largest_srcset
+from mediaweave.functions.rewrite import RuleBook, _constant, largest_srcset, required_literal
+from mediaweave.functions.urls import let
 
 _IMAGE_LINK = r"(?i)\.(?:jpe?g|png|gif|webp|bmp|tiff?|avif|heic)(?:\?|$)"
 _SAVED_IMAGE = r"(?i)\.(?:jpe?g|webp|avif|heic|bmp|tiff?)$"
@@ -125,17 +126,21 @@ def _captures(url: Column, html: Column, rules: RuleBook) -> Column:
         return F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https:"), u))
 
     none = F.array().cast("array<string>")
-    out = None
-    for rule in rules.rules:
-        if not (rule.get("link") and rule.get("res")):
-            continue
-        hit = bare.rlike("(?i)" + rule["link"]) | url.rlike("(?i)" + rule["link"])
-        found = F.array(*[F.nullif(F.regexp_extract(html, "(?i)" + r, 1), F.lit("")) for r in rule["res"]])
-        found = F.array_distinct(F.transform(F.filter(found, lambda x: x.isNotNull()), full))
-        value = F.when(hit, found)
-        usable = F.size(F.coalesce(value, none)) > 0
-        out = F.when(usable, value) if out is None else out.when(usable, value)
-    return none if out is None else F.coalesce(out, none)
+    usable = [{"link": r["link"], "res": r["res"]} for r in rules.rules if r.get("link") and r.get("res")]
+    if not usable:
+        return none
+    # the rules are one constant, however many there are
+    table = _constant(usable, "array<struct<link:string,res:array<string>>>")
+    hits = F.filter(table, lambda r: F.rlike(bare, F.concat(F.lit("(?i)"), r.link)) | F.rlike(url, F.concat(F.lit("(?i)"), r.link)))
+
+    def captured(r):
+        one = F.transform(
+            r.res, lambda p: F.nullif(F.call_function("regexp_extract", html, F.concat(F.lit("(?i)"), p), F.lit(1)), F.lit(""))
+        )
+        return F.array_distinct(F.transform(F.filter(one, lambda x: x.isNotNull()), full))
+
+    found = F.filter(F.transform(hits, captured), lambda f: F.size(f) > 0)
+    return F.coalesce(F.get(found, 0), none)
 
 
 def fullsize_of_pages(pages: DataFrame, rules: RuleBook) -> DataFrame:
@@ -201,16 +206,30 @@ def resolve_url(items: DataFrame, pages: DataFrame, rules: RuleBook) -> DataFram
 
 def first_rule(url: Column, page_url: Column, rules: RuleBook) -> Column:
     """Browser form of rewriting: first rule giving another URL, first option of each block."""
-    out = None
-    for rule in rules.rewriting:
-        hit = F.coalesce(url.rlike("(?i)" + rule["img"]), F.lit(False))
-        if rule.get("link"):
-            hit = hit & page_url.rlike("(?i)" + rule["link"])
+    rows = [{"link": r.get("link"), "img": r["img"], "to": r["to"], "text": required_literal(r["img"])} for r in rules.rewriting]
+    if not rows:
+        return F.lit(None).cast("string")
+    table = _constant(rows, "array<struct<link:string,img:string,to:string,text:string>>")
+
+    def any_case(p):
+        return F.concat(F.lit("(?i)"), p)
+
+    def hits(low):
+        return F.filter(
+            table,
+            lambda r: (r.text.isNull() | low.contains(r.text))
+            & F.rlike(url, any_case(r.img))
+            & (r.link.isNull() | F.rlike(page_url, any_case(r.link))),
+        )
+
+    def rewritten(r):
         # the match alone is substituted into the target, the rest of the URL is dropped
-        whole = "(?is)^.*?" + f"(?:{rule['img']})" + ".*$"
-        value = F.regexp_replace(url, whole, rule["to"])
+        whole = F.concat(F.lit("(?is)^.*?(?:"), r.img, F.lit(").*$"))
+        return let(F.call_function("regexp_replace", url, whole, r.to), first_option)
+
+    def first_option(value):
         options = F.trim(F.regexp_extract(value, r"#([^#]+)#", 1))
-        chosen = F.when(
+        return F.when(
             options != "",
             F.concat(
                 F.regexp_extract(value, r"(?s)^(.*?)#[^#]+#", 1),
@@ -218,9 +237,9 @@ def first_rule(url: Column, page_url: Column, rules: RuleBook) -> Column:
                 F.regexp_extract(value, r"(?s)^.*?#[^#]+#(.*)$", 1),
             ),
         ).otherwise(value)
-        hit = hit & (chosen != "") & (chosen != url)
-        out = F.when(hit, chosen) if out is None else out.when(hit, chosen)
-    return F.lit(None).cast("string") if out is None else out
+
+    made = F.transform(let(F.lower(url), hits), rewritten)
+    return F.get(F.filter(made, lambda v: (v != "") & (v != url)), 0)
 
 
 def transform_media(items: DataFrame, rules: RuleBook) -> DataFrame:

@@ -131,3 +131,100 @@ def test_discovery_on_linked_pages(spark):
     assert [r["resolved_url"] for r in S.resolve_url(links, pages, rules).orderBy("rank").collect()] == [
         "http://i/x.jpg", "http://h.example/p2", "http://d/k.jpg",
     ]
+
+
+def candidates(spark, book, url, page="https://p.example/x"):
+    df = spark.createDataFrame([(url, page)], "url string, page_url string")
+    return [r["candidate"] for r in R.transform_image_urls(df, book).orderBy("pos").collect()]
+
+
+def rules_of(spark, rows):
+    schema = "rule_id int, ord int, name string, link string, img string, to string, res array<string>"
+    return R.index_rules(spark.createDataFrame(rows, schema))
+
+
+def test_python_references_of_site_patterns(spark):
+    pairs = [
+        (r"/thumb/(\d+)\.jpg", r"/full/\1.jpg"),
+        (r"/a/(?P<the_id>\d+)x", r"/b/\g<the_id>y"),
+        (r"/q(\d)z", r"/r\g<1>0$"),
+        ("(unclosed", "x"),
+        ("/ok/", r"\7"),
+    ]
+    site = [("s", True, ["h.example"], ["[bad", r"h\.example/\w+"], pairs)]
+    kind = "site string, enabled boolean, domains array<string>, url_patterns array<string>, replacements array<struct<source:string,target:string>>"
+    book = R.rule_book(rules_of(spark, []), spark.createDataFrame(site, kind), [(r"/w(\d)/", r"/whole\1/"), ("[", "x")])
+    assert candidates(spark, book, "https://h.example/thumb/9.jpg") == ["https://h.example/full/9.jpg"]
+    assert candidates(spark, book, "https://h.example/a/12x") == ["https://h.example/b/12y"]
+    assert candidates(spark, book, "https://h.example/q4z") == ["https://h.example/r40$"]
+    assert candidates(spark, book, "https://other.example/w3/i.png") == ["https://other.example/whole3/i.png"]
+    assert {(r.kind, r.name, r.reason) for r in R.rejected(spark, book).collect()} == {
+        ("replacement", "s", "bad pattern"), ("replacement", "s", "missing group"), ("site pattern", "s", "bad pattern"),
+        ("thumbnail", "[", "bad pattern"),
+    }
+
+
+def test_targets_of_rules(spark):
+    rows = [
+        (1, 1, "a", None, r"/t1/(\w+)", "/f/$1?$&$$", []),
+        (2, 2, "b", None, r"/t2/(?P<my_name>\w+)", r"/f/\1-$<my_name>\\q", []),
+        (3, 3, "c", None, r"/t3/(\w+)", "/f/$2", []),
+        (4, 4, "d", None, r"/t4/\w+", "big$&", []),
+        (5, 5, "e", None, r"\x2f\x74\x35\x2f(\w+)", "/f/$1", []),
+        (6, 6, "f", None, "/t6/(", "x", []),
+        (7, 7, "g", None, "/t7/", "$", []),
+        (8, 8, "h", None, "/t8/", "$<none>", []),
+    ]
+    book = R.rule_book(rules_of(spark, rows))
+    urls = {n: f"http://h/t{n}/abc" for n in range(1, 9)}
+    got = {n: candidates(spark, book, u) for n, u in urls.items()}
+    assert got[1][1:] == ["http://h/f/abc?/t1/abc$"] and got[2][1:] == ["http://h/f/abc-abc\\q"]
+    assert got[4][1:] == ["http://hbig/t4/abc"] and got[5][1:] == ["http://h/f/abc"] and got[7][1:] == ["http://h$abc"]
+    assert {r["name"]: r["reason"] for r in book.rejects} == {"3": "missing group", "6": "bad img pattern", "8": "bad target"}
+
+
+def test_repeated_order_is_paged_whole(spark):
+    rows = [(n, o, "n", None, "/x/(.+)", f"/y{n}/$1", []) for n, o in enumerate([1, 2, 2, 3])]
+    urls = spark.createDataFrame([("https://p/", "http://h/x/1")], "page_url string, url string")
+    for chunk in (1, 2, 3, 100):
+        got = R.apply_rules_by_join(urls, rules_of(spark, rows), chunk=chunk)
+        assert got.select("variant").distinct().count() == 4
+
+
+def test_one_bad_rule_does_not_stop_the_others(spark):
+    rows = [(1, 1, "n", r"h\.example/", "(((", "x", []), (2, 2, "n", r"h\.example/", "/x/", "/y/", []), (3, 3, "n", None, "x", "$9", [])]
+    urls = spark.createDataFrame([("https://h.example/", "http://h.example/x/1")], "page_url string, url string")
+    assert [r["variant"] for r in R.apply_rules_by_join(urls, rules_of(spark, rows)).collect()] == ["http://h.example/y/1"]
+
+
+def test_required_literal_against_matches():
+    """No pattern is ever screened out on a text it matches."""
+    import random
+    import re
+
+    rng = random.Random(0)
+    parts = ["abc", "/", "\\.", "\\d", "\\x2f", "\\/", "[.]", "[\\]x]", "[a-c]", "(x|y)", "(?:ab)?", "(abc)", "+", "*", "?", "{0,2}", "{2}", "|", "img", ".", "^", "$", "\\w", "A", "\\t", "-", "[^/]"]
+    texts = ["".join(rng.choice(["abc", "/", ".", "1", "x", "]", "ab", "img", "A", "a", "\t", "-", "y"]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    screened = 0
+    for _ in range(6000):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 8)))
+        try:
+            compiled = re.compile(pattern, re.I)
+        except re.error:
+            continue
+        text = required_literal(pattern)
+        if text:
+            screened += 1
+            for t in texts:
+                assert text in t.lower() or not compiled.search(t), (pattern, text, t)
+    assert screened > 100
+    assert required_literal(r"^https?:\x2f\x2fimg.ex") is None and required_literal(r"[\]x]thumb-(.+)") is None
+
+
+def test_first_rule_with_many_rules(spark):
+    """The plan does not grow with the rules, and the first fitting one wins."""
+    rules = [dict(rule_id=i, ord=i, link=None, res=[], img=f"/rule{i}/(.+)$", to=f"http://full/{i}/$1", domain=None) for i in range(3000)]
+    rules.insert(0, dict(rule_id=-1, ord=-1, link="only[.]here", res=[], img="/rule7/", to="x", domain=None))
+    df = spark.createDataFrame([(f"http://h/rule{n}/p.jpg", "http://page/") for n in (7, 2999, 5000)], "url string, page_url string")
+    got = [r["v"] for r in df.select(S.first_rule(F.col("url"), F.col("page_url"), RuleBook(rules=rules)).alias("v")).collect()]
+    assert got == ["http://full/7/p.jpg", "http://full/2999/p.jpg", None]
