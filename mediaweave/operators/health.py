@@ -173,14 +173,17 @@ def interstitial_feedback(fetches: DataFrame) -> DataFrame:
     )
 
 
-def counters(fetches: DataFrame) -> DataFrame:
-    """Images, videos, downloaded and skipped in one aggregate."""
-    return fetches.agg(
+def counters(fetches: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Images, videos, downloaded and skipped in one aggregate, and the pages read if these are given."""
+    found = fetches.agg(
         F.count_if(F.col("media_type") == "image").alias("images_found"),
         F.count_if(F.col("media_type") == "video").alias("videos_found"),
         F.count_if(F.col("success")).alias("files_downloaded"),
         F.count_if(~F.col("success")).alias("files_skipped"),
     )
+    if pages is None:
+        return found
+    return found.withColumn("pages_processed", pages.filter("html IS NOT NULL").agg(F.count("*").alias("n")).scalar())
 
 
 def progress(counts: DataFrame) -> DataFrame:

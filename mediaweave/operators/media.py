@@ -9,6 +9,7 @@ is the order in which a page yields its media; later first-wins steps use it.
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -84,6 +85,18 @@ def _hires(name: str) -> bool:
     return any(w in name for w in K.HIRES_ATTRIBUTE_WORDS)
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a task may set of the extraction: smallest image, and whether hidden links count."""
+
+    min_width: int = K.MIN_IMAGE_WIDTH
+    min_height: int = K.MIN_IMAGE_HEIGHT
+    filter_hidden: bool = True
+
+
+DEFAULTS = Settings()
+
+
 def best_image(attrs: Column, min_width: int = K.MIN_IMAGE_WIDTH, min_height: int = K.MIN_IMAGE_HEIGHT) -> Column:
     """Best candidate of an image's attributes as ``struct<url, rank, source, width, height>``."""
 
@@ -140,7 +153,7 @@ def best_image(attrs: Column, min_width: int = K.MIN_IMAGE_WIDTH, min_height: in
 # --- extractors --------------------------------------------------------------
 
 
-def picture_images(rules: RuleBook | None = None) -> Column:
+def picture_images(rules: RuleBook | None = None, settings: Settings = DEFAULTS) -> Column:
     rules = rules or RuleBook()
     inside = F.col("picture_id").isNotNull()
     from_sources = F.transform(
@@ -166,11 +179,11 @@ def picture_images(rules: RuleBook | None = None) -> Column:
     first_image = (F.col("tag") == "img") & F.col("first_of_kind")
     return F.concat(
         _on((F.col("tag") == "source") & inside, from_sources),
-        _on(first_image, U.let(best_image(F.col("attrs")), from_image)),
+        _on(first_image, U.let(best_image(F.col("attrs"), settings.min_width, settings.min_height), from_image)),
     )
 
 
-def _image_facts(rules: RuleBook, retry: bool) -> Column:
+def _image_facts(rules: RuleBook, retry: bool, settings: Settings) -> Column:
     """Per rewritten variant of an image: its URL, whether it counts, and its linked target."""
     anchor, page = F.col("anchor_attrs"), F.col("page_url")
     linked = _filled(anchor["href"]) & is_visible(anchor, F.col("anchor_parent_attrs"))
@@ -210,7 +223,8 @@ def _image_facts(rules: RuleBook, retry: bool) -> Column:
         found = F.transform(urls, lambda u: facts(u))
         return F.filter(found, lambda f: f["v"]["url"].rlike("^https?://"))
 
-    bound = U.let(F.struct(best_image(F.col("attrs")).alias("best"), target.alias("target")), with_target)
+    best = best_image(F.col("attrs"), settings.min_width, settings.min_height)
+    bound = U.let(F.struct(best.alias("best"), target.alias("target")), with_target)
     variants = U.let(bound, lambda v: F.when(_filled(v["best"]["url"]), per_variant(v)))
     return F.when((F.col("tag") == "img") & is_visible(), variants)
 
@@ -228,7 +242,7 @@ def _flat(f) -> dict:
     return {"url": f["v"]["url"], "kept": f["v"]["kept"], **{n: f[n] for n in names}}
 
 
-def img_images(rules: RuleBook | None = None, retry: bool = False) -> Column:
+def img_images(rules: RuleBook | None = None, retry: bool = False, settings: Settings = DEFAULTS) -> Column:
     """Media of visible images: the image, and the full-size file its link points at."""
     rules = rules or RuleBook()
 
@@ -251,7 +265,7 @@ def img_images(rules: RuleBook | None = None, retry: bool = False) -> Column:
             _on(goes & (f["to_image"] | f["to_media"]), F.array(onward)),
         )
 
-    return F.coalesce(F.flatten(F.transform(_image_facts(rules, retry), emit)), _none())
+    return F.coalesce(F.flatten(F.transform(_image_facts(rules, retry, settings), emit)), _none())
 
 
 _LINK = (
@@ -260,7 +274,7 @@ _LINK = (
 )
 
 
-def img_links(rules: RuleBook | None = None, retry: bool = False) -> Column:
+def img_links(rules: RuleBook | None = None, retry: bool = False, settings: Settings = DEFAULTS) -> Column:
     """Pages to crawl because an image links to them."""
     rules = rules or RuleBook()
 
@@ -290,7 +304,7 @@ def img_links(rules: RuleBook | None = None, retry: bool = False) -> Column:
             on(known & ~media_like & ~_to_page(f), link(1, 15.0, True)),
         )
 
-    return F.coalesce(F.flatten(F.transform(_image_facts(rules, retry), emit)), F.array().cast(_LINK))
+    return F.coalesce(F.flatten(F.transform(_image_facts(rules, retry, settings), emit)), F.array().cast(_LINK))
 
 
 def css_urls(style: Column) -> Column:
@@ -507,11 +521,13 @@ def lazy_media() -> Column:
 
 
 @U.reusable
-def extractors(rules: RuleBook | None = None, retry: bool = False) -> dict[str, Column]:
+def extractors(
+    rules: RuleBook | None = None, retry: bool = False, settings: Settings = DEFAULTS
+) -> dict[str, Column]:
     """All extractors by name, in the order a page is read."""
     return {
-        "picture": picture_images(rules),
-        "img": img_images(rules, retry),
+        "picture": picture_images(rules, settings),
+        "img": img_images(rules, retry, settings),
         "css": css_images(),
         "icon": icon_images(),
         "meta_image": meta_images(),
@@ -598,6 +614,8 @@ def extract(node_table: DataFrame, *candidates: Column) -> DataFrame:
     return rows.select("page_id", "page_url", "c", _resolved()).filter(_kept()).select(*_record())
 
 
-def extract_media(node_table: DataFrame, rules: RuleBook | None = None, retry: bool = False) -> DataFrame:
+def extract_media(
+    node_table: DataFrame, rules: RuleBook | None = None, retry: bool = False, settings: Settings = DEFAULTS
+) -> DataFrame:
     """Every media record of every page, one pass over the nodes."""
-    return extract(node_table, *extractors(rules, retry).values())
+    return extract(node_table, *extractors(rules, retry, settings).values())

@@ -603,6 +603,10 @@ WITH {MEDIA} SELECT page_id, url, source, '900' AS width, '(min-width:800px)' AS
 ORACLE["h07_img_images"] = f"""
 WITH {MEDIA} SELECT page_id, url, source, page_id % 16 = 4 AND source = 'src' AS transformed,
   CASE WHEN page_id % 16 = 4 AND source = 'src' THEN '/t/' || page_id || '-300x200.jpg' END AS original_url FROM media WHERE op = 'h07'"""
+ORACLE["h07_img_images_requoted"] = f"SELECT * FROM ({ORACLE['h07_img_images']}) WHERE page_id % 16 NOT IN (9, 12)"
+ORACLE["h07_img_images_min_size"] = f"""
+SELECT page_id, CASE WHEN page_id % 16 = 1 THEN regexp_replace(url, '-d[.]jpg$', '.jpg') ELSE url END AS url,
+  CASE WHEN page_id % 16 = 1 THEN 'src' ELSE source END AS source, transformed, original_url FROM ({ORACLE['h07_img_images']})"""
 _V4 = f"""SELECT page_id, {origin('url')} || '/gallery/' || page_id AS url, {origin('url')} || '/t/' || page_id || '.jpg' AS thumbnail_url, 15.0::DOUBLE AS priority
   FROM pages WHERE page_id % 16 = 4 AND {significant(f"({origin('url')} || '/t/' || page_id || '.jpg')")}
   UNION ALL SELECT page_id, {origin('url')} || '/post/' || page_id, {origin('url')} || '/t2/' || page_id || '.jpg', 15.0
@@ -636,6 +640,7 @@ _PLAIN_LINKS = """SELECT page_id, url, false AS from_image, 'a' AS element, arg_
 FROM anchors GROUP BY page_id, url
 UNION ALL SELECT page_id, url, false, 'canonical', NULL, 2.0, NULL FROM canon"""
 ORACLE["h19_links"] = f"WITH {ANCHORS} {_PLAIN_LINKS}"
+ORACLE["h19_links_hidden_too"] = ORACLE["h19_links_requoted"] = ORACLE["h19_links"]
 ORACLE["h20_canonical_link"] = f"WITH {ANCHORS} SELECT page_id, url, 2.0::DOUBLE AS priority FROM canon"
 LINKS = f"""{ANCHORS}, plain AS ({_PLAIN_LINKS}), image_links AS ({_V4}),
 links AS (SELECT p.page_id, p.url, m.url IS NOT NULL AS from_image, CASE WHEN m.url IS NULL THEN p.element END AS element,
@@ -877,7 +882,8 @@ WITH {EDGES} SELECT page_id AS task_id, url FROM edges WHERE {base2(host('url'))
 
 ORACLE["a01_counters"] = f"""
 WITH {OUTCOMES} SELECT count(*) FILTER (media_type = 'image') AS images_found, count(*) FILTER (media_type = 'video') AS videos_found,
-  count(*) FILTER (success) AS files_downloaded, count(*) FILTER (NOT success) AS files_skipped FROM outcomes"""
+  count(*) FILTER (success) AS files_downloaded, count(*) FILTER (NOT success) AS files_skipped,
+  (SELECT count(*) FROM pages WHERE html IS NOT NULL) AS pages_processed FROM outcomes"""
 ORACLE["a02_progress"] = f"""
 WITH {OUTCOMES} SELECT media_type, floor(100 * count(*) / (2 * count(*)))::BIGINT AS percent FROM outcomes GROUP BY 1"""
 ORACLE["a03_host_reputation"] = f"WITH {COUNTS} SELECT * FROM host_scores"
@@ -1005,9 +1011,8 @@ SELECT o.url, o.dir, o.filename, CASE WHEN o.k = 0 THEN o.filename ELSE replace(
 FROM o LEFT JOIN free f ON f.dir = o.dir AND f.filename = o.filename AND f.k = o.k"""
 MANIFEST = f"""{FIRST}, manifest AS (SELECT norm_url AS url, {folder('page_url')} AS dir, {file_name('norm_url', 'media_type')} AS filename,
   {host('norm_url')} AS host, round(prio, 6) AS priority FROM firsts WHERE NOT ({is_webpage('norm_url')}))"""
-_CLASS = " + ".join(f"(priority >= 1e{n})::INTEGER" for n in range(-1, 10))
 ORACLE["k10_politeness_waves"] = f"""
-WITH {MANIFEST} SELECT url, host, priority, ceil(row_number() OVER (PARTITION BY host ORDER BY {_CLASS} DESC, md5(url), url) / 2.0)::BIGINT AS wave FROM manifest"""
+WITH {MANIFEST} SELECT url, host, priority, ceil(row_number() OVER (PARTITION BY host ORDER BY priority DESC, md5(url), url) / 2.0)::BIGINT AS wave FROM manifest"""
 ORACLE["k11_quarantine_batches"] = f"""
 WITH {HEALTH}, s AS (SELECT event_id, host, ceil(row_number() OVER (ORDER BY ts, event_id) / 10.0)::BIGINT AS batch FROM fetch_log
   WHERE host IN (SELECT host FROM health WHERE quarantined_at IS NOT NULL))

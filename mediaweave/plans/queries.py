@@ -472,6 +472,30 @@ def _(spark, sf):
     return found.select("page_id", "url", "source", "transformed", "original_url")
 
 
+def requoted(pages: DataFrame) -> DataFrame:
+    """The same pages as others write them: a third in single quotes, a third with link targets unquoted."""
+    bare = F.regexp_replace("html", '<a href="([^" >]*)">', "<a href=$1>")
+    single = F.translate("html", '"', "'")
+    html = F.when(F.col("page_id") % 3 == 1, single).when(F.col("page_id") % 3 == 2, bare).otherwise(F.col("html"))
+    return pages.withColumn("html", html)
+
+
+@query("h07_img_images_requoted")
+def _(spark, sf):
+    """Images of pages whose attributes are quoted in other ways."""
+    pages = requoted(media_pages(spark, sf).filter("page_id % 16 NOT IN (9, 12)"))
+    found = M.extract(nodes(pages, marked_only=True), M.img_images())
+    return found.select("page_id", "url", "source", "transformed", "original_url")
+
+
+@query("h07_img_images_min_size")
+def _(spark, sf):
+    """Images with the smallest width a task asks for: wider than any in a ``srcset``."""
+    settings = M.Settings(min_width=2500)
+    found = M.extract(page_nodes(spark, sf), M.img_images(settings=settings))
+    return found.select("page_id", "url", "source", "transformed", "original_url")
+
+
 @query("h07_img_links")
 def _(spark, sf):
     links = L.image_links(page_nodes(spark, sf))
@@ -548,6 +572,20 @@ def _(spark, sf):
     return _link_columns(L.links(page_nodes(spark, sf)))
 
 
+@query("h19_links_hidden_too")
+def _(spark, sf):
+    """Links of pages that hide their menus, with the filter for hidden links switched off."""
+    pages = media_pages(spark, sf).withColumn("html", F.replace("html", F.lit("<li>"), F.lit('<li style="display:none">')))
+    found = L.links(nodes(pages, marked_only=True), M.Settings(filter_hidden=False))
+    return _link_columns(found)
+
+
+@query("h19_links_requoted")
+def _(spark, sf):
+    """Links of pages whose attributes are quoted in other ways."""
+    return _link_columns(L.links(nodes(requoted(media_pages(spark, sf)), marked_only=True)))
+
+
 @query("h20_canonical_link")
 def _(spark, sf):
     return L.canonical_link(page_nodes(spark, sf)).select("page_id", "url", "priority")
@@ -793,7 +831,7 @@ def _outcomes(spark, sf) -> DataFrame:
 
 @query("a01_counters")
 def _(spark, sf):
-    return H.counters(_outcomes(spark, sf))
+    return H.counters(_outcomes(spark, sf), I.pages(spark, sf))
 
 
 @query("a02_progress")
