@@ -1220,7 +1220,7 @@ def _(spark, sf):
     base = scratch(spark, "t03")
     stream = St.HealthStream(spark, f"{base}/state", dt.timedelta(days=3650))
     stream.run(_stream_fetches(spark, sf), f"{base}/checkpoint")
-    last = stream.state(0)
+    last = stream.latest()
     return last.select("host", "failures", "total", F.date_format("quarantined_at", "yyyy-MM-dd HH:mm:ss").alias("quarantined_at"))
 
 
@@ -1238,11 +1238,13 @@ def _(spark, sf):
 
 @query("t06_stream_restart")
 def _(spark, sf):
-    """Two runs on one checkpoint: the second goes on and repeats nothing."""
+    """Two runs on one checkpoint, between which pages arrive: the second goes on and repeats nothing."""
     base = scratch(spark, "t06")
-    pages = _stream_pages(spark, sf).select("page_id", U.normalize_url("url").alias("norm_url"))
-    for _ in range(2):
-        St.run_available(pages, f"{base}/checkpoint", path=f"{base}/out")
+    arriving = I.pages(spark, sf).select("page_id", "url")
+    for part in range(2):
+        arriving.filter(F.col("page_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        pages = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        St.run_available(pages.select("page_id", U.normalize_url("url").alias("norm_url")), f"{base}/checkpoint", path=f"{base}/out")
     return spark.read.parquet(f"{base}/out")
 
 

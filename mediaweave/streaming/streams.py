@@ -95,6 +95,12 @@ class HealthStream:
             return self.spark.createDataFrame([], HEALTH_STATE)
         return self.spark.read.schema(HEALTH_STATE).parquet(self._path(batch))
 
+    def latest(self) -> DataFrame:
+        """State after the last batch that was written, whichever run wrote it."""
+        every = self.spark.read.schema(HEALTH_STATE + ", batch bigint").parquet(self.folder)
+        last = every.agg(F.max("batch").alias("b")).first()["b"]
+        return self.state(-1 if last is None else last)
+
     def __call__(self, fetches: DataFrame, batch: int) -> None:
         before = self.state(batch - 1)
         start = fetches.agg(F.min("ts")).scalar()
