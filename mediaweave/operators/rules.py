@@ -213,10 +213,13 @@ def apply_rules_by_join(urls: DataFrame, rules: DataFrame, chunk: int = CHUNK) -
     while True:
         place = F.struct("ord", "rule_id")
         later = usable if last is None else usable.filter(place > F.struct(F.lit(last[0]), F.lit(last[1])))
-        rows = [r.asDict(recursive=True) for r in later.orderBy("ord", "rule_id").limit(chunk).collect()]
-        if not rows:
+        edge = later.select("ord", "rule_id").orderBy("ord", "rule_id").limit(chunk).agg(F.max(place).alias("edge")).first()["edge"]
+        if edge is None:
             break
-        last = rows[-1]["ord"], rows[-1]["rule_id"]
+        last = edge["ord"], edge["rule_id"]
+        # with the edge come all rules of the same place, as several files have them
+        some = later.filter(place <= F.struct(F.lit(last[0]), F.lit(last[1]))).orderBy("ord", "rule_id")
+        rows = [r.asDict(recursive=True) for r in some.collect()]
         good, _ = check_rules(spark, rows)
         bound = [(r["domain"], r["ord"], r["rule_id"], r["img"], r["to"]) for r in good if r["domain"]]
         if bound:

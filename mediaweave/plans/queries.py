@@ -148,7 +148,9 @@ def _(spark, sf):
     form = F.when(F.length("host") % 3 == 0, F.concat(F.lit("# "), "host")).when(
         F.length("host") % 3 == 1, F.concat(F.lit("  "), "host", F.lit(" "))
     )
-    return P.parse_blocklist(hosts.select(F.coalesce(form, "host").alias("value")))
+    path = scratch(spark, "blocklist")
+    hosts.select(F.coalesce(form, "host").alias("value")).write.text(path)
+    return P.read_blocklist(spark, path)
 
 
 def _pattern_files(spark, sf) -> DataFrame:
@@ -193,7 +195,10 @@ def _rule_files(spark, sf) -> DataFrame:
 
 @query("s06_read_rules")
 def _(spark, sf):
-    rules = P.parse_rules(_rule_files(spark, sf))
+    path = scratch(spark, "rules")
+    files = _rule_files(spark, sf)
+    files.withColumn("file", F.md5(F.col("value").cast("binary"))).write.partitionBy("file").text(path)
+    rules = P.read_rules(spark, path)
     return rules.select("ord", "name", "link", "img", "to", joined("res").alias("res"), "domain")
 
 
@@ -219,8 +224,12 @@ def _(spark, sf):
 
 @query("s09_export_tasks_csv")
 def _(spark, sf):
-    rows = Tk.export_rows(I.tasks(spark, sf))
-    return rows.toDF(*[c.lower() if c != "#" else "position" for c in rows.columns])
+    tasks, path = I.tasks(spark, sf), scratch(spark, "tasks-csv")
+    Fs.export_tasks_csv(tasks, path)
+    rows, kinds = Fs.read_tasks_csv(spark, path), dict(Tk.export_rows(tasks).dtypes)
+    # an empty field is an empty text
+    read = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")).cast(kinds[c]) for c in rows.columns}
+    return rows.select([v.alias(c.lower() if c != "#" else "position") for c, v in read.items()])
 
 
 def _imported(spark, sf) -> DataFrame:
@@ -231,6 +240,9 @@ def _imported(spark, sf) -> DataFrame:
         "status",
     )
     outputs = t.select(F.col("download_path").alias("path"), (F.col("task_id") % 4 - 1).alias("n_files"))
+    path = scratch(spark, "import-csv")
+    rows.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
+    rows = Fs.read_tasks_csv(spark, path)
     return Tk.import_rows(rows, outputs, F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"))
 
 

@@ -189,6 +189,9 @@ def test_repeated_order_is_paged_whole(spark):
     for chunk in (1, 2, 3, 100):
         got = R.apply_rules_by_join(urls, rules_of(spark, rows), chunk=chunk)
         assert got.select("variant").distinct().count() == 4
+    files = rules_of(spark, rows).unionByName(rules_of(spark, [(n, o, "m", None, i, t.replace("y", "z"), r) for n, o, _, _, i, t, r in rows]))
+    for chunk in (1, 3):
+        assert R.apply_rules_by_join(urls, files, chunk=chunk).select("variant").distinct().count() == 8
 
 
 def test_one_bad_rule_does_not_stop_the_others(spark):
