@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaweave import constants as K
 from mediaweave.functions import urls as U
-from mediaweave.operators.ordered import floored_sum, running_rank, time_bucket
-from mediaweave.session import settled
+from mediaweave.operators.ordered import SLICE, floored_sum, running_rank, slices
 
 
 def fetch_status(status) -> Column:
@@ -82,10 +81,9 @@ def health_step() -> Column:
 
 def health_runs(fetches: DataFrame, key: str = "host") -> DataFrame:
     """Running failure score and attempt number of each fetch, in time order."""
-    fetches = settled(fetches)
-    return floored_sum(
-        fetches, [key], time_bucket(fetches), ["ts", "event_id"], health_step(), "failures", "attempt"
-    )
+    order = ["ts", "event_id"]
+    cut = slices(fetches, order)
+    return floored_sum(cut, [key], F.col(SLICE), order, health_step(), "failures", "attempt").drop(SLICE)
 
 
 def host_health(fetches: DataFrame, key: str = "host", limit: int = K.QUARANTINE_FAILURES) -> DataFrame:
@@ -129,8 +127,8 @@ def quarantine_batches(items: DataFrame, size: int = K.QUARANTINE_BATCH, retries
 
     Numbering runs over the whole queue in time order, by time slices.
     """
-    items = settled(items)
-    queue = running_rank(items, [], time_bucket(items), ["ts", "event_id"], "_n")
+    order = ["ts", "event_id"]
+    queue = running_rank(slices(items, order), [], F.col(SLICE), order, "_n").drop(SLICE)
     return queue.withColumn("batch", F.ceil(F.col("_n") / size).cast("bigint")).withColumn(
         "action", F.when(F.coalesce("retries", F.lit(0)) >= retries, "drop").otherwise("retry")
     ).drop("_n")

@@ -8,6 +8,8 @@ across.  The bucket expression must be monotone in the order columns.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,25 +17,24 @@ from pyspark.sql import Window as W
 from mediaweave.session import cut_lineage, settled
 
 _BUCKET = "_bucket"
+SLICE = "_slice"
 
 
 ROWS_PER_BUCKET = 1_000_000
 
 
-def time_bucket(df: DataFrame, column: str = "ts", rows: int = ROWS_PER_BUCKET) -> Column:
-    """Time slices holding about ``rows`` rows of the whole table each.
+def slices(df: DataFrame, order: list[str], rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``_slice``: pieces of about ``rows`` rows that follow the order columns.
 
-    The width comes from the table's own size and span, as a scalar subquery, so
-    a key that owns most of the rows is cut finely enough whatever the volume.
+    The edges are quantiles that the range partitioner observes, so bursts are cut as
+    finely as quiet times, and a key that owns most of the rows is spread whatever the
+    volume.  The pieces are written out, as they must not change between uses.
     """
-    if df.schema[column].dataType.typeName() == "timestamp":
-        second = F.unix_seconds(column)
-    else:  # fields of a local timestamp do not depend on the session zone
-        day = F.datediff(column, F.lit("1970-01-01").cast("date")).cast("bigint")
-        second = day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-    span = F.max(second) - F.min(second) + 1
-    width = df.agg(F.greatest(F.lit(1.0), F.ceil(span * rows / F.greatest(F.count("*"), F.lit(1)))).alias("w")).scalar()
-    return F.floor(second / width)
+    df = settled(df)
+    n = max(1, math.ceil(df.count() / rows))
+    if n == 1:
+        return df.withColumn(SLICE, F.lit(0))
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def _summary_window(keys: list[str]):

@@ -870,8 +870,7 @@ def _(spark, sf):
     steps = rows.select(
         "page_id", "stage", "owner", "pos", "page_url", F.when(F.col("page_id") % 3 == 0, 0).otherwise(1).alias("n_media")
     )
-    bucket = F.floor(F.col("page_id") / 64)
-    return Fr.pattern_scores(steps, ["page_id", "stage", "owner", "pos", "page_url"], bucket)
+    return Fr.pattern_scores(steps, ["page_id", "stage", "owner", "pos", "page_url"])
 
 
 @query("a05_media_per_host")

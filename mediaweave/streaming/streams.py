@@ -13,6 +13,7 @@ from mediaweave.functions.rewrite import RuleBook
 from mediaweave.operators import health as H
 from mediaweave.operators import media as M
 from mediaweave.operators.nodes import nodes
+from mediaweave.operators.ordered import SLICE, slices
 
 PAGE_SCHEMA = "page_id bigint, url string, html string, fetched_at timestamp"
 
@@ -125,9 +126,8 @@ class HealthStream:
             F.col("failures0").alias("step"),
         )
         steps = served.select("host", "ts", "event_id", H.health_step().cast("bigint").alias("step")).unionByName(carried)
-        runs = H.floored_sum(
-            steps, ["host"], F.date_trunc("minute", "ts"), ["ts", "event_id"], F.col("step"), "failures"
-        )
+        cut = slices(steps, ["ts", "event_id"])
+        runs = H.floored_sum(cut, ["host"], F.col(SLICE), ["ts", "event_id"], F.col("step"), "failures")
         order = F.struct("ts", "event_id")
         at_limit = F.when(F.col("failures") >= self.limit, order)
         real = F.col("event_id") >= 0

@@ -116,3 +116,25 @@ def test_byte_ranges_cover_the_file(spark):
     assert len(first) == 8 and first[0]["first_byte"] == 0 and first[-1]["last_byte"] == 50_000_000
     assert all(a["last_byte"] + 1 == b["first_byte"] for a, b in zip(first, first[1:]))
     assert [(r["first_byte"], r["last_byte"]) for r in out if r["id"] != 1] == [(0, 50_000_000), (0, 999)]
+
+
+def test_slices_follow_bursts(spark):
+    """Nine tenths of the rows in one minute and one key: no slice holds many more rows than asked for."""
+    from mediaweave.operators.ordered import SLICE, slices
+
+    n = 20_000
+    df = spark.range(n).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 10 == 0, F.col("id") * 100_000).otherwise(1_000_000 + F.col("id") % 60).alias("t"),
+        F.when(F.col("id") % 10 == 0, F.col("id") % 50).otherwise(0).alias("k"),
+        F.when(F.hash("id") % 3 == 0, -1).otherwise(1).alias("step"),
+    )
+    order = ["t", "event_id"]
+    cut = slices(df, order, rows=500)
+    sizes = [r["count"] for r in cut.groupBy(SLICE).count().collect()]
+    assert sum(sizes) == n and max(sizes) < 1500
+    got = {r["event_id"]: r["f"] for r in floored_sum(cut, ["k"], F.col(SLICE), order, F.col("step"), "f").collect()}
+    score, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r["t"], r["event_id"])):
+        score[r["k"]] = want[r["event_id"]] = max(0, score.get(r["k"], 0) + r["step"])
+    assert got == want
