@@ -1087,6 +1087,14 @@ d2 AS (SELECT * FROM pg WHERE norm_url IN (SELECT norm_url FROM hops WHERE page_
 ORACLE["c01_crawl"] = f"""
 WITH {_CRAWL} SELECT page_id, norm_url, 0 AS depth FROM d0 UNION ALL SELECT page_id, norm_url, 1 FROM d1 UNION ALL SELECT page_id, norm_url, 2 FROM d2"""
 
+ORACLE["c01_crawl_per_task"] = f"""
+WITH {_CRAWL}, hop AS (SELECT DISTINCT p.norm_url AS src, h.norm_url AS dst FROM hops h JOIN pg p USING (page_id)),
+t0 AS (SELECT page_id AS task_id, norm_url FROM pg WHERE page_id % 8 = 0),
+t1 AS (SELECT DISTINCT task_id, dst AS norm_url FROM t0 JOIN hop ON src = norm_url),
+t2 AS (SELECT DISTINCT task_id, dst AS norm_url FROM t1 JOIN hop ON src = norm_url),
+s AS (SELECT task_id, norm_url, min(depth) AS depth FROM (SELECT *, 0 AS depth FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2) GROUP BY ALL)
+SELECT task_id, page_id, depth FROM s JOIN pg USING (norm_url)"""
+
 # --- streams: the batch result ---------------------------------------------------------------------
 
 ORACLE["t01_stream_media"] = f"WITH {MEDIA} SELECT page_id, media_type, url, source FROM media"

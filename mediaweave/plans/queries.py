@@ -1171,6 +1171,18 @@ def _(spark, sf):
     return seen.select("page_id", "norm_url", "depth")
 
 
+@query("c01_crawl_per_task")
+def _(spark, sf):
+    """A task for every eighth page, each walking two levels by itself; their pages overlap."""
+    pages = I.pages(spark, sf).select("page_id", "url")
+    links = _edges(spark, sf).withColumns(
+        {"first_seen": F.col("url"), "priority": F.lit(None).cast("double"), "from_image": F.lit(False)}
+    )
+    seeds = pages.filter("page_id % 8 = 0").select(F.col("page_id").alias("task_id"), "url")
+    seen = crawl(pages, links, seeds, I.blocklist(spark), max_depth=2, stay_in_domain=False)
+    return seen.select("task_id", "page_id", "depth")
+
+
 @query("c02_visit_rank")
 def _(spark, sf):
     pages = I.pages(spark, sf).select("page_id", "url")
