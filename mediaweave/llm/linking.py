@@ -6,9 +6,10 @@ the wanted similarity and their sketches do not rule it out; a link is confirmed
 
 1. Every item meets the leaders of its regions; the best-looking one is verified.  Groups of copies become
    one component this way at the cost of one comparison per item, however large they are.
-2. Regions that still hold several components are compared within: the items outside a region's main component, in
-   blocks, against all of it.  Pairs inside one component need no comparison, as they cannot change the result.
-3. Of those pairs each outsider's best is verified, then all that still join two components.
+2. Regions that still hold several components are compared within: the items outside a region's main component
+   against all of it, block by block.  Sketches tell which items of a block are worth their full sets; those
+   go to the block once, whatever number of pairs they stand in.  Pairs inside one component need no comparison, as
+   they cannot change the result, and a block reports no more links than connect its components.
 
 So every pair of a region whose sketch allows the similarity is either verified or already connected: the
 components are those of all links found, and no group is ever spread into its pairs.
@@ -16,8 +17,6 @@ components are those of all links found, and no group is ever spread into its pa
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +26,8 @@ from mediaweave.llm import sketches
 from mediaweave.llm.tables import stored
 
 
-#: Members of a region that one task compares at a time.
-BLOCK = 1024
+#: Members of a region, and outsiders, that one task compares at a time.
+BLOCK = 512
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -55,12 +54,6 @@ def components(links: DataFrame) -> DataFrame:
     return stored(edges.select(F.col("a").alias("item"), F.col("b").alias("component")).unionByName(heads), "components")
 
 
-def floor_of(percent: int, hashes: int) -> float:
-    """Estimates below this rule the similarity out, five standard deviations away."""
-    j = percent / 100
-    return j - 5 * math.sqrt(j * (1 - j) / hashes)
-
-
 def _estimated(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches allow, with their estimate ``like``."""
     side = items.select("item", "size", "sketch")
@@ -75,7 +68,7 @@ def _estimated(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                 continue
             x, y = (np.array([np.frombuffer(v, np.uint8) for v in batch.column(c).to_pylist()]) for c in (2, 3))
             like = sketches.estimates(x, y)
-            keep = like >= floor_of(percent, x.shape[1])
+            keep = like >= sketches.floor_of(percent, x.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(like)], names=["a", "b", "like"]
             ).filter(pa.array(keep))
@@ -105,81 +98,142 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "a long, b long"), "verified")
 
 
-def _with_component(rows: DataFrame, found: DataFrame, item: str = "item", name: str = "component") -> DataFrame:
-    named = found.toDF("_item", "_component")
-    rows = rows.join(named, F.col(item) == F.col("_item"), "left")
-    return rows.withColumn(name, F.coalesce("_component", item)).drop("_item", "_component")
-
+def _torn(regions: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Members of regions with several components, dealt into blocks.
 
-def _crossing(regions: DataFrame, items: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
-    """Allowed pairs of different components that share a region, each once; ``a`` is outside the main component."""
-    rows = _with_component(regions, found)
+    A region's main component is its largest.  Its members go to a block each; the items outside the main
+    component also visit, in chunks, every block.  Rows say whether the item lives ``here`` and whether it ``visits``.
+    """
+    named = found.toDF("_item", "_component")
+    rows = regions.join(named, F.col("item") == F.col("_item"), "left")
+    rows = rows.withColumn("component", F.coalesce("_component", "item"))
     parts = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("n"))
-    # the main component of a region is its largest
     torn = parts.groupBy("tree", "key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("kinds")
+        F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")
+    )
+    torn = torn.filter("kinds > 1").select(
+        "tree",
+        "key",
+        "top.main",
+        F.ceil(F.col("n") / block).alias("blocks"),
+        F.ceil((F.col("n") - F.col("top.n")) / block).alias("chunks"),
     )
-    torn = torn.filter("kinds > 1").select("tree", "key", "main", F.ceil(F.col("n") / block).alias("blocks"))
-    rows = rows.join(torn, ["tree", "key"])
-    rows = rows.withColumn("outside", F.col("component") != F.col("main"))
+    rows = rows.join(torn, ["tree", "key"]).withColumn("outside", F.col("component") != F.col("main"))
     own = F.pmod(F.xxhash64("item"), F.col("blocks"))
-    # members go to their block; those outside the main component visit every block
-    to = F.when(F.col("outside"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
-    rows = rows.select("tree", "key", "item", "component", "outside", own.alias("own"), F.explode(to).alias("block"))
-    rows = rows.join(items.select("item", "size", "sketch", "keys"), "item")
-    rows = rows.repartition("tree", "key", "block").sortWithinPartitions("tree", "key", "block", F.desc("outside"), "item")
-    columns = ["tree", "key", "block", "item", "component", "outside", "own", "size", "sketch", "keys"]
-
-    def groups(batches):
-        """Rows of one block of a region at a time."""
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if held and held[0][:3] != row[:3]:
-                    yield held
-                    held = []
-                held.append(row)
-        if held:
-            yield held
-
-    def pairs(held):
-        tree, _, place = held[0][:3]
-        item, component, own, size = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 6, 7))
-        outside = np.array([r[5] for r in held])
-        sketch = np.array([np.frombuffer(r[8], np.uint8) for r in held])
-        keys = np.array([r[9] for r in held], np.int64)
-        here = np.flatnonzero(own == place)
-        visitors = np.flatnonzero(outside)
-        low = floor_of(percent, sketch.shape[1])
-        step = max(1, 2_000_000 // max(1, len(here)))
-        for at in range(0, len(visitors), step):
-            some = visitors[at : at + step]
-            ok = component[some][:, None] != component[here][None, :]
-            ok &= np.minimum(size[some][:, None], size[here]) * 100 >= np.maximum(size[some][:, None], size[here]) * percent
-            # of two outsiders, the larger one asks
-            ok &= ~outside[here][None, :] | (item[some][:, None] > item[here][None, :])
-            x, y = np.nonzero(ok)
-            for cut in range(0, len(x), 100_000):
-                i, j = some[x[cut : cut + 100_000]], here[y[cut : cut + 100_000]]
-                like = sketches.estimates(sketch[i], sketch[j])
-                keep = like >= low
-                i, j, like = i[keep], j[keep], like[keep]
-                # a pair belongs to the first region it shares
-                keep = (keys[i] == keys[j]).argmax(axis=1) == tree
-                yield from zip(item[i[keep]].tolist(), item[j[keep]].tolist(), like[keep].tolist())
+    chunk = F.pmod(F.xxhash64("item", F.lit("chunk")), F.col("chunks"))
+
+    def each(n):
+        return F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+
+    def place(b, c):
+        return F.struct(b.cast("bigint").alias("block"), c.cast("bigint").alias("chunk"))
+
+    home = F.transform(each("chunks"), lambda c: place(own, c))
+    visits = F.when(F.col("outside"), F.transform(each("blocks"), lambda b: place(b, chunk)))
+    to = F.array_distinct(F.concat(home, F.coalesce(visits, F.array().cast("array<struct<block:bigint,chunk:bigint>>"))))
+    rows = rows.select("tree", "key", "item", "component", "outside", own.alias("own"), chunk.alias("own_chunk"), F.explode(to).alias("to"))
+    return rows.select(
+        "tree", "key", "to.block", "to.chunk", "item", "component", "outside",
+        (F.col("own") == F.col("to.block")).alias("here"),
+        (F.col("outside") & (F.col("own_chunk") == F.col("to.chunk"))).alias("visits"),
+    )
+
+
+_PLACE = ["tree", "key", "block", "chunk"]
+_PLACED = "tree int, key long, block long, chunk long, item long, component long, outside boolean, here boolean, visits boolean"
+
+
+def _blocks(batches, columns):
+    """Rows of one block at a time, from rows sorted by block."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if held and held[0][:4] != row[:4]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _allowed(rows: list[tuple], percent: int):
+    """(visitor, member, estimate) by place in ``rows``: pairs of different components that sizes and sketches allow.
+
+    A pair belongs to the first region it shares, so each comes up in one block only."""
+    tree = rows[0][0]
+    item, component, size = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 9))
+    outside, here, visits = (np.array([r[i] for r in rows], bool) for i in (6, 7, 8))
+    sketch = np.array([np.frombuffer(r[10], np.uint8) for r in rows])
+    keys = np.array([r[11] for r in rows], np.int64)
+    low = sketches.floor_of(percent, sketch.shape[1])
+    at_home, guests = np.flatnonzero(here), np.flatnonzero(visits)
+    ok = component[guests][:, None] != component[at_home][None, :]
+    ok &= np.minimum(size[guests][:, None], size[at_home]) * 100 >= np.maximum(size[guests][:, None], size[at_home]) * percent
+    # of two outsiders, the larger one asks
+    ok &= ~outside[at_home][None, :] | (item[guests][:, None] > item[at_home][None, :])
+    x, y = np.nonzero(ok)
+    out = []
+    for cut in range(0, len(x), 50_000):
+        i, j = guests[x[cut : cut + 50_000]], at_home[y[cut : cut + 50_000]]
+        like = sketches.estimates(sketch[i], sketch[j])
+        keep = like >= low
+        i, j, like = i[keep], j[keep], like[keep]
+        keep = (keys[i] == keys[j]).argmax(axis=1) == tree
+        out.append((i[keep], j[keep], like[keep]))
+    none = np.zeros(0, np.int64)
+    return [np.concatenate([o[k] for o in out]) if out else none for k in range(3)]
+
+
+def _connecting(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Verified links that connect the components of a block, the best-looking pairs first."""
+    i, j, like = _allowed(rows, percent)
+    sets = [np.frombuffer(r[12], np.uint64) for r in rows]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k in np.argsort(-like, kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        one, two = find(rows[a][5]), find(rows[b][5])
+        if one != two and sketches.alike(sets[a], sets[b], percent):
+            parent[one] = two
+            out.append((rows[a][4], rows[b][4]))
+    return out
+
+
+def _between(regions: DataFrame, items: DataFrame, sets: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """Verified links (a, b) that connect different components of a region."""
+    looks = items.select("item", "size", "sketch", "keys")
+    columns = [*_PLACE, "item", "component", "outside", "here", "visits", "size", "sketch", "keys"]
+
+    def dealt(rows: DataFrame, names: list[str]) -> DataFrame:
+        return rows.select(names).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "item")
+
+    def worth(batches):
+        for rows in _blocks(batches, columns):
+            i, j, _ = _allowed(rows, percent)
+            chosen = [rows[k][:9] for k in np.union1d(i, j).tolist()]
+            if chosen:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*chosen), [pa.int32()] + [pa.int64()] * 5 + [pa.bool_()] * 3)],
+                    names=columns[:9],
+                )
 
-    def run(batches):
-        out: list[tuple] = []
-        for held in groups(batches):
-            for pair in pairs(held):
-                out.append(pair)
-                if len(out) == 50_000:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["a", "b", "like"])
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["a", "b", "like"])
+    def connect(batches):
+        for rows in _blocks(batches, [*columns, "set"]):
+            links = _connecting(rows, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-    return stored(rows.select(columns).mapInArrow(run, "a long, b long, like double"), "crossing")
+    torn = _torn(regions, found, block).join(looks, "item")
+    chosen = stored(dealt(torn, columns).mapInArrow(worth, _PLACED), "chosen")
+    full = chosen.join(looks, "item").join(sets.select("item", "set"), "item")
+    return stored(dealt(full, [*columns, "set"]).mapInArrow(connect, "a long, b long"), "between")
 
 
 def shared_regions(items: DataFrame) -> DataFrame:
@@ -196,11 +250,4 @@ def linked(items: DataFrame, regions: DataFrame, sets: DataFrame, percent: int,
     first = regions.filter("item <> leader").select(F.col("item").alias("a"), F.col("leader").alias("b")).distinct()
     links = _verified(_best(_estimated(first, items, percent)), sets, percent)
     found = components(links)
-    rest = _crossing(regions, items, found, percent, block)
-    for last in (False, True):
-        open_pairs = _with_component(_with_component(rest, found, "a", "ca"), found, "b", "cb").filter("ca <> cb")
-        open_pairs = open_pairs.select("a", "b", "like")
-        new = _verified(open_pairs if last else _best(open_pairs), sets, percent)
-        links = links.unionByName(new)
-        found = components(links)
-    return found
+    return components(links.unionByName(_between(regions, items, sets, found, percent, block)))

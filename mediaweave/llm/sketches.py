@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 
@@ -107,3 +109,9 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard of rows of ``a`` with rows of ``b`` from one byte per minhash."""
     equal = np.count_nonzero(a == b, axis=-1) / a.shape[-1]
     return (equal * 256 - 1) / 255
+
+
+def floor_of(percent: int, hashes: int) -> float:
+    """Estimates below this rule the similarity out, five standard deviations away."""
+    j = percent / 100
+    return j - 5 * math.sqrt(j * (1 - j) / hashes)
