@@ -53,9 +53,16 @@ def _automata(benchmark: DataFrame, window: int, block_words: int):
         )
 
 
+def _small(batches, rows: int = 100):
+    """The same rows in batches whose words fit into a little memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _scan(automaton, keep: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column("_text").cast(pa.binary())
             docs = [matching.normal_words(t) for t in texts.to_pylist()]
             found = automaton.value.scan(docs)
@@ -111,7 +118,7 @@ def decontaminate(
     at, size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             words = [matching.normal_words(t) for t in texts]
             hit: dict[int, set[int]] = {}

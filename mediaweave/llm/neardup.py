@@ -44,10 +44,10 @@ def profiles(docs: DataFrame, words: int, depth: int, trees: int) -> DataFrame:
     factors = sketches.multipliers(depth * trees)
 
     def run(batches):
+        memo = sketches.WordHashes()
         for batch in batches:
             ids = batch.column(0)
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for first, sets in sketches.batches_of(texts, words):
+            for first, sets in sketches.batches_of(batch.column(1).cast(pa.binary()), words, memo):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 sketch: list = [None] * len(sets)
@@ -79,10 +79,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     rows = wanted.join(rows, "doc_id").select("item", "f1", "f2", "text")
 
     def run(batches):
+        memo = sketches.WordHashes()
         for batch in batches:
             items, f1, f2 = (batch.column(i).to_pylist() for i in range(3))
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            for first, sets in sketches.batches_of(texts, words, 1 << 20):
+            for first, sets in sketches.batches_of(batch.column(3).cast(pa.binary()), words, memo):
                 # rows of a repeated id may hold other texts than the wanted one
                 at = [i for i, s in enumerate(sets, first) if (f1[i], f2[i]) == sketches.fingerprint(s)]
                 yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ class WordHashes(dict):
     """64-bit hash of each word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -80,12 +80,11 @@ def path_keys(hashes: np.ndarray, depth: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def batches_of(texts: list[bytes | None], k: int, limit: int = 1 << 19):
-    """(first row, shingle sets) of consecutive texts, about ``limit`` words at a time."""
-    memo = WordHashes()
+def batches_of(texts, k: int, memo: WordHashes, limit: int = 1 << 18):
+    """(first row, shingle sets) of consecutive texts of a binary Arrow array, about ``limit`` words at a time."""
     held, words, first = [], 0, 0
     for i, text in enumerate(texts):
-        found = memo.of((text or b"").lower().split())
+        found = memo.of((text.as_py() or b"").lower().split())
         held.append(shingles(found, k))
         words += len(found)
         if words >= limit:
