@@ -22,6 +22,7 @@ from mediaweave.operators import health as H  # noqa: E402
 from mediaweave.operators import manifest as Mf  # noqa: E402
 from mediaweave.operators import media as M  # noqa: E402
 from mediaweave.operators import rules as R  # noqa: E402
+from mediaweave.operators import scan as S  # noqa: E402
 from mediaweave.operators.nodes import nodes  # noqa: E402
 from mediaweave.plans import queries as Q  # noqa: E402
 from mediaweave.session import local_session  # noqa: E402
@@ -99,6 +100,12 @@ def main() -> None:
     queries["rewrite_849_rules"] = best(lambda: R.transform_image_urls(urls, rules))
     rates["urls_per_sec_849_rules"] = round(n_urls / queries["rewrite_849_rules"])
 
+    for k in (849, 5000):
+        rules = many_rules(k)
+        first = F.col("url"), F.col("page_url"), rules
+        queries[f"first_rule_{k}_rules"] = best(lambda: urls.withColumn("v", S.first_rule(*first)))
+        rates[f"urls_per_sec_first_rule_{k}"] = round(n_urls / queries[f"first_rule_{k}_rules"])
+
     log = H.outcomes(Q.fetches(spark, SF_DIR))
     n_events = log.count()
     queries["health_bucketed"] = best(lambda: H.host_health(log))
