@@ -278,3 +278,23 @@ def test_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     wanted = left.groupBy("doc_id").count()
     assert {(r["doc_id"], r["count"]) for r in wanted.collect()} == {(r["doc_id"], r["count"]) for r in got.groupBy("doc_id").count().collect()}
+
+
+def test_files_follow_the_order_of_ids(spark):
+    """Over many partitions, with null and repeated ids: files in order, places without gaps."""
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *range(-50, 400)]), sentence(rng, rng.randrange(0, 30))) for _ in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = tokens.shared_folder(spark, "tokens-test")
+        manifest = tokens.write_tokens(docs, folder)
+        got = tokens.read_tokens(manifest, folder, with_ids=True).orderBy("start").collect()
+        assert manifest.filter("n_docs > 0").count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids)
+        at += r.n_tokens
