@@ -1098,9 +1098,7 @@ SELECT task_id, page_id, depth FROM s JOIN pg USING (norm_url)"""
 # --- streams: the batch result ---------------------------------------------------------------------
 
 ORACLE["t01_stream_media"] = f"WITH {MEDIA} SELECT page_id, media_type, url, source FROM media"
-ORACLE["t02_stream_distinct_media"] = f"""
-WITH {PM}, r AS (SELECT url AS page_url, unnest(regexp_extract_all(html, 'src="([^"]+)"', 1)) AS ref FROM pm),
-u AS (SELECT {simple_join('page_url', 'ref')} AS url FROM r) SELECT DISTINCT {norm('url')} AS norm_url FROM u"""
+ORACLE["t02_stream_distinct_media"] = f"WITH {MEDIA} SELECT DISTINCT {norm('url')} AS norm_url FROM media"
 ORACLE["t03_stream_health"] = f"""
 WITH {HEALTH} SELECT host, failures, total, strftime(quarantined_at, '%Y-%m-%d %H:%M:%S') AS quarantined_at FROM health"""
 ORACLE["t04_stream_reputation"] = f"WITH {COUNTS} SELECT * FROM host_scores"

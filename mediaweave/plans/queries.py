@@ -1231,11 +1231,10 @@ def _(spark, sf):
 
 @query("t02_stream_distinct_media")
 def _(spark, sf):
-    pages = _stream_pages(spark, sf)
-    refs = F.regexp_extract_all("html", F.lit(r'src="([^"]+)"'), 1)
-    media = pages.select("fetched_at", F.col("url").alias("page_url"), F.explode(refs).alias("ref"))
-    urls = media.select("fetched_at", U.url_join("page_url", "ref").alias("url"))
-    return _run_to_table(spark, St.distinct_media(urls, "fetched_at", "365 days"), "t02").select("norm_url")
+    """First sightings among all media that the extractors find."""
+    media = St.page_media(_stream_pages(spark, sf))
+    seen = media.select(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("fetched_at"), "url")
+    return _run_to_table(spark, St.distinct_media(seen, "fetched_at", "365 days"), "t02").select("norm_url")
 
 
 @query("t03_stream_health")
@@ -1249,7 +1248,14 @@ def _(spark, sf):
 
 @query("t04_stream_reputation")
 def _(spark, sf):
-    return _run_to_table(spark, St.host_media(St.page_media(_stream_pages(spark, sf))), "t04", "complete")
+    """Update mode: a batch writes the hosts it has changed, and the last of them counts."""
+    base = scratch(spark, "t04")
+
+    def write(batch, n):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    St.run_available(St.host_media(St.page_media(_stream_pages(spark, sf))), f"{base}/checkpoint", "update", batch=write)
+    return spark.read.parquet(f"{base}/out").groupBy("host").agg(F.max_by("host_score", "batch").alias("host_score"))
 
 
 @query("t05_stream_completion")
