@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import string
+import sys
+import types
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -104,3 +106,11 @@ class Encoder:
             else:
                 out.append(self._learn(p))
         return b"".join(out)
+
+
+def worker_encoder(tokenizer_json: str) -> Encoder:
+    """The encoder of this Python worker: what it remembers serves all tasks that the worker is given."""
+    holder = sys.modules.setdefault("_mediaweave_worker", types.ModuleType("_mediaweave_worker"))
+    if getattr(holder, "vocabulary", None) != tokenizer_json:
+        holder.encoder, holder.vocabulary = Encoder(tokenizer_json), tokenizer_json
+    return holder.encoder

@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         name = f"{place}/part-{part:06d}.tok"
         trial = f"{place}/.part-{part:06d}-{uuid.uuid4().hex}"
         files, _ = fs.FileSystem.from_uri(folder)
-        encoder = bpe.Encoder(vocabulary.value)
+        encoder = bpe.worker_encoder(vocabulary.value)
         end = end_id.to_bytes(4, "little")
         with files.open_output_stream(trial) as out:
             writer = frames.Writer(out)
