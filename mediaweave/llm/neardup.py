@@ -10,7 +10,7 @@ Documents with equal shingle sets are one item from the start.
 
 Defined results: a document without words, or without an id, has no shingles to share: it is linked with
 nothing; fewer words than a shingle are one shingle; repeated rows are copies like any others, and of several
-rows with the id of the component each is kept.  Other columns are ignored.
+rows with the id of the component each is marked as kept.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def forest_shape(n_docs: int, percent: int) -> tuple[int, int]:
 
 
 def profiles(docs: DataFrame, words: int, depth: int, trees: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (f1, f2), keys of the trees' regions and a byte per minhash."""
+    """doc_id, text_hash, size of the set, fingerprint (f1, f2), keys of the trees' regions and a byte per minhash."""
     factors = sketches.multipliers(depth * trees)
 
     def run(batches):
@@ -59,24 +59,29 @@ def profiles(docs: DataFrame, words: int, depth: int, trees: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(sets)),
+                        batch.column(2).slice(first, len(sets)),
                         pa.array(list(map(len, sets)), pa.int64()),
                         pa.array([p[0] for p in prints], pa.int64()),
                         pa.array([p[1] for p in prints], pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(sketch, pa.binary()),
                     ],
-                    names=["doc_id", "size", "f1", "f2", "keys", "sketch"],
+                    names=["doc_id", "text_hash", "size", "f1", "f2", "keys", "sketch"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, size long, f1 long, f2 long, keys array<long>, sketch binary"
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h")
+    )
+    kind = "doc_id long, text_hash long, size long, f1 long, f2 long, keys array<long>, sketch binary"
     return rows.mapInArrow(run, kind)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(item, set) of the wanted items (item, doc_id, f1, f2)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = wanted.join(rows, "doc_id").select("item", "f1", "f2", "text")
+    # a row that is there several times is read once
+    rows = wanted.join(rows, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "item", "h"])
+    rows = rows.select("item", "f1", "f2", "text")
 
     def run(batches):
         memo = sketches.WordHashes()
@@ -94,7 +99,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of (``doc_id``, ``text``)."""
+    """doc_id, n_shingles, component_id and kept of every row of (``doc_id``, ``text``), with the component's
+    own name and the hash of the text."""
     depth, trees = forest_shape(docs.count(), percent)
     rows = profiles(docs, words, depth, trees).withColumn("rid", F.monotonically_increasing_id())
     rows = stored(rows, "profiles")
@@ -111,17 +117,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = linked(items, regions, sets, percent).toDF("of", "component")
     members = members.join(found, F.col("item") == F.col("of"), "left")
     members = members.select("rid", F.coalesce("component", "item").alias("component"))
-    placed = rows.select("rid", "doc_id", F.col("size").alias("n_shingles")).join(members, "rid", "left")
-    placed = stored(placed.select("doc_id", "n_shingles", "component"), "placed")
+    placed = rows.select("rid", "doc_id", "text_hash", F.col("size").alias("n_shingles")).join(members, "rid", "left")
+    placed = stored(placed.select("doc_id", "text_hash", "n_shingles", "component"), "placed")
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "component", "text_hash")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest id; same columns as ``docs``.  Of rows that
-    repeat this id, one stays; rows without an id all stay."""
-    kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """One document of each group, the one with the smallest id; same columns as ``docs``.
+
+    If several rows of a group have this id, the one with the least hash of its text stays; rows that share an id
+    but no group all stay, and so do rows without an id.
+    """
+    kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL")
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("text_hash").alias("_hash"))
+    kept = kept.select("_id", "_hash").distinct()
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash")
+    )
+    one = rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    every = one.select("row").unionByName(rows.filter("_id IS NULL").select("row"))
+    return every.select([F.col("row")[c].alias(c) for c in docs.columns])

@@ -88,7 +88,8 @@ def _(spark, sf):
 @query("op2_near_duplicates")
 def _(spark, sf):
     """Components of documents with like sets of two-word shingles."""
-    return Nd.near_duplicates(documents(spark, sf).select("doc_id", "text"), words=2)
+    found = Nd.near_duplicates(documents(spark, sf).select("doc_id", "text"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op6_paragraph_dedup")

@@ -259,3 +259,15 @@ def test_items_are_listed_as_text(spark):
     bench = spark.createDataFrame([(10, "a b"), (9, "c"), (9, "d")], "item_id long, text string")
     row = decontaminate.scan(docs, bench).first()
     assert row["items"] == ["10", "9"] and hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_one_document_of_a_group_stays(spark):
+    rng = random.Random(21)
+    one, two = copies(rng, 1, 1)
+    other = sentence(rng, 60)
+    rows = [(5, one, 1), (5, two, 2), (5, other, 3), (5, other, 3), (9, one, 4), (None, one, 5), (None, one, 6), (7, None, 7), (8, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    got = neardup.without_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.size in (1, 2) and "near" or str(r.size)) for r in got) == [
+        ("5", "3"), ("5", "near"), ("7", "7"), ("8", "8"), ("None", "5"), ("None", "6"),
+    ]
