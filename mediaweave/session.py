@@ -50,7 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_WORK = ("MapInArrow", "Aggregate", "Join", "Window", "Generate", "Sort", "Distinct", "Repartition")
+_WORK = ("MapIn", "Aggregate", "Join", "Window", "Generate", "Sort", "Distinct", "Deduplicate", "Repartition")
+
+
+def _node_names(plan):
+    """Names of a logical plan's nodes."""
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        yield node.nodeName()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -60,5 +70,5 @@ def settled(df: DataFrame) -> DataFrame:
     without sharing the exchange.  Anything more than a scan is therefore
     written to the checkpoint folder once; a plain scan is returned as it is.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return cut_lineage(df) if any(word in plan for word in _WORK) else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return cut_lineage(df) if any(name.startswith(_WORK) for name in _node_names(plan)) else df
