@@ -90,28 +90,23 @@ def _windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame:
         names = ["class", "n", "back", "hash", "first_doc", "first_at"]
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            lists = batch.column("asked")
+            flat = lists.flatten()
+            class_, n, place, back, near = (flat.field(k).to_numpy().astype(np.int64) for k in range(5))
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             for i, text in enumerate(batch.column("text").cast(pa.binary())):
                 seq = suffixes.Sequence(memo.of((text.as_py() or b"").lower().split()), powers)
                 if seq.stretch(np.array([0]), np.array([seq.n])).view(np.int64)[0] != keys[i]:
                     continue  # another text of the same id
-                asked = batch.column("asked")[i].as_py()
-                sizes = np.array([a["back"] - a["near"] + 1 for a in asked])
-                nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                of = np.repeat(np.arange(len(asked)), sizes)
-                back = np.array([a["back"] for a in asked])[of] - nth
-                start = np.array([a["place"] for a in asked])[of] - back
+                a, b = ends[i], ends[i + 1]
+                back_to, sizes = back[a:b], back[a:b] - near[a:b] + 1
+                of = np.repeat(np.arange(b - a), sizes)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                backs = back_to[of] - nth
+                start = place[a:b][of] - backs
                 found = seq.stretch(start, start + span).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array([a["class"] for a in asked])[of], pa.int64()),
-                        pa.array(np.array([a["n"] for a in asked])[of], pa.int64()),
-                        pa.array(back, pa.int32()),
-                        pa.array(found, pa.int64()),
-                        pa.array(np.full(len(of), ids[i]), pa.int64()),
-                        pa.array(start, pa.int64()),
-                    ],
-                    names=names,
-                )
+                columns = [class_[a:b][of], n[a:b][of], backs.astype(np.int32), found, np.full(len(of), ids[i]), start]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
 
     texts = _texts(docs)
     rows = asked.join(texts, "doc_id")
@@ -168,28 +163,36 @@ def repeated_passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def _chained(span: int):
     """Unite the windows of a text, given by their starts, to passages."""
 
-    def united(starts: list[int]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for s in sorted(starts):
-            if out and s <= out[-1][1]:
-                out[-1][1] = s + span
-            else:
-                out.append([s, s + span])
-        return out
+    def united(text: np.ndarray, start: np.ndarray):
+        """First and last window of every chain of windows that touch, and the chain of each window."""
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (start[1:] - start[:-1] > span)
+        first = np.flatnonzero(fresh)
+        return first, np.concatenate((first[1:], [len(start)])) - 1, np.cumsum(fresh) - 1
 
     def run(batches):
-        spans = pa.list_(pa.struct([("first_word", pa.int32()), ("past_word", pa.int32())]))
+        names = ["doc_id", "text_key", "first_word", "past_word", "later"]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, key, starts in zip(*(c.to_pylist() for c in batch.columns)):
-                later = united([s["start"] for s in starts if s["later"]])
-                for first, past in united([s["start"] for s in starts]):
-                    inside = [{"first_word": a, "past_word": b} for a, b in later if first <= a and b <= past]
-                    rows.append((doc_id, key, first, past, inside))
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [spans])],
-                names=["doc_id", "text_key", "first_word", "past_word", "later"],
+            lists = batch.column("starts")
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            start = flat.field(0).to_numpy().astype(np.int64)
+            late = flat.field(1).to_numpy(zero_copy_only=False)
+            order = np.lexsort((start, text))
+            text, start, late = text[order], start[order], late[order]
+            first, last, chain = united(text, start)
+            again = np.flatnonzero(late)
+            later_first, later_last, _ = united(text[again], start[again]) if len(again) else (again, again, again)
+            counts = np.bincount(chain[again[later_first]], minlength=len(first))
+            spans = pa.StructArray.from_arrays(
+                [pa.array(start[again[later_first]], pa.int32()), pa.array(start[again[later_last]] + span, pa.int32())],
+                names=["first_word", "past_word"],
             )
+            owner = pa.array(text[first])
+            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(start[first]), pa.array(start[last] + span)]
+            ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, spans)], names=names)
 
     return run
