@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.llm import sketches
-from mediaweave.llm.tables import stored
+from mediaweave.llm.tables import forget, stored
 
 
 #: Members of a region, and outsiders, that one task compares at a time.
@@ -45,13 +45,16 @@ def components(links: DataFrame) -> DataFrame:
         large = larger_first(large)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(larger_first(moved.unionByName(small.select("a", F.col("m").alias("b")))), "links")
+        old, edges = edges, stored(larger_first(moved.unionByName(small.select("a", F.col("m").alias("b")))), "links")
+        forget(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     heads = edges.select(F.col("b").alias("item"), F.col("b").alias("component")).distinct()
-    return stored(edges.select(F.col("a").alias("item"), F.col("b").alias("component")).unionByName(heads), "components")
+    out = stored(edges.select(F.col("a").alias("item"), F.col("b").alias("component")).unionByName(heads), "components")
+    forget(edges)
+    return out
 
 
 def _estimated(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -233,16 +236,22 @@ def _between(regions: DataFrame, items: DataFrame, sets: DataFrame, found: DataF
     torn = _torn(regions, found, block).join(looks, "item")
     chosen = stored(dealt(torn, columns).mapInArrow(worth, _PLACED), "chosen")
     full = chosen.join(looks, "item").join(sets.select("item", "set"), "item")
-    return stored(dealt(full, [*columns, "set"]).mapInArrow(connect, "a long, b long"), "between")
+    out = stored(dealt(full, [*columns, "set"]).mapInArrow(connect, "a long, b long"), "between")
+    forget(chosen)
+    return out
 
 
 def shared_regions(items: DataFrame) -> DataFrame:
-    """(tree, key, item, leader) of the items that share a region; the leader of a region is drawn by hash."""
+    """(tree, key, item, leader) of the items that share a region.
+
+    Keys differ between trees, so they name a region by themselves.  Its leader is the item that is least once its
+    bits are flipped by a pattern of the tree's own: drawn by chance, and found by a plain minimum.
+    """
+    pattern = F.xxhash64("tree")
     rows = items.select("item", F.posexplode("keys").alias("tree", "key"))
-    drawn = F.struct(F.xxhash64("tree", "item").alias("h"), "item")
-    lead = rows.groupBy("tree", "key").agg(F.min(drawn).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(lead.select("tree", "key", F.col("lead.item").alias("leader")), ["tree", "key"])
-    return stored(rows, "regions")
+    lead = rows.groupBy("key").agg(F.min(F.col("item").bitwiseXOR(pattern)).alias("least"), F.count("*").alias("n"))
+    rows = rows.join(lead.filter("n > 1").select("key", "least"), "key")
+    return stored(rows.select("tree", "key", "item", F.col("least").bitwiseXOR(pattern).alias("leader")), "regions")
 
 
 def linked(items: DataFrame, regions: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -250,4 +259,7 @@ def linked(items: DataFrame, regions: DataFrame, sets: DataFrame, percent: int,
     first = regions.filter("item <> leader").select(F.col("item").alias("a"), F.col("leader").alias("b")).distinct()
     links = _verified(_best(_estimated(first, items, percent)), sets, percent)
     found = components(links)
-    return components(links.unionByName(_between(regions, items, sets, found, percent, block)))
+    more = _between(regions, items, sets, found, percent, block)
+    out = components(links.unionByName(more))
+    forget(links, found, more)
+    return out

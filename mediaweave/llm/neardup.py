@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from mediaweave.llm import sketches
 from mediaweave.llm.linking import linked, shared_regions
-from mediaweave.llm.tables import stored
+from mediaweave.llm.tables import forget, stored
 
 
 #: Chance that a pair at the wanted similarity shares no region.
@@ -114,11 +114,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     regions = shared_regions(items)
     wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "f1", "f2")
     sets = stored(_sets(docs, wanted, words), "sets")
-    found = linked(items, regions, sets, percent).toDF("of", "component")
-    members = members.join(found, F.col("item") == F.col("of"), "left")
-    members = members.select("rid", F.coalesce("component", "item").alias("component"))
-    placed = rows.select("rid", "doc_id", "text_hash", F.col("size").alias("n_shingles")).join(members, "rid", "left")
+    linked_items = linked(items, regions, sets, percent)
+    found = linked_items.toDF("of", "component")
+    named = members.join(found, F.col("item") == F.col("of"), "left")
+    named = named.select("rid", F.coalesce("component", "item").alias("component"))
+    placed = rows.select("rid", "doc_id", "text_hash", F.col("size").alias("n_shingles")).join(named, "rid", "left")
     placed = stored(placed.select("doc_id", "text_hash", "n_shingles", "component"), "placed")
+    forget(rows, members, items, regions, sets, linked_items)
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -8,9 +8,10 @@ form components; the first paragraph of a component, by doc_id and place, stays
 Equal paragraphs are one item from the start, and crowded bands are worked through without spreading their pairs
 (``linking``).
 
-Defined results: null and empty texts have no paragraphs; a paragraph may repeat one of its own document; ids that
-are null come last in order; repeated rows are copies of each other.  Columns of the input travel in one struct
-where the text is rewritten; other columns are ignored.
+Defined results: null and empty texts have no paragraphs; a paragraph may repeat one of its own document; rows
+without an id are neither searched nor matched; repeated rows are copies of each other, and of rows with one id
+and different texts each is searched.  Columns of the input travel in one struct where the text is rewritten;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,36 +24,40 @@ from pyspark.sql import functions as F
 
 from mediaweave.llm import sketches
 from mediaweave.llm.linking import linked, shared_regions
-from mediaweave.llm.tables import stored
+from mediaweave.llm.tables import forget, stored
 
 SHINGLE = 5
 MIN_WORDS = 50
 PERCENT = 80
 MISS = 1e-5
-#: Similarity whose collisions the bands should mostly avoid.
-UNLIKE = 0.4
+#: Similarity of unlike paragraphs, and the share of their pairs that may collide.
+UNLIKE = 0.1
+COLLIDING = 0.02
 
 
 
-def bands(percent: int = PERCENT, miss: float = MISS, unlike: float = UNLIKE, most: int = 128) -> tuple[int, int]:
-    """(rows, bands): of the shapes with the wanted recall, the one that lets fewest unlike pairs collide."""
-    shapes = []
-    for rows in range(1, 9):
-        n = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
-        if rows * n <= most:
-            shapes.append((1 - (1 - unlike**rows) ** n, rows, n))
-    _, rows, n = min(shapes)
+def bands(percent: int = PERCENT, miss: float = MISS, unlike: float = UNLIKE, colliding: float = COLLIDING) -> tuple[int, int]:
+    """(rows, bands): as many bands as the wanted recall takes, with the fewest rows that keep unlike pairs apart."""
+    for rows in range(1, 17):
+        n = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+        if 1 - (1 - unlike**rows) ** n <= colliding:
+            break
     return rows, n
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.filter("doc_id IS NOT NULL")
+
+
 def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_bands: int) -> DataFrame:
-    """Paragraphs: doc_id, place (line number), n_words, size, fingerprint, band keys, sketch and shingle set."""
+    """Paragraphs: doc_id, place (line number), n_words, size, fingerprint, band keys and sketch."""
     factors = sketches.multipliers(rows_per_band * n_bands)
 
     def run(batches):
         memo = sketches.WordHashes()
-        names = ["doc_id", "place", "n_words", "size", "f1", "f2", "keys", "sketch", "set"]
-        types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["doc_id", "place", "n_words", "size", "f1", "f2", "keys", "sketch"]
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()]
 
         def packed(found):
             sets = [f[3] for f in found]
@@ -60,8 +65,7 @@ def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_ba
             prints = [sketches.fingerprint(s) for s in sets]
             columns = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], list(map(len, sets))]
             columns += [[p[0] for p in prints], [p[1] for p in prints]]
-            columns += [sketches.path_keys(hashes, rows_per_band).tolist()]
-            columns += [[h.tobytes() for h in hashes.astype("u1")], [s.tobytes() for s in sets]]
+            columns += [sketches.path_keys(hashes, rows_per_band).tolist(), [h.tobytes() for h in hashes.astype("u1")]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         found, held = [], 0
@@ -72,15 +76,39 @@ def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_ba
                     if len(words) >= min_words:
                         found.append((doc_id, place, len(words), sketches.shingles(memo.of(words), SHINGLE)))
                         held += len(words)
-                        if held > 1 << 19:
+                        if held > 1 << 18:
                             yield packed(found)
                             found, held = [], 0
         if found:
             yield packed(found)
 
-    kind = "doc_id long, place long, n_words long, size long, f1 long, f2 long, keys array<long>, sketch binary, set binary"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, kind)
+    kind = "doc_id long, place long, n_words long, size long, f1 long, f2 long, keys array<long>, sketch binary"
+    return _texts(docs).mapInArrow(run, kind)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item, set) of the wanted paragraphs (item, doc_id, place, f1, f2), read from their documents once more."""
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "place", "f1", "f2")).alias("asked"))
+    rows = asked.join(_texts(docs), "doc_id")
+    # a row that is there several times is read once
+    rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("asked", "text")
+
+    def run(batches):
+        memo = sketches.WordHashes()
+        for batch in batches:
+            for asked, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                lines = text.as_py().lower().split(b"\n")
+                items, sets = [], []
+                for a in asked.as_py():
+                    if a["place"] < len(lines):
+                        found = sketches.shingles(memo.of(lines[a["place"]].split()), SHINGLE)
+                        # rows of a repeated id may hold other texts than the wanted one
+                        if sketches.fingerprint(found) == (a["f1"], a["f2"]):
+                            items.append(a["item"])
+                            sets.append(found.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.binary())], names=["item", "set"])
+
+    return rows.mapInArrow(run, "item long, set binary")
 
 
 def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -93,16 +121,18 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: i
     members = rows.select("rid", "doc_id", "place", "n_words", "f1", "f2").join(classes, ["f1", "f2"]).drop("f1", "f2")
     members = stored(members, "members")
     heads = members.filter("rid = item").select("item")
-    items = rows.join(heads, F.col("rid") == F.col("item")).select("item", "size", "keys", "sketch")
-    items = stored(items, "items")
+    items = rows.join(heads, F.col("rid") == F.col("item"))
+    items = stored(items.select("item", "doc_id", "place", "f1", "f2", "size", "keys", "sketch"), "items")
     regions = shared_regions(items)
-    wanted = regions.select("item").distinct()
-    sets = stored(rows.join(wanted, F.col("rid") == F.col("item")).select("item", "set"), "sets")
-    found = linked(items, regions, sets, percent).toDF("of", "component")
+    wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "place", "f1", "f2")
+    sets = stored(_sets(docs, wanted), "sets")
+    linked_items = linked(items, regions, sets, percent)
+    found = linked_items.toDF("of", "component")
     placed = members.join(found, F.col("item") == F.col("of"), "left")
     placed = placed.withColumn("component", F.coalesce("component", "item"))
     placed = stored(placed.select("rid", "doc_id", "place", "n_words", "component"), "placed")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place", "rid")
+    forget(rows, members, items, regions, sets, linked_items)
+    order = F.struct("doc_id", "place", "rid")
     first = placed.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1")
     out = placed.join(first, "component")
     return out.select(
