@@ -124,20 +124,27 @@ def round_copies(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return reduce(DataFrame.unionByName, done, root)
 
 
+def _names(columns: tuple[str, ...] | list[str]) -> list[Column]:
+    """128 bits that tell rows with different columns apart."""
+    return [F.xxhash64(F.lit(n), *columns).alias(c) for n, c in enumerate(("_one", "_two"))] if columns else []
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     block: int = BLOCK,
     keep: list[str] | None = None,
+    name: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
     """The rows of ``docs`` (or their columns ``keep``) as the struct ``row`` with size, source_size, target and
-    ``taken`` words."""
+    ``taken`` words.  ``name`` asks for two hashes of these columns, to tell rows by."""
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns if keep is None or c in keep]).alias("row"),
         F.col("source").cast("string").alias("source"),
         word_count("text").alias("size"),
         F.xxhash64("doc_id", "source", "text").alias("key"),
+        *_names(name),
     )
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -149,12 +156,16 @@ def mix(
     parts = round_copies(sized, block).withColumnRenamed("part", "rounded")
     out = rows.join(parts, "rid", "left")
     taken = F.col("whole") * F.col("size") + F.round(F.coalesce("rounded", F.lit(0.0)) * F.col("size")).cast("bigint")
-    return out.select("row", "size", "source_size", "target", taken.alias("taken"))
+    return out.select("row", "size", "source_size", "target", taken.alias("taken"), *(["_one", "_two"] if name else []))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it; a part is its leading words.  Same columns as ``docs``."""
-    out = mix(docs).filter("taken > 0")
+    # the texts wait in their table; rows are told by their hashes, and wholly equal rows are taken together
+    out = mix(docs, keep=["doc_id"], name=docs.columns).filter("taken > 0")
+    out = out.groupBy("_one", "_two").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_names(docs.columns))
+    out = out.join(rows, ["_one", "_two"]).dropDuplicates(["_one", "_two"])
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     left = F.col("taken") - F.col("size") * (F.col("copy") - 1)
