@@ -1,12 +1,14 @@
 """Near-duplicate paragraphs by MinHash banding.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words.  Their five-word shingle sets are minhashed into bands,
-tuned for recall: a pair at the wanted similarity shares no band with a chance of ``MISS`` only.  Paragraphs that
-collide in a band are verified by the exact Jaccard similarity of their sets, and linked paragraphs
-form components; the first paragraph of a component, by doc_id and place, stays and the others are removed.
+Paragraphs are lines of at least ``MIN_WORDS`` words: every line that is not blank.  Their five-word shingle sets
+(of fewer words, the whole line is one shingle) are minhashed into bands, tuned for recall: a pair at the wanted
+similarity shares no band with a chance of ``MISS`` only.  Paragraphs that collide in a band are verified by the
+exact Jaccard similarity of their sets, and linked paragraphs form components; the first paragraph of a
+component, by doc_id and place, stays and the others are removed.
 
 Equal paragraphs are one item from the start, and crowded bands are worked through without spreading their pairs
-(``linking``).
+(``linking``).  Sets so small that one shingle more or less is too much (``least_size``) can only be like
+equal ones, so they need no bands.
 
 Defined results: null and empty texts have no paragraphs; a paragraph may repeat one of its own document; rows
 without an id are neither searched nor matched; repeated rows are copies of each other, and of rows with one id
@@ -27,7 +29,7 @@ from mediaweave.llm.linking import linked, shared_regions
 from mediaweave.llm.tables import forget, stored
 
 SHINGLE = 5
-MIN_WORDS = 50
+MIN_WORDS = 1
 PERCENT = 80
 MISS = 1e-5
 #: Similarity of unlike paragraphs, and the share of their pairs that may collide.
@@ -45,13 +47,19 @@ def bands(percent: int = PERCENT, miss: float = MISS, unlike: float = UNLIKE, co
     return rows, n
 
 
+def least_size(percent: int = PERCENT) -> int:
+    """The fewest shingles of a set that can be like a different one: it and one more must be alike."""
+    return math.ceil(percent / (100 - percent)) if percent < 100 else 1
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.filter("doc_id IS NOT NULL")
 
 
-def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_bands: int) -> DataFrame:
-    """Paragraphs: doc_id, place (line number), n_words, size, fingerprint, band keys and sketch."""
+def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_bands: int, least: int = 1) -> DataFrame:
+    """Paragraphs: doc_id, place (line number), n_words, size, fingerprint, and of those with ``least`` shingles
+    band keys and sketch."""
     factors = sketches.multipliers(rows_per_band * n_bands)
 
     def run(batches):
@@ -61,11 +69,16 @@ def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_ba
 
         def packed(found):
             sets = [f[3] for f in found]
-            hashes = sketches.minhashes(sets, factors)
+            keys, sketch = [None] * len(sets), [None] * len(sets)
+            large = [i for i, s in enumerate(sets) if len(s) >= least]
+            if large:
+                hashes = sketches.minhashes([sets[i] for i in large], factors)
+                for i, k, h in zip(large, sketches.path_keys(hashes, rows_per_band).tolist(), hashes.astype("u1")):
+                    keys[i], sketch[i] = k, h.tobytes()
             prints = [sketches.fingerprint(s) for s in sets]
             columns = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], list(map(len, sets))]
             columns += [[p[0] for p in prints], [p[1] for p in prints]]
-            columns += [sketches.path_keys(hashes, rows_per_band).tolist(), [h.tobytes() for h in hashes.astype("u1")]]
+            columns += [keys, sketch]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         found, held = [], 0
@@ -115,14 +128,15 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: i
     """Paragraphs of components of two or more: doc_id, paragraph (line number), n_words, the first paragraph of the
     component (first_doc_id, first_paragraph), its members, and whether this one is removed."""
     rows_per_band, n_bands = bands(percent)
-    rows = paragraph_profiles(docs, max(1, min_words), rows_per_band, n_bands)
+    rows = paragraph_profiles(docs, max(1, min_words), rows_per_band, n_bands, least_size(percent))
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "paragraphs")
     classes = rows.groupBy("f1", "f2").agg(F.min("rid").alias("item"))
     members = rows.select("rid", "doc_id", "place", "n_words", "f1", "f2").join(classes, ["f1", "f2"]).drop("f1", "f2")
     members = stored(members, "members")
     heads = members.filter("rid = item").select("item")
-    items = rows.join(heads, F.col("rid") == F.col("item"))
+    items = rows.filter("keys IS NOT NULL").join(heads, F.col("rid") == F.col("item"))
     items = stored(items.select("item", "doc_id", "place", "f1", "f2", "size", "keys", "sketch"), "items")
+    forget(rows)
     regions = shared_regions(items)
     wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "place", "f1", "f2")
     sets = stored(_sets(docs, wanted), "sets")
@@ -131,7 +145,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: i
     placed = members.join(found, F.col("item") == F.col("of"), "left")
     placed = placed.withColumn("component", F.coalesce("component", "item"))
     placed = stored(placed.select("rid", "doc_id", "place", "n_words", "component"), "placed")
-    forget(rows, members, items, regions, sets, linked_items)
+    forget(members, items, regions, sets, linked_items)
     order = F.struct("doc_id", "place", "rid")
     first = placed.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1")
     out = placed.join(first, "component")

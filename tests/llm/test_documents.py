@@ -116,6 +116,26 @@ def test_paragraphs(spark):
         assert "\n".join(kept[i]) == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
 
 
+def test_paragraphs_of_any_length(spark):
+    """The registered default, on lines of one word up to just above fifty."""
+    rng = random.Random(8)
+    long, short = sentence(rng, 50, 5000).split(" "), sentence(rng, 9, 5000).split(" ")
+    lines = [long, long[:-1], short, short[:-1], short[:7], short[:6], short[:7], ["One"], ["one"], ["two"], ["a", "b"], ["A", "b"], ["b", "a"]]
+    lines = [" ".join(x) for x in lines] + copies(rng, 20, 2, 30) + copies(rng, 20, 1, 12) + copies(rng, 10, 1, 5) + ["", " "]
+    rng.shuffle(lines)
+    texts = {i: "\n".join(lines[i * 3 : i * 3 + 3]) for i in range((len(lines) + 2) // 3)}
+    items = {}
+    for i, t in texts.items():
+        for p, line in enumerate(t.split("\n")):
+            if w := words(line):
+                items[(i, p)] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    first = clusters(items, close)
+    sizes = {f: sum(g == f for g in first.values()) for f in first.values()}
+    got = paragraphs.duplicate_paragraphs(spark.createDataFrame(list(texts.items()), KIND)).collect()
+    rows = {(r.doc_id, r.paragraph, r.first_doc_id, r.first_paragraph, r.members, r.removed) for r in got}
+    assert rows == {(*k, *f, sizes[f], k != f) for k, f in first.items() if sizes[f] > 1}
+
+
 @pytest.mark.parametrize("vocabulary", [2, 3000])
 def test_repeated_passages(spark, vocabulary):
     rng = random.Random(vocabulary)
