@@ -5,8 +5,9 @@ greedily into the longest phrases that occur in a language's sample; the languag
 phrases, each weighed by the bits that name a place in its sample, wins.  Texts are reduced to lower-case
 letters and blanks first; every text is parsed whole, in stretches of a fixed number of bytes.
 
-The sample is bounded by ``TOTAL_BYTES`` over all languages and ``LANGUAGE_BYTES`` for one; a document
-gives at most ``LEAD`` characters.  Languages are the ``MAX_LANGUAGES`` most frequent labels of the training rows.
+The sample is bounded by ``TOTAL_BYTES``, shared evenly by all labels of the training rows, and
+``LANGUAGE_BYTES`` for one; a document gives at most ``LEAD`` characters.  A language learns from its different
+leads in the order of their hashes until its share is full, so copies take no room from other texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is
 nothing to learn from; equal counts go to the first label in order; with one language the score is 1.  Rows
@@ -16,6 +17,8 @@ one struct, so no name can clash.
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,6 @@ from mediaweave.llm import phrases
 LANGUAGE_BYTES = 40_000
 TOTAL_BYTES = 400_000
 LEAD = 1_000
-MAX_LANGUAGES = 256
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -34,26 +36,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _least(wanted: int, told):
+    """The texts with the smallest hashes of every language, as many as fill ``wanted`` bytes, out of Arrow batches
+    of (lang, h, text); ``told`` makes bytes of a text.  What is left out of a part of the rows is none of all rows'."""
+
+    def run(batches):
+        texts: dict[str, dict[int, bytes]] = {}
+        heaps: dict[str, list[int]] = {}
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            for lang, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held, heap = texts.setdefault(lang, {}), heaps.setdefault(lang, [])
+                if h in held or (heap and h > -heap[0] and sizes[lang] >= wanted) or not (more := told(text.as_py())):
+                    continue
+                held[h] = more[:wanted]
+                heapq.heappush(heap, -h)
+                size = sizes.get(lang, 0) + len(held[h]) + 1
+                while size - len(held[-heap[0]]) - 1 >= wanted:
+                    size -= len(held.pop(-heapq.heappop(heap))) + 1
+                sizes[lang] = size
+        for lang, held in texts.items():
+            columns = [pa.array([lang] * len(held), pa.string()), pa.array(list(held), pa.int64())]
+            columns.append(pa.array(list(held.values()), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "h", "text"])
+
+    return run
+
+
 def train(labelled: DataFrame) -> phrases.Languages:
     """Automata from (``text``, ``lang``); what is collected stays within a small multiple of the byte bounds."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = rows.select("lang", F.substring("text", 1, LEAD).alias("lead"), F.xxhash64("text").alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("lead")).alias("size"))
-    sizes = sizes.filter("size > 0").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    rows = rows.select("lang", F.substring("text", 1, LEAD).alias("lead")).filter(F.col("lead").rlike(r"\p{L}"))
+    n = rows.select("lang").distinct().count()
+    if not n:
         return phrases.Languages({})
-    wanted = min(LANGUAGE_BYTES, TOTAL_BYTES // len(sizes))
-    spark = labelled.sparkSession
-    shares = spark.createDataFrame(
-        [(r["lang"], min(1.0, 3 * wanted / r["size"] + 10 / r["n"])) for r in sizes], "of string, share double"
-    )
-    drawn = F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40)
-    sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).filter(drawn)  # at most 256 rows
+    wanted = max(1, min(LANGUAGE_BYTES, TOTAL_BYTES // n))
+    kind = "lang string, h long, text binary"
+    drawn = rows.select("lang", F.xxhash64("lead").alias("h"), "lead").mapInArrow(_least(wanted, phrases.letters), kind)
+    sample = drawn.repartition("lang").mapInArrow(_least(wanted, bytes), kind)
     found: dict[str, bytes] = {}
-    for r in sample.select("lang", "h", "lead").distinct().orderBy("lang", "h", "lead").toLocalIterator():
-        text = found.get(r["lang"], b"")
-        if len(text) < wanted and (more := phrases.letters(r["lead"])):
-            found[r["lang"]] = (text + b" " + more)[:wanted]
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"])):
+        found[r["lang"]] = (found.get(r["lang"], b"") + b" " + bytes(r["text"]))[:wanted]
     return phrases.Languages(found)
 
 

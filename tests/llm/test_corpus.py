@@ -172,6 +172,27 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert [r.lang_pred == "und" for r in language.identify(odd, model).collect()] == [True, True, False]
 
 
+def test_copies_do_not_shrink_the_sample(spark, monkeypatch):
+    """Three texts in very many copies teach their language, and so does every label however many there are."""
+    made = []
+    monkeypatch.setattr(phrases, "Languages", lambda found: made.append(found))
+    few = spark.createDataFrame([(i, f"{w} " * 20) for i, w in enumerate(["mizu kawa", "yama sora", "hana tori"])], "i long, text string")
+    copied = spark.range(90_000).selectExpr("id % 3 AS i").join(few, "i").selectExpr("'ja' AS lang", "text")
+    rare = spark.range(300).selectExpr("'l' || id AS lang", "'palabra ' || repeat(chr(97 + id % 26), 5) AS text")
+    blank = spark.range(3).selectExpr("'none' AS lang", "'12 ' || id AS text")
+    language.train(copied.unionByName(rare).unionByName(blank))
+    found = made[0]
+    assert set(found) == {"ja"} | {f"l{i}" for i in range(300)}
+    wanted = language.TOTAL_BYTES // 301
+    assert len(found["ja"]) == min(wanted, 3 * 200) and all(w in found["ja"] for w in (b"mizu", b"yama", b"hana"))
+    rng = random.Random(4)
+    texts = [f"{chr(97 + i % 26)}" * rng.randrange(1, 3000) for i in range(400)]
+    language.train(spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string").repartition(7))
+    hashes = spark.createDataFrame([(t[: language.LEAD],) for t in texts], "lead string").distinct()
+    order = hashes.orderBy(F.xxhash64("lead")).collect()
+    assert made[1]["xx"] == "".join(" " + r.lead for r in order).encode()[: language.LANGUAGE_BYTES]
+
+
 def test_licenses(spark):
     rng = random.Random(6)
     texts = []
