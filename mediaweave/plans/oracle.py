@@ -604,6 +604,7 @@ ORACLE["h07_img_images"] = f"""
 WITH {MEDIA} SELECT page_id, url, source, page_id % 16 = 4 AND source = 'src' AS transformed,
   CASE WHEN page_id % 16 = 4 AND source = 'src' THEN '/t/' || page_id || '-300x200.jpg' END AS original_url FROM media WHERE op = 'h07'"""
 ORACLE["h07_img_images_requoted"] = f"SELECT * FROM ({ORACLE['h07_img_images']}) WHERE page_id % 16 NOT IN (9, 12)"
+ORACLE["h07_img_images_requoted_all"] = ORACLE["h07_img_images"]
 ORACLE["h07_img_images_min_size"] = f"""
 SELECT page_id, CASE WHEN page_id % 16 = 1 THEN regexp_replace(url, '-d[.]jpg$', '.jpg') ELSE url END AS url,
   CASE WHEN page_id % 16 = 1 THEN 'src' ELSE source END AS source, transformed, original_url FROM ({ORACLE['h07_img_images']})"""

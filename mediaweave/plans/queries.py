@@ -485,9 +485,15 @@ def _(spark, sf):
 
 
 def requoted(pages: DataFrame) -> DataFrame:
-    """The same pages as others write them: a third in single quotes, a third with link targets unquoted."""
-    bare = F.regexp_replace("html", '<a href="([^" >]*)">', "<a href=$1>")
-    single = F.translate("html", '"', "'")
+    """The same pages as others write them: a third in single quotes, a third with link targets unquoted.  Scripts,
+    and attributes that hold a single quote, stay as they are."""
+    pieces = F.split("html", "(?i)(?=<script[\\s>])|(?<=</script>)")
+
+    def outside(change):
+        return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("(?i)^<script[\\s>]"), x).otherwise(change(x))), "")
+
+    bare = outside(lambda x: F.regexp_replace(x, '<a href="([^" >]*)">', "<a href=$1>"))
+    single = outside(lambda x: F.regexp_replace(x, """([\\w:-]+)="([^"'<>]*)\"""", "$1='$2'"))
     html = F.when(F.col("page_id") % 3 == 1, single).when(F.col("page_id") % 3 == 2, bare).otherwise(F.col("html"))
     return pages.withColumn("html", html)
 
@@ -500,6 +506,13 @@ def _(spark, sf):
     return found.select("page_id", "url", "source", "transformed", "original_url")
 
 
+@query("h07_img_images_requoted_all")
+def _(spark, sf):
+    """The same of all pages, those with scripts too."""
+    found = M.extract(nodes(requoted(media_pages(spark, sf)), marked_only=True), M.img_images())
+    return found.select("page_id", "url", "source", "transformed", "original_url")
+
+
 @query("h07_img_images_min_size")
 def _(spark, sf):
     """Images with the smallest width a task asks for: wider than any in a ``srcset``."""

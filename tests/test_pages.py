@@ -10,6 +10,7 @@ from mediaweave.operators import scan as S
 from mediaweave.operators.nodes import is_visible, nodes, with_relative
 from mediaweave.operators.scanner import scan_page
 from mediaweave.plans import inputs as I
+from mediaweave.plans.queries import requoted
 
 
 class Reader(HTMLParser):
@@ -29,6 +30,19 @@ def test_scan_agrees_with_the_standard_parser(spark, sf_dir):
         assert [(r[4], r[5]) for r in scan_page(row["page_id"], row["url"], row["html"])] == reader.found
 
 
+def test_requoted_pages_say_the_same(spark, sf_dir):
+    """On all pages, those with scripts and quoted data too."""
+    pages = I.pages_media(spark, sf_dir).collect()
+    other = {r["page_id"]: r["html"] for r in requoted(I.pages_media(spark, sf_dir)).collect()}
+    for row in pages:
+        html = other[row["page_id"]]
+        assert [r[4:6] for r in scan_page(1, "u", html)] == [r[4:6] for r in scan_page(1, "u", row["html"])]
+        scripts, same = ([x.split("</script>")[0] for x in h.split("<script")[1:]] for h in (html, row["html"]))
+        assert scripts == same
+    changed = {r["page_id"] % 16 for r in pages if other[r["page_id"]] != r["html"] and r["page_id"] % 3 == 1}
+    assert changed == set(range(16))
+
+
 def test_implied_end_tags():
     rows = scan_page(1, "u", "<ul><li>a<li>b</ul><p>x<p>y<div>z</div><table><tr><td>1<td>2<tr><td>3</table>")
     tags = {r[2]: r[4] for r in rows}
