@@ -281,6 +281,14 @@ def test_page_archive(spark):
     assert {r.payload_digest for r in rows if r.page_id == 4} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_pages_of_any_url_come_back(spark):
+    pages = [(1, "dns:a.example", "x" * 100), (2, "http://a.example/", "x" * 100), (3, "dns:b.example", "short"), (4, "dns:c.example", None)]
+    rows = warc.page_archive(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows) == [
+        (1, 100, "response", None), (2, 100, "revisit", 1), (3, 5, "response", None), (4, 0, "response", None),
+    ]
+
+
 def test_many_archives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = tokens.shared_folder(spark, "arc-test")
