@@ -86,7 +86,8 @@ def license_matches(
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Templates found: doc_id, license, template (its number), windows_found, containment (of the best window),
-    first_word and past_word.  A template counts if half of its windows or more are found."""
+    first_word and past_word, a row for every occurrence.  An occurrence counts if half of the template's windows or
+    more are found in it; a text shorter than a window is compared as one."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, template long, windows_found long, containment double, first_word long, past_word long"

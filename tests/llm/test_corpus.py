@@ -224,6 +224,32 @@ def test_licenses(spark):
         assert {(r.doc_id, r.license, r.template, r.windows_found) for r in got} == wanted
 
 
+def test_every_occurrence_of_a_notice(spark):
+    rng = random.Random(7)
+    long = sentence(rng, 100, 9000).strip(".").split(" ")
+    short = sentence(rng, 24, 9000).strip(".").split(" ")
+    other = [f"o{i}" for i in range(500)]
+    texts = {
+        0: short + other[:30] + short + short + other[:5],
+        1: other[:7] + long + other[:200] + long + long,
+        2: short[:20],  # shorter than a window
+        3: short[:21] + other[:1],
+        4: short[:15],  # too little of it
+        5: long[:50] + other[:30] + long[50:],  # words inserted
+        6: long[:60] + other[:300] + long[36:],  # two that lack a part
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = licenses.license_matches(docs, [("short", " ".join(short)), ("long", " ".join(long))], window=24).collect()
+    rows = sorted((r.doc_id, r.license, r.first_word, r.past_word) for r in got if r.doc_id < 6)
+    assert rows == [
+        (0, "short", 0, 24), (0, "short", 54, 78), (0, "short", 78, 102),
+        (1, "long", 7, 107), (1, "long", 307, 407), (1, "long", 407, 507),
+        (2, "short", 0, 20), (3, "short", 0, 22), (5, "long", 0, 130),
+    ]
+    two = sorted((r.first_word, r.past_word) for r in got if r.doc_id == 6)
+    assert len(two) == 2 and two[0][1] <= 65 and two[1][0] >= 355
+
+
 def arc(version, records):
     about = f"{version} 0 someone\n{archives.ARC_FIELDS[version]}\n".encode()
     more = " 200 - - 0 x.arc" if version == "2" else ""
