@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.tables import stored, word_count, word_list
+from mediaweave.llm.tables import SPACE, stored, word_count
 from mediaweave.operators.ordered import global_rank
 
 WEIGHTS = (5, 2, 1)
@@ -160,7 +160,8 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it; a part is its leading words.  Same columns as ``docs``."""
+    """Each document as often as the mix takes it; a part is its leading words, with the blanks and line ends between
+    them.  Same columns as ``docs``."""
     # the texts wait in their table; rows are told by their hashes, and wholly equal rows are taken together
     out = mix(docs, keep=["doc_id"], name=docs.columns).filter("taken > 0")
     out = out.groupBy("_one", "_two").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
@@ -170,7 +171,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     left = F.col("taken") - F.col("size") * (F.col("copy") - 1)
     text = F.col("row.text")
-    lead = F.array_join(F.slice(word_list(text), F.lit(1), left.cast("int")), " ")
+    # an empty piece comes before leading blanks; the last piece is what follows the words
+    pieces = left + F.when(text.rlike(f"^{SPACE}"), 2).otherwise(1)
+    rest = F.element_at(F.split(text, f"{SPACE}+", pieces.cast("int")), -1)
+    lead = F.regexp_replace(F.left(text, F.length(text) - F.length(rest)), f"{SPACE}+$", "")
     out = out.withColumn("text", F.when(left < F.col("size"), lead).otherwise(text))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:

@@ -66,6 +66,17 @@ def test_mix(spark):
     assert sum(words.values()) == total
 
 
+def test_parts_keep_their_line_ends(spark):
+    rng = random.Random(9)
+    texts = [rng.choice(["", " \n"]) + "".join(f"w{i}_{j}" + rng.choice([" ", "\n", " \t\n"]) for j in range(97)) for i in range(12)]
+    docs = spark.createDataFrame([(i, "abc"[i % 3], t) for i, t in enumerate(texts)], MIX)
+    taken = {r.row.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    cut = {i: t for i, t in mixing.mixed_documents(docs).select("doc_id", "text").collect() if t != texts[i]}
+    assert cut and set(cut) == {i for i, n in taken.items() if n % 97}
+    for i, t in cut.items():
+        assert texts[i].startswith(t) and t == t.rstrip() and len(t.split()) == taken[i] % 97
+
+
 def test_rounding_keeps_expectations(spark):
     """Over many independent sources a document is taken as often as its fraction says."""
     rows = [(s * 10 + d, str(s), d, 1.0 + d, 0.3) for s in range(2000) for d in range(5)]
