@@ -1,10 +1,10 @@
-"""Near-duplicate documents by an LSH forest over minhashes of word shingles.
+"""Near-duplicate documents by MinHash banding over word shingles.
 
-A tree of the forest orders the documents by a signature, several minhashes in a row; documents with a
-common prefix are neighbours in that order and form a region.  The depth of a region, the length of its prefix, adapts to
-the number of documents, so that unlike documents seldom meet; the number of trees follows from the depth, so
-that a pair at the wanted similarity misses all regions with a chance of ``MISS`` only.  What happens
-in a region, however crowded, is told in ``linking``; links are confirmed on full shingle sets.
+This stands in for an LSH forest: a tree is a band, a fixed number of minhashes in a row, and documents with all of
+them equal form a region.  There are no sorted signature orders and no depth of a region's own: one depth for the
+whole run follows from the number of documents, so that unlike documents seldom meet; the number of trees follows
+from the depth, so that a pair at the wanted similarity misses all regions with a chance of ``MISS`` only.  A
+crowded region of unlike documents is not split deeper, but compared block by block.  What happens in a region, however crowded, is told in ``linking``; links are confirmed on full shingle sets.
 
 Documents with equal shingle sets are one item from the start.
 
