@@ -33,6 +33,35 @@ SELECT *, (n_words < {Ql.MIN_WORDS} OR n_repeat_words * 100 > n_words * {Ql.MAX_
        NOT (n_words < {Ql.MIN_WORDS} OR n_repeat_words * 100 > n_words * {Ql.MAX_REPEAT_PERCENT})
          AND NOT (n_words_lost * 100 > n_words * {Ql.MAX_LOST_PERCENT}) AS kept
 FROM m""",
+    "op12_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id, turn, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS v FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(v ORDER BY turn NULLS FIRST, v.r, v.x) AS own,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(conv_id::VARCHAR, ''), lambda b: [ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda k, b: CASE WHEN b >= 0 THEN xor(k, b) WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END),
+         4294967295) % 9 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(l.own[1:c.h], []), c.own[c.h + 1:]) AS s
+  FROM c LEFT JOIN c AS l ON l.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+n AS (
+  SELECT s[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(s)), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2),
+m AS (
+  SELECT n.*, u.conv_id AS parent_conv_id,
+         (n.n_convs - 1) * coalesce(strlen(n.k[n.depth].x), 0) AS saved,
+         (SELECT count(*) FROM n AS d WHERE d.depth = n.depth + 1 AND d.k[1:n.depth] = n.k) AS n_children
+  FROM n LEFT JOIN n AS u ON u.depth = n.depth - 1 AND u.k = n.k[1:n.depth - 1]),
+a AS (SELECT k[1:d] AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth::BIGINT AS depth, m.parent_conv_id, m.n_convs, m.n_children, a.n_leaves::BIGINT AS n_leaves,
+       a.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN a USING (k)""",
     "op3_decontamination": r"""
 WITH abc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT row_number() OVER () AS r, doc_id,

@@ -13,6 +13,7 @@ from mediaweave.llm import licenses as Lc
 from mediaweave.llm import mixing as Mx
 from mediaweave.llm import neardup as Nd
 from mediaweave.llm import paragraphs as Pg
+from mediaweave.llm import prefixes as Px
 from mediaweave.llm import quality as Ql
 from mediaweave.llm import repeats as Rp
 from mediaweave.llm import tokens as Tk
@@ -110,3 +111,9 @@ def _(spark, sf):
 def _(spark, sf):
     """License notices in every document."""
     return Lc.license_matches(documents(spark, sf).select("doc_id", "text"))
+
+
+@query("op12_conversation_trie")
+def _(spark, sf):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return Px.prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
