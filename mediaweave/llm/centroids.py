@@ -148,15 +148,13 @@ def _cut(big: DataFrame, paths: DataFrame, values: list[str]) -> tuple[DataFrame
 def rollup(nodes: DataFrame, paths: Callable[[], DataFrame], values: list[str], limit: int = LIMIT) -> DataFrame:
     """(chain, depth, values): the sums of ``values`` over each node's subtree, itself included.
 
-    ``nodes`` has chain, depth, parent_chain, weight, the chain of its tree's root (root_chain, at depth 0) and the values.  ``paths``
-    is asked for only if a component is above the limit.
+    ``nodes`` has chain, depth, parent_chain, weight, chain and weight of its tree's root (root_chain, root_weight; at depth 0)
+    and the values.  ``paths`` is asked for only if a component is above the limit.
     """
-    state = nodes.select(
+    big = nodes.select(
         "chain", "depth", "parent_chain", F.col("root_chain").alias("comp_chain"), F.lit(0).cast("bigint").alias("comp_depth"),
-        "weight", *values, *(F.lit(0).cast("bigint").alias(f"had_{v}") for v in values),
+        "weight", F.col("root_weight").alias("total"), *values, *(F.lit(0).cast("bigint").alias(f"had_{v}") for v in values),
     )
-    totals = state.filter("depth = 0").select(*_COMP, F.col("weight").alias("total"))
-    big = state.join(totals, _COMP)
     done, tables, steps = [], [], None
     while True:
         done.append(_finished(big.filter(F.col("total") <= limit), values))

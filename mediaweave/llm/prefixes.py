@@ -209,7 +209,8 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT, slice_rows: int =
 
     forest = tree.select(
         F.col("conv_id").alias("chain"), "depth", F.col("parent_conv_id").alias("parent_chain"), "weight",
-        F.lit(top.conv_id).cast("bigint").alias("root_chain"), "n_leaves", "saved_tokens",
+        F.lit(top.conv_id).cast("bigint").alias("root_chain"), F.lit(top.weight).cast("bigint").alias("root_weight"),
+        "n_leaves", "saved_tokens",
     )
     sums = rollup(forest, paths, ["n_leaves", "saved_tokens"], limit)
     out = tree.drop("n_leaves", "saved_tokens", "weight", "k1", "k2").join(
