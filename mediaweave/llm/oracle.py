@@ -62,6 +62,24 @@ a AS (SELECT k[1:d] AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_childre
 SELECT m.conv_id, m.depth::BIGINT AS depth, m.parent_conv_id, m.n_convs, m.n_children, a.n_leaves::BIGINT AS n_leaves,
        a.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
 FROM m JOIN a USING (k)""",
+    "op13_ranked_search": r"""
+WITH abc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents, abc),
+b AS (SELECT row_number() OVER () AS q, item_id,
+             list_distinct(regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+      FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL), abc),
+z AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+      FROM (SELECT t, count(*) AS df FROM p GROUP BY t), z),
+m AS (SELECT r, doc_id, 10 + (90 * len(w) * n) // l AS m FROM d, z WHERE len(w) > 0),
+s AS (SELECT q, item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score, any_value(doc_id) AS doc_id
+      FROM (SELECT q, item_id, unnest(w) AS t FROM b) JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10""",
     "op3_decontamination": r"""
 WITH abc AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT row_number() OVER () AS r, doc_id,

@@ -16,6 +16,7 @@ from mediaweave.llm import paragraphs as Pg
 from mediaweave.llm import prefixes as Px
 from mediaweave.llm import quality as Ql
 from mediaweave.llm import repeats as Rp
+from mediaweave.llm import search as Se
 from mediaweave.llm import tokens as Tk
 from mediaweave.llm import warc as Wa
 from mediaweave.llm.tables import documents
@@ -117,3 +118,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Nodes of the prefix trie of all rebuilt conversations."""
     return Px.prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op13_ranked_search")
+def _(spark, sf):
+    """The ten best documents for every benchmark item."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    return Se.ranked(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
