@@ -158,8 +158,8 @@ def _best(profiles: DataFrame, queries: list[tuple], weights: np.ndarray, stats,
                 [pa.array(c, pa.int64()) for c in columns], names=["query", "item_id", "doc_id", "score"]
             )
 
-    rows = profiles.filter(F.size("terms") > 0).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(n)))
-    rows = rows.select("shard", "doc_id", "n", "terms", "tfs").repartition(n, "shard").sortWithinPartitions("shard")
+    rows = profiles.filter(F.size("terms") > 0).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int"))
+    rows = rows.select("shard", "doc_id", "n", "terms", "tfs").repartitionById(n, F.col("shard")).sortWithinPartitions("shard")
     return rows.mapInArrow(run, "query long, item_id long, doc_id long, score long")
 
 
