@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.llm import decontaminate as Dc
+from mediaweave.llm import extract as Ex
 from mediaweave.llm import language as Ln
 from mediaweave.llm import licenses as Lc
 from mediaweave.llm import mixing as Mx
@@ -125,3 +126,10 @@ def _(spark, sf):
     """The ten best documents for every benchmark item."""
     docs = documents(spark, sf).select("doc_id", "text")
     return Se.ranked(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op11_html_extraction")
+def _(spark, sf):
+    """Main text of every page."""
+    found = Ex.extract(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"))
+    return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text", "n_chars")
