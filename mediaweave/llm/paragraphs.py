@@ -1,10 +1,14 @@
 """Near-duplicate paragraphs by MinHash banding.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words: every line that is not blank.  Their five-word shingle sets
-(of fewer words, the whole line is one shingle) are minhashed into bands, tuned for recall: a pair at the wanted
-similarity shares no band with a chance of ``MISS`` only.  Paragraphs that collide in a band are verified by the
-exact Jaccard similarity of their sets, and linked paragraphs form components; the first paragraph of a
-component, by doc_id and place, stays and the others are removed.
+Paragraphs are cut by content: a word starts one if the hash of it and the next word is the least of all within ``RADIUS``
+words on either side.  So every word of a text, however it is wrapped into lines, is in exactly one paragraph, and a passage that
+stands in two texts is cut alike in both but for its ends.  The five-word shingle sets of paragraphs (of fewer words, all of
+it is one shingle) are minhashed into bands, tuned for recall: a pair at the wanted similarity shares no band with a
+chance of ``MISS`` only.  Paragraphs that collide in a band are verified by the exact Jaccard similarity of their sets, and
+linked paragraphs form components; the first paragraph of a component, by doc_id and place, stays and the others are removed.
+
+Neighbouring paragraphs with a like one elsewhere are a passage; passages of fewer than ``LEAST_WORDS`` words, such as a
+phrase or a short line, are left alone: neither reported nor removed.
 
 Equal paragraphs are one item from the start, and crowded bands are worked through without spreading their pairs
 (``linking``).  Sets so small that one shingle more or less is too much (``least_size``) can only be like
@@ -19,23 +23,29 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from mediaweave.llm import sketches
 from mediaweave.llm.linking import linked, shared_regions
 from mediaweave.llm.tables import forget, stored
 
 SHINGLE = 5
-MIN_WORDS = 1
+#: A paragraph has more than this many words, but for the ends of a text, and twice as many on average.
+RADIUS = 12
+LEAST_WORDS = 20
 PERCENT = 80
-MISS = 1e-5
+MISS = 1e-3
 #: Similarity of unlike paragraphs, and the share of their pairs that may collide.
 UNLIKE = 0.1
-COLLIDING = 0.02
-
+COLLIDING = 0.1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def bands(percent: int = PERCENT, miss: float = MISS, unlike: float = UNLIKE, colliding: float = COLLIDING) -> tuple[int, int]:
@@ -52,57 +62,108 @@ def least_size(percent: int = PERCENT) -> int:
     return math.ceil(percent / (100 - percent)) if percent < 100 else 1
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.filter("doc_id IS NOT NULL")
+def _least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values."""
+    k = 1
+    while 2 * k <= width:
+        x = np.minimum(x[:-k], x[k:])
+        k *= 2
+    return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
+
+
+def cuts(words: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Where the paragraphs of a text begin, and its number of words at the end; ``words`` are hashes."""
+    n = len(words)
+    if n == 0:
+        return np.zeros(1, np.int64)
+    after = np.append(words[1:], np.uint64(0))
+    h = sketches.mixed(sketches.mixed(words) + after)
+    wall = np.full(radius, np.iinfo(np.uint64).max, np.uint64)
+    least = _least_of(np.concatenate((wall, h, wall)), radius)
+    starts = (least[:n] > h) & (least[radius + 1 :][:n] >= h)
+    starts[0] = True
+    return np.append(np.flatnonzero(starts), n)
+
 
+def _sets_of(texts: list[np.ndarray], radius: int):
+    """All paragraphs of some texts: (text number, cuts) of each, and their shingle sets end to end: hashes, where each starts, sizes."""
+    found, units, hashes, base = [], [], [], 0
+    for words in texts:
+        at = cuts(words, radius)
+        m, n = len(at) - 1, len(words)
+        found.append(at)
+        if n >= SHINGLE:
+            x = sketches.mixed(words[: n - SHINGLE + 1] + np.uint64(SHINGLE))
+            for j in range(1, SHINGLE):
+                x = sketches.mixed(x * sketches._A + words[j : n - SHINGLE + 1 + j])
+            unit = np.repeat(np.arange(m), np.diff(at))[: len(x)]
+            whole = np.arange(len(x)) + SHINGLE <= at[unit + 1]
+            units.append(unit[whole] + base)
+            hashes.append(x[whole])
+        for k in np.flatnonzero(np.diff(at) < SHINGLE).tolist():
+            units.append(np.array([base + k]))
+            hashes.append(sketches.shingles(words[at[k] : at[k + 1]], SHINGLE))
+        base += m
+    unit, x = np.concatenate(units), np.concatenate(hashes)
+    order = np.lexsort((x, unit))
+    unit, x = unit[order], x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (x[1:] != x[:-1])
+    unit, x = unit[new], x[new]
+    sizes = np.bincount(unit, minlength=base)
+    return found, x, np.cumsum(sizes) - sizes, sizes
 
-def paragraph_profiles(docs: DataFrame, min_words: int, rows_per_band: int, n_bands: int, least: int = 1) -> DataFrame:
-    """Paragraphs: doc_id, place (line number), n_words, size, fingerprint, and of those with ``least`` shingles
-    band keys and sketch."""
+
+def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_bands: int, least: int = 1) -> DataFrame:
+    """Paragraphs of (row, doc_id, text): row, doc_id, place, first_word, n_words, size, fingerprint, and of those with ``least``
+    shingles band keys and sketch."""
     factors = sketches.multipliers(rows_per_band * n_bands)
+    names = ["row", "doc_id", "place", "first_word", "n_words", "size", "f1", "f2", "keys", "sketch"]
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        found, x, starts, sizes = _sets_of([h[2] for h in held], radius)
+        many = [len(at) - 1 for at in found]
+        rows = np.repeat([h[0] for h in held], many)
+        ids = np.repeat([h[1] for h in held], many)
+        place = np.concatenate([np.arange(m) for m in many])
+        first = np.concatenate([at[:-1] for at in found])
+        n_words = np.concatenate([np.diff(at) for at in found])
+        f1 = np.add.reduceat(sketches.mixed(x + sketches._A), starts).view(np.int64)
+        f2 = np.bitwise_xor.reduceat(sketches.mixed(x * sketches._A + sketches._B), starts).view(np.int64)
+        hashes = sketches.flat_minhashes(x, starts, factors)
+        large = sizes >= least
+        keys = sketches.path_keys(hashes[large], rows_per_band)
+        ends = np.concatenate(([0], np.cumsum(large * n_bands))).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()), mask=pa.array(~large))
+        sketch = iter(hashes[large].astype("u1"))
+        sketch = pa.array([next(sketch).tobytes() if y else None for y in large.tolist()], pa.binary())
+        columns = [pa.array(c, pa.int64()) for c in (rows, ids, place, first, n_words, sizes, f1, f2)]
+        return pa.RecordBatch.from_arrays([*columns, keys, sketch], names=names)
 
     def run(batches):
         memo = sketches.WordHashes()
-        names = ["doc_id", "place", "n_words", "size", "f1", "f2", "keys", "sketch"]
-        types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()]
-
-        def packed(found):
-            sets = [f[3] for f in found]
-            keys, sketch = [None] * len(sets), [None] * len(sets)
-            large = [i for i, s in enumerate(sets) if len(s) >= least]
-            if large:
-                hashes = sketches.minhashes([sets[i] for i in large], factors)
-                for i, k, h in zip(large, sketches.path_keys(hashes, rows_per_band).tolist(), hashes.astype("u1")):
-                    keys[i], sketch[i] = k, h.tobytes()
-            prints = [sketches.fingerprint(s) for s in sets]
-            columns = [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], list(map(len, sets))]
-            columns += [[p[0] for p in prints], [p[1] for p in prints]]
-            columns += [keys, sketch]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-        found, held = [], 0
+        held, many = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                for place, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
-                    words = line.split()
-                    if len(words) >= min_words:
-                        found.append((doc_id, place, len(words), sketches.shingles(memo.of(words), SHINGLE)))
-                        held += len(words)
-                        if held > 1 << 18:
-                            yield packed(found)
-                            found, held = [], 0
-        if found:
-            yield packed(found)
-
-    kind = "doc_id long, place long, n_words long, size long, f1 long, f2 long, keys array<long>, sketch binary"
-    return _texts(docs).mapInArrow(run, kind)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+            texts = batch.column(2).cast(pa.binary())
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+                words = memo.of((text.as_py() or b"").lower().split())
+                if len(words):
+                    held.append((row, doc_id, words))
+                    many += len(words)
+                if many > 1 << 18:
+                    yield packed(held)
+                    held, many = [], 0
+        if held:
+            yield packed(held)
+
+    kind = ", ".join(f"{n} long" for n in names[:8]) + ", keys array<long>, sketch binary"
+    return texts.mapInArrow(run, kind)
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """(item, set) of the wanted paragraphs (item, doc_id, place, f1, f2), read from their documents once more."""
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "place", "f1", "f2")).alias("asked"))
-    rows = asked.join(_texts(docs), "doc_id")
+    rows = asked.join(texts, "doc_id")
     # a row that is there several times is read once
     rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("asked", "text")
 
@@ -110,11 +171,12 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         memo = sketches.WordHashes()
         for batch in batches:
             for asked, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                lines = text.as_py().lower().split(b"\n")
+                words = memo.of(text.as_py().lower().split())
+                at = cuts(words, radius)
                 items, sets = [], []
                 for a in asked.as_py():
-                    if a["place"] < len(lines):
-                        found = sketches.shingles(memo.of(lines[a["place"]].split()), SHINGLE)
+                    if a["place"] < len(at) - 1:
+                        found = sketches.shingles(words[at[a["place"]] : at[a["place"] + 1]], SHINGLE)
                         # rows of a repeated id may hold other texts than the wanted one
                         if sketches.fingerprint(found) == (a["f1"], a["f2"]):
                             items.append(a["item"])
@@ -124,14 +186,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item long, set binary")
 
 
-def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Paragraphs of components of two or more: doc_id, paragraph (line number), n_words, the first paragraph of the
-    component (first_doc_id, first_paragraph), its members, and whether this one is removed."""
+def _repeated(texts: DataFrame, least_words: int, percent: int, radius: int) -> DataFrame:
+    """Paragraphs in repeated passages of the texts (row, doc_id, text), see ``duplicate_paragraphs``, with their row."""
     rows_per_band, n_bands = bands(percent)
-    rows = paragraph_profiles(docs, max(1, min_words), rows_per_band, n_bands, least_size(percent))
+    rows = paragraph_profiles(texts, radius, rows_per_band, n_bands, least_size(percent))
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "paragraphs")
     classes = rows.groupBy("f1", "f2").agg(F.min("rid").alias("item"))
-    members = rows.select("rid", "doc_id", "place", "n_words", "f1", "f2").join(classes, ["f1", "f2"]).drop("f1", "f2")
+    members = rows.select("rid", "row", "doc_id", "place", "first_word", "n_words", "f1", "f2").join(classes, ["f1", "f2"]).drop("f1", "f2")
     members = stored(members, "members")
     heads = members.filter("rid = item").select("item")
     items = rows.filter("keys IS NOT NULL").join(heads, F.col("rid") == F.col("item"))
@@ -139,19 +200,27 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: i
     forget(rows)
     regions = shared_regions(items)
     wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "place", "f1", "f2")
-    sets = stored(_sets(docs, wanted), "sets")
+    sets = stored(_sets(texts.select("doc_id", "text"), wanted, radius), "sets")
     linked_items = linked(items, regions, sets, percent)
+    forget(items, regions, sets)
     found = linked_items.toDF("of", "component")
     placed = members.join(found, F.col("item") == F.col("of"), "left")
     placed = placed.withColumn("component", F.coalesce("component", "item"))
-    placed = stored(placed.select("rid", "doc_id", "place", "n_words", "component"), "placed")
-    forget(members, items, regions, sets, linked_items)
+    placed = stored(placed.drop("item", "of"), "placed")
+    forget(members, linked_items)
     order = F.struct("doc_id", "place", "rid")
     first = placed.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1")
     out = placed.join(first, "component")
-    return out.select(
+    # paragraphs of a text were numbered one after the other
+    out = out.withColumn("text_at", F.col("rid") - F.col("place"))
+    out = out.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy("doc_id", "text_at").orderBy("place")))
+    out = out.withColumn("passage", F.sum("n_words").over(W.partitionBy("doc_id", "text_at", "run")))
+    return out.filter(F.col("passage") >= least_words).select(
+        "row",
         "doc_id",
         F.col("place").alias("paragraph"),
+        "first_word",
+        (F.col("first_word") + F.col("n_words")).alias("past_word"),
         "n_words",
         F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.place").alias("first_paragraph"),
@@ -160,16 +229,54 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: i
     )
 
 
-def without_duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Documents without their removed paragraphs; same columns as ``docs``.  Rows without an id stay whole."""
-    gone = duplicate_paragraphs(docs, min_words, percent).filter("removed AND doc_id IS NOT NULL")
-    gone = gone.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("paragraph").alias("_gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("_of"), "left")
-    lines = F.filter(
-        F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("bigint"))
-    )
-    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
-    changed = {"text": text}
+def duplicate_paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """Paragraphs of components of two or more, in passages of ``least_words`` or more: doc_id, paragraph (its number), first_word,
+    past_word and n_words, the first paragraph of the component (first_doc_id, first_paragraph), its members, and whether this one
+    is removed."""
+    texts = docs.select(
+        F.lit(0).cast("bigint").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).filter("doc_id IS NOT NULL")
+    return _repeated(texts, least_words, percent, radius).drop("row")
+
+
+def without_duplicate_paragraphs(
+    docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, radius: int = RADIUS
+) -> DataFrame:
+    """Documents without their removed paragraphs; same columns as ``docs``.  Rows without an id stay whole.
+
+    A paragraph goes with the white space behind it.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "texts")
+    texts = rows.select(
+        F.col("_at").alias("row"), F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").cast("string").alias("text")
+    ).filter("doc_id IS NOT NULL")
+    gone = _repeated(texts, least_words, percent, radius).filter("removed").groupBy("row")
+    gone = gone.agg(F.array_sort(F.collect_list(F.struct("first_word", "past_word"))).alias("_gone")).withColumnRenamed("row", "_of")
+    rows = rows.join(gone, F.col("_at") == F.col("_of"), "left").select("row", F.col("row.text").cast("string").alias("_text"), "_gone")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for i, spans in enumerate(batch.column(2).to_pylist()):
+                if spans:
+                    texts[i] = without_words(texts[i], [(s["first_word"], s["past_word"]) for s in spans])
+            new = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), new, pc.is_valid(batch.column(2))], names=["row", "_text", "_cut"])
+
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, _text string, _cut boolean")
+    changed = {"text": F.col("_text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select([changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+        n = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_cut"), n).otherwise(F.col("row.n_chars"))
+    return out.select([changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of some spans (first, past) in ascending order, and without the white space behind them."""
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    out, at = [], 0
+    for first, past in spans:
+        out.append(text[at : starts[first]])
+        at = starts[past]
+    return b"".join([*out, text[at:]])

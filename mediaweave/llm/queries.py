@@ -97,7 +97,7 @@ def _(spark, sf):
 
 @query("op6_paragraph_dedup")
 def _(spark, sf):
-    """Paragraphs that nearly repeat another one, by component."""
+    """Paragraphs that nearly repeat another one, by component, in passages of 20 words and more."""
     return Pg.duplicate_paragraphs(documents(spark, sf))
 
 

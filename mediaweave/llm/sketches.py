@@ -62,6 +62,18 @@ def minhashes(sets: list[np.ndarray], factors: np.ndarray) -> np.ndarray:
     return out
 
 
+def flat_minhashes(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The same for sets that stand end to end in one array."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(starts), len(factors)), np.uint32)
+    for i, a in enumerate(factors):
+        h = x * a
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        out[:, i] = np.minimum.reduceat(h, starts)
+    return out
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit sums over a set, as signed numbers."""
     one = np.add.reduce(mixed(s + _A), dtype=np.uint64) if len(s) else np.uint64(0)

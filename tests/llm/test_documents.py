@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from odd_rows import sentence
 
 from mediaweave.llm import decontaminate, matching, neardup, paragraphs, quality, repeats
@@ -92,48 +93,92 @@ def test_forest_shape_keeps_recall():
     assert neardup.forest_shape(10**10, 80)[0] > neardup.forest_shape(10**4, 80)[0]
 
 
-def test_paragraphs(spark):
-    rng = random.Random(3)
-    lines = [sentence(rng, rng.randrange(5, 30)) for _ in range(40)] + copies(rng, 40, 2, 30) + copies(rng, 5, 1, 20)
-    rng.shuffle(lines)
-    texts = {i: "\n".join(lines[i * 4 : i * 4 + 4]) for i in range(len(lines) // 4)}
-    docs = spark.createDataFrame(list(texts.items()), KIND)
-    items = {}
-    for i, t in texts.items():
-        for p, line in enumerate(t.split("\n")):
-            w = words(line)
-            if len(w) >= 10:
-                items[(i, p)] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-    first = clusters(items, close)
-    sizes = {f: sum(g == f for g in first.values()) for f in first.values()}
-    wanted = {(*k, *f, sizes[f], k != f) for k, f in first.items() if sizes[f] > 1}
-    got = paragraphs.duplicate_paragraphs(docs, min_words=10)
-    rows = {(r.doc_id, r.paragraph, r.first_doc_id, r.first_paragraph, r.members, r.removed) for r in got.collect()}
-    assert rows == wanted
-    kept = {r.doc_id: r.text.split("\n") for r in paragraphs.without_duplicate_paragraphs(docs, min_words=10).collect()}
-    for i, t in texts.items():
-        gone = {r[1] for r in wanted if r[0] == i and r[-1]}
-        assert "\n".join(kept[i]) == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
-
-
-def test_paragraphs_of_any_length(spark):
-    """The registered default, on lines of one word up to just above fifty."""
-    rng = random.Random(8)
-    long, short = sentence(rng, 50, 5000).split(" "), sentence(rng, 9, 5000).split(" ")
-    lines = [long, long[:-1], short, short[:-1], short[:7], short[:6], short[:7], ["One"], ["one"], ["two"], ["a", "b"], ["A", "b"], ["b", "a"]]
-    lines = [" ".join(x) for x in lines] + copies(rng, 20, 2, 30) + copies(rng, 20, 1, 12) + copies(rng, 10, 1, 5) + ["", " "]
-    rng.shuffle(lines)
-    texts = {i: "\n".join(lines[i * 3 : i * 3 + 3]) for i in range((len(lines) + 2) // 3)}
-    items = {}
-    for i, t in texts.items():
-        for p, line in enumerate(t.split("\n")):
-            if w := words(line):
-                items[(i, p)] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
-    first = clusters(items, close)
+def brute_cuts(text, radius):
+    """Places where a paragraph starts: the hash of a word and the next is less than all before and no more than all after it."""
+    w = [xxhash.xxh3_64_intdigest(x) for x in words(text)]
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    h = [mixed((mixed(x) + y) % 2**64) for x, y in zip(w, [*w[1:], 0])]
+    return [
+        i for i, x in enumerate(h)
+        if i == 0 or all(y > x for y in h[max(0, i - radius) : i]) and i >= radius and all(y >= x for y in h[i + 1 : i + 1 + radius])
+        or 0 < i < radius and all(y > x for y in h[:i]) and all(y >= x for y in h[i + 1 : i + 1 + radius])
+    ]
+
+
+def brute_paragraphs(rows, least, radius):
+    """(doc_id, paragraph, first_word, past_word, first_doc_id, first_paragraph, members, removed) of rows (doc_id, text)."""
+    sets, spans = {}, {}
+    for k, (i, t) in enumerate(rows):
+        w, at = words(t), brute_cuts(t, radius)
+        for p, (a, b) in enumerate(zip(at, [*at[1:], len(w)])):
+            sets[(i, p, k)] = {tuple(w[j : j + 5]) for j in range(a, max(a + 1, b - 4))} if b - a >= 5 else {tuple(w[a:b])}
+            spans[(i, p, k)] = (a, b)
+    first = clusters(sets, close)
     sizes = {f: sum(g == f for g in first.values()) for f in first.values()}
-    got = paragraphs.duplicate_paragraphs(spark.createDataFrame(list(texts.items()), KIND)).collect()
-    rows = {(r.doc_id, r.paragraph, r.first_doc_id, r.first_paragraph, r.members, r.removed) for r in got}
-    assert rows == {(*k, *f, sizes[f], k != f) for k, f in first.items() if sizes[f] > 1}
+    out = set()
+    for i, p, k in sets:
+        if sizes[first[(i, p, k)]] > 1:
+            low = high = p
+            while sizes.get(first.get((i, low - 1, k)), 0) > 1:
+                low -= 1
+            while sizes.get(first.get((i, high + 1, k)), 0) > 1:
+                high += 1
+            if spans[(i, high, k)][1] - spans[(i, low, k)][0] >= least:
+                f = first[(i, p, k)]
+                out.add((i, p, *spans[(i, p, k)], *f[:2], sizes[f], f != (i, p, k)))
+    return out
+
+
+def paragraph_rows(got):
+    names = "doc_id paragraph first_word past_word first_doc_id first_paragraph members removed".split()
+    return sorted(tuple(r[n] for n in names) for r in got.collect())
+
+
+@pytest.mark.parametrize("least,radius", [(20, 12), (1, 12), (1, 3)])
+def test_paragraphs(spark, least, radius):
+    """Passages of many lengths amid other text, wrapped anew, near copies and texts of a few words."""
+    rng = random.Random(least + radius)
+    passages = [sentence(rng, n, 5000) for n in (8, 14, 22, 30, 51, 60, 120)]
+    texts = []
+    for _ in range(40):
+        parts = [sentence(rng, rng.randrange(0, 40), 5000) for _ in range(4)]
+        for _ in range(2):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(passages))
+        text = " ".join(parts).split(" ")
+        for k in range(0, len(text), rng.randrange(5, 30)):
+            text[k] += rng.choice(["\n", " \n\n", "\t"])
+        texts.append(" ".join(text))
+    texts += copies(rng, 40, 2, 40) + copies(rng, 10, 1, 14) + ["one", "One", "two", "a b", "A\nb", "b a", "", None, " \n"]
+    texts += [" ".join(["same"] * 500), " ".join(["same"] * 400)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, KIND)
+    wanted = brute_paragraphs(rows, least, radius)
+    assert len(wanted) > 60
+    assert paragraph_rows(paragraphs.duplicate_paragraphs(docs, least, radius=radius)) == sorted(wanted)
+    kept = {r.doc_id: r.text for r in paragraphs.without_duplicate_paragraphs(docs, least, radius=radius).collect()}
+    for i, t in rows:
+        gone = {k for r in wanted if r[0] == i and r[-1] for k in range(r[2], r[3])}
+        if gone:
+            assert kept[i].split() == [w for k, w in enumerate(t.split()) if k not in gone]
+        else:
+            assert kept[i] == t
+
+
+def test_paragraphs_of_repeated_rows(spark):
+    """Of equal rows one keeps the text; rows of one id with different texts are told apart."""
+    rng = random.Random(2)
+    a, b, c = (sentence(rng, 60, 5000) for _ in range(3))
+    docs = spark.createDataFrame([(6, a), (6, a), (6, b), (7, c + "\n" + b), (None, b)], KIND)
+    kept = sorted((r.doc_id or 0, r.text) for r in paragraphs.without_duplicate_paragraphs(docs).collect())
+    assert [t for i, t in kept if i == 0] == [b]
+    assert sorted(t for i, t in kept if i == 6) == sorted(["", a, b])
+    (seven,) = [t for i, t in kept if i == 7]
+    assert seven.startswith(c + "\n") and len(seven.split()) < 90
 
 
 @pytest.mark.parametrize("vocabulary", [2, 3000])
