@@ -38,10 +38,12 @@ from mediaweave.llm.tables import forget, stored
 
 SHINGLE = 5
 #: A paragraph has more than this many words, but for the ends of a text, and twice as many on average.
-RADIUS = 12
+RADIUS = 14
 LEAST_WORDS = 20
 PERCENT = 80
-MISS = 1e-3
+MISS = 1e-2
+#: Minhashes that estimate the similarity of a pair.
+SKETCH = 24
 #: Similarity of unlike paragraphs, and the share of their pairs that may collide.
 UNLIKE = 0.1
 COLLIDING = 0.1
@@ -117,7 +119,8 @@ def _sets_of(texts: list[np.ndarray], radius: int):
 def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_bands: int, least: int = 1) -> DataFrame:
     """Paragraphs of (row, doc_id, text): row, doc_id, place, first_word, n_words, size, fingerprint, and of those with ``least``
     shingles band keys and sketch."""
-    factors = sketches.multipliers(rows_per_band * n_bands)
+    n_keys = rows_per_band * n_bands
+    factors = sketches.multipliers(max(n_keys, SKETCH))
     names = ["row", "doc_id", "place", "first_word", "n_words", "size", "f1", "f2", "keys", "sketch"]
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
@@ -132,7 +135,7 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
         f2 = np.bitwise_xor.reduceat(sketches.mixed(x * sketches._A + sketches._B), starts).view(np.int64)
         hashes = sketches.flat_minhashes(x, starts, factors)
         large = sizes >= least
-        keys = sketches.path_keys(hashes[large], rows_per_band)
+        keys = sketches.path_keys(hashes[large, :n_keys], rows_per_band)
         ends = np.concatenate(([0], np.cumsum(large * n_bands))).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()), mask=pa.array(~large))
         sketch = iter(hashes[large].astype("u1"))
