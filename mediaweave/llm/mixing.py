@@ -7,7 +7,11 @@ or a whole further copy; the other goes on to the next meeting.  So the words a
 
 The meetings form a reduction tree: blocks of a bounded number of documents each settle all but
 one document, and the ones left over meet in the next level's blocks.  At the root one document per source
-keeps a fraction; it gives that part of its words.
+keeps a fraction, which is drawn with its probability.  So all copies are whole, and a source misses its target by
+less than one document.
+
+Wholly equal rows are one unit: what they take together is rounded like one document's fraction, and dealt out to them row by
+row.
 
 Defined results: a null or empty text has size 0 and never takes anything; a null source is a source
 of its own, last in order; if all sizes are 0 every target is 0.  Blocks and draws follow from a hash of
@@ -22,13 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.tables import SPACE, stored, word_count
-from mediaweave.operators.ordered import global_rank
+from mediaweave.llm.tables import stored, word_count
+from mediaweave.operators.ordered import global_rank, running_rank
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Documents that settle in one fold.
 BLOCK = 256
+#: Copies of one text that a task writes.
+COPIES = 10_000
 SEED = 8
 
 _UNIT = "struct<key:bigint,rid:bigint,size:double,mass:double,draw:double>"
@@ -103,10 +109,7 @@ def _settle(units: DataFrame, level: int, block: int) -> DataFrame:
 
 
 def round_copies(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(rid, part): the rounded fraction of every document in ``rows`` (source, key, rid, size, part).
-
-    One document per source, at the root of the tree, keeps a fraction.
-    """
+    """(rid, part): the fraction of every document in ``rows`` (source, key, rid, size, part), rounded to 0 or 1."""
     counted = rows.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
     largest = counted.agg(F.max("n")).first()[0] or 0
     units = rows.join(counted, F.col("source").eqNullSafe(F.col("of"))).select(
@@ -120,10 +123,29 @@ def round_copies(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         level += 1
         if block**level >= largest:
             break
-    root = units.select("rid", (F.col("mass") / F.col("size")).alias("part"))
+    drawn = _number(F.lit("root"), "key") < F.col("mass") / F.col("size")
+    root = units.select("rid", F.when(drawn, 1.0).otherwise(0.0).alias("part"))
     return reduce(DataFrame.unionByName, done, root)
 
 
+def further_copies(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(rid, extra): further copies, 0 or 1, of every row of ``rows`` (source, key, rid, size, part); rows of one key are equal."""
+    groups = rows.groupBy("source", "key", "size").agg(
+        F.min("rid").alias("rid"), F.count("*").alias("rows"), (F.count("*") * F.first("part")).alias("wanted")
+    )
+    groups = stored(groups, "equal")
+    fractions = groups.select("source", "key", "rid", "size", (F.col("wanted") - F.floor("wanted")).alias("part"))
+    dealt = groups.join(round_copies(fractions, block), "rid").withColumn("extra", F.floor("wanted") + F.col("part").cast("bigint"))
+    single = dealt.filter("rows = 1").select("rid", "extra")
+    several = dealt.filter("rows > 1").select(F.col("source").alias("of"), "key", "size", "extra")
+    several = rows.select("source", "key", "size", "rid").join(several, ["key", "size"]).filter(F.col("source").eqNullSafe(F.col("of")))
+    # row numbers grow with the partition that gave them
+    several = several.withColumn("name", F.xxhash64("source", "key", "size"))
+    several = running_rank(several, ["name"], F.shiftright("rid", 33), ["rid"])
+    several = several.select("rid", (F.col("rank") <= F.col("extra")).cast("bigint").alias("extra"))
+    return single.unionByName(several)
+
+
 def _names(columns: tuple[str, ...] | list[str]) -> list[Column]:
     """128 bits that tell rows with different columns apart."""
     return [F.xxhash64(F.lit(n), *columns).alias(c) for n, c in enumerate(("_one", "_two"))] if columns else []
@@ -153,30 +175,32 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumns({"whole": F.floor(rate), "part": rate - F.floor(rate)})
     sized = rows.filter("size > 0").select("source", "key", "rid", F.col("size").cast("double").alias("size"), "part")
-    parts = round_copies(sized, block).withColumnRenamed("part", "rounded")
-    out = rows.join(parts, "rid", "left")
-    taken = F.col("whole") * F.col("size") + F.round(F.coalesce("rounded", F.lit(0.0)) * F.col("size")).cast("bigint")
+    out = rows.join(further_copies(sized, block), "rid", "left")
+    taken = (F.col("whole") + F.coalesce("extra", F.lit(0))) * F.col("size")
     return out.select("row", "size", "source_size", "target", taken.alias("taken"), *(["_one", "_two"] if name else []))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it; a part is its leading words, with the blanks and line ends between
-    them.  Same columns as ``docs``."""
+def mixed_documents(docs: DataFrame, most: int = COPIES) -> DataFrame:
+    """Each document, whole, as often as the mix takes it.  Same columns as ``docs``.
+
+    Texts of more than ``most`` copies are spread over tasks, ``most`` copies each.
+    """
     # the texts wait in their table; rows are told by their hashes, and wholly equal rows are taken together
     out = mix(docs, keep=["doc_id"], name=docs.columns).filter("taken > 0")
-    out = out.groupBy("_one", "_two").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+    wanted = stored(out.groupBy("_one", "_two").agg(F.sum(F.expr("taken div size")).alias("copies")), "copies")
     rows = docs.select(F.struct(*docs.columns).alias("row"), *_names(docs.columns))
-    out = out.join(rows, ["_one", "_two"]).dropDuplicates(["_one", "_two"])
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.col("taken") - F.col("size") * (F.col("copy") - 1)
-    text = F.col("row.text")
-    # an empty piece comes before leading blanks; the last piece is what follows the words
-    pieces = left + F.when(text.rlike(f"^{SPACE}"), 2).otherwise(1)
-    rest = F.element_at(F.split(text, f"{SPACE}+", pieces.cast("int")), -1)
-    lead = F.regexp_replace(F.left(text, F.length(text) - F.length(rest)), f"{SPACE}+$", "")
-    out = out.withColumn("text", F.when(left < F.col("size"), lead).otherwise(text))
-    changed = {"text": F.col("text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select([changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+    def texts(of: DataFrame) -> DataFrame:
+        return of.join(rows, ["_one", "_two"]).dropDuplicates(["_one", "_two"])
+
+    def each(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(1).cast("bigint"), n))
+
+    taken = texts(wanted.filter(F.col("copies") <= most)).select("row", each(F.col("copies")).alias("copy"))
+    often = wanted.filter(F.col("copies") > most)
+    if not often.isEmpty():
+        piles = texts(often).select("_one", "row", "copies", each(F.ceil(F.col("copies") / most)).alias("pile"))
+        piles = piles.repartition("_one", "pile")
+        left = F.col("copies") - (F.col("pile") - 1) * most
+        taken = taken.unionByName(piles.select("row", each(F.least(left, F.lit(most).cast("bigint"))).alias("copy")))
+    return taken.select("row.*")
