@@ -22,10 +22,11 @@ from mediaweave.operators import health as H  # noqa: E402
 from mediaweave.operators import manifest as Mf  # noqa: E402
 from mediaweave.operators import media as M  # noqa: E402
 from mediaweave.operators import rules as R  # noqa: E402
+from mediaweave.operators.ruleindex import RuleIndex  # noqa: E402
 from mediaweave.operators import scan as S  # noqa: E402
 from mediaweave.operators.nodes import nodes  # noqa: E402
 from mediaweave.plans import queries as Q  # noqa: E402
-from mediaweave.session import local_session  # noqa: E402
+from mediaweave.session import cut_lineage, local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -100,6 +101,17 @@ def main() -> None:
     queries["rewrite_849_rules"] = best(lambda: R.transform_image_urls(urls, rules))
     rates["urls_per_sec_849_rules"] = round(n_urls / queries["rewrite_849_rules"])
 
+    # the given URLs in fifty versions each, so that work and not planning is measured
+    many = urls.select("page_url", "url", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("v"))
+    many = cut_lineage(many.select("page_url", F.concat("url", F.lit("?v="), F.col("v").cast("string")).alias("url")).repartition(4 * int(CPUS)))
+    n_many = many.count()
+    for k in (849, 20_000):
+        fields = "rule_id int, ord int, domain string, link string, img string, to string, res array<string>"
+        table = spark.createDataFrame([{n: r[n] for n in ("rule_id", "ord", "domain", "link", "img", "to", "res")} for r in many_rules(k).rules], fields)
+        index = RuleIndex(table)
+        queries[f"rewrite_{k}_rules_indexed"] = best(lambda: index.transform(many))
+        rates[f"urls_per_sec_{k}_rules_indexed"] = round(n_many / queries[f"rewrite_{k}_rules_indexed"])
+
     for k in (849, 5000):
         rules = many_rules(k)
         first = F.col("url"), F.col("page_url"), rules

@@ -3,26 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.functions import urls as U
-from mediaweave.functions.rewrite import (
-    RuleBook,
-    _constant,
-    apply_replacements,
-    expand_variants,
-    java_pattern,
-    python_target,
-    rule_target,
-    substitute,
-)
-from mediaweave.session import settled
-
-#: Rules checked and applied at a time when they are not folded.
-CHUNK = 1000
+from mediaweave.functions.rewrite import RuleBook, apply_replacements, java_pattern, python_target, rule_target
+from mediaweave.operators.ruleindex import CHUNK, RuleIndex
 
 
 def rule_domain(regex) -> Column:
@@ -184,62 +171,9 @@ def apply_rules(urls: DataFrame, book: RuleBook) -> DataFrame:
     return urls.select("page_url", "url", F.posexplode(variants).alias("pos", "variant"))
 
 
-def _host_keys() -> Column:
-    """Hosts a URL is looked up by, with their tier."""
-    page, image = U.get_domain("page_url"), U.get_domain("url")
-
-    def keys(host, tier):
-        short = F.when(host.startswith("www."), F.substring(host, 5, 10000))
-        return [
-            F.struct(F.lit(tier).alias("tier"), host.alias("domain")),
-            F.struct(F.lit(tier + 1).alias("tier"), short.alias("domain")),
-        ]
-
-    other = F.when(image != page, image)
-    return F.filter(F.array(*keys(page, 0), *keys(other, 2)), lambda k: k["domain"].isNotNull() & (k["domain"] != ""))
-
-
 def apply_rules_by_join(urls: DataFrame, rules: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Same result as ``apply_rules`` for rule tables too large to fold into a plan.
-
-    Rules are checked a chunk at a time and written out; host-bound rules meet their URLs by an equi
-    join on the host, global rules of a chunk are one constant in one pass over the URLs.
-    """
-    spark = rules.sparkSession
-    usable = rules.filter((F.coalesce("img", F.lit("")) != "") & (F.coalesce("to", F.lit("")) != ""))
-    pairs = settled(urls.select("page_url", "url").distinct())
-    keyed = settled(pairs.select("page_url", "url", F.inline(_host_keys())))
-    parts, last = [], None
-    while True:
-        place = F.struct("ord", "rule_id")
-        later = usable if last is None else usable.filter(place > F.struct(F.lit(last[0]), F.lit(last[1])))
-        edge = later.select("ord", "rule_id").orderBy("ord", "rule_id").limit(chunk).agg(F.max(place).alias("edge")).first()["edge"]
-        if edge is None:
-            break
-        last = edge["ord"], edge["rule_id"]
-        # with the edge come all rules of the same place, as several files have them
-        some = later.filter(place <= F.struct(F.lit(last[0]), F.lit(last[1]))).orderBy("ord", "rule_id")
-        rows = [r.asDict(recursive=True) for r in some.collect()]
-        good, _ = check_rules(spark, rows)
-        bound = [(r["domain"], r["ord"], r["rule_id"], r["img"], r["to"]) for r in good if r["domain"]]
-        if bound:
-            table = spark.createDataFrame(bound, "domain string, ord int, rule_id int, img string, to string")
-            variants = expand_variants(substitute("url", F.col("img"), F.col("to")))
-            found = keyed.join(table, "domain")
-            parts.append(found.select("page_url", "url", "tier", "ord", "rule_id", F.posexplode(variants).alias("pos", "variant")))
-        everywhere = RuleBook(rules=[r for r in good if not r["domain"]])
-        if everywhere.rules:
-            hits = pairs.select("page_url", "url", F.explode(everywhere.global_rules("url")).alias("r"))
-            places = _constant({str(r["rule_id"]): r["ord"] for r in everywhere.rules}, "map<string,int>")
-            hits = hits.select(
-                "page_url", "url", F.lit(4).alias("tier"), places[F.col("r.rule_id").cast("string")].alias("ord"),
-                F.col("r.rule_id").alias("rule_id"),
-                F.posexplode(expand_variants(substitute("url", F.col("r.img"), F.col("r.to")))).alias("pos", "variant"),
-            )
-            parts.append(settled(hits))
-    if not parts:
-        return pairs.select("page_url", "url", *[F.lit(0).alias(c) for c in ("tier", "ord", "rule_id", "pos")], F.lit("").alias("variant")).limit(0)
-    return reduce(DataFrame.unionByName, parts)
+    """Same result as ``apply_rules`` for rule tables too large to fold into a plan, with each variant's place."""
+    return RuleIndex(rules, chunk=chunk).hits(urls)
 
 
 def transform_image_urls(urls: DataFrame, book: RuleBook) -> DataFrame:

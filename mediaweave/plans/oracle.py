@@ -603,7 +603,6 @@ WITH {MEDIA} SELECT page_id, url, source, '900' AS width, '(min-width:800px)' AS
 ORACLE["h07_img_images"] = f"""
 WITH {MEDIA} SELECT page_id, url, source, page_id % 16 = 4 AND source = 'src' AS transformed,
   CASE WHEN page_id % 16 = 4 AND source = 'src' THEN '/t/' || page_id || '-300x200.jpg' END AS original_url FROM media WHERE op = 'h07'"""
-ORACLE["h07_img_images_requoted"] = f"SELECT * FROM ({ORACLE['h07_img_images']}) WHERE page_id % 16 NOT IN (9, 12)"
 ORACLE["h07_img_images_requoted_all"] = ORACLE["h07_img_images"]
 ORACLE["h07_img_images_min_size"] = f"""
 SELECT page_id, CASE WHEN page_id % 16 = 1 THEN regexp_replace(url, '-d[.]jpg$', '.jpg') ELSE url END AS url,
@@ -801,6 +800,19 @@ ORACLE["r09_transform_image_url"] = f"""
 WITH {_CH}, o AS (SELECT page_url, url, CASE WHEN f <> url OR len(l) > 1 THEN l
   WHEN regexp_replace(url, '/w/', '/whole/', 'gi') <> url THEN [regexp_replace(url, '/w/', '/whole/', 'gi')] ELSE [{stripped('f')}] END AS l FROM g)
 SELECT page_url, url, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS candidate FROM o"""
+# the forms by join work on the distinct URLs of a page
+ORACLE["r01_match_site_patterns_by_join"] = f"SELECT DISTINCT * FROM ({ORACLE['r01_match_site_patterns']})"
+ORACLE["r02_apply_replace_patterns_by_join"] = f"WITH {SITED} SELECT DISTINCT page_url, url, {_R3} AS replaced_url FROM sited"
+ORACLE["r09_transform_image_url_by_join"] = f"SELECT DISTINCT * FROM ({ORACLE['r09_transform_image_url']})"
+ORACLE["r04_apply_rules_per_page"] = f"""
+WITH {IMAGE_URLS}, d AS (SELECT DISTINCT page_url, url FROM image_urls), p AS (SELECT DISTINCT page_id FROM pages),
+h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
+SELECT page_url, url, page_id::INTEGER AS ord, 0 AS pos, regexp_replace(url, '/images/thumb/img[0-9]+_thumb[.]jpg$', '/images/big/' || page_id || '.jpg') AS variant
+FROM d JOIN p ON regexp_extract(url, '/images/thumb/img([0-9]+)_thumb[.]jpg$', 1) = page_id::VARCHAR
+UNION ALL
+SELECT page_url, url, -1, 0, regexp_replace(url, '^(.*)/pics/([0-9]+)-300x200[.]jpg$', '\\1/pics/\\2.jpg')
+FROM d JOIN h ON {host('page_url')} = h.host OR {host('page_url')} = 'www.' || h.host
+WHERE regexp_matches(url, '^(.*)/pics/([0-9]+)-300x200[.]jpg$')"""
 ORACLE["r10_rule_functions"] = """
 WITH e AS (SELECT event_id, event_type, props, ['group', 'concat', 'if', 'replace', 'base64', 'urldecode'][event_id % 6 + 1] AS fn FROM events)
 SELECT event_id, fn, CASE fn WHEN 'group' THEN event_type WHEN 'concat' THEN event_type || '/a/' || event_id
@@ -1090,7 +1102,7 @@ WITH {_CRAWL} SELECT page_id, norm_url, 0 AS depth FROM d0 UNION ALL SELECT page
 
 ORACLE["c01_crawl_per_task"] = f"""
 WITH {_CRAWL}, hop AS (SELECT DISTINCT p.norm_url AS src, h.norm_url AS dst FROM hops h JOIN pg p USING (page_id)),
-t0 AS (SELECT page_id AS task_id, norm_url FROM pg WHERE page_id % 8 = 0),
+t0 AS (SELECT page_id AS task_id, norm_url FROM pg),
 t1 AS (SELECT DISTINCT task_id, dst AS norm_url FROM t0 JOIN hop ON src = norm_url),
 t2 AS (SELECT DISTINCT task_id, dst AS norm_url FROM t1 JOIN hop ON src = norm_url),
 s AS (SELECT task_id, norm_url, min(depth) AS depth FROM (SELECT *, 0 AS depth FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2) GROUP BY ALL)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +23,7 @@ from mediaweave.operators import scan as S
 from mediaweave.operators import tasks as Tk
 from mediaweave.operators.nodes import is_visible, nodes, with_relative
 from mediaweave.operators.ordered import global_rank
+from mediaweave.operators.ruleindex import RuleIndex
 from mediaweave.plans import inputs as I
 from mediaweave.plans.crawl import crawl, visit_rank
 from mediaweave.session import checkpoint_folder, settled
@@ -498,17 +498,9 @@ def requoted(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", html)
 
 
-@query("h07_img_images_requoted")
-def _(spark, sf):
-    """Images of pages whose attributes are quoted in other ways."""
-    pages = requoted(media_pages(spark, sf).filter("page_id % 16 NOT IN (9, 12)"))
-    found = M.extract(nodes(pages, marked_only=True), M.img_images())
-    return found.select("page_id", "url", "source", "transformed", "original_url")
-
-
 @query("h07_img_images_requoted_all")
 def _(spark, sf):
-    """The same of all pages, those with scripts too."""
+    """Images of pages whose attributes are quoted in other ways."""
     found = M.extract(nodes(requoted(media_pages(spark, sf)), marked_only=True), M.img_images())
     return found.select("page_id", "url", "source", "transformed", "original_url")
 
@@ -680,6 +672,21 @@ def _(spark, sf):
     return R.replace_by_site(I.image_urls(spark, sf), book(spark)).select("page_id", "url", "replaced_url")
 
 
+def _index(spark) -> RuleIndex:
+    return RuleIndex(I.rules_table(spark), I.patterns_table(spark), I.THUMBNAILS)
+
+
+@query("r01_match_site_patterns_by_join")
+def _(spark, sf):
+    return RuleIndex(None, I.patterns_table(spark)).match_sites(I.image_urls(spark, sf))
+
+
+@query("r02_apply_replace_patterns_by_join")
+def _(spark, sf):
+    found = RuleIndex(None, I.patterns_table(spark)).replaced(I.image_urls(spark, sf))
+    return found.withColumnRenamed("first", "replaced_url")
+
+
 @query("r03_rule_candidates")
 def _(spark, sf):
     found = R.rule_candidates(I.image_urls(spark, sf), book(spark))
@@ -697,6 +704,25 @@ def _(spark, sf):
     return found.select("page_url", "url", "ord", "pos", "variant")
 
 
+@query("r04_apply_rules_per_page")
+def _(spark, sf):
+    """As many rules as pages and hosts: one for every page's thumbnail, and one bound to every page's host."""
+    fields = ["rule_id", "ord", "domain", "link", "img", "to", "res"]
+    none = [F.lit(None).cast("string").alias("link"), F.array().cast("array<string>").alias("res")]
+    pages = I.pages(spark, sf)
+    n = F.col("page_id").cast("string")
+    thumbs = pages.select(
+        F.col("page_id").cast("int").alias("rule_id"), F.col("page_id").cast("int").alias("ord"), F.lit(None).cast("string").alias("domain"),
+        F.concat(F.lit("/images/thumb/img"), n, F.lit("_thumb[.]jpg$")).alias("img"), F.concat(F.lit("/images/big/"), n, F.lit(".jpg")).alias("to"), *none,
+    )
+    hosts = I.page_hosts(spark, sf).select(
+        F.lit(0).alias("rule_id"), F.lit(-1).alias("ord"), F.col("host").alias("domain"),
+        F.lit(r"^(.*)/pics/(\d+)-300x200[.]jpg$").alias("img"), F.lit("$1/pics/$2.jpg").alias("to"), *none,
+    )
+    index = RuleIndex(thumbs.select(fields).unionByName(hosts.select(fields)))
+    return index.hits(I.image_urls(spark, sf)).select("page_url", "url", "ord", "pos", "variant")
+
+
 @query("r05_apply_rules_first")
 def _(spark, sf):
     urls = I.image_urls(spark, sf)
@@ -732,6 +758,11 @@ def _(spark, sf):
     return R.transform_image_urls(I.image_urls(spark, sf), book(spark))
 
 
+@query("r09_transform_image_url_by_join")
+def _(spark, sf):
+    return _index(spark).transform(I.image_urls(spark, sf))
+
+
 @query("r10_rule_functions")
 def _(spark, sf):
     e = I.table(spark, sf, "events")
@@ -1186,12 +1217,12 @@ def _(spark, sf):
 
 @query("c01_crawl_per_task")
 def _(spark, sf):
-    """A task for every eighth page, each walking two levels by itself; their pages overlap."""
+    """A task for every page, each walking two levels by itself; their pages overlap."""
     pages = I.pages(spark, sf).select("page_id", "url")
     links = _edges(spark, sf).withColumns(
         {"first_seen": F.col("url"), "priority": F.lit(None).cast("double"), "from_image": F.lit(False)}
     )
-    seeds = pages.filter("page_id % 8 = 0").select(F.col("page_id").alias("task_id"), "url")
+    seeds = pages.select(F.col("page_id").alias("task_id"), "url")
     seen = crawl(pages, links, seeds, I.blocklist(spark), max_depth=2, stay_in_domain=False)
     return seen.select("task_id", "page_id", "depth")
 
