@@ -25,7 +25,7 @@ from mediaweave.operators.nodes import is_visible, nodes, with_relative
 from mediaweave.operators.ordered import global_rank
 from mediaweave.operators.ruleindex import RuleIndex
 from mediaweave.plans import inputs as I
-from mediaweave.plans.crawl import crawl, visit_rank
+from mediaweave.plans.crawl import best_first_crawl, crawl, visit_rank
 from mediaweave.session import checkpoint_folder, settled
 from mediaweave.sources import files as Fs
 from mediaweave.sources import pages as P
@@ -1227,6 +1227,43 @@ def _(spark, sf):
     return seen.select("task_id", "page_id", "depth")
 
 
+def _crossed(spark, sf, factor: int, step: int) -> DataFrame:
+    """An edge from every page to another one: page_id, src_url, dst_url."""
+    p = I.pages(spark, sf).select("page_id", "url")
+    to = p.withColumn("dst_id", (F.col("page_id") * factor + step) % p.agg(F.count("*")).scalar())
+    dst = p.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst_url"))
+    return to.withColumnRenamed("url", "src_url").join(dst, "dst_id").select("page_id", "src_url", "dst_url")
+
+
+@query("c03_crawl_feedback")
+def _(spark, sf):
+    """A task for every page, best first within its own domain, over what the pages hold.
+
+    Links come from the markup and from a JSON listing of each page; some media of a page are web pages, and some downloads bring one.
+    """
+    pages = I.pages(spark, sf).select("page_id", "url")
+    anchors = I.page_links(spark, sf).groupBy("page_id").agg(
+        F.array_join(F.collect_list(F.concat(F.lit('<a href="'), "dst_url", F.lit('">more</a>'))), "").alias("anchors")
+    )
+    marked = media_pages(spark, sf).join(anchors, "page_id").withColumn("html", F.concat("html", "anchors")).drop("anchors")
+    found = settled(nodes(marked, marked_only=True))
+    columns = ["page_id", "page_url", "url", "first_seen", "priority", "from_image"]
+    listing = _crossed(spark, sf, 11, 5).select(
+        F.col("page_id").alias("doc_id"), F.col("src_url").alias("url"), F.concat(F.lit('{"next":"'), "dst_url", F.lit('"}')).alias("body")
+    )
+    paging = J.json_page_links(J.read_payloads(listing)).select(
+        F.col("doc_id").alias("page_id"), "page_url", "url", F.col("url").alias("first_seen"), F.lit(None).cast("double").alias("priority"),
+        F.lit(False).alias("from_image"),
+    )
+    media = M.extract_media(found).select("page_id", "url").unionByName(_crossed(spark, sf, 13, 3).select("page_id", F.col("dst_url").alias("url")))
+    refused = _crossed(spark, sf, 17, 7).select("page_id", F.col("dst_url").alias("url"))
+    seen = best_first_crawl(
+        pages, L.extract_links(found).select(columns).unionByName(paging), pages.select(F.col("page_id").alias("task_id"), "url"),
+        I.blocklist(spark), media, refused, max_depth=2,
+    )
+    return seen.select("task_id", "page_id", "depth", "round")
+
+
 @query("c02_visit_rank")
 def _(spark, sf):
     pages = I.pages(spark, sf).select("page_id", "url")
