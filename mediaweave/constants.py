@@ -279,6 +279,7 @@ SEARCH_DEPTH = 3
 MAX_LINKS_PER_PAGE = 200
 MAX_LINKED_PAGES = 50
 MAX_JS_REDIRECTS = 5
+IDLE_SECONDS = 5.0
 QUARANTINE_FAILURES = 3
 QUARANTINE_BATCH = 10
 QUARANTINE_RETRIES = 1

@@ -1030,6 +1030,12 @@ ORACLE["k11_quarantine_batches"] = f"""
 WITH {HEALTH}, s AS (SELECT event_id, host, ceil(row_number() OVER (ORDER BY ts, event_id) / 10.0)::BIGINT AS batch FROM fetch_log
   WHERE host IN (SELECT host FROM health WHERE quarantined_at IS NOT NULL))
 SELECT event_id, host, batch, CASE WHEN event_id % 2 = 1 THEN 'drop' ELSE 'retry' END AS action FROM s"""
+ORACLE["s13_snapshot"] = f"""
+WITH {HEALTH}, {IMAGE_URLS}, k AS (
+  SELECT 'frontier' AS name, url AS key FROM pages UNION ALL SELECT DISTINCT 'manifest', url FROM image_urls
+  UNION ALL SELECT 'quarantine', event_id::VARCHAR FROM fetch_log WHERE host IN (SELECT host FROM health WHERE quarantined_at IS NOT NULL)
+  UNION ALL SELECT DISTINCT 'visited', {norm('url')} FROM pages UNION ALL SELECT 'health', host || ' ' || failures || ' ' || total FROM health)
+SELECT 1 AS version, name, key FROM k"""
 ORACLE["k12_cap_linked_pages"] = f"""
 WITH {ANCHORS}, k AS (SELECT page_id, url, min(CASE WHEN inner_html LIKE '%<img %' THEN 0 ELSE 1 END) AS stage, min(i) AS i FROM (
   SELECT a.page_id, a.page_url, a.i, a.url, a0.inner_html FROM anchors a JOIN a0 USING (page_id, i)) WHERE url <> page_url AND
@@ -1116,6 +1122,7 @@ ORACLE["t03_stream_health"] = f"""
 WITH {HEALTH} SELECT host, failures, total, strftime(quarantined_at, '%Y-%m-%d %H:%M:%S') AS quarantined_at FROM health"""
 ORACLE["t04_stream_reputation"] = f"WITH {COUNTS} SELECT * FROM host_scores"
 ORACLE["t05_stream_completion"] = f"WITH {PM} SELECT page_id, length(html)::BIGINT AS n_chars FROM pm"
+ORACLE["t05_stream_idle_end"] = ORACLE["t01_stream_media"]
 ORACLE["t06_stream_restart"] = f"SELECT page_id, {norm('url')} AS norm_url FROM pages"
 ORACLE["t07_stream_progress"] = f"""
 WITH {OUTCOMES} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (success) AS n_ok FROM outcomes GROUP BY 1"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +173,11 @@ def _pattern_files(spark, sf) -> DataFrame:
 
 @query("s05_read_site_patterns")
 def _(spark, sf):
-    p = P.parse_site_patterns(_pattern_files(spark, sf))
+    """Pattern files are written and read again; those of the second folder take precedence."""
+    path = scratch(spark, "patterns")
+    files = _pattern_files(spark, sf).withColumn("name", F.md5(F.col("value").cast("binary")))
+    files.write.partitionBy("file", "name").text(path)
+    p = P.read_site_patterns(spark, [f"{path}/file=0", f"{path}/file=1"])
     return p.select(
         "site", "enabled", joined(F.coalesce("domains", F.array().cast("array<string>"))).alias("domains"),
         joined(F.coalesce("url_patterns", F.array().cast("array<string>"))).alias("url_patterns"),
@@ -284,6 +289,28 @@ def _(spark, sf):
     return back["frontier"].join(back["visited"], U.normalize_url("url") == F.col("norm_url"))
 
 
+@query("s13_snapshot")
+def _(spark, sf):
+    """All five tables under a version; a later version that was never finished is passed over."""
+    folder = scratch(spark, "snapshots")
+    p = I.pages(spark, sf)
+    log = I.fetch_log(spark, sf).select("event_id", "ts", "host")
+    health = settled(_health(spark, sf))
+    tables = {
+        "frontier": p.select("url", F.lit(1).alias("depth"), (F.col("page_id") / 8).cast("double").alias("priority")),
+        "manifest": I.image_urls(spark, sf).select("url").distinct(),
+        "quarantine": H.set_aside(log, H.quarantined(health)),
+        "visited": p.select(U.normalize_url("url").alias("norm_url")).distinct(),
+        "health": health,
+    }
+    Fs.save_snapshot(tables, folder, 1)
+    Fs.write_tables({"frontier": tables["visited"]}, f"{folder}/version=2")
+    version, back = Fs.load_snapshot(spark, folder)
+    keys = {"frontier": "url", "manifest": "url", "quarantine": "event_id", "visited": "norm_url", "health": "concat(host, ' ', failures, ' ', total)"}
+    rows = [back[n].select(F.lit(version).alias("version"), F.lit(n).alias("name"), F.expr(k).cast("string").alias("key")) for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("s14_clamp_settings")
 def _(spark, sf):
     events = I.project(I.table(spark, sf, "events"), I.SETTINGS)
@@ -1240,6 +1267,7 @@ def _(spark, sf):
     """A task for every page, best first within its own domain, over what the pages hold.
 
     Links come from the markup and from a JSON listing of each page; some media of a page are web pages, and some downloads bring one.
+    The buckets are wide: feedback has no depth limit, so a task reaches most of its domain, and few pages wait at a time.
     """
     pages = I.pages(spark, sf).select("page_id", "url")
     anchors = I.page_links(spark, sf).groupBy("page_id").agg(
@@ -1252,14 +1280,15 @@ def _(spark, sf):
         F.col("page_id").alias("doc_id"), F.col("src_url").alias("url"), F.concat(F.lit('{"next":"'), "dst_url", F.lit('"}')).alias("body")
     )
     paging = J.json_page_links(J.read_payloads(listing)).select(
-        F.col("doc_id").alias("page_id"), "page_url", "url", F.col("url").alias("first_seen"), F.lit(None).cast("double").alias("priority"),
-        F.lit(False).alias("from_image"),
+        F.col("doc_id").alias("page_id"), "page_url", "url",
+        F.struct(F.lit(9).alias("stage"), F.lit(0).alias("owner"), F.lit(0).cast("bigint").alias("pos")).alias("first_seen"),
+        F.lit(None).cast("double").alias("priority"), F.lit(False).alias("from_image"),
     )
     media = M.extract_media(found).select("page_id", "url").unionByName(_crossed(spark, sf, 13, 3).select("page_id", F.col("dst_url").alias("url")))
     refused = _crossed(spark, sf, 17, 7).select("page_id", F.col("dst_url").alias("url"))
     seen = best_first_crawl(
         pages, L.extract_links(found).select(columns).unionByName(paging), pages.select(F.col("page_id").alias("task_id"), "url"),
-        I.blocklist(spark), media, refused, max_depth=2,
+        I.blocklist(spark), media, refused, max_depth=2, ratio=1e6,
     )
     return seen.select("task_id", "page_id", "depth", "round")
 
@@ -1346,6 +1375,22 @@ def _(spark, sf):
     return _run_to_table(spark, pages, "t05")
 
 
+@query("t05_stream_idle_end")
+def _(spark, sf):
+    """Media per page of a stream that waits for files: pages that come while it runs are taken in, and it ends once it is idle."""
+    base = scratch(spark, "t05")
+    arriving = media_pages(spark, sf)
+    arriving.filter("page_id % 2 = 0").write.parquet(f"{base}/in")
+    pages = spark.readStream.schema(arriving.schema).parquet(f"{base}/in")
+
+    def more(batches: int) -> None:
+        if batches == 1:
+            arriving.filter("page_id % 2 = 1").write.mode("append").parquet(f"{base}/in")
+
+    St.run_until_idle(St.page_media(pages), f"{base}/checkpoint", f"{base}/out", idle=2.0, after_batch=more)
+    return spark.read.parquet(f"{base}/out").select("page_id", "media_type", "url", "source")
+
+
 @query("t06_stream_restart")
 def _(spark, sf):
     """Two runs on one checkpoint, between which pages arrive: the second goes on and repeats nothing."""

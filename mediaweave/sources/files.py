@@ -61,3 +61,36 @@ def load_state(spark: SparkSession, folder: str, round_no: int) -> dict[str, Dat
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     return out
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, df in tables.items():
+        if name not in STATE_TABLES:
+            raise ValueError(f"unknown state table {name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def save_snapshot(tables: dict[str, DataFrame], folder: str, version: int) -> None:
+    """All state tables under a version, which counts only once its marker, the last thing written, is there."""
+    missing = set(STATE_TABLES) - set(tables)
+    if missing:
+        raise ValueError(f"missing state tables {sorted(missing)}")
+    path = f"{folder}/version={version}"
+    write_tables(tables, path)
+    spark = tables["frontier"].sparkSession
+    spark.createDataFrame([(version, list(STATE_TABLES))], "version long, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/complete")
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Versions that were written to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/complete/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getParent().getName().removeprefix("version=")) for f in found)
+
+
+def load_snapshot(spark: SparkSession, folder: str) -> tuple[int, dict[str, DataFrame]]:
+    """The last whole version and its tables; versions that were not finished are passed over."""
+    versions = snapshots(spark, folder)
+    if not versions:
+        raise FileNotFoundError(f"no whole snapshot in {folder}")
+    return versions[-1], {name: spark.read.parquet(f"{folder}/version={versions[-1]}/{name}") for name in STATE_TABLES}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,46 @@ def run_available(df: DataFrame, checkpoint: str, mode: str = "append", **sink):
     return query
 
 
+def run_until_idle(
+    df: DataFrame, checkpoint: str, path: str, idle: float = K.IDLE_SECONDS, mode: str = "append", poll: float = 0.2,
+    after_batch: Callable[[int], None] | None = None,
+) -> list[dict]:
+    """Run a stream that ends by itself once nothing has arrived for ``idle`` seconds and all of it is written.
+
+    Idle time counts from the end of the last batch that read rows.  Returns a row per such batch: batch, rows, seconds.
+    ``after_batch`` is told the number of batches after each.
+    """
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).format("parquet").option("path", path).start()
+    batches: dict[int, dict] = {}
+    last = time.monotonic()
+
+    def look() -> bool:
+        """Whether a batch has read rows since the last look."""
+        new = {p["batchId"]: p for p in query.recentProgress if p["numInputRows"] and p["batchId"] not in batches}
+        for n, p in sorted(new.items()):
+            batches[n] = {"batch": n, "rows": p["numInputRows"], "seconds": p["batchDuration"] / 1000}
+            if after_batch:
+                after_batch(len(batches))
+        return bool(new)
+
+    try:
+        while query.isActive:
+            busy = look() or query.status["isTriggerActive"] and query.status["isDataAvailable"]
+            if busy:
+                last = time.monotonic()
+            elif time.monotonic() - last >= idle:
+                query.processAllAvailable()  # what came in the meantime is not left behind
+                if not look():
+                    break
+                last = time.monotonic()
+            time.sleep(poll)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    return [batches[n] for n in sorted(batches)]
+
+
 HEALTH_STATE = "host string, failures bigint, total bigint, quarantined_at timestamp, waiting bigint, last_ts timestamp"
 
 
