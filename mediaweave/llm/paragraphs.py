@@ -107,11 +107,17 @@ def _sets_of(texts: list[np.ndarray], radius: int):
             hashes.append(sketches.shingles(words[at[k] : at[k + 1]], SHINGLE))
         base += m
     unit, x = np.concatenate(units), np.concatenate(hashes)
-    order = np.lexsort((x, unit))
+    order = np.argsort(unit, kind="stable")  # all but in order already
     unit, x = unit[order], x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (x[1:] != x[:-1])
-    unit, x = unit[new], x[new]
+    both = sketches.mixed(x + unit.astype(np.uint64) * sketches._B)
+    once = np.sort(both)
+    twice = once[1:][once[1:] == once[:-1]]
+    if len(twice):  # the few shingles that a paragraph holds again are found and looked at alone
+        at = np.minimum(np.searchsorted(twice, both), len(twice) - 1)
+        at = np.flatnonzero(twice[at] == both)
+        again = np.ones(len(at), bool)
+        again[np.unique(both[at], return_index=True)[1]] = False
+        unit, x = np.delete(unit, at[again]), np.delete(x, at[again])
     sizes = np.bincount(unit, minlength=base)
     return found, x, np.cumsum(sizes) - sizes, sizes
 
@@ -138,8 +144,9 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
         keys = sketches.path_keys(hashes[large, :n_keys], rows_per_band)
         ends = np.concatenate(([0], np.cumsum(large * n_bands))).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()), mask=pa.array(~large))
-        sketch = iter(hashes[large].astype("u1"))
-        sketch = pa.array([next(sketch).tobytes() if y else None for y in large.tolist()], pa.binary())
+        bounds = np.concatenate(([0], np.cumsum(large * hashes.shape[1]))).astype(np.int32)
+        present, data = np.packbits(large, bitorder="little"), hashes[large].astype("u1")
+        sketch = pa.Array.from_buffers(pa.binary(), len(large), [pa.py_buffer(present), pa.py_buffer(bounds), pa.py_buffer(data)])
         columns = [pa.array(c, pa.int64()) for c in (rows, ids, place, first, n_words, sizes, f1, f2)]
         return pa.RecordBatch.from_arrays([*columns, keys, sketch], names=names)
 
@@ -163,9 +170,9 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
     return texts.mapInArrow(run, kind)
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
-    """(item, set) of the wanted paragraphs (item, doc_id, place, f1, f2), read from their documents once more."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "place", "f1", "f2")).alias("asked"))
+def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item, set) of the wanted paragraphs (item, doc_id, first_word, n_words, f1, f2), read from their documents once more."""
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "first_word", "n_words", "f1", "f2")).alias("asked"))
     rows = asked.join(texts, "doc_id")
     # a row that is there several times is read once
     rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("asked", "text")
@@ -174,16 +181,14 @@ def _sets(texts: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
         memo = sketches.WordHashes()
         for batch in batches:
             for asked, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                words = memo.of(text.as_py().lower().split())
-                at = cuts(words, radius)
+                words = text.as_py().lower().split()
                 items, sets = [], []
                 for a in asked.as_py():
-                    if a["place"] < len(at) - 1:
-                        found = sketches.shingles(words[at[a["place"]] : at[a["place"] + 1]], SHINGLE)
-                        # rows of a repeated id may hold other texts than the wanted one
-                        if sketches.fingerprint(found) == (a["f1"], a["f2"]):
-                            items.append(a["item"])
-                            sets.append(found.tobytes())
+                    found = sketches.shingles(memo.of(words[a["first_word"] : a["first_word"] + a["n_words"]]), SHINGLE)
+                    # rows of a repeated id may hold other texts than the wanted one
+                    if sketches.fingerprint(found) == (a["f1"], a["f2"]):
+                        items.append(a["item"])
+                        sets.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.binary())], names=["item", "set"])
 
     return rows.mapInArrow(run, "item long, set binary")
@@ -194,18 +199,20 @@ def _repeated(texts: DataFrame, least_words: int, percent: int, radius: int) ->
     rows_per_band, n_bands = bands(percent)
     rows = paragraph_profiles(texts, radius, rows_per_band, n_bands, least_size(percent))
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "paragraphs")
-    classes = rows.groupBy("f1", "f2").agg(F.min("rid").alias("item"))
+    # equal paragraphs are one item: the first of them
+    head = F.struct("doc_id", "first_word", "n_words", "size", "keys", "sketch")
+    items = rows.groupBy("f1", "f2").agg(F.min("rid").alias("item"), F.min_by(head, "rid").alias("h"))
+    items = stored(items.select("item", "f1", "f2", "h.*"), "items")
+    classes = items.select("item", "f1", "f2")
     members = rows.select("rid", "row", "doc_id", "place", "first_word", "n_words", "f1", "f2").join(classes, ["f1", "f2"]).drop("f1", "f2")
     members = stored(members, "members")
-    heads = members.filter("rid = item").select("item")
-    items = rows.filter("keys IS NOT NULL").join(heads, F.col("rid") == F.col("item"))
-    items = stored(items.select("item", "doc_id", "place", "f1", "f2", "size", "keys", "sketch"), "items")
     forget(rows)
+    every, items = items, items.filter("keys IS NOT NULL")
     regions = shared_regions(items)
-    wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "place", "f1", "f2")
-    sets = stored(_sets(texts.select("doc_id", "text"), wanted, radius), "sets")
+    wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "first_word", "n_words", "f1", "f2")
+    sets = stored(_sets(texts.select("doc_id", "text"), wanted), "sets")
     linked_items = linked(items, regions, sets, percent)
-    forget(items, regions, sets)
+    forget(every, regions, sets)
     found = linked_items.toDF("of", "component")
     placed = members.join(found, F.col("item") == F.col("of"), "left")
     placed = placed.withColumn("component", F.coalesce("component", "item"))
