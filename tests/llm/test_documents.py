@@ -336,3 +336,25 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted((str(r.doc_id), r.size in (1, 2) and "near" or str(r.size)) for r in got) == [
         ("5", "3"), ("5", "near"), ("7", "7"), ("8", "8"), ("None", "5"), ("None", "6"),
     ]
+
+
+@pytest.mark.parametrize("partitions", ["1", "60"])
+def test_neighbours_across_partitions(spark, partitions):
+    """Equal suffixes are split over many partitions, one row in some of them; rows repeated whole are one text."""
+    rng = random.Random(8)
+    passage = sentence(rng, 60, 5000)
+    texts = [(i, f"{sentence(rng, 20, 5000)} {passage} {sentence(rng, 20, 5000)}") for i in range(40)]
+    texts += [(100 + i, sentence(rng, 90, 5000)) for i in range(40)]
+    texts += [(500, sentence(rng, 55, 5000))] * 300 + [(600, sentence(rng, 55, 5000))]
+    docs = spark.createDataFrame(texts, KIND)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, (partitions, "false")):
+            spark.conf.set(name, value)
+        got = repeats.repeated_passages(docs).collect()
+    finally:
+        for name, value in zip(names, old):
+            spark.conf.set(name, value)
+    want = [(i, 20, 80, [] if i == 0 else [(20, 80)]) for i in range(40)] + [(500, 0, 55, [])]
+    assert sorted((r.doc_id, r.first_word, r.past_word, [tuple(x) for x in r.later]) for r in got) == want
