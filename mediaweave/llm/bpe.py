@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import sys
@@ -16,6 +17,29 @@ _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _PUNCTUATION = string.punctuation
 
 
+#: Settings of a byte-level BPE, as published, under which texts may be cut at blanks.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_BPE_OFF = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+_TOKEN_OFF = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def cuts_at_blanks(tokenizer_json: str) -> bool:
+    """Whether a tokenizer is a plain byte-level BPE: no normaliser, truncation or padding, the common pre-tokenizer, and added
+    tokens that begin with ``<|`` and hold no white space.  Of any other one, texts are encoded whole."""
+    parts = json.loads(tokenizer_json)
+    before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    return (
+        not any(parts.get(k) for k in ("normalizer", "truncation", "padding"))
+        and all(before.get(k) == v for k, v in _BYTE_LEVEL.items())
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in _BPE_OFF)
+        and all(
+            t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) and not any(t.get(k) for k in _TOKEN_OFF)
+            for t in parts.get("added_tokens") or []
+        )
+    )
+
+
 def _ids(tokens) -> bytes:
     return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
@@ -27,11 +51,13 @@ class Encoder:
     white space, so the pieces between them, each led by its blank or line end, encode by themselves.
     Most pieces are words seen before; the ids of the last ``remember`` to twice as many pieces, and as many words,
     are remembered.
-    A text with longer runs of white space is only cut at single blanks.
+    A text with longer runs of white space is only cut at single blanks.  Texts are cut only for tokenizers that
+    ``cuts_at_blanks`` knows; others encode them whole, by the library.
     """
 
     def __init__(self, tokenizer_json: str, remember: int = 400_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.cuts = cuts_at_blanks(tokenizer_json)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         to_chars = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -73,6 +99,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.cuts:
+            return self._whole(text)
         cut = text.replace("\n", " \n").split(" ")
         first = self._whole(cut[0])
         out = list(map(self.pieces.get, cut))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -124,6 +125,43 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == ids, repr(t)
 
 
+def changed_tokenizers():
+    """The tokenizer files at hand, and the contract's with one setting changed each."""
+    with open(tokens.tokenizer_file("word_bpe_49k.json")) as f:
+        yield "words", f.read()
+    with open(tokens.tokenizer_file()) as f:
+        plain = f.read()
+    token = {"id": 50257, "content": "a word", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    changes = {
+        "lower": lambda d: d.update(normalizer={"type": "Lowercase"}),
+        "prefix": lambda d: d["pre_tokenizer"].update(add_prefix_space=True),
+        "no_regex": lambda d: d["pre_tokenizer"].update(use_regex=False),
+        "blank_in_token": lambda d: d["added_tokens"].append(token),
+        "token_eats_blank": lambda d: d["added_tokens"][0].update(lstrip=True, rstrip=True),
+        "truncated": lambda d: d.update(truncation={"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}),
+        "digits": lambda d: d.update(
+            pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, d["pre_tokenizer"]]}
+        ),
+    }
+    for name, change in changes.items():
+        parts = json.loads(plain)
+        change(parts)
+        yield name, json.dumps(parts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    rng = random.Random(5)
+    parts = ["a", "Word", " ", " ", "  ", "\n", "é", "12", "'s", ".", "<|endoftext|>", "a word", "中", "THE"]
+    for name, text in changed_tokenizers():
+        assert not bpe.cuts_at_blanks(text), name
+        encoder, whole = bpe.Encoder(text), Tokenizer.from_str(text)
+        for _ in range(300):
+            t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 16)))
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, (name, t)
+    with open(tokens.tokenizer_file()) as f:
+        assert bpe.cuts_at_blanks(f.read())
+
+
 def test_token_files(spark, sf_dir):
     whole = Tokenizer.from_file(tokens.tokenizer_file())
     docs = documents(spark, sf_dir)
