@@ -43,7 +43,8 @@ def _automata(benchmark: DataFrame, window: int, block_words: int):
     """Broadcast automata of bounded blocks of the items."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("t"))
-    total = benchmark.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0]
+    # capitals are letters here: they are lower-cased later
+    total = benchmark.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0]
     n = max(1, math.ceil((total or 0) / block_words))
     block = F.pmod(F.xxhash64("item_id", "t"), F.lit(n))
     for k in range(n):

@@ -251,6 +251,18 @@ def test_decontamination(spark, block_words):
     assert [rows[i] for i in range(len(texts))] == decontamination(texts, items)
 
 
+def test_blocks_of_capitals(spark):
+    """Capitals count as words when a benchmark is cut into blocks."""
+    rng = random.Random(3)
+    items = [(i, sentence(rng, 25, 6).upper()) for i in range(12)]
+    texts = [sentence(rng, rng.randrange(0, 120), 6) for _ in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate._automata(bench, 10, 100))) == 3
+    docs = spark.createDataFrame(list(enumerate(texts)), KIND)
+    rows = {r.row.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(docs, bench, block_words=100).collect()}
+    assert [rows[i] for i in range(len(texts))] == decontamination(texts, items)
+
+
 def test_removed_spans(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, 25, 2000)) for i in range(5)]
