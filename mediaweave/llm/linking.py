@@ -6,8 +6,8 @@ the wanted similarity and their sketches do not rule it out; a link is confirmed
 
 1. Every item meets the leaders of its regions; the best-looking one is verified.  Groups of copies become
    one component this way at the cost of one comparison per item, however large they are.
-2. Regions that still hold several components are compared within: the items outside a region's main component
-   against all of it, block by block.  Sketches tell which items of a block are worth their full sets; those
+2. Regions that still hold several components are compared within, crowded ones cut by longer keys first where the
+   caller's keys allow it: the items outside a region's main component against all of it, block by block.  Sketches tell which items of a block are worth their full sets; those
    go to the block once, whatever number of pairs they stand in.  Pairs inside one component need no comparison, as
    they cannot change the result, and a block reports no more links than connect its components.
 
@@ -101,20 +101,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "a long, b long"), "verified")
 
 
-def _torn(regions: DataFrame, found: DataFrame, block: int) -> DataFrame:
-    """Members of regions with several components, dealt into blocks.
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(tree, key, top, n, kinds) of the regions with several components; ``top`` is the largest."""
+    parts = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("n"))
+    shapes = parts.groupBy("tree", "key").agg(
+        F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")
+    )
+    return shapes.filter("kinds > 1")
 
-    A region's main component is its largest.  Its members go to a block each; the items outside the main
-    component also visit, in chunks, every block.  Rows say whether the item lives ``here`` and whether it ``visits``.
+
+def _at_depth(regions: DataFrame, found: DataFrame, block: int, shifts: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, key, item, component) with every region as deep as it must be, and the tables this reads.
+
+    Regions begin with all but the last ``shifts[0]`` bits of their keys.  Those with more than ``block`` * ``block`` pairs of
+    different components, of which one is outside the main one, go by the next number of bits.  Groups of copies are one component by
+    now: they make no region deeper.
     """
     named = found.toDF("_item", "_component")
     rows = regions.join(named, F.col("item") == F.col("_item"), "left")
-    rows = rows.withColumn("component", F.coalesce("_component", "item"))
-    parts = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("n"))
-    torn = parts.groupBy("tree", "key").agg(
-        F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")
+    rows = rows.select(
+        "tree", F.shiftright("key", shifts[0]).alias("key"), F.col("key").alias("whole"), "item", F.coalesce("_component", "item").alias("component")
     )
-    torn = torn.filter("kinds > 1").select(
+    if len(shifts) == 1:
+        return rows.drop("whole"), []
+    rows = stored(rows, "at_depth")
+    tables = [rows]
+    for shift in shifts[1:]:
+        crowded = _shapes(rows).filter(F.col("n") * (F.col("n") - F.col("top.n")) > block * block)
+        crowded = stored(crowded.select("tree", "key", F.lit(True).alias("crowded")), "crowded")
+        tables.append(crowded)
+        if crowded.isEmpty():
+            break
+        deeper = F.when(F.col("crowded"), F.shiftright("whole", shift)).otherwise(F.col("key"))
+        rows = rows.join(crowded, ["tree", "key"], "left").select("tree", deeper.alias("key"), "whole", "item", "component")
+    return rows.drop("whole"), tables
+
+
+def _torn(rows: DataFrame, block: int) -> DataFrame:
+    """Members of regions with several components, dealt into blocks.
+
+    A region's main component is its largest.  Its members go to a block each; the items outside the main
+    component also visit, in chunks, every block.  Rows say whether the item lives ``here`` and whether it ``visits``.
+    """
+    torn = _shapes(rows).select(
         "tree",
         "key",
         "top.main",
@@ -162,7 +191,7 @@ def _blocks(batches, columns):
 def _allowed(rows: list[tuple], percent: int):
     """(visitor, member, estimate) by place in ``rows``: pairs of different components that sizes and sketches allow.
 
-    A pair belongs to the first region it shares, so each comes up in one block only."""
+    A pair is left to an earlier tree if its whole keys are equal there, as it then shares a region of any depth."""
     tree = rows[0][0]
     item, component, size = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 9))
     outside, here, visits = (np.array([r[i] for r in rows], bool) for i in (6, 7, 8))
@@ -181,7 +210,7 @@ def _allowed(rows: list[tuple], percent: int):
         like = sketches.estimates(sketch[i], sketch[j])
         keep = like >= low
         i, j, like = i[keep], j[keep], like[keep]
-        keep = (keys[i] == keys[j]).argmax(axis=1) == tree
+        keep = ~(keys[i][:, :tree] == keys[j][:, :tree]).any(axis=1)
         out.append((i[keep], j[keep], like[keep]))
     none = np.zeros(0, np.int64)
     return [np.concatenate([o[k] for o in out]) if out else none for k in range(3)]
@@ -209,7 +238,9 @@ def _connecting(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _between(regions: DataFrame, items: DataFrame, sets: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+def _between(
+    regions: DataFrame, items: DataFrame, sets: DataFrame, found: DataFrame, percent: int, block: int, shifts: tuple[int, ...]
+) -> DataFrame:
     """Verified links (a, b) that connect different components of a region."""
     looks = items.select("item", "size", "sketch", "keys")
     columns = [*_PLACE, "item", "component", "outside", "here", "visits", "size", "sketch", "keys"]
@@ -233,11 +264,12 @@ def _between(regions: DataFrame, items: DataFrame, sets: DataFrame, found: DataF
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-    torn = _torn(regions, found, block).join(looks, "item")
+    rows, tables = _at_depth(regions, found, block, shifts)
+    torn = _torn(rows, block).join(looks, "item")
     chosen = stored(dealt(torn, columns).mapInArrow(worth, _PLACED), "chosen")
     full = chosen.join(looks, "item").join(sets.select("item", "set"), "item")
     out = stored(dealt(full, [*columns, "set"]).mapInArrow(connect, "a long, b long"), "between")
-    forget(chosen)
+    forget(chosen, *tables)
     return out
 
 
@@ -254,12 +286,27 @@ def shared_regions(items: DataFrame) -> DataFrame:
     return stored(rows.select("tree", "key", "item", F.col("least").bitwiseXOR(pattern).alias("leader")), "regions")
 
 
-def linked(items: DataFrame, regions: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(item, component) of all items with a link; ``sets`` has (item, set) for every item of the regions."""
+def linked(
+    items: DataFrame,
+    regions: DataFrame,
+    sets: DataFrame,
+    percent: int,
+    block: int = BLOCK,
+    shifts: tuple[int, ...] = (0,),
+    nearest: DataFrame | None = None,
+) -> DataFrame:
+    """(item, component) of all items with a link; ``sets`` has (item, set) for every item of the regions.
+
+    A region is made of keys that are equal but for their last ``shifts[0]`` bits; where it is crowded with unlike items, fewer bits
+    are left out.  ``nearest`` has further candidates (a, b), which are verified besides the leaders.
+    """
     first = regions.filter("item <> leader").select(F.col("item").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _verified(_best(_estimated(first, items, percent)), sets, percent)
+    pairs = _best(_estimated(first, items, percent))
+    if nearest is not None:
+        pairs = pairs.unionByName(_estimated(nearest, items, percent).select("a", "b")).distinct()
+    links = _verified(pairs, sets, percent)
     found = components(links)
-    more = _between(regions, items, sets, found, percent, block)
+    more = _between(regions, items, sets, found, percent, block, shifts)
     out = components(links.unionByName(more))
     forget(links, found, more)
     return out

@@ -1,12 +1,15 @@
-"""Near-duplicate documents by MinHash banding over word shingles.
+"""Near-duplicate documents by an LSH forest of minhash signatures over word shingles.
 
-This stands in for an LSH forest: a tree is a band, a fixed number of minhashes in a row, and documents with all of
-them equal form a region.  There are no sorted signature orders and no depth of a region's own: one depth for the
-whole run follows from the number of documents, so that unlike documents seldom meet; the number of trees follows
-from the depth, so that a pair at the wanted similarity misses all regions with a chance of ``MISS`` only.  A
-crowded region of unlike documents is not split deeper, but compared block by block.  What happens in a region, however crowded, is told in ``linking``; links are confirmed on full shingle sets.
+Documents with equal shingle sets are one item from the start.  A tree is a signature of minhashes of its own, and all
+items are sorted by it (``forest``).  Candidates are an item's neighbour with the longest common prefix in any order,
+and the leaders of its regions: the items that share the first ``depth`` minhashes of a tree with it.  What these do not
+connect is compared within regions (``linking``).  A region's depth is its own: one that is crowded with unlike
+documents is cut by the next minhash, and by one more, while regions of copies stay whole; what is crowded at the largest
+depth is compared block by block.  Links are confirmed on full shingle sets.
 
-Documents with equal shingle sets are one item from the start.
+The least depth follows from the number of documents, so that unlike ones seldom meet, and the number of trees from both
+depths: a pair at the wanted similarity shares no region with a chance of ``MISS``, and with ``MISS_DEEP`` if all the regions
+it could share are crowded and cut to the largest depth.
 
 Defined results: a document without words, or without an id, has no shingles to share: it is linked with
 nothing; fewer words than a shingle are one shingle; repeated rows are copies like any others, and of several
@@ -22,26 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm import sketches
-from mediaweave.llm.linking import linked, shared_regions
+from mediaweave.llm import forest, sketches
+from mediaweave.llm.linking import BLOCK, linked
 from mediaweave.llm.tables import forget, stored
 
 
 #: Chance that a pair at the wanted similarity shares no region.
 MISS = 1e-5
+#: The same if every region is cut to the largest depth.
+MISS_DEEP = 1e-3
 #: Similarity of unlike documents that a region's depth is made for.
 BACKGROUND = 0.03
 
 
 def forest_shape(n_docs: int, percent: int) -> tuple[int, int]:
-    """(depth, trees) for this many documents."""
+    """(least depth, trees) for this many documents."""
     depth = max(3, math.ceil(math.log(max(n_docs, 2)) / -math.log(BACKGROUND)))
-    return depth, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** depth))
+    chances = ((MISS, depth), (MISS_DEEP, depth + forest.DEEPER))
+    return depth, max(math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** d)) for miss, d in chances)
 
 
 def profiles(docs: DataFrame, words: int, depth: int, trees: int) -> DataFrame:
-    """doc_id, text_hash, size of the set, fingerprint (f1, f2), keys of the trees' regions and a byte per minhash."""
-    factors = sketches.multipliers(depth * trees)
+    """doc_id, text_hash, size of the set, fingerprint (f1, f2), labels in the trees and a byte per minhash."""
+    factors = sketches.multipliers((depth + forest.DEEPER) * trees)
 
     def run(batches):
         memo = sketches.WordHashes()
@@ -53,7 +59,7 @@ def profiles(docs: DataFrame, words: int, depth: int, trees: int) -> DataFrame:
                 sketch: list = [None] * len(sets)
                 if full:
                     hashes = sketches.minhashes([sets[i] for i in full], factors)
-                    for i, k, s in zip(full, sketches.path_keys(hashes, depth).tolist(), hashes.astype(np.uint8)):
+                    for i, k, s in zip(full, forest.labels(hashes, depth).tolist(), hashes.astype(np.uint8)):
                         keys[i], sketch[i] = k, s.tobytes()
                 prints = [sketches.fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -98,9 +104,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "item long, set binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (``doc_id``, ``text``), with the component's
-    own name and the hash of the text."""
+    own name and the hash of the text.  A region of more than ``block`` * ``block`` unlike pairs is crowded."""
     depth, trees = forest_shape(docs.count(), percent)
     rows = profiles(docs, words, depth, trees).withColumn("rid", F.monotonically_increasing_id())
     rows = stored(rows, "profiles")
@@ -111,16 +117,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = stored(members, "members")
     heads = members.filter("rid = item").select("item")
     items = stored(rows.join(heads, F.col("rid") == F.col("item")).select("item", "doc_id", "size", "f1", "f2", "keys", "sketch"), "items")
-    regions = shared_regions(items)
+    regions, nearest = forest.regions_and_neighbours(items)
     wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "f1", "f2")
     sets = stored(_sets(docs, wanted, words), "sets")
-    linked_items = linked(items, regions, sets, percent)
+    linked_items = linked(items, regions, sets, percent, block, forest.SHIFTS, nearest)
     found = linked_items.toDF("of", "component")
     named = members.join(found, F.col("item") == F.col("of"), "left")
     named = named.select("rid", F.coalesce("component", "item").alias("component"))
     placed = rows.select("rid", "doc_id", "text_hash", F.col("size").alias("n_shingles")).join(named, "rid", "left")
     placed = stored(placed.select("doc_id", "text_hash", "n_shingles", "component"), "placed")
-    forget(rows, members, items, regions, sets, linked_items)
+    forget(rows, members, items, regions, nearest, sets, linked_items)
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
