@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
-from mediaweave.llm import forest, neardup
+from mediaweave.llm import forest, linking, neardup
 
 DEPTH, TREES = 3, 4
 
@@ -60,6 +60,18 @@ def test_neighbours_over_partitions(spark):
     assert pairs == {a: b for a, (_, b) in best.items()}
 
 
+def test_only_regions_crowded_with_unlike_items_go_deeper(spark):
+    top, mid, low = forest.SHIFTS
+    rows = [(0, (7 << top) + (i % 4 << mid), i) for i in range(40)]  # unlike: cut once, into four of ten
+    rows += [(1, (8 << top) + (i % 4 << mid), 100 + i) for i in range(40)]  # one component: stays whole
+    rows += [(2, (9 << top) + 5, 200 + i) for i in range(40)]  # unlike with one label: cut twice, and still together
+    regions = spark.createDataFrame([(*r, 0) for r in rows], "tree int, key long, item long, leader long")
+    found = spark.createDataFrame([(100 + i, 100) for i in range(40)], "item long, component long")
+    got, _ = linking._at_depth(regions, found, 16, forest.SHIFTS)
+    bits = {0: mid, 1: top, 2: low}
+    assert {(r.tree, r.key, r.item) for r in got.collect()} == {(t, k >> bits[t], i) for t, k, i in rows}
+
+
 def share(a, b):
     return len(a & b) / len(a | b)
 
