@@ -60,3 +60,20 @@ def test_stages_take_odd_rows(spark, sf_dir, k):
     if k < len(corpus_pipeline.STAGES) - 1:
         assert out.dtypes == docs.dtypes
     assert out.count() > 0
+
+
+def test_near_duplicates_among_odd_rows(spark):
+    """The group of the base text is 5, 6 twice, 7, 10; texts without words and rows without an id are linked with nothing."""
+    docs = odd.table(spark)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect() if r.doc_id is not None)
+    alone = [(i, i, True) for i in (-11, 1, 2, 3, 4, 7, 8, 9)]
+    assert got == sorted([*alone, (5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False), (10, 5, False)])
+    kept = neardup.without_near_duplicates(docs).collect()
+    ids = sorted(r.doc_id for r in kept if r.doc_id is not None)
+    assert ids == [-11, 1, 2, 3, 4, 5, 7, 8, 9] and sum(r.doc_id is None for r in kept) == 2
+    given = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(r.doc_id, r.text) for r in kept} < given
+
+
+def test_no_licenses_among_odd_rows(spark):
+    assert licenses.license_matches(odd.table(spark)).collect() == []
