@@ -211,3 +211,17 @@ def test_stream_restart_loses_and_repeats_nothing(spark, sf_dir, tmp_path):
         St.run_available(St.read_stream(spark, folder, St.PAGE_SCHEMA).select("page_id"), check, path=out)
     got = spark.read.parquet(out)
     assert got.count() == pages.count() and got.distinct().count() == pages.count()
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["t01_stream_media", "t02_stream_distinct_media", "t03_stream_health", "t04_stream_reputation", "t05_stream_completion", "t07_stream_progress"],
+)
+def test_streams_of_tables_in_several_files(spark, sf_dir, tmp_path, name):
+    """A table that is a folder of files streams as one that is a single file."""
+    from mediaweave.plans.queries import QUERIES
+
+    for table in ("pages", "events"):
+        I.table(spark, sf_dir, table).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got, wanted = (sorted(map(repr, QUERIES[name](spark, folder).collect())) for folder in (str(tmp_path), sf_dir))
+    assert got == wanted and got
