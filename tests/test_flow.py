@@ -225,3 +225,14 @@ def test_streams_of_tables_in_several_files(spark, sf_dir, tmp_path, name):
         I.table(spark, sf_dir, table).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     got, wanted = (sorted(map(repr, QUERIES[name](spark, folder).collect())) for folder in (str(tmp_path), sf_dir))
     assert got == wanted and got
+
+
+def test_payload_tasks_hold_bounded_rows(spark, sf_dir, monkeypatch):
+    """A task walks at most about ``J.ROWS`` payloads, however large the table is."""
+    from mediaweave.plans.queries import _payloads
+
+    monkeypatch.setattr(J, "ROWS", 20)
+    rows = _payloads(spark, sf_dir)
+    assert rows.rdd.getNumPartitions() >= rows.count() / 20
+    deep = spark.createDataFrame([('{"a":[{"b":[[{"image":"x"}]]}],"[{":1}',)], "body string").select("body", J.parse_payload(F.col("body")).alias("p"))
+    assert deep.select(F.transform(J.media_values(F.col("p"), F.col("body")), lambda m: m["path"])).first()[0] == ["a[0].b[0][0].image"]
