@@ -121,26 +121,41 @@ def _filed(df: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(best, "_row").drop("_row"))
 
 
-def _lookup(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Rows with the entries of an index (a stored table) of the same key.
+def _small(index: DataFrame) -> bool:
+    """Whether the counted size of an index (a stored table) is at most ``BROADCAST_BYTES``.
 
-    The index travels to all tasks if its size, which is counted, is below ``BROADCAST_BYTES``; else both sides are sorted.
     Estimates are not asked: they know nothing of exploded rows.
     """
     texts = [F.octet_length(c) for c, t in index.dtypes if t == "string"]
     size = F.sum(reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in texts], F.lit(64)))
-    if (index.agg(size).first()[0] or 0) <= BROADCAST_BYTES:
+    return (index.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _lookup(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Rows with the entries of an index of the same key: a small index travels to all tasks, else both sides are sorted."""
+    if _small(index):
         return rows.join(F.broadcast(index), key)
     return rows.hint("merge").join(index, key)
 
 
 def _met(subjects: DataFrame, low: Column, filed: DataFrame) -> DataFrame:
-    """Subjects with the filed rows whose text they contain."""
+    """Subjects, distinct rows, with the filed rows whose text they contain.
+
+    Against a large index a subject is sent out once for each of its pieces, so it travels as two 64-bit hashes: of the row and
+    of the piece.  What is met that way is few, and is compared as a whole.
+    """
     sizes = [r[0] for r in filed.select(F.length("piece")).distinct().collect()]  # at most as many as PIECES
-    cut = F.concat(*[_pieces(F.col("_low"), k) for k in sorted(sizes) or PIECES])
+    cut = F.array_distinct(F.concat(*[_pieces(F.col("_low"), k) for k in sorted(sizes) or PIECES]))
     rows = subjects.withColumn("_low", low)
-    rows = rows.withColumn("piece", F.explode(F.array_distinct(cut)))
-    return _lookup(rows, filed, "piece").filter(F.col("_low").contains(F.col("text"))).drop("piece", "text", "_low")
+    if _small(filed):
+        found = rows.withColumn("piece", F.explode(cut)).join(F.broadcast(filed), "piece")
+    else:
+        hashed = F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p)))
+        rows = rows.withColumn("_key", F.xxhash64(*subjects.columns))
+        sent = rows.select("_key", F.explode(hashed).alias("_piece")).hint("merge")
+        met = sent.join(filed.withColumn("_piece", F.xxhash64("piece")), "_piece").drop("_piece")
+        found = rows.hint("merge").join(met, "_key").drop("_key")
+    return found.filter(F.col("_low").contains(F.col("text"))).drop("piece", "text", "_low")
 
 
 def _chunks(df: DataFrame, order: list[str], chunk: int):

@@ -112,3 +112,19 @@ def test_empty_tables(spark):
     index = RuleIndex(rules, patterns)
     assert [r.candidate for r in index.transform(urls).collect()] == ["https://h/a.jpg"]
     assert index.transform(urls.limit(0)).collect() == [] and index.match_sites(urls).collect() == []
+
+
+def test_pieces_travel_as_hashes(spark, monkeypatch):
+    """Against a large index the URLs are not sent out with each of their pieces; the hits are the same."""
+    from mediaweave.operators import ruleindex
+
+    rows = [(i, i, None, None, f"/thumb/img{i}[.]jpg$", f"/big/{i}.jpg", []) for i in range(40)]
+    rules = R.index_rules(spark.createDataFrame(rows, RULES))
+    urls = spark.createDataFrame([(f"https://a.example/{i % 7}", f"https://b.example/thumb/img{i}.jpg") for i in range(60)] * 2, "page_url string, url string")
+    index = RuleIndex(rules)
+    small = sorted(map(tuple, index.hits(urls).collect()))
+    monkeypatch.setattr(ruleindex, "BROADCAST_BYTES", 0)
+    hits = index.hits(urls)
+    assert sorted(map(tuple, hits.collect())) == small and len(small) >= 40
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_piece" in plan and "hashpartitioning(piece" not in plan
