@@ -252,3 +252,14 @@ def test_hostile_pages_take_linear_time(piece):
     start = time.process_time()
     scan_page(1, "u", piece * (1_000_000 // len(piece)))
     assert time.process_time() - start < 30
+
+
+def test_node_rows_leave_in_small_batches():
+    """Node rows are Python objects until they leave, so few wait at a time."""
+    import pyarrow as pa
+
+    from mediaweave.operators import nodes, scanner
+
+    pages = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["https://a.example/"] * 2, "html": ["<body>" + '<p class="x">y</p>' * 3000] * 2})
+    sizes = [b.num_rows for b in scanner.scan_batches([pages], nodes._arrow_schema(), True)]
+    assert max(sizes) <= 1024 and sum(sizes) == 6000
