@@ -51,10 +51,10 @@ def _shifted(a: Column, by: int) -> Column:
     return F.slice(a, F.lit(by + 1), F.greatest(F.size(a) - by, F.lit(0)))
 
 
-def _paired(a: Column, by: int) -> Column:
-    """Hash of element i with element i+by, for every i that has such an element."""
-    n = F.greatest(F.size(a) - by, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), _shifted(a, by), lambda x, y: F.xxhash64(x, y))
+def _windows(a: Column, size: int) -> Column:
+    """Hash of every ``size`` neighbouring elements."""
+    starts = F.slice(a, F.lit(1), F.greatest(F.size(a) - (size - 1), F.lit(0)))
+    return F.transform(starts, lambda _, i: F.xxhash64(F.slice(a, i + 1, F.lit(size))))
 
 
 def with_quality(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -67,9 +67,9 @@ def with_quality(docs: DataFrame, text: str = "text", max_lost_percent: int = MA
             "hashes": F.transform("words", lambda w: F.xxhash64(w)),
             "lines": F.filter(F.split("body", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")),
         }
-    ).drop("words")
-    # eight-word windows, by pairing pairs of pairs; only texts that repeat one go on
-    out = out.withColumn("windows", _paired(_paired(_paired(F.col("hashes"), 1), 2), 4)).drop("hashes")
+    )
+    # only texts that repeat a window go on
+    out = out.withColumn("windows", _windows(F.col("hashes"), WINDOW)).drop("hashes")
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("placed", F.when(repeats, placed)).drop("windows")
@@ -84,13 +84,13 @@ def with_quality(docs: DataFrame, text: str = "text", max_lost_percent: int = MA
     covered = F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, x: s + x)
     out = out.withColumns(
         {
-            "word_chars": F.length(F.regexp_replace("body", f"{SPACE}+", "")).cast("bigint"),
+            "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
             "n_symbols": F.length(F.regexp_replace("body", r"[^#*$%&|<>]+", "")).cast("bigint"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
             "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
             "clean_text": F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n"),
         }
-    ).drop("body", "lines", "at")
+    ).drop("body", "words", "lines", "at")
     out = out.withColumn("n_words_lost", F.col("n_words") - F.regexp_count("clean_text", F.lit(WORD)))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     out = out.withColumn("base_failed", failed)

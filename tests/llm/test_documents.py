@@ -370,3 +370,15 @@ def test_neighbours_across_partitions(spark, partitions):
             spark.conf.set(name, value)
     want = [(i, 20, 80, [] if i == 0 else [(20, 80)]) for i in range(40)] + [(500, 0, 55, [])]
     assert sorted((r.doc_id, r.first_word, r.past_word, [tuple(x) for x in r.later]) for r in got) == want
+
+
+def test_quality_windows_take_one_step_per_word(spark):
+    """Windows are hashed in one pass over the words; equal ones and no others are equal."""
+    from pyspark.sql import functions as F
+
+    from mediaweave.llm.quality import _windows
+
+    rows = spark.createDataFrame([([*range(8), 99, *range(8)],), (list(range(7)),), ([],)], "a array<bigint>")
+    full, short, none = (r.w for r in rows.select(_windows(F.col("a"), 8).alias("w")).collect())
+    assert len(full) == 10 and full[0] == full[9] and len(set(full)) == 9
+    assert short == [] and none == []
