@@ -40,21 +40,20 @@ def labels(hashes: np.ndarray, depth: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _shared(one: Column, two: Column) -> Column:
+def _shared(one: Column, two: Column, shifts: tuple[int, ...]) -> Column:
     """Steps that two labels of a tree have in common, null for none."""
     found = F.lit(None).cast("int")
-    for steps, shift in enumerate(SHIFTS, 1):
+    for steps, shift in enumerate(shifts, 1):
         found = F.when(F.shiftright(one, shift) == F.shiftright(two, shift), steps).otherwise(found)
     return found
 
 
-def _sorted(items: DataFrame) -> DataFrame:
-    """(tree, key, item, before, steps, shared, first, last): all labels in sorted order, but for those that share nothing.
+def _sorted(rows: DataFrame, shifts: tuple[int, ...]) -> DataFrame:
+    """(tree, key, item, before, steps, shared, first, last): all labels (tree, key, item) in sorted order, but for those that share nothing.
 
     ``before`` is the item before, if it shares ``steps``; ``shared`` tells whether it or the next one does;
     ``first`` and ``last`` mark the edges of a partition, which stay in any case.
     """
-    rows = items.select("item", F.posexplode("keys").alias("tree", "key")).select("tree", "key", "item")
     order = ["tree", "key", "item"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -78,7 +77,7 @@ def _sorted(items: DataFrame) -> DataFrame:
             if held is not None:
                 tree, key, item = (np.concatenate((h, c)) for h, c in zip(held, (tree, key, item)))
             before, steps = np.concatenate((item[:1], item[:-1])), np.zeros(len(item), np.int32)
-            for shift in SHIFTS:
+            for shift in shifts:
                 steps[1:] += (tree[1:] == tree[:-1]) & (key[1:] >> shift == key[:-1] >> shift)
             if held is not None:
                 before[0], steps[0] = held[3][0], held[4][0]
@@ -94,7 +93,7 @@ def _sorted(items: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, kind), "sorted")
 
 
-def _across_edges(found: DataFrame) -> DataFrame:
+def _across_edges(found: DataFrame, shifts: tuple[int, ...]) -> DataFrame:
     """(tree, key, item, before, steps) of the rows that share a step with a neighbour, in whatever partition."""
     # two rows of a partition at most: the neighbours of these are the edges of other partitions
     edges = found.filter("first OR last")
@@ -102,8 +101,8 @@ def _across_edges(found: DataFrame) -> DataFrame:
     edges = edges.withColumns(
         {
             "ahead": F.lag("item").over(along),
-            "steps_ahead": F.when(F.col("first"), _shared(F.col("key"), F.lag("key").over(along))),
-            "steps_after": F.when(F.col("last"), _shared(F.col("key"), F.lead("key").over(along))),
+            "steps_ahead": F.when(F.col("first"), _shared(F.col("key"), F.lag("key").over(along), shifts)),
+            "steps_after": F.when(F.col("last"), _shared(F.col("key"), F.lead("key").over(along), shifts)),
         }
     )
     crossed = F.col("steps_ahead").isNotNull()
@@ -116,20 +115,36 @@ def _across_edges(found: DataFrame) -> DataFrame:
     return inner.unionByName(edges)
 
 
-def regions_and_neighbours(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions (tree, key, item, leader), with whole labels as keys, and for every item of them its neighbour (a, b) with
-    the longest common prefix.
+def _regions(rows: DataFrame, shift: int) -> DataFrame:
+    """(tree, key, item, leader) of the rows that share a step, with whole labels as keys.
 
     The leader of a region at the least depth is the item that is least once its bits are flipped by a pattern of the
     tree's own: drawn by chance, and found by a plain minimum.
     """
-    found = _sorted(items)
-    rows = _across_edges(found)
     pattern = F.xxhash64("tree")
-    region = F.shiftright("key", SHIFTS[0])
+    region = F.shiftright("key", shift)
     lead = rows.groupBy("tree", region.alias("region")).agg(F.min(F.col("item").bitwiseXOR(pattern)).alias("least"))
     named = rows.withColumn("region", region).join(lead, ["tree", "region"])
-    regions = stored(named.select("tree", "key", "item", F.col("least").bitwiseXOR(pattern).alias("leader")), "regions")
+    return stored(named.select("tree", "key", "item", F.col("least").bitwiseXOR(pattern).alias("leader")), "regions")
+
+
+def shared_regions(rows: DataFrame) -> DataFrame:
+    """(tree, key, item, leader) of the rows (tree, key, item) that have a key of a tree in common with another item.
+
+    Most keys are an item's alone.  They are sorted once and left out where they stand, without a second shuffle of all keys.
+    """
+    found = _sorted(rows, (0,))
+    out = _regions(_across_edges(found, (0,)), 0)
+    forget(found)
+    return out
+
+
+def regions_and_neighbours(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions (tree, key, item, leader), and for every item of them its neighbour (a, b) with the longest common prefix."""
+    labelled = items.select("item", F.posexplode("keys").alias("tree", "key")).select("tree", "key", "item")
+    found = _sorted(labelled, SHIFTS)
+    rows = _across_edges(found, SHIFTS)
+    regions = _regions(rows, SHIFTS[0])
     pairs = rows.filter("before IS NOT NULL").select(F.col("item").alias("a"), F.col("before").alias("b"), "steps")
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "steps"))
     nearest = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("steps", "b")).alias("b")), "nearest")

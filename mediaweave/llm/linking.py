@@ -273,19 +273,6 @@ def _between(
     return out
 
 
-def shared_regions(items: DataFrame) -> DataFrame:
-    """(tree, key, item, leader) of the items that share a region.
-
-    Keys differ between trees, so they name a region by themselves.  Its leader is the item that is least once its
-    bits are flipped by a pattern of the tree's own: drawn by chance, and found by a plain minimum.
-    """
-    pattern = F.xxhash64("tree")
-    rows = items.select("item", F.posexplode("keys").alias("tree", "key"))
-    lead = rows.groupBy("key").agg(F.min(F.col("item").bitwiseXOR(pattern)).alias("least"), F.count("*").alias("n"))
-    rows = rows.join(lead.filter("n > 1").select("key", "least"), "key")
-    return stored(rows.select("tree", "key", "item", F.col("least").bitwiseXOR(pattern).alias("leader")), "regions")
-
-
 def linked(
     items: DataFrame,
     regions: DataFrame,

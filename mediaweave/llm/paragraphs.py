@@ -4,7 +4,7 @@ Paragraphs are cut by content: a word starts one if the hash of it and the next
 words on either side.  So every word of a text, however it is wrapped into lines, is in exactly one paragraph, and a passage that
 stands in two texts is cut alike in both but for its ends.  The five-word shingle sets of paragraphs (of fewer words, all of
 it is one shingle) are minhashed into bands, tuned for recall: a pair at the wanted similarity shares no band with a
-chance of ``MISS`` only.  Paragraphs that collide in a band are verified by the exact Jaccard similarity of their sets, and
+chance of ``MISS`` only.  A band's rows follow from the number of documents, so that unlike paragraphs seldom collide.  Paragraphs that collide in a band are verified by the exact Jaccard similarity of their sets, and
 linked paragraphs form components; the first paragraph of a component, by doc_id and place, stays and the others are removed.
 
 Neighbouring paragraphs with a like one elsewhere are a passage; passages of fewer than ``LEAST_WORDS`` words, such as a
@@ -33,30 +33,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mediaweave.llm import sketches
-from mediaweave.llm.linking import linked, shared_regions
+from mediaweave.llm.forest import shared_regions
+from mediaweave.llm.linking import linked
 from mediaweave.llm.tables import forget, stored
 
 SHINGLE = 5
 #: A paragraph has more than this many words, but for the ends of a text, and twice as many on average.
-RADIUS = 14
+RADIUS = 9
 LEAST_WORDS = 20
 PERCENT = 80
 MISS = 1e-2
-#: Minhashes that estimate the similarity of a pair.
-SKETCH = 24
-#: Similarity of unlike paragraphs, and the share of their pairs that may collide.
-UNLIKE = 0.1
-COLLIDING = 0.1
+#: Minhashes that estimate the similarity of a pair: enough that half-like ones, whose number grows with the square of the input, are ruled out.
+SKETCH = 128
+#: Similarity of unlike paragraphs that a band's rows are made for.
+UNLIKE = 0.01
+#: Bytes of a band's key.
+KEY_BYTES = 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def bands(percent: int = PERCENT, miss: float = MISS, unlike: float = UNLIKE, colliding: float = COLLIDING) -> tuple[int, int]:
-    """(rows, bands): as many bands as the wanted recall takes, with the fewest rows that keep unlike pairs apart."""
-    for rows in range(1, 17):
-        n = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
-        if 1 - (1 - unlike**rows) ** n <= colliding:
-            break
-    return rows, n
+def bands(n_docs: int, percent: int = PERCENT, miss: float = MISS) -> tuple[int, int]:
+    """(rows, bands): so many rows that the chance collisions of an unlike paragraph do not grow with the number of documents,
+    and as many bands as the wanted recall takes."""
+    rows = max(2, math.ceil(math.log(max(n_docs, 2)) / -math.log(UNLIKE)))
+    return rows, math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+
+
+def packed_keys(keys: np.ndarray) -> np.ndarray:
+    """Per row the leading bytes of its 64-bit band keys, end to end."""
+    top = np.ascontiguousarray(keys).view(np.uint64) >> np.uint64(64 - 8 * KEY_BYTES)
+    return top.astype("<u8").view(np.uint8).reshape(*keys.shape, 8)[:, :, :KEY_BYTES].reshape(len(keys), keys.shape[1] * KEY_BYTES)
+
+
+def unpacked_keys(packed: list[bytes]) -> np.ndarray:
+    """Per row the band keys of a packed one, all of one length."""
+    parts = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1, KEY_BYTES)
+    out = np.zeros((*parts.shape[:2], 8), np.uint8)
+    out[:, :, :KEY_BYTES] = parts
+    return out.view("<i8").reshape(parts.shape[:2])
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    """(tree, key, item) of the band keys of (item, keys)."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys = unpacked_keys(batch.column(1).to_pylist())
+                n, trees = keys.shape
+                columns = [np.tile(np.arange(trees, dtype=np.int32), n), keys.ravel(), np.repeat(batch.column(0).to_numpy(), trees)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "key", "item"])
+
+    return items.select("item", "keys").mapInArrow(run, "tree int, key long, item long")
 
 
 def least_size(percent: int = PERCENT) -> int:
@@ -124,10 +151,9 @@ def _sets_of(texts: list[np.ndarray], radius: int):
 
 def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_bands: int, least: int = 1) -> DataFrame:
     """Paragraphs of (row, doc_id, text): row, doc_id, place, first_word, n_words, size, fingerprint, and of those with ``least``
-    shingles band keys and sketch."""
-    n_keys = rows_per_band * n_bands
-    factors = sketches.multipliers(max(n_keys, SKETCH))
-    names = ["row", "doc_id", "place", "first_word", "n_words", "size", "f1", "f2", "keys", "sketch"]
+    shingles band keys."""
+    factors = sketches.multipliers(rows_per_band * n_bands)
+    names = ["row", "doc_id", "place", "first_word", "n_words", "size", "f1", "f2", "keys"]
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         found, x, starts, sizes = _sets_of([h[2] for h in held], radius)
@@ -141,14 +167,12 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
         f2 = np.bitwise_xor.reduceat(sketches.mixed(x * sketches._A + sketches._B), starts).view(np.int64)
         hashes = sketches.flat_minhashes(x, starts, factors)
         large = sizes >= least
-        keys = sketches.path_keys(hashes[large, :n_keys], rows_per_band)
-        ends = np.concatenate(([0], np.cumsum(large * n_bands))).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()), mask=pa.array(~large))
-        bounds = np.concatenate(([0], np.cumsum(large * hashes.shape[1]))).astype(np.int32)
-        present, data = np.packbits(large, bitorder="little"), hashes[large].astype("u1")
-        sketch = pa.Array.from_buffers(pa.binary(), len(large), [pa.py_buffer(present), pa.py_buffer(bounds), pa.py_buffer(data)])
+        data = packed_keys(sketches.path_keys(hashes[large], rows_per_band))
+        bounds = np.concatenate(([0], np.cumsum(large * (n_bands * KEY_BYTES)))).astype(np.int32)
+        present = np.packbits(large, bitorder="little")
+        keys = pa.Array.from_buffers(pa.binary(), len(large), [pa.py_buffer(b) for b in (present, bounds, data)])
         columns = [pa.array(c, pa.int64()) for c in (rows, ids, place, first, n_words, sizes, f1, f2)]
-        return pa.RecordBatch.from_arrays([*columns, keys, sketch], names=names)
+        return pa.RecordBatch.from_arrays([*columns, keys], names=names)
 
     def run(batches):
         memo = sketches.WordHashes()
@@ -166,41 +190,53 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
         if held:
             yield packed(held)
 
-    kind = ", ".join(f"{n} long" for n in names[:8]) + ", keys array<long>, sketch binary"
+    kind = ", ".join(f"{n} long" for n in names[:8]) + ", keys binary"
     return texts.mapInArrow(run, kind)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(item, set) of the wanted paragraphs (item, doc_id, first_word, n_words, f1, f2), read from their documents once more."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("item", "first_word", "n_words", "f1", "f2")).alias("asked"))
-    rows = asked.join(texts, "doc_id")
+    """(item, size, sketch, keys, set) of the wanted paragraphs (item, doc_id, first_word, n_words, f1, f2, keys), read from
+    their documents once more."""
+    one = F.struct("item", "first_word", "n_words", "f1", "f2", "keys")
+    rows = wanted.groupBy("doc_id").agg(F.collect_list(one).alias("asked")).join(texts, "doc_id")
     # a row that is there several times is read once
     rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("asked", "text")
+    factors = sketches.multipliers(SKETCH)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        items, keys, sets = zip(*held)
+        sketch = [s.tobytes() for s in sketches.minhashes(list(sets), factors).astype("u1")]
+        columns = [(items, pa.int64()), (list(map(len, sets)), pa.int64()), (sketch, pa.binary()), (unpacked_keys(keys).tolist(), pa.list_(pa.int64()))]
+        columns.append(([s.tobytes() for s in sets], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["item", "size", "sketch", "keys", "set"])
 
     def run(batches):
         memo = sketches.WordHashes()
+        held: list[tuple] = []
         for batch in batches:
             for asked, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 words = text.as_py().lower().split()
-                items, sets = [], []
                 for a in asked.as_py():
                     found = sketches.shingles(memo.of(words[a["first_word"] : a["first_word"] + a["n_words"]]), SHINGLE)
                     # rows of a repeated id may hold other texts than the wanted one
                     if sketches.fingerprint(found) == (a["f1"], a["f2"]):
-                        items.append(a["item"])
-                        sets.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.binary())], names=["item", "set"])
+                        held.append((a["item"], a["keys"], found))
+                if len(held) >= 4096:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
 
-    return rows.mapInArrow(run, "item long, set binary")
+    return rows.mapInArrow(run, "item long, size long, sketch binary, keys array<long>, set binary")
 
 
 def _repeated(texts: DataFrame, least_words: int, percent: int, radius: int) -> DataFrame:
     """Paragraphs in repeated passages of the texts (row, doc_id, text), see ``duplicate_paragraphs``, with their row."""
-    rows_per_band, n_bands = bands(percent)
+    rows_per_band, n_bands = bands(texts.count(), percent)
     rows = paragraph_profiles(texts, radius, rows_per_band, n_bands, least_size(percent))
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "paragraphs")
     # equal paragraphs are one item: the first of them
-    head = F.struct("doc_id", "first_word", "n_words", "size", "keys", "sketch")
+    head = F.struct("doc_id", "first_word", "n_words", "keys")
     items = rows.groupBy("f1", "f2").agg(F.min("rid").alias("item"), F.min_by(head, "rid").alias("h"))
     items = stored(items.select("item", "f1", "f2", "h.*"), "items")
     classes = items.select("item", "f1", "f2")
@@ -208,10 +244,10 @@ def _repeated(texts: DataFrame, least_words: int, percent: int, radius: int) ->
     members = stored(members, "members")
     forget(rows)
     every, items = items, items.filter("keys IS NOT NULL")
-    regions = shared_regions(items)
-    wanted = items.join(regions.select("item").distinct(), "item", "left_semi").select("item", "doc_id", "first_word", "n_words", "f1", "f2")
+    regions = shared_regions(_keyed(items))
+    wanted = items.join(regions.select("item").distinct(), "item", "left_semi")
     sets = stored(_sets(texts.select("doc_id", "text"), wanted), "sets")
-    linked_items = linked(items, regions, sets, percent)
+    linked_items = linked(sets.drop("set"), regions, sets.select("item", "set"), percent)
     forget(every, regions, sets)
     found = linked_items.toDF("of", "component")
     placed = members.join(found, F.col("item") == F.col("of"), "left")
