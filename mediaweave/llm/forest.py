@@ -48,13 +48,12 @@ def _shared(one: Column, two: Column, shifts: tuple[int, ...]) -> Column:
     return found
 
 
-def _sorted(rows: DataFrame, shifts: tuple[int, ...]) -> DataFrame:
+def _sorted(rows: DataFrame, shifts: tuple[int, ...], order: tuple[str, ...] = ("tree", "key", "item")) -> DataFrame:
     """(tree, key, item, before, steps, shared, first, last): all labels (tree, key, item) in sorted order, but for those that share nothing.
 
     ``before`` is the item before, if it shares ``steps``; ``shared`` tells whether it or the next one does;
     ``first`` and ``last`` mark the edges of a partition, which stay in any case.
     """
-    order = ["tree", "key", "item"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def chosen(columns: list[np.ndarray], after: np.ndarray, begins: bool, ends: bool) -> pa.RecordBatch:
@@ -131,9 +130,10 @@ def _regions(rows: DataFrame, shift: int) -> DataFrame:
 def shared_regions(rows: DataFrame) -> DataFrame:
     """(tree, key, item, leader) of the rows (tree, key, item) that have a key of a tree in common with another item.
 
+    Keys begin with their tree, so that the first column sorted by tells nearly all rows apart.
     Most keys are an item's alone.  They are sorted once and left out where they stand, without a second shuffle of all keys.
     """
-    found = _sorted(rows, (0,))
+    found = _sorted(rows, (0,), ("key", "item"))
     out = _regions(_across_edges(found, (0,)), 0)
     forget(found)
     return out

@@ -7,7 +7,7 @@ the wanted similarity and their sketches do not rule it out; a link is confirmed
 1. Every item meets the leaders of its regions; the best-looking one is verified.  Groups of copies become
    one component this way at the cost of one comparison per item, however large they are.
 2. Regions that still hold several components are compared within, crowded ones cut by longer keys first where the
-   caller's keys allow it: the items outside a region's main component against all of it, block by block.  Sketches tell which items of a block are worth their full sets; those
+   caller's keys allow it, and then by the rarest shingles of their items (``_split``): the items outside a region's main component against all of it, block by block.  Sketches tell which items of a block are worth their full sets; those
    go to the block once, whatever number of pairs they stand in.  Pairs inside one component need no comparison, as
    they cannot change the result, and a block reports no more links than connect its components.
 
@@ -28,6 +28,10 @@ from mediaweave.llm.tables import forget, stored
 
 #: Members of a region, and outsiders, that one task compares at a time.
 BLOCK = 512
+#: A shingle is common in a region if more than this part of the members hold it.
+COMMON = 1 / 32
+#: Members of a region whose shingles one task counts at a time.
+SLICE = 2048
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -110,8 +114,80 @@ def _shapes(rows: DataFrame) -> DataFrame:
     return shapes.filter("kinds > 1")
 
 
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(tree, key, item, component) of the rows (..., common, set) for each shingle of a set's prefix, which is part of the key.
+
+    A prefix holds the first ``n_prefix`` shingles in the order of the region: those that are not common by value, then the common ones.
+    """
+    def run(batches):
+        for batch in batches:
+            many, names = [], []
+            for key, common, data in zip(*(batch.column(c).to_pylist() for c in ("key", "common", "set"))):
+                found = np.frombuffer(data, np.uint64)
+                common = np.array(common or [], np.int64).view(np.uint64)  # the most common one last
+                rare = found[~np.isin(found, common)] if len(common) else found
+                prefix = np.concatenate((rare, common[np.isin(common, found)]))[: n_prefix(len(found), percent)]
+                many.append(len(prefix))
+                names.append(sketches.mixed(sketches.mixed(prefix) + np.array([key], np.int64).view(np.uint64)).view(np.int64))
+            if many:
+                each = np.repeat(np.arange(len(many)), many)
+                columns = [batch.column(c).take(pa.array(each)) for c in ("tree", "item", "component")]
+                columns.insert(1, pa.array(np.concatenate(names)))
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "key", "item", "component"])
+
+    rows = rows.select("tree", "key", "item", "component", "common", "set")
+    return rows.mapInArrow(run, "tree int, key long, item long, component long")
+
+
+def n_prefix(size: int, percent: int) -> int:
+    """Two alike sets, of which one has ``size`` shingles, have one in common among the first so many of either, in any order of all shingles."""
+    return size + (-size * percent) // 100 + 1
+
+
+def _split(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, key, item, component) with crowded regions split by prefixes, and the tables this reads.
+
+    Alike sets have a shingle in common among the first few of either, whatever the order of shingles is.  With common ones
+    last, members that share no more than a region's common passage part, and no alike pair does.  A region
+    is split where its blocks would take more rows than the prefixes of its members.
+    """
+    # none but regions of more than a block can be crowded
+    large = rows.groupBy("tree", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("tree", "key")
+    full = _shapes(rows.join(large, ["tree", "key"], "left_semi")).select("tree", "key", "n", (F.col("n") - F.col("top.n")).alias("outside"))
+    full = stored(full.filter(F.col("n") * F.col("outside") > block * block), "full")
+    if full.isEmpty():
+        return rows, [full]
+    inside = rows.join(full, ["tree", "key"]).join(sets.toDF("_item", "set"), F.col("item") == F.col("_item")).drop("_item")
+    inside = stored(inside, "inside")
+    size = F.length("set") / 8
+    prefix = size - F.ceil(size * percent / 100) + 1
+    worth = inside.groupBy("tree", "key", "n", "outside").agg(F.sum(prefix).alias("prefixes"))
+    worth = worth.filter(2 * F.col("n") * F.col("outside") > block * F.col("prefixes")).select("tree", "key")
+    worth = stored(worth, "worth")
+    inside_split = inside.join(worth, ["tree", "key"])
+
+    def common(batches):
+        for held in _blocks(batches, ["tree", "key", "slice", "n", "set"]):
+            shingle, many = np.unique(np.concatenate([np.frombuffer(r[4], np.int64) for r in held]), return_counts=True)
+            often = many > COMMON * len(held)
+            shingle, many = shingle[often], many[often]
+            columns = [np.full(len(many), held[0][0], np.int32), np.full(len(many), held[0][1], np.int64), shingle, many]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "key", "shingle", "held"])
+
+    # what is common in a region is common in a slice of it
+    place = ["tree", "key", "slice", "n"]
+    sliced = inside_split.withColumn("slice", F.pmod(F.xxhash64("item", F.lit("slice")), F.ceil(F.col("n") / SLICE))).select(*place, "set")
+    found = sliced.repartition(*place).sortWithinPartitions(*place).mapInArrow(common, "tree int, key long, shingle long, held long")
+    found = found.groupBy("tree", "key", "shingle").agg(F.sum("held").alias("held"))
+    found = found.groupBy("tree", "key").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    found = stored(found.select("tree", "key", F.col("common.shingle").alias("common")), "common")
+    parts = stored(_prefixes(inside_split.join(found, ["tree", "key"], "left"), percent), "parts")
+    forget(found, inside, full)
+    return rows.join(worth, ["tree", "key"], "left_anti").select(parts.columns).unionByName(parts), [worth, parts]
+
+
 def _at_depth(regions: DataFrame, found: DataFrame, block: int, shifts: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
-    """(tree, key, item, component) with every region as deep as it must be, and the tables this reads.
+    """(tree, key, item, component) with every region as deep as it must be, and the tables this reads: the last is empty if none is crowded.
 
     Regions begin with all but the last ``shifts[0]`` bits of their keys.  Those with more than ``block`` * ``block`` pairs of
     different components, of which one is outside the main one, go by the next number of bits.  Groups of copies are one component by
@@ -122,8 +198,6 @@ def _at_depth(regions: DataFrame, found: DataFrame, block: int, shifts: tuple[in
     rows = rows.select(
         "tree", F.shiftright("key", shifts[0]).alias("key"), F.col("key").alias("whole"), "item", F.coalesce("_component", "item").alias("component")
     )
-    if len(shifts) == 1:
-        return rows.drop("whole"), []
     rows = stored(rows, "at_depth")
     tables = [rows]
     for shift in shifts[1:]:
@@ -265,6 +339,9 @@ def _between(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     rows, tables = _at_depth(regions, found, block, shifts)
+    if not tables[-1].isEmpty():
+        rows, more = _split(rows, sets.select("item", "set"), percent, block)
+        tables += more
     torn = _torn(rows, block).join(looks, "item")
     chosen = stored(dealt(torn, columns).mapInArrow(worth, _PLACED), "chosen")
     full = chosen.join(looks, "item").join(sets.select("item", "set"), "item")

@@ -28,6 +28,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,6 +50,8 @@ SKETCH = 128
 UNLIKE = 0.01
 #: Bytes of a band's key.
 KEY_BYTES = 5
+#: Text that is cut at a time.
+GROUP_BYTES = 1 << 21
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -74,12 +77,13 @@ def unpacked_keys(packed: list[bytes]) -> np.ndarray:
 
 
 def _keyed(items: DataFrame) -> DataFrame:
-    """(tree, key, item) of the band keys of (item, keys)."""
+    """(tree, key, item) of the band keys of (item, keys), each behind the number of its tree."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 keys = unpacked_keys(batch.column(1).to_pylist())
                 n, trees = keys.shape
+                keys |= np.arange(trees) << (8 * KEY_BYTES)
                 columns = [np.tile(np.arange(trees, dtype=np.int32), n), keys.ravel(), np.repeat(batch.column(0).to_numpy(), trees)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "key", "item"])
 
@@ -102,37 +106,45 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
 
 def cuts(words: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Where the paragraphs of a text begin, and its number of words at the end; ``words`` are hashes."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(1, np.int64)
+    return _cuts_of(words, np.array([len(words)]), radius) if len(words) else np.zeros(1, np.int64)
+
+
+def _cuts_of(words: np.ndarray, lengths: np.ndarray, radius: int) -> np.ndarray:
+    """The same for texts that stand end to end in one array; none is empty."""
+    ends = np.cumsum(lengths)
     after = np.append(words[1:], np.uint64(0))
+    after[ends - 1] = 0
     h = sketches.mixed(sketches.mixed(words) + after)
-    wall = np.full(radius, np.iinfo(np.uint64).max, np.uint64)
-    least = _least_of(np.concatenate((wall, h, wall)), radius)
-    starts = (least[:n] > h) & (least[radius + 1 :][:n] >= h)
-    starts[0] = True
-    return np.append(np.flatnonzero(starts), n)
-
-
-def _sets_of(texts: list[np.ndarray], radius: int):
-    """All paragraphs of some texts: (text number, cuts) of each, and their shingle sets end to end: hashes, where each starts, sizes."""
-    found, units, hashes, base = [], [], [], 0
-    for words in texts:
-        at = cuts(words, radius)
-        m, n = len(at) - 1, len(words)
-        found.append(at)
-        if n >= SHINGLE:
-            x = sketches.mixed(words[: n - SHINGLE + 1] + np.uint64(SHINGLE))
-            for j in range(1, SHINGLE):
-                x = sketches.mixed(x * sketches._A + words[j : n - SHINGLE + 1 + j])
-            unit = np.repeat(np.arange(m), np.diff(at))[: len(x)]
-            whole = np.arange(len(x)) + SHINGLE <= at[unit + 1]
-            units.append(unit[whole] + base)
-            hashes.append(x[whole])
-        for k in np.flatnonzero(np.diff(at) < SHINGLE).tolist():
-            units.append(np.array([base + k]))
-            hashes.append(sketches.shingles(words[at[k] : at[k + 1]], SHINGLE))
-        base += m
+    # a wall on either side of every text
+    at = np.arange(len(words)) + np.repeat(np.arange(1, len(lengths) + 1) * radius, lengths)
+    walled = np.full(len(words) + (len(lengths) + 1) * radius, np.iinfo(np.uint64).max, np.uint64)
+    walled[at] = h
+    least = _least_of(walled, radius)
+    starts = (least[at - radius] > h) & (least[at + 1] >= h)
+    starts[ends - lengths] = True
+    return np.append(np.flatnonzero(starts), len(words))
+
+
+def _sets_of(words: np.ndarray, lengths: np.ndarray, radius: int):
+    """All paragraphs of texts that stand end to end: (cuts), and their shingle sets end to end: hashes, where each starts, sizes."""
+    at = _cuts_of(words, lengths, radius)
+    m, n, n_words = len(at) - 1, len(words), np.diff(at)
+    units, hashes = [], []
+    if n >= SHINGLE:
+        x = sketches.mixed(words[: n - SHINGLE + 1] + np.uint64(SHINGLE))
+        for j in range(1, SHINGLE):
+            x = sketches.mixed(x * sketches._A + words[j : n - SHINGLE + 1 + j])
+        unit = np.repeat(np.arange(m), n_words)[: len(x)]
+        whole = np.arange(len(x)) + SHINGLE <= at[unit + 1]
+        units.append(unit[whole])
+        hashes.append(x[whole])
+    for width in range(1, SHINGLE):
+        short = np.flatnonzero(n_words == width)
+        x = sketches.mixed(words[at[short]] + np.uint64(width))
+        for j in range(1, width):
+            x = sketches.mixed(x * sketches._A + words[at[short] + j])
+        units.append(short)
+        hashes.append(x)
     unit, x = np.concatenate(units), np.concatenate(hashes)
     order = np.argsort(unit, kind="stable")  # all but in order already
     unit, x = unit[order], x[order]
@@ -140,13 +152,38 @@ def _sets_of(texts: list[np.ndarray], radius: int):
     once = np.sort(both)
     twice = once[1:][once[1:] == once[:-1]]
     if len(twice):  # the few shingles that a paragraph holds again are found and looked at alone
-        at = np.minimum(np.searchsorted(twice, both), len(twice) - 1)
-        at = np.flatnonzero(twice[at] == both)
-        again = np.ones(len(at), bool)
-        again[np.unique(both[at], return_index=True)[1]] = False
-        unit, x = np.delete(unit, at[again]), np.delete(x, at[again])
-    sizes = np.bincount(unit, minlength=base)
-    return found, x, np.cumsum(sizes) - sizes, sizes
+        place = np.minimum(np.searchsorted(twice, both), len(twice) - 1)
+        place = np.flatnonzero(twice[place] == both)
+        again = np.ones(len(place), bool)
+        again[np.unique(both[place], return_index=True)[1]] = False
+        unit, x = np.delete(unit, place[again]), np.delete(x, place[again])
+    sizes = np.bincount(unit, minlength=m)
+    return at, x, np.cumsum(sizes) - sizes, sizes
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of some texts (binary) end to end, and the number of words of each."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    flat = parts.flatten()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(real)))
+    bounds = before[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    found = flat.dictionary_encode()
+    different = found.dictionary.cast(pa.binary()).to_pylist()
+    names = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
+    return names[found.indices.to_numpy()[real]], np.diff(bounds)
+
+
+def _groups(sizes: list[int], limit: int):
+    """(first, past) of consecutive texts of about ``limit`` bytes."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held > limit:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_bands: int, least: int = 1) -> DataFrame:
@@ -155,14 +192,12 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
     factors = sketches.multipliers(rows_per_band * n_bands)
     names = ["row", "doc_id", "place", "first_word", "n_words", "size", "f1", "f2", "keys"]
 
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        found, x, starts, sizes = _sets_of([h[2] for h in held], radius)
-        many = [len(at) - 1 for at in found]
-        rows = np.repeat([h[0] for h in held], many)
-        ids = np.repeat([h[1] for h in held], many)
-        place = np.concatenate([np.arange(m) for m in many])
-        first = np.concatenate([at[:-1] for at in found])
-        n_words = np.concatenate([np.diff(at) for at in found])
+    def packed(rows: np.ndarray, ids: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        at, x, starts, sizes = _sets_of(words, lengths, radius)
+        text = np.repeat(np.arange(len(lengths)), lengths)[at[:-1]]
+        many = np.bincount(text, minlength=len(lengths))
+        place = np.arange(len(text)) - (np.cumsum(many) - many)[text]
+        first = at[:-1] - (np.cumsum(lengths) - lengths)[text]
         f1 = np.add.reduceat(sketches.mixed(x + sketches._A), starts).view(np.int64)
         f2 = np.bitwise_xor.reduceat(sketches.mixed(x * sketches._A + sketches._B), starts).view(np.int64)
         hashes = sketches.flat_minhashes(x, starts, factors)
@@ -171,24 +206,18 @@ def paragraph_profiles(texts: DataFrame, radius: int, rows_per_band: int, n_band
         bounds = np.concatenate(([0], np.cumsum(large * (n_bands * KEY_BYTES)))).astype(np.int32)
         present = np.packbits(large, bitorder="little")
         keys = pa.Array.from_buffers(pa.binary(), len(large), [pa.py_buffer(b) for b in (present, bounds, data)])
-        columns = [pa.array(c, pa.int64()) for c in (rows, ids, place, first, n_words, sizes, f1, f2)]
+        columns = [pa.array(c, pa.int64()) for c in (rows[text], ids[text], place, first, np.diff(at), sizes, f1, f2)]
         return pa.RecordBatch.from_arrays([*columns, keys], names=names)
 
     def run(batches):
-        memo = sketches.WordHashes()
-        held, many = [], 0
         for batch in batches:
+            rows, ids = (batch.column(c).to_numpy() for c in range(2))
             texts = batch.column(2).cast(pa.binary())
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                words = memo.of((text.as_py() or b"").lower().split())
-                if len(words):
-                    held.append((row, doc_id, words))
-                    many += len(words)
-                if many > 1 << 18:
-                    yield packed(held)
-                    held, many = [], 0
-        if held:
-            yield packed(held)
+            for first, past in _groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), GROUP_BYTES):
+                words, lengths = _hashed(texts.slice(first, past - first))
+                some = lengths > 0
+                if some.any():
+                    yield packed(rows[first:past][some], ids[first:past][some], words, lengths[some])
 
     kind = ", ".join(f"{n} long" for n in names[:8]) + ", keys binary"
     return texts.mapInArrow(run, kind)
