@@ -11,6 +11,7 @@ from mediaweave.operators.nodes import is_visible, nodes, with_relative
 from mediaweave.operators.scanner import scan_page
 from mediaweave.plans import inputs as I
 from mediaweave.plans.queries import requoted
+from mediaweave.streaming import streams as St
 
 
 class Reader(HTMLParser):
@@ -156,6 +157,16 @@ def test_icons_and_jsonld(one_page):
     ]
 
 
+def test_all_listed_images_are_streamed(spark):
+    """A JSON-LD list of any length is read to its end, by the stream and by the batch."""
+    names = [f"https://v.example/{i}.jpg" for i in range(12)]
+    listed = ",".join(f'"{u}"' if i % 2 else f'{{"url":"{u}"}}' for i, u in enumerate(names))
+    html = f'<script type="application/ld+json">{{"@type":"Article","image":[{listed}]}}</script>'
+    pages = spark.createDataFrame([(1, "https://site.example/a", html)], "page_id long, url string, html string")
+    for media in (St.page_media(pages), M.extract_media(nodes(pages))):
+        assert [u for _, u, source in urls(media) if source == "json-ld"] == names
+
+
 def test_links_merge(one_page):
     n = one_page(
         '<a href="p.html">first</a><a href="p.html">last</a><a href="#x">no</a><a href="mailto:x">no</a>'
